@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables, each with its SQL twin."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
