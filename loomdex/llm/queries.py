@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import secrets
+from loomdex.llm import secrets, simhash
 from loomdex.llm.common import table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.col("secret_spans")
@@ -24,5 +29,5 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan}
+QUERIES = {"op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan}
 ORACLES: dict[str, str] = {}
