@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import secrets, simhash
+from loomdex.llm import mixing, secrets, simhash
 from loomdex.llm.common import table
 
 
@@ -29,5 +29,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
