@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import mixing, secrets, simhash
-from loomdex.llm.common import table
+from loomdex.llm import mixing, secrets, simhash, warc
+from loomdex.llm.common import shared_dir, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,24 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_dir(spark)
+    warc.write_warc(warc.records(table(spark, sf_dir, "pages")), archives)
+    read = warc.payloads(warc.read_warc(spark, archives))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as long)")
+    is_response = F.col("type") == "response"
+    return read.select(
+        page("id").alias("page_id"),
+        F.when(is_response, F.octet_length("payload").cast("long")).otherwise(F.col("told_bytes")).alias("payload_bytes"),
+        F.when(is_response, F.sha1("payload")).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(~is_response, page("refers_to")).alias("refers_to"),
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
