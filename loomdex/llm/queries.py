@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import linefreq, mixing, secrets, simhash, warc
+from loomdex.llm import linefreq, mixing, ordermin, secrets, simhash, warc
 from loomdex.llm.common import shared_dir, table
 
 
@@ -44,6 +44,23 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = ordermin.with_next(ordermin.add_sketch(docs, "text", "sketch"), "doc_id", ["text", "sketch"])
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.expr("n_chars div 2").cast("int"))
+    docs = docs.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars) - cut), substring(next_text, 1, cut))")).drop("next_text", "cut")
+    docs = ordermin.add_sketch(docs.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        ordermin.as_text(F.col("sketch")).alias("fingerprint"),
+        ordermin.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        ordermin.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        ordermin.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linefreq.line_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
@@ -53,5 +70,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
