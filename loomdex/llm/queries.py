@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import linefreq, mixing, ordermin, secrets, simhash, warc
+from loomdex.llm import linefreq, mixing, ordermin, quality, secrets, simhash, warc
 from loomdex.llm.common import shared_dir, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -70,5 +75,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_quality": op1_quality, "op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
