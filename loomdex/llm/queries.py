@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import linefreq, mixing, ordermin, quality, secrets, simhash, toxicity, warc
+from loomdex.llm import linefreq, mixing, ordermin, pseudolm, quality, secrets, simhash, toxicity, warc
 from loomdex.llm.common import shared_dir, table
 
 
@@ -20,6 +20,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, model).drop("text")
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudolm.score(docs, pseudolm.train(docs)).drop("text")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -81,5 +86,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op3_pseudo_likelihood": op3_pseudo_likelihood, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
