@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import linefreq, mixing, ordermin, pseudolm, quality, secrets, simhash, toxicity, warc
+from loomdex.llm import linefreq, mixing, ordermin, pieces, pseudolm, quality, secrets, simhash, toxicity, warc
 from loomdex.llm.common import shared_dir, table
 
 
@@ -77,6 +77,13 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = pieces.decode(docs)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linefreq.line_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
@@ -86,5 +93,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_pseudo_likelihood": op3_pseudo_likelihood, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op8_sentencepiece": op8_sentencepiece, "op3_pseudo_likelihood": op3_pseudo_likelihood, "op2_toxicity": op2_toxicity, "op1_quality": op1_quality, "op7_order_minhash": op7_order_minhash, "op9_line_rules": op9_line_rules, "op6_warc": op6_warc, "op4_simhash": op4_simhash, "op5_secret_scan": op5_secret_scan, "op10_mix_sources": op10_mix_sources}
 ORACLES: dict[str, str] = {}
