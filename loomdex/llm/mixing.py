@@ -138,3 +138,22 @@ def mix(
     rounds, rest = F.expr("case when circle > 0 then quota div circle else 0 end"), F.expr("case when circle > 0 then quota % circle else 0 end")
     taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("end") - F.col("size"))))
     return placed.withColumn("end", end).select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of df as often as it is taken whole, and once cut after its last taken word where it is taken in part.
+
+    Rows that equal each other in id, source and text share what they take evenly.
+    """
+    taken = mix(df, doc_id, text, source, **how).groupBy("doc_id", "source", "key").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"), F.max("size").alias("_size"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_of"), "_taken", "_rows", "_size").where("_taken > 0")
+    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    met = keyed.join(taken, keyed[doc_id].eqNullSafe(taken["_id"]) & keyed[source].eqNullSafe(taken["_source"]) & (keyed["_key"] == taken["_of"]))
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_of").orderBy(*([c for c in df.columns if c not in (doc_id, source, text)] or ["_of"])))
+    met = met.withColumn("_own", F.expr("_taken div _rows") + F.when(turn <= F.expr("_taken % _rows"), 1).otherwise(0))
+    met = met.withColumns({"_whole": F.expr("_own div _size"), "_rest": F.expr("int(_own % _size)")})
+    met = met.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    # cut before the blank that follows a word, so that blanks stay as they are
+    first = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("_rest")), "")
+    met = met.withColumn(text, F.when(F.col("_copy") <= F.col("_whole"), F.col(text)).otherwise(first))
+    return met.select(*df.columns)

@@ -94,6 +94,12 @@ def features(raw: bytes | None) -> np.ndarray:
     return np.concatenate([np.tanh(4 * per_word), np.minimum(1, 30 * per_word), np.sqrt(pairs), shapes])
 
 
+def _rows(texts: pa.Array) -> np.ndarray:
+    """Features of texts, rounded as they are stored."""
+    raw = texts.cast(pa.binary()).to_pylist()
+    return np.stack([features(t) for t in raw]).astype("<f2").astype(np.float64) if raw else np.zeros((0, WIDTH))
+
+
 def with_features(df: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
     """df with the features as little-endian 16-bit floats."""
 
@@ -187,23 +193,31 @@ def in_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row; with keep, all columns of df before these.
+class Model:
+    """Weights of the margin and the curve over it; without weights every score is 0.5."""
 
-    With keep, texts are carried through shared storage, and columns that have the names of
-    outputs are replaced.
-    """
-    held = df if keep else df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    doc_id, text = (doc_id, text) if keep else ("doc_id", "text")
-    made = with_features(held, text)
-    made = stored(made if keep else made.drop("text"))
+    def __init__(self, weights: np.ndarray | None, steep: float = 1.0, middle: float = 0.0):
+        self.weights, self.steep, self.middle = weights, steep, middle
+
+    def scores(self, x: np.ndarray) -> list[pa.Array]:
+        s = np.full(len(x), 0.5) if self.weights is None else 1 / (1 + np.exp(-np.clip(self.steep * (x @ self.weights - self.middle), -50, 50)))
+        return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+
+
+SCORES = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+
+
+def train(made: DataFrame, labels: DataFrame, label: str) -> Model:
+    """The classifier from a table (doc_id, features) of all documents and the labels' learning fold."""
     told = labels.select(F.col("doc_id").alias("of"), F.col(label).alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~in_fold(F.col("of")))
     told = told.groupBy("of").agg((F.avg("y") >= 0.5).alias("good"))
     of, total = told.agg(F.count_if("good"), F.count("*")).first()
     prior = (of + 1) / (total + 2)
-    rows = made.join(told.where("good"), made[doc_id] == told["of"], "left").select("features", "good")
+    rows = made.join(told.where("good"), made["doc_id"] == told["of"], "left").select("features", "good")
     n, parts = _gathered(rows, _moments)
     w = fit(n, parts.reshape(2, WIDTH + 1, WIDTH), prior) if np.size(n) else None
+    if w is None:
+        return Model(None)
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros((2, BINS))
@@ -213,11 +227,24 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             bins[1] += np.bincount(at[np.asarray(b.column(1).fill_null(False))], minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in bins], names=["n", "parts"])
 
-    steep, middle = (1.0, 0.0) if w is None else calibrate(*_gathered(rows, histograms), prior)
+    return Model(w, *calibrate(*_gathered(rows, histograms), prior))
+
+
+def _made(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    made = with_features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    return stored(made.select("doc_id", "features"))
+
+
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(doc_id, score, predicted, held_out) of each row."""
+    made = _made(docs, doc_id, text)
+    model = train(made, labels, label)
+    out = with_columns(made, ["features"], SCORES, lambda column: model.scores(_matrix(column)))
+    return out.withColumn("held_out", in_fold(F.col("doc_id"))).drop("features")
 
-    def scores(column: pa.Array) -> list[pa.Array]:
-        s = np.full(len(column), 0.5) if w is None else 1 / (1 + np.exp(-np.clip(steep * (_matrix(column) @ w - middle), -50, 50)))
-        return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
-    out = with_columns(made, ["features"], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], scores)
-    return out.withColumn("held_out", in_fold(F.col(doc_id))).drop("features")
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of docs that are predicted to be good. Texts are read twice, but neither shuffled nor stored."""
+    model = train(_made(docs, doc_id, text), labels, label)
+    kept = with_columns(docs, [text], [T.StructField("_good", T.IntegerType())], lambda texts: model.scores(_rows(texts))[1:])
+    return kept.where("_good = 1").drop("_good")

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,16 +99,31 @@ def links(prints: DataFrame) -> DataFrame:
     return variants.join(shared, "variant").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id that links reach."""
-    docs = stored(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_key: bool = False) -> DataFrame:
+    """(doc_id, fp, component, component_id) for each row.
+
+    component_id is the smallest doc_id that links reach; component names the group also where
+    ids repeat. With with_key a digest of the text, key, is added.
+    """
+    docs = with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    docs = stored(docs.select("doc_id", "fp", *([F.md5(F.coalesce("text", F.lit(""))).alias("key")] if with_key else [])))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cell", cell_of(F.col("fp")))
     prints = stored(prints)
     joined = connected_components(links(prints))
     named = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "component").select("fp", "component_id")
-    return docs.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = named.join(ids, "component").select("fp", "component", "component_id")
+    return docs.join(by_print, "fp").select("doc_id", "fp", "component", "component_id", *(["key"] if with_key else []))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df less near-duplicates: of each group the row of the smallest doc_id stays, ties going by text and then by the other columns."""
+    found = near_duplicates(df, doc_id, text, with_key=True)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_of")).distinct()
+    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    left = keyed.join(first, keyed[doc_id].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_of"]), "left_semi")
+    order = Window.partitionBy(doc_id, "_key").orderBy(*(c for c in df.columns if c != doc_id))
+    return left.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_key")
 
 
 def as_hex(fp: Column) -> Column:
