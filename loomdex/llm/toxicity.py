@@ -92,24 +92,28 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margins[:, None], -50, 50)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that maximise the cumulative-link likelihood less a ridge; Adam with steps that shrink."""
-    rows, width = x.shape
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that maximise the cumulative-link likelihood less a ridge; Adam with steps that shrink.
+
+    row, col and value are the entries of the sparse feature matrix.
+    """
+    rows = len(y)
     p = np.zeros(width + GRADES)
     p[width] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     at = np.arange(rows)
     for t in range(1, STEPS + 1):
         gaps = np.exp(p[width + 1 :])
+        margin = np.bincount(row, value * p[col], rows)
         thr = p[width] + np.concatenate([[0], np.cumsum(gaps)])
-        z = 1 / (1 + np.exp(np.clip(thr[None, :] - (x @ p[:width])[:, None], -50, 50)))
+        z = 1 / (1 + np.exp(np.clip(thr[None, :] - margin[:, None], -50, 50)))
         edges = np.concatenate([np.ones((rows, 1)), z, np.zeros((rows, 1))], axis=1)
         mass = np.maximum(edges[at, y] - edges[at, y + 1], 1e-12)
         slope = edges * (1 - edges)
         lo, hi = slope[at, y] / mass, slope[at, y + 1] / mass
         to_margin = (lo - hi) / rows
         to_thr = np.array([(hi * (y == j) - lo * (y == j + 1)).sum() / rows for j in range(GRADES)])
-        grad = np.concatenate([x.T @ to_margin - RIDGE * p[:width], [to_thr.sum()], [to_thr[j + 1 :].sum() * gaps[j] for j in range(GRADES - 1)]])
+        grad = np.concatenate([np.bincount(col, value * to_margin[row], width) - RIDGE * p[:width], [to_thr.sum()], [to_thr[j + 1 :].sum() * gaps[j] for j in range(GRADES - 1)]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         p += 0.1 * (1 - t / (STEPS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return p[:width], p[width] + np.concatenate([[0], np.cumsum(np.exp(p[width + 1 :]))])
@@ -132,14 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([o["i"] for o in out], pa.list_(pa.int32())), pa.array([o["n"] for o in out], pa.list_(pa.int32())), pa.array([o["words"] for o in out], pa.int64()), b.column(1)], names=["i", "n", "words", "toxic"])
 
     got = rows.mapInArrow(sparse, "i array<int>, n array<int>, words long, toxic boolean").orderBy("words", "i", "n").collect()
-    x, hits = np.zeros((len(got), len(index)), np.float32), np.zeros(len(got))
-    for k, r in enumerate(got):
-        x[k, r["i"]] = value_of(np.array(r["n"]))
-        hits[k] = sum(r["n"])
+    row = np.repeat(np.arange(len(got)), [len(r["i"]) for r in got])
+    col, n = (np.array([x for r in got for x in r[c]], np.int64) for c in ("i", "n"))
+    hits = np.bincount(row, n, len(got))
     toxic = np.array([r["toxic"] for r in got])
     cuts = np.quantile(hits[toxic & (hits > 0)], [1 / 3, 2 / 3]) if (toxic & (hits > 0)).any() else [0, 0]
     y = np.where(toxic, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0).astype(np.int64)
-    return Ordinal(index, *fit(x, y))
+    return Ordinal(index, *fit(row, col, value_of(n), len(index), y))
 
 
 def severity(docs: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
