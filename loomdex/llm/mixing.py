@@ -12,7 +12,8 @@ are a run of consecutive blocks from the circle's start: whole documents, but fo
 the run ends; more blocks than the circle holds begin a second round. So a document is taken at
 most as often as the cap says, and reruns agree whatever the partitioning.
 
-Only a row for each shard reaches the driver: one for every ROWS_PER_SHARD documents or source.
+Only a row for each shard reaches the driver: one a source, and about MOST_SHARDS besides, as
+shards have ROWS_PER_SHARD documents or, in a large corpus, a fixed share of all.
 
 Null texts have no words; documents without words are returned with 0 taken. A null source is a
 source of its own, after all others. Rows that repeat a doc_id count each for itself. An empty
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from loomdex.llm.common import stored, words_of
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), Fraction(3, 2), 2
-BLOCK_WORDS, ROWS_PER_SHARD, SEED = 16, 50_000, 42
+BLOCK_WORDS, ROWS_PER_SHARD, MOST_SHARDS, SEED = 16, 4_000, 20_000, 42
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int], budget: Fraction, cap: int = CAP) -> list[Fraction]:
@@ -118,7 +119,8 @@ def mix(
     rows = stored(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.md5(t).alias("key"), F.size(words_of(t)).cast("long").alias("size"), order.alias("h")))
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     by_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    parts = {r["source"]: -(-r["n"] // rows_per_shard) for r in by_source}
+    in_shard = max(rows_per_shard, -(-sum(r["n"] for r in by_source) // MOST_SHARDS))
+    parts = {r["source"]: -(-r["n"] // in_shard) for r in by_source}
     wanted = targets([r["size"] for r in by_source], [weights[i % len(weights)] for i in range(len(by_source))], share * sum(r["size"] for r in by_source), cap)
     schema = T.StructType([T.StructField("of", df.schema[source].dataType), T.StructField("parts", T.LongType())])
     sharded = rows.join(spark.createDataFrame(list(parts.items()), schema), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.expr("pmod(h, parts)")).drop("of", "parts")
