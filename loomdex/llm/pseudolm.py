@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import small_batches, with_columns
+from loomdex.llm.common import forget, shared_dir, small_batches, stored, with_columns
 
 VOCABULARY, SHAPES, CLASS = 3968, 128, 64
 SIDE, EMBED, HIDDEN = 2, 24, 48
-MASK_EVERY, ROUNDS, BATCH, RATE, CHUNK = 8, 2, 512, 0.05, 8192
-FLUSH, BLOCK = 400_000, 4096
+MASK_EVERY, ROUNDS, BATCH, RATE, CHUNK = 8, 2, 2048, 0.1, 8192
+FLUSH, MEMO, BLOCK = 400_000, 500_000, 4096
 
 WORDS = VOCABULARY + SHAPES
 CLASSES = WORDS // CLASS
@@ -94,8 +94,17 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    if z.max() > 80 or z.min() < -80:
+        z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z) @ np.ones((z.shape[1], 1), z.dtype))
+
+
+def _of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one place."""
+    if z.max() > 80 or z.min() < -80:  # else exponentials are safe as they are
+        z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    return picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def log_probs(w: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -103,15 +112,12 @@ def log_probs(w: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray) ->
     x = w["embed"][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
     cls, member = target // CLASS, target % CLASS
-    z = h @ w["classes"] + w["class_bias"]
-    out = z[np.arange(len(z)), cls] - z.max(axis=1) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+    out = _of(h @ w["classes"] + w["class_bias"], cls)
     order = np.argsort(cls, kind="stable")
     edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(edges)):
         rows = order[edges[c] : edges[c + 1]]
-        z = h[rows] @ w["members"][c] + w["member_bias"][c]
-        top = z.max(axis=1)
-        out[rows] += z[np.arange(len(rows)), member[rows]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        out[rows] += _of(h[rows] @ w["members"][c] + w["member_bias"][c], member[rows])
     return out
 
 
@@ -140,7 +146,10 @@ def learn(w: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: f
     dx = (dz @ w["hidden"].T).reshape(n, 2 * SIDE, EMBED)
     w["hidden"] -= step * (x.T @ dz)
     w["hidden_bias"] -= step * dz.sum(axis=0)
-    np.add.at(w["embed"], ctx.ravel(), -step * dx.reshape(-1, EMBED))
+    flat = ctx.ravel()
+    order = np.argsort(flat, kind="stable")
+    ids, first = np.unique(flat[order], return_index=True)
+    w["embed"][ids] -= step * np.add.reduceat(dx.reshape(-1, EMBED)[order], first, axis=0)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -164,22 +173,38 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Ids(dict):
+    """Ids of the words met so far."""
+
+    def __init__(self, index: dict[str, int]):
+        super().__init__(index)
+        self.index = index
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = VOCABULARY + shape_of(word)
+        return i
+
+
 class PseudoLM:
     """Vocabulary and weights; pickled to the tasks, of fixed size."""
 
     def __init__(self, words: list[str], flat: np.ndarray):
         self.index = {w: i for i, w in enumerate(words)}
         self.flat = flat
+        self.known: _Ids | None = None
+
+    def __getstate__(self) -> dict:
+        return {"index": self.index, "flat": self.flat, "known": None}
 
     def ids(self, text: str | None) -> np.ndarray:
-        get = self.index.get
+        if self.known is None or len(self.known) > MEMO:
+            self.known = _Ids(self.index)
         words = tokens_of(text)
-        return np.fromiter((i if (i := get(x)) is not None else VOCABULARY + shape_of(x) for x in words), np.int32, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words and summed log-probabilities; texts are cut into chunks of places, not of contexts."""
+    def scores(self, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and summed log-probabilities of texts' ids; long ones are cut into chunks of places, not of contexts."""
         w = unpack(self.flat)
-        each = [self.ids(t) for t in texts]
         n = np.array([len(x) for x in each], np.int64)
         total = np.zeros(len(each))
         ctx, tgt, who, held = [], [], [], 0
@@ -203,24 +228,39 @@ class PseudoLM:
         return n, total
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> PseudoLM:
-    """Vocabulary and network from all documents."""
-    counts = count_words(docs, text)
+def vocabulary(docs: DataFrame, text: str = "text") -> PseudoLM:
+    """The words of all documents, with an untrained network."""
+    path = shared_dir(docs.sparkSession)
+    counts = stored(count_words(docs, text), path)
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     words = [r["word"] for r in top]
     all_words = counts.agg(F.sum("n")).first()[0] or 0
+    forget(docs.sparkSession, path)
     unigram = np.zeros(WORDS)
     unigram[: len(words)] = [r["n"] for r in top]
     unigram[VOCABULARY:] = max(0, all_words - unigram.sum()) / SHAPES
-    lm = PseudoLM(words, start_weights(unigram))
-    for turn in range(rounds if all_words else 0):
-        lm = PseudoLM(words, _round(docs, text, lm, turn))
+    return PseudoLM(words, start_weights(unigram))
+
+
+def with_ids(docs: DataFrame, lm: PseudoLM, text: str = "text", out: str = "word_ids") -> DataFrame:
+    """docs with each text's word ids as little-endian 16-bit integers."""
+    shared = docs.sparkSession.sparkContext.broadcast(lm)
+    return with_columns(docs, [text], [T.StructField(out, T.BinaryType())], lambda texts: [pa.array([shared.value.ids(t).astype("<u2").tobytes() for t in texts.to_pylist()], pa.binary())])
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2").astype(np.int32) for b in column.to_pylist()]
+
+
+def train(encoded: DataFrame, lm: PseudoLM, ids: str = "word_ids", rounds: int = ROUNDS) -> PseudoLM:
+    """The network learned from all documents' ids."""
+    for turn in range(rounds):
+        lm = PseudoLM(list(lm.index), _round(encoded, ids, lm, turn))
     return lm
 
 
-def _round(docs: DataFrame, text: str, lm: PseudoLM, turn: int) -> np.ndarray:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lm)
+def _round(encoded: DataFrame, column: str, lm: PseudoLM, turn: int) -> np.ndarray:
+    shared = encoded.sparkSession.sparkContext.broadcast(lm)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -228,8 +268,7 @@ def _round(docs: DataFrame, text: str, lm: PseudoLM, turn: int) -> np.ndarray:
         w = unpack(flat)
         ctx, tgt, held, seen = [], [], 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = model.ids(t)
+            for ids in _ids(b.column(0)):
                 if not len(ids):
                     continue
                 first = (zlib.crc32(ids.tobytes()) + turn) % MASK_EVERY
@@ -263,19 +302,26 @@ def _round(docs: DataFrame, text: str, lm: PseudoLM, turn: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n[k] for k in sums], pa.int64()), pa.array([(s / n[k]).astype(np.float32).tobytes() for k, s in sums.items()], pa.binary())], names=["block", "n", "part"])
 
     schema = "block int, n long, part binary"
-    parts = docs.select(text).mapInArrow(local, schema).repartition("block").mapInArrow(added, schema).collect()
+    parts = encoded.select(column).mapInArrow(local, schema).repartition("block").mapInArrow(added, schema).collect()
     out = np.zeros(-(-SIZE // BLOCK) * BLOCK, np.float32)
     for r in parts:
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["part"], np.float32)
     return out[:SIZE] if parts else lm.flat
 
 
-def score(docs: DataFrame, lm: PseudoLM, text: str = "text") -> DataFrame:
-    """docs with n_words, log_likelihood (a sum) and mean_log_prob."""
-    shared = docs.sparkSession.sparkContext.broadcast(lm)
+def score(encoded: DataFrame, lm: PseudoLM, ids: str = "word_ids") -> DataFrame:
+    """encoded with n_words, log_likelihood (a sum) and mean_log_prob."""
+    shared = encoded.sparkSession.sparkContext.broadcast(lm)
 
-    def scored(texts: pa.Array) -> list[pa.Array]:
-        n, total = shared.value.scores(texts.to_pylist())
+    def scored(column: pa.Array) -> list[pa.Array]:
+        n, total = shared.value.scores(_ids(column))
         return [pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))]
 
-    return with_columns(docs, [text], [T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())], scored)
+    return with_columns(encoded, [ids], [T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())], scored)
+
+
+def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """docs, less their text, with scores by a network learned from themselves. Texts are read twice: to count words, and to turn them into ids, which are kept in shared storage."""
+    lm = vocabulary(docs, text)
+    encoded = stored(with_ids(docs, lm, text).drop(text))
+    return score(encoded, train(encoded, lm, rounds=rounds)).drop("word_ids")
