@@ -1,6 +1,574 @@
-"""Registered queries over the driver's tables, each with its SQL twin."""
+"""Registered queries over the test tables, each with its SQL twin.
+
+documents stand for indexed files (path: doc_id, content: text, language: lang, repository:
+source), pages for paths, embeddings for chunks, events for the change stream. Floats are
+rounded to 6 places on both sides, and every top list has a tie-breaker.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdex.functions import language, text, vectors
+from loomdex.operators import chunks, filters, lexical, lines, metadata
+from loomdex.operators import vectors as search_vectors
+from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
+from loomdex.plans import extensions
+from loomdex.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+TERMS = ("with", "from", "license")
+CLOCK = 1_700_000_000
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a query and its SQL twin."""
+
+    def put(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as indexed files."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("source").alias("repository"))
+
+
+def six(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# --- lexical index -----------------------------------------------------------------------------
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND strlen(x) < 40)"
+
+
+def _bm25_sql(terms: tuple[str, ...]) -> str:
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
+    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln(1 + (N - n{i} + 0.5) / (n{i} + 0.5)) * 2.2 * tf{i} / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+    some = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return f"""
+        WITH tk AS (SELECT doc_id, source, lang, text, {_TOKENS} AS t FROM documents),
+        c AS (SELECT doc_id, source, lang, text, len(t) AS dl, {tf} FROM tk),
+        st AS (SELECT count(*) AS N, avg(dl) AS avgdl, {n} FROM c),
+        scores AS (SELECT doc_id, source, lang, text, {score} AS score FROM c, st WHERE {some})"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.scan_scores(documents(spark, sf_dir), list(TERMS), "path", "content")
+
+
+@query("bm25_topk", _bm25_sql(TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, doc_id LIMIT 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(_bm25(spark, sf_dir), 10).select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+@query("bm25_multi_term_or", _bm25_sql(TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scores")
+def bm25_multi_term_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir).select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.Index.build(documents(spark, sf_dir), "path", "content")
+
+
+@query("bm25_from_postings", _bm25_sql(TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scores")
+def bm25_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_doc_index(spark, sf_dir), " ".join(TERMS)).select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+@query(
+    "boolean_query",
+    f"""WITH tk AS (SELECT doc_id, {_TOKENS} AS t FROM documents)
+        SELECT doc_id FROM tk WHERE list_contains(t, 'with') AND (list_contains(t, 'from') OR list_contains(t, 'by')) AND NOT list_contains(t, 'license')""",
+)
+def boolean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_doc_index(spark, sf_dir), "+with +(from OR by) -license").select(F.col("path").alias("doc_id"))
+
+
+@query(
+    "phrase_match",
+    f"""WITH tk AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+        p AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS at FROM tk)
+        SELECT a.doc_id, count(*) AS phrases FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.at = a.at + 1
+        WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id""",
+)
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = documents(spark, sf_dir).select("path", text.tokens_of(F.col("content")).alias("t"))
+    pairs = F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.when((a == "of") & (b == "the"), 1).otherwise(0))
+    return tokens.select(F.col("path").alias("doc_id"), F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x).alias("phrases")).where("phrases > 0")
+
+
+@query(
+    "phrase_query",
+    f"""WITH tk AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+        p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term, generate_subscripts(t, 1) AS at FROM tk),
+        st AS (SELECT count(*) AS N, avg(len(t)) AS avgdl, count(*) FILTER (list_contains(t, 'of')) AS n1, count(*) FILTER (list_contains(t, 'the')) AS n2 FROM tk),
+        f AS (SELECT a.doc_id, any_value(a.dl) AS dl, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.at = a.at + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id)
+        SELECT doc_id, round((ln(1 + (N - n1 + 0.5) / (n1 + 0.5)) + ln(1 + (N - n2 + 0.5) / (n2 + 0.5))) * 2.2 * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score FROM f, st""",
+)
+def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_doc_index(spark, sf_dir), '"of the"').select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+@query(
+    "term_stats",
+    f"""WITH p AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 20""",
+)
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _doc_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return found.where("df >= 20")
+
+
+@query("index_doc_count", "SELECT count(*) AS indexed_files, count(*) * 20 AS total_symbols FROM documents")
+def index_doc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.symbol_counts(documents(spark, sf_dir))
+
+
+@query("corpus_stats", f"WITH tk AS (SELECT {_TOKENS} AS t FROM documents) SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avgdl FROM tk")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.statistics(lexical.lengths(documents(spark, sf_dir), "path", "content"))
+    return found.select(F.col("N").alias("n_docs"), six(F.col("avgdl")).alias("avgdl"))
+
+
+# --- lines -------------------------------------------------------------------------------------
+
+_LINES = r"""(SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS line_number, l FROM
+    (SELECT doc_id, source, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS l FROM documents WHERE text <> ''))"""
+_WORDS = " OR ".join(f"contains(lower(line), '{w}')" for w in text.DEFINITION_WORDS)
+
+
+@query("line_explode", f"SELECT doc_id, line_number, line AS content FROM {_LINES}")
+def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.explode_lines(documents(spark, sf_dir).select("path", "content"))
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), "content")
+
+
+
+
+@query("line_matches", f"SELECT doc_id, line_number, strlen(substr(lower(line), 1, instr(lower(line), 'inter') - 1)) AS \"column\", line AS content FROM {_LINES} WHERE ({_WORDS}) AND contains(lower(line), 'inter')")
+def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.definition_matches(documents(spark, sf_dir).select("path", "content"), "Inter")
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), F.col("column").cast("long").alias("column"), "content")
+
+
+@query(
+    "line_context",
+    f"""SELECT doc_id, line_number, array_to_string(l[greatest(line_number - 3, 1):line_number - 1], chr(10)) AS context_before,
+        array_to_string(l[line_number + 1:line_number + 3], chr(10)) AS context_after FROM {_LINES} WHERE ({_WORDS}) AND contains(lower(line), 'inter')""",
+)
+def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.definition_matches(documents(spark, sf_dir).select("path", "content"), "inter")
+    joined = lambda c: F.array_join(c, "\n").alias(c)
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), joined("context_before"), joined("context_after"))
+
+
+# --- search pages ------------------------------------------------------------------------------
+
+_PAGE = (
+    _bm25_sql(("the", "and"))
+    + f""", top AS (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 30),
+    ln AS (SELECT top.doc_id, top.score, x.line_number, x.line FROM top JOIN {_LINES} x ON x.doc_id = top.doc_id
+        WHERE (contains(lower(line), 'the ') OR contains(lower(line), 'and ')) AND contains(lower(line), 'the'))"""
+)
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    top = lexical.top_k(lexical.scan_scores(docs, ["the", "and"], "path", "content"), 30)
+    found = lines.explode_lines(lexical.fetch(top, docs.select("path", "content")))
+    low = F.lower("content")
+    return found.where((F.contains(low, F.lit("the ")) | F.contains(low, F.lit("and "))) & F.contains(low, F.lit("the")))
+
+
+@query("symbol_search_page", _PAGE + " SELECT doc_id, line_number, line AS content, round(score, 6) AS score FROM ln ORDER BY ln.score DESC, doc_id, line_number LIMIT 20 OFFSET 10")
+def symbol_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _page_lines(spark, sf_dir).orderBy(F.desc("score"), "path", "line_number").offset(10).limit(20)
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), "content", six(F.col("score")).alias("score"))
+
+
+@query("total_matches", _PAGE + " SELECT count(*) AS total_matches FROM ln")
+def total_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_lines(spark, sf_dir).agg(F.count("*").alias("total_matches"))
+
+
+@query("filter_after_topk", _bm25_sql(TERMS) + ", top AS (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id, source, round(score, 6) AS score FROM top WHERE source IN ('src0', 'src3')")
+def filter_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = lexical.fetch(lexical.top_k(_bm25(spark, sf_dir), 50), docs.select("path", "repository"))
+    return found.where(filters.repository_filter(F.col("repository"), ["src0", "src3"])).select(F.col("path").alias("doc_id"), F.col("repository").alias("source"), six(F.col("score")).alias("score"))
+
+
+@query("filter_before_topk", _bm25_sql(TERMS) + " SELECT doc_id, round(score, 6) AS score FROM scores WHERE source IN ('src0', 'src3') ORDER BY scores.score DESC, doc_id LIMIT 50")
+def filter_before_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = documents(spark, sf_dir).where(filters.repository_filter(F.col("repository"), ["src0", "src3"])).select("path")
+    found = lexical.top_k(_bm25(spark, sf_dir).join(allowed, "path", "left_semi"), 50)
+    return found.select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
+
+
+@query("json_results", "SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars}) AS json FROM documents")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
+
+
+# --- paths and languages -----------------------------------------------------------------------
+
+_URL_PATH = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as paths: the URL without its scheme."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+@query("repo_filter", f"SELECT page_id, split_part({_URL_PATH}, '/', 1) AS repository FROM pages WHERE split_part({_URL_PATH}, '/', 1) IN (SELECT split_part({_URL_PATH}, '/', 1) FROM pages WHERE page_id < 3)")
+def repo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).withColumn("repository", text.first_segment(F.col("path")))
+    few = p.where("page_id < 3").select("repository").distinct()
+    return p.join(F.broadcast(few), "repository", "left_semi").select("page_id", "repository")
+
+
+@query("file_pattern_name", f"SELECT page_id, split_part({_URL_PATH}, '/', -1) AS name FROM pages WHERE contains(split_part({_URL_PATH}, '/', -1), '1') OR split_part({_URL_PATH}, '/', -1) = 'index.html'")
+def file_pattern_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return p.where(filters.name_filter(F.col("path"), ["*1*", "index.html"])).select("page_id", text.file_name(F.col("path")).alias("name"))
+
+
+@query("file_pattern_path", f"SELECT page_id, {_URL_PATH} AS path FROM pages WHERE regexp_matches({_URL_PATH}, '.[^/]*/[^/]*1[^/]*') OR contains({_URL_PATH}, '/2')")
+def file_pattern_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return p.where(filters.path_filter(F.col("path"), ["**/*1*", "/2"])).select("page_id", "path")
+
+
+_CODE_PATHS = ("src/main.rs", "a/b.PY", "go.mod", "build.gradle", "Dockerfile", "x/Makefile", "lib/h.hpp", "lib/h.h", "run.sh", "t.sql", "README", ".gitignore", "a.tar.gz", "img.png", "App.TSX", "notes.md", "Gemfile", "noext", "conf.yml", "v.kts")
+_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_CODE_PATHS))
+_EXT = r"CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN lower(regexp_extract(name, '^.+\.([^.]*)$', 1)) END"
+
+
+def _map_sql(key: str, table_: dict[str, str]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{e}' THEN '{n}'" for n, all_ in table_.items() for e in all_.split()) + " END"
+
+
+@query(
+    "path_extension_language",
+    f"""WITH p AS (SELECT *, split_part(path, '/', -1) AS name FROM (VALUES {_VALUES}) v(id, path)), e AS (SELECT *, {_EXT} AS ext FROM p)
+        SELECT id, path, ext AS extension,
+        CASE WHEN ext IS NOT NULL THEN ext IN ({", ".join(f"'{x}'" for x in language.INDEXABLE_EXTENSIONS)}) ELSE name IN ({", ".join(f"'{x}'" for x in language.INDEXABLE_NAMES)}) END AS indexable,
+        coalesce(CASE WHEN ext IS NOT NULL THEN {_map_sql("ext", language.LANGUAGE_EXTENSIONS)} ELSE CASE name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.LANGUAGE_NAMES.items())} END END, 'unknown') AS language,
+        {_map_sql("split_part(path, '.', -1)", language.CHUNK_EXTENSIONS)} AS chunk_language FROM e""",
+)
+def path_extension_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = spark.createDataFrame(list(enumerate(_CODE_PATHS)), "id int, path string")
+    p = F.col("path")
+    return paths.select("id", "path", text.extension(p).alias("extension"), language.is_indexable(p).alias("indexable"), language.detect_language(p).alias("language"), language.chunk_language(p).alias("chunk_language"))
+
+
+@query("language_histogram", "SELECT lang, count(*) AS files FROM documents GROUP BY lang")
+def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"))
+
+
+_SHEBANGS = ("#!/usr/bin/env python3", "#!/bin/bash", "#!/usr/bin/env node", "#!/usr/bin/perl", "#!/usr/bin/ruby", "print(1)", "# !sh")
+
+
+@query(
+    "shebang_language",
+    f"""SELECT id, CASE WHEN NOT starts_with(line, '#!') THEN 'unknown' WHEN contains(line, 'python') THEN 'python' WHEN contains(line, 'node') OR contains(line, 'bun') THEN 'javascript'
+        WHEN contains(line, 'ruby') THEN 'ruby' WHEN contains(line, 'sh') THEN 'shell' ELSE 'unknown' END AS language
+        FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(_SHEBANGS))}) v(id, line)""",
+)
+def shebang_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, s + "\nrest python") for i, s in enumerate(_SHEBANGS)], "id int, code string")
+    return rows.select("id", language.shebang_language(F.col("code")).alias("language"))
+
+
+@query("language_names", "SELECT name, CASE lower(name) WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'yml' THEN 'yaml' WHEN 'sh' THEN 'shell' WHEN 'rust' THEN 'rust' ELSE 'unknown' END AS language, lower(name) IN ('c++', 'rust') AS parsed FROM (VALUES ('C++'), ('c#'), ('yml'), ('SH'), ('Rust'), ('cobol')) v(name)")
+def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("C++",), ("c#",), ("yml",), ("SH",), ("Rust",), ("cobol",)], "name string")
+    found = names.withColumn("language", language.parse_language(F.col("name")))
+    return found.withColumn("parsed", language.is_parsed(F.col("language")))
+
+
+# --- metadata and diffs ------------------------------------------------------------------------
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+
+
+@query("file_metadata", f"SELECT doc_id AS path, strlen(text) AS size, {CLOCK} AS modified, lang AS language, sha256(text) AS hash, {CLOCK} AS indexed_at FROM documents")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.file_metadata(documents(spark, sf_dir), CLOCK)
+
+
+def _previous(docs: DataFrame) -> DataFrame:
+    """An earlier state of documents: some missing, some different, some more."""
+    changed = F.when(F.col("path") % 11 == 0, F.concat("content", F.lit(" x"))).otherwise(F.col("content"))
+    older = docs.where(F.col("path") % 7 != 0).withColumn("content", changed)
+    return older.unionByName(docs.where(F.col("path") % 13 == 0).withColumn("path", F.col("path") + 10_000_000))
+
+
+_OLD = """(SELECT doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN text || ' x' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0
+    UNION ALL SELECT doc_id + 10000000, sha256(text) FROM documents WHERE doc_id % 13 = 0)"""
+_DIFF = f"""(SELECT coalesce(c.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'deleted' WHEN c.hash = p.hash THEN 'unchanged' ELSE 'changed' END AS status
+    FROM (SELECT doc_id AS path, sha256(text) AS hash FROM documents) c FULL JOIN {_OLD} p ON c.path = p.path)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = documents(spark, sf_dir)
+    return metadata.file_metadata(docs, CLOCK), metadata.file_metadata(_previous(docs), CLOCK)
+
+
+@query("incremental_diff", f"SELECT path, status FROM {_DIFF}")
+def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.diff(*_states(spark, sf_dir))
+
+
+@query("incremental_counts", f"SELECT status, count(*) AS files FROM {_DIFF} GROUP BY status")
+def incremental_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.diff(*_states(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("files"))
+
+
+@query("index_upsert", f"SELECT path, hash FROM {_OLD} WHERE path NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, sha256(text) FROM documents")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, old = _states(spark, sf_dir)
+    return metadata.upsert(old, now).select("path", "hash")
+
+
+@query("index_delete", "SELECT doc_id AS path, sha256(text) AS hash FROM documents WHERE doc_id % 5 <> 0")
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, _ = _states(spark, sf_dir)
+    return metadata.delete(now, now.where("path % 5 = 0").select("path")).select("path", "hash")
+
+
+@query("metadata_lookup", "SELECT doc_id AS path, strlen(text) AS size FROM documents WHERE doc_id = 42")
+def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, _ = _states(spark, sf_dir)
+    return metadata.lookup(now, 42).select("path", "size")
+
+
+@query("workspace_ids", "SELECT DISTINCT source, substr(sha256(source), 1, 16) AS workspace_id FROM documents")
+def workspace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source").distinct().withColumn("workspace_id", text.workspace_id(F.col("source")))
+
+
+# --- chunks ------------------------------------------------------------------------------------
+
+
+def _chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("path").alias("doc_id"), "content")
+
+
+def _windows_sql(last: str, step: int) -> str:
+    return f"""(SELECT doc_id, s + 1 AS start_line, least(s + 18, n) AS end_line, array_to_string(l[s + 1:s + 18], chr(10)) AS content FROM
+        (SELECT doc_id, l, len(l) AS n, unnest(generate_series(0, {last}, {step})) AS s FROM (SELECT DISTINCT doc_id, l FROM {_LINES})))"""
+
+
+@query("chunk_fixed_windows", f"SELECT * FROM {_windows_sql('greatest(len(l) - 3, 0)', 16)}")
+def chunk_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.fixed_windows(_chunk_docs(spark, sf_dir))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
+
+
+@query("chunk_large_split", f"SELECT doc_id, start_line, end_line, content FROM {_windows_sql('len(l) - 1', 18)}")
+def chunk_large_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.split_large(_chunk_docs(spark, sf_dir))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
+
+
+_CHUNK_ID = "substr(h, 1, 16) || printf('%08x', start_line) || printf('%08x', end_line)"
+
+
+@query(
+    "chunk_ids",
+    f"""WITH c AS (SELECT doc_id, start_line, end_line, sha256(doc_id::VARCHAR) AS h FROM {_windows_sql("greatest(len(l) - 3, 0)", 16)}), d AS (SELECT *, {_CHUNK_ID} AS x FROM c)
+        SELECT doc_id, start_line, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-' || substr(x, 13, 4) || '-' || substr(x, 17, 4) || '-' || substr(x, 21, 12) AS id FROM d""",
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.fixed_windows(_chunk_docs(spark, sf_dir))
+    return found.select("doc_id", F.col("start_line").cast("long").alias("start_line"), text.chunk_id(F.col("doc_id").cast("string"), F.col("start_line"), F.col("end_line")).alias("id"))
+
+
+@query("duplicate_chunks", "SELECT sha256(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select(text.content_hash(F.col("text")).alias("hash"))
+    return metadata.duplicates(hashed, "hash")
+
+
+# --- vectors -----------------------------------------------------------------------------------
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: one row."""
+    return _embeddings(spark, sf_dir).where("vec_id = 0").first()["embedding"]
+
+
+_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_COS = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
+
+
+@query("vector_topk", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 10, key="vec_id")
+    return found.select("vec_id", six(F.col("score")).alias("score"))
+
+
+@query("vector_topk_filtered", f"SELECT vec_id, label FROM (SELECT *, {_COS} AS s FROM embeddings, {_Q} ORDER BY s DESC, vec_id LIMIT 30) WHERE label = 3")
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 30, key="vec_id").where("label = 3").select("vec_id", "label")
+
+
+@query("vector_topk_prefiltered", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE label = 3 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_topk_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 10, key="vec_id", where=F.col("label") == 3)
+    return found.select("vec_id", six(F.col("score")).alias("score"))
+
+
+@query("l2_norms", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def l2_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings(spark, sf_dir).select("vec_id", six(vectors.norm(F.col("embedding"))).alias("norm"))
+
+
+@query("mean_pool_by_label", "SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def mean_pool_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = search_vectors.mean_pool(_embeddings(spark, sf_dir), ["label"])
+    each = pooled.select("label", F.posexplode("embedding").alias("i", "mean"))
+    return each.select("label", F.col("i").cast("long").alias("i"), six(F.col("mean")).alias("mean"))
+
+
+_BYTES = "list_transform(generate_series(0, 31), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE - 0.5)"
+
+
+@query("fallback_embedding", f"SELECT doc_id, round(v[1] / n, 6) AS first, round(v[32] / n, 6) AS last FROM (SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT doc_id, {_BYTES} AS v FROM documents))")
+def fallback_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = search_vectors.embed(table(spark, sf_dir, "documents"), "text")
+    return made.select("doc_id", six(F.get("embedding", F.lit(0))).alias("first"), six(F.get("embedding", F.lit(31))).alias("last"))
+
+
+@query("quantize_scalar", "SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: greatest(-127, least(127, floor(x / 0.25 * 127 + 0.5)))::INT), ',') AS codes FROM embeddings")
+def quantize_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectors.scalar_code(F.col("embedding"), F.lit(0.25))
+    return _embeddings(spark, sf_dir).select("vec_id", F.array_join(F.transform(codes, lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query("quantize_binary_hamming", f"SELECT vec_id, len(list_filter(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] > 0) <> (p[2] > 0))) AS distance FROM embeddings, {_Q}")
+def quantize_binary_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.lit([float(x) for x in _vector(spark, sf_dir)])
+    return _embeddings(spark, sf_dir).select("vec_id", vectors.hamming(vectors.sign_bits(F.col("embedding")), vectors.sign_bits(q)).alias("distance"))
+
+
+@query(
+    "oversample_rescore",
+    f"""WITH c AS (SELECT vec_id, {_COS} AS score, len(list_filter(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] > 0) <> (p[2] > 0))) AS d FROM embeddings, {_Q}),
+        near AS (SELECT * FROM c ORDER BY d, vec_id LIMIT 30) SELECT vec_id, round(score, 6) AS score FROM near ORDER BY near.score DESC, vec_id LIMIT 10""",
+)
+def oversample_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = QuantizationConfig.of(QuantizationMode.BINARY)
+    found = search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 10, key="vec_id", config=config)
+    return found.select("vec_id", six(F.col("score")).alias("score"))
+
+
+@query("quantization_sizes", "SELECT * FROM (VALUES ('none', 1536, 0.0::DOUBLE), ('scalar', 384, 0.75), ('binary', 48, 0.97), ('asymmetric', 48, 0.97)) v(mode, bytes_per_vector, memory_reduction)")
+def quantization_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(m.value, m.bytes_per_vector(), m.memory_reduction()) for m in QuantizationMode], "mode string, bytes_per_vector int, memory_reduction double")
+
+
+# --- cache and change stream -------------------------------------------------------------------
+
+
+@query("cache_metrics", "SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, round(coalesce(count(*) FILTER (event_type = 'view') / nullif(count(*) FILTER (event_type IN ('view', 'click')), 0), 0), 6) AS hit_rate FROM events")
+def cache_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, misses = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type") == "click")
+    rate = F.coalesce(hits / F.nullif(hits + misses, F.lit(0)), F.lit(0.0))
+    return table(spark, sf_dir, "events").agg(hits.alias("hits"), misses.alias("misses"), six(rate).alias("hit_rate"))
+
+
+def change_events(events: DataFrame) -> DataFrame:
+    """events as changes of files: path is the user."""
+    kind = F.when(F.col("event_type") == "signup", changes.CREATED).when(F.col("event_type") == "error", changes.DELETED).otherwise(changes.MODIFIED)
+    return events.select("event_id", F.col("user_id").alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_EVENTS = "(SELECT event_id, user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events)"
+
+
+@query(
+    "event_debounce",
+    f"""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS opens FROM {_EVENTS} WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+        s AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM e)
+        SELECT path, min(ts) AS started, max(ts) AS ended, count(*) AS events, arg_max(kind, (ts, event_id)) AS kind FROM s GROUP BY path, burst""",
+)
+def event_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = changes.debounce(change_events(table(spark, sf_dir, "events")), "1 hour")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+@query("last_event_per_path", f"SELECT path, kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS n FROM {_EVENTS}) WHERE n = 1")
+def last_event_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.last_per_path(change_events(table(spark, sf_dir, "events"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("event_apply_state", f"SELECT path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS n FROM {_EVENTS}) WHERE n = 1 AND kind <> 'deleted'")
+def event_apply_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.last_per_path(change_events(table(spark, sf_dir, "events"))).where(F.col("kind") != changes.DELETED).select("path")
+
+
+# --- extensions --------------------------------------------------------------------------------
+
+
+@query("literal_search", f"SELECT doc_id, line_number FROM {_LINES} WHERE contains(line, 'License')")
+def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.literal_search(documents(spark, sf_dir), "License")
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"))
+
+
+@query("regex_search", f"SELECT doc_id, line_number FROM {_LINES} WHERE regexp_matches(line, '[0-9]+\\.[0-9]+')")
+def regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.regex_search(documents(spark, sf_dir), r"[0-9]+\.[0-9]+")
+    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"))
+
+
+@query(
+    "fuzzy_search",
+    f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM documents), s AS (SELECT *, 1 - levenshtein(token, 'license')::DOUBLE / greatest(length(token), 7) AS score FROM t WHERE abs(length(token) - 7) <= 4)
+        SELECT doc_id, token, round(score, 6) AS score FROM s WHERE score >= 0.7""",
+)
+def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.fuzzy_search(documents(spark, sf_dir), "license", 0.7)
+    return found.select(F.col("path").alias("doc_id"), "token", six(F.col("score")).alias("score"))
+
+
+@query(
+    "hybrid_rrf",
+    _bm25_sql(TERMS)
+    + """, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 50)),
+    b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)),
+    f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+    SELECT doc_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, doc_id LIMIT 20""",
+)
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = extensions.ranked(lexical.top_k(_bm25(spark, sf_dir), 50))
+    long_ones = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("score"))
+    found = extensions.reciprocal_rank_fusion(a, extensions.ranked(lexical.top_k(long_ones, 50)), 20)
+    return found.select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
