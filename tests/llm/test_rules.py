@@ -1,0 +1,194 @@
+"""Secrets, line rules and mixing: against brute force and on odd rows."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+from collections import defaultdict
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+from samples import folder_of, sentence
+
+from loomdex.llm import linefreq, mixing, queries, secrets
+
+
+BASE = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    "hex": (re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+}
+
+
+def base_spans(text):
+    found = [(m.start(), m.end(), k) for k, (p, ok) in BASE.items() for m in p.finditer(text or "") if ok(m)]
+    return sorted(found, key=lambda x: (x[0], list(BASE).index(x[2])))
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def integer(n, size=8):
+    return der(2, n.to_bytes(size, "big"))
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(integer(2**60 + k) for k in range(8)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RSA))
+SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"k" * 40
+b64 = lambda b: base64.b64encode(b).decode()
+url64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+TOKEN = f"{url64({'alg': 'HS256', 'typ': 'JWT'})}.{url64({'sub': 'x'})}.{'s' * 22}"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        (f"key {b64(RSA)} end", "der"),
+        (f"key {b64(PKCS8)} end", "der"),
+        (f"key {RSA.hex()} end", "der"),
+        (f"k {b64(SSH)} e", "ssh"),
+        (f"x {TOKEN} y", "jwt"),
+        ("a -----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(PKCS8))) + "\n-----END PRIVATE KEY----- b", "pem"),
+    ],
+)
+def test_structures(text, kind):
+    spans = [s for s in secrets.find_spans(text) if s[2] == kind]
+    assert len(spans) == 1 and base_spans(text) == [s for s in secrets.find_spans(text) if s[2] in BASE]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"key {b64(RSA[:-1] + b'x' * 9)} end",
+        f"key {b64(RSA[:-2])} end",
+        f"key {b64(b'0' * 60)} end",
+        f"x {url64({'typ': 'JWT'})}.{url64({'sub': 'x'})}.{'s' * 22} y",
+        f"x {url64([1, 2, 3, 4, 5, 6])}.{url64({'sub': 'x'})}.sss y",
+        "-----BEGIN PRIVATE KEY-----\nnot base64 at all\n-----END PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----" * 2000,
+        "e" * 50_000 + "." + "M" * 50_000,
+    ],
+)
+def test_what_only_looks_alike(text):
+    assert [s for s in secrets.find_spans(text) if s[2] not in BASE] == []
+
+
+def test_base_spans():
+    rng = random.Random(5)
+    parts = ["password", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "secret=token:abcdef", "AKIA", "A" * 18, "0" * 23, "0123456789abcdef" * 2, "ſecret=abcdefg", "x.y-z", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [s for s in secrets.find_spans(text) if s[2] in BASE] == base_spans(text)
+
+
+def test_op5(spark, odd, odd_rows, none, labels, tmp_path):
+    more = odd.withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(' token = "abcdef0123456789abcdef0123"'))).otherwise(F.col("text")))
+    rows = queries.op5_secret_scan(spark, folder_of(tmp_path / "a", documents=more)).collect()
+    assert len(rows) == len(odd_rows)
+    text = {r["doc_id"]: r["text"] for r in more.collect() if r["doc_id"] == 1}
+    (hit,) = [r for r in rows if r["doc_id"] == 1]
+    said = ",".join(f"{k}:{s}:{e}" for s, e, k in base_spans(text[1]))
+    assert (hit["n_assign"], hit["n_access"], hit["n_hex"], hit["spans"]) == (1, 0, 1, said) and hit["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert queries.op5_secret_scan(spark, folder_of(tmp_path / "b", documents=none)).count() == 0
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([("é password=abcdef0123456789abcdef01234567 end", "kept"), (None, "x"), ("no", "y")], "text string, secret_spans string")
+    out = [r["text"] for r in secrets.redact(secrets.scan_secrets(df)).collect()]
+    assert out == ["é [SECRET] end", None, "no"]
+
+
+def line_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    places = defaultdict(list)
+    for i in range(len(words) - 7):
+        places[tuple(words[i : i + 8])].append(i)
+    covered = {i + j for at in places.values() if len(at) > 1 for i in at for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_op9_base(spark, odd, none, tmp_path):
+    rng = random.Random(3)
+    made = [(100 + k, "\n".join(" ".join(rng.choice("a b c #x $ é🙂".split()) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 9)))) for k in range(80)]
+    extra = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in made], odd.schema)
+    docs = odd.unionByName(extra)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = sorted((r["doc_id"] or -1, *(r[n] for n in names)) for r in queries.op9_line_rules(spark, folder_of(tmp_path / "a", documents=docs)).collect())
+    assert got == sorted((r["doc_id"] or -1, *line_base(r["text"])) for r in docs.collect())
+    assert queries.op9_line_rules(spark, folder_of(tmp_path / "b", documents=none)).count() == 0
+
+
+def test_op9_removes_common_lines(spark, odd):
+    menu = "Home | About us | Contact the people who made this page for all of you to read again"
+    rows = [(k, f"{menu}\n{sentence(k)}\n", "en", "h", 0) for k in range(20)] + [(50, f"{menu.upper()}!\n{menu}\nown words here", "en", "h", 0), (60, f"{menu}\n{sentence(99)}", "en", "other", 0)]
+    copies = [(1000 + k, sentence(77) + "\n" + sentence(78), "en", "h", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows + copies, odd.schema)
+    got = {r["doc_id"]: r for r in linefreq.line_rules(docs, with_text=True).collect()}
+    assert got[0]["kept"] and got[0]["removed_chars"] == len(menu) and got[0]["text"] == sentence(0) + "\n"
+    assert not got[50]["kept"] and not got[50]["base_failed"] and got[60]["kept"] and got[60]["removed_chars"] == 0
+    assert got[1000]["kept"] and got[1000]["removed_chars"] == 0
+
+
+def test_targets():
+    assert mixing.targets([100, 100], [3, 1], Fraction(300)) == [200, 100]
+    assert mixing.targets([10, 100, 100], [3, 1, 2], Fraction(315)) == [20, Fraction(295, 3), Fraction(590, 3)]
+    assert mixing.targets([0, 0], [1, 1], Fraction(0)) == [0, 0] and mixing.targets([], [], Fraction(0)) == []
+
+
+def test_sainte_lague():
+    rng = random.Random(7)
+    for _ in range(400):
+        w = [rng.choice([0, 1, 2, 5, Fraction(7, 3), 100, 1000]) for _ in range(rng.randint(0, 7))]
+        seats = rng.randint(0, 60)
+        most = [rng.randint(0, 30) for _ in w] if rng.random() < 0.5 else [seats] * len(w)
+        slow = [0] * len(w)
+        for _ in range(seats):
+            free = [(-Fraction(x) / (2 * g + 1), i) for i, (x, g) in enumerate(zip(w, slow, strict=True)) if x > 0 and g < most[i]]
+            if free:
+                slow[min(free)[1]] += 1
+        assert mixing.sainte_lague(w, seats, most) == slow
+
+
+def test_op10(spark, odd, none, tmp_path):
+    where = folder_of(tmp_path / "a", documents=odd)
+    once, again = (sorted(map(tuple, queries.op10_mix_sources(spark, where).collect()), key=repr) for _ in range(2))
+    assert once == again and len(once) == odd.count()
+    assert queries.op10_mix_sources(spark, folder_of(tmp_path / "b", documents=none)).count() == 0
+
+
+@pytest.mark.parametrize("per_shard", [3, 1000])
+def test_mix_quotas(spark, odd, per_shard):
+    rng = random.Random(1)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 7, 40, 300])), "en", rng.choice(["a", "a", "a", "b", "z", None]), 0) for k in range(120)]
+    got = mixing.mix(spark.createDataFrame(rows, odd.schema), rows_per_shard=per_shard).collect()
+    size = {r[0]: len(r[1].split()) for r in rows}
+    assert all(r["size"] == size[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"] for r in got)
+    by = defaultdict(lambda: [0, 0, 0.0])
+    for r in got:
+        by[r["source"]][0] += r["size"]
+        by[r["source"]][1] += r["taken"]
+        by[r["source"]][2] = r["target"]
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([by[s][0] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], Fraction(3, 2) * sum(size.values()))
+    for s, t in zip(names, want, strict=True):
+        assert by[s][2] == pytest.approx(float(t)) and abs(by[s][1] - float(t)) <= 16 * (1 + 40 / per_shard * 3)
+
+
+def test_mixed_rows(spark, odd):
+    rows = [(k, f"  one{k}\ttwo  three\n\nfour five ", "en", "ab"[k % 2], 0) for k in range(40)]
+    docs = spark.createDataFrame(rows * 2, odd.schema)
+    taken = mixing.mix(docs, block_words=1).groupBy("doc_id").agg(F.sum("taken").alias("n"))
+    out = mixing.mixed(docs, block_words=1)
+    assert out.columns == docs.columns
+    words = out.groupBy("doc_id").agg(F.sum(F.size(F.array_remove(F.split("text", r"\s+"), ""))).alias("n"))
+    assert {tuple(r) for r in words.collect()} == {tuple(r) for r in taken.where("n > 0").collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r["doc_id"]].startswith(r["text"]) for r in out.collect())
+    assert mixing.mixed(odd).count() >= 1 and mixing.mixed(odd.limit(0)).count() == 0
