@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from loomdex.llm.common import stored, with_columns
 
 PAIRS = 128
-RIDGE, STEPS, RATE, BINS = 1e-3, 400, 0.5, 2048
+RIDGE, BINS = 1e-3, 2048
 _PUNCT = np.frombuffer(string.punctuation.encode(), np.uint8)
 WIDTH = 2 * len(_PUNCT) + PAIRS + 31
 GROUPS = 16
@@ -141,6 +141,8 @@ def _gathered(rows: DataFrame, fn: Callable) -> tuple[np.ndarray, np.ndarray]:
     """The sums over all tasks of the two arrays that fn yields in each; added up in GROUPS tasks before the driver sees them."""
     schema = "n binary, parts binary"
     sums = rows.mapInArrow(fn, schema).repartition(GROUPS).mapInArrow(_summed, schema).collect()
+    if not sums:
+        return np.zeros(0), np.zeros(0)
     return sum(np.frombuffer(r["n"]) for r in sums), sum(np.frombuffer(r["parts"]) for r in sums)
 
 
@@ -154,20 +156,21 @@ def fit(n: np.ndarray, parts: np.ndarray, prior: float) -> np.ndarray | None:
     mu, mp, su, sp = mu / scale, mp / scale, su / np.outer(scale, scale), sp / np.outer(scale, scale)
     ridge = RIDGE * np.eye(WIDTH)
     ridge[-1, -1] = 1e-9
-    # where the bracket is positive the risk is quadratic: its minimum is a linear system
-    w = np.linalg.solve(su + ridge, 2 * prior * mp - mu)
 
     def bracket(w: np.ndarray) -> float:
         return (1 + 2 * mu @ w + w @ su @ w) / 4 - prior * (1 + 2 * mp @ w + w @ sp @ w) / 4
 
-    if bracket(w) < 0:
-        # overfitted: follow the positive part's gradient while the bracket is not negative, and lift the bracket where it is
-        step = RATE / np.linalg.norm(su + sp, 2)
-        w = np.zeros(WIDTH)
-        for _ in range(STEPS):
-            grad_p = prior * (-mp + sp @ w) / 2
-            grad_b = (mu + su @ w) / 2 - prior * (mp + sp @ w) / 2
-            w = w - step * ((grad_p + grad_b if bracket(w) >= 0 else -grad_b) + ridge @ w)
+    def solved(share: float) -> np.ndarray:
+        """The minimum of the positive part plus a share of the bracket: a linear system."""
+        return np.linalg.solve(prior * (1 - share) * sp + share * su + ridge, prior * (1 + share) * mp - share * mu)
+
+    w = solved(1.0)
+    if bracket(w) < 0:  # overfitted: at the clamped risk's minimum the bracket is zero, with a share between 0 and 1
+        low, high = 0.0, 1.0
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if bracket(solved(mid)) >= 0 else (low, mid)
+        w = solved(low)
     return w / scale
 
 
@@ -215,7 +218,7 @@ def train(made: DataFrame, labels: DataFrame, label: str) -> Model:
     prior = (of + 1) / (total + 2)
     rows = made.join(told.where("good"), made["doc_id"] == told["of"], "left").select("features", "good")
     n, parts = _gathered(rows, _moments)
-    w = fit(n, parts.reshape(2, WIDTH + 1, WIDTH), prior) if np.size(n) else None
+    w = fit(n, parts.reshape(2, WIDTH + 1, WIDTH), prior) if len(n) else None
     if w is None:
         return Model(None)
 
