@@ -9,8 +9,8 @@ minimises the non-negative unbiased risk
 with the squared loss (1 - g)^2 / 4, for which only the first and second moments of the
 features over P and U matter. One pass over all documents gathers them, so nothing is sampled
 and the driver holds two matrices of fixed size. The score is a logistic curve over the margin,
-whose steepness and middle minimise the same risk with the logistic loss, over histograms of the
-margin in P and U.
+whose middle minimises the same risk with the sigmoid loss, over histograms of the margin in P
+and U.
 
 Features are shares of byte classes, punctuation, hashed byte pairs, word shapes and repeats in
 the whole text; labels, language, source and ids are never among them. They are written once
@@ -38,6 +38,8 @@ from loomdex.llm.common import stored, with_columns
 
 PAIRS = 128
 RIDGE, BINS = 1e-3, 2048
+#: Steepness of the loss that finds the dividing margin, of the score's curve, and the risk that counts as equal.
+SHARP, STEEP, SLACK = 32.0, 6.0, 2e-3
 _PUNCT = np.frombuffer(string.punctuation.encode(), np.uint8)
 WIDTH = 2 * len(_PUNCT) + PAIRS + 31
 GROUPS = 16
@@ -154,7 +156,7 @@ def fit(n: np.ndarray, parts: np.ndarray, prior: float) -> np.ndarray | None:
     scale = np.sqrt(np.maximum(np.diag(su) - mu**2, 1e-6))
     scale[-1] = 1
     mu, mp, su, sp = mu / scale, mp / scale, su / np.outer(scale, scale), sp / np.outer(scale, scale)
-    ridge = RIDGE * np.eye(WIDTH)
+    ridge = (RIDGE + 0.02 * WIDTH / n[1]) * np.eye(WIDTH)  # few positives fit loosely
     ridge[-1, -1] = 1e-9
 
     def bracket(w: np.ndarray) -> float:
@@ -174,21 +176,22 @@ def fit(n: np.ndarray, parts: np.ndarray, prior: float) -> np.ndarray | None:
     return w / scale
 
 
-def calibrate(u: np.ndarray, p: np.ndarray, prior: float) -> tuple[float, float]:
-    """Steepness and middle of the logistic curve over the margin, by the same risk with the logistic loss.
+def calibrate(u: np.ndarray, p: np.ndarray, prior: float) -> float:
+    """The margin at which to divide, by the same risk with the sigmoid loss, which is bounded.
 
-    u and p count unlabelled and positive rows in equal bins of the margin from -2 to 2.
+    u and p count unlabelled and positive rows in equal bins of the margin from -2 to 2. Of
+    places that are as good, as in a gap between the classes, one on the lower side is taken, which
+    keeps more.
     """
     at = (np.arange(BINS) + 0.5) / BINS * 4 - 2
     u, p = u / u.sum(), p / p.sum()
-    best = (np.inf, 1.0, 0.0)
-    for middle in np.linspace(-0.5, 1.0, 301):
-        for steep in 2.0 ** np.arange(1, 6.5, 0.5):
-            z = steep * (at - middle)
-            good, bad = np.logaddexp(0, -z), np.logaddexp(0, z)
-            risk = prior * p @ good + max(0.0, u @ bad - prior * p @ bad)
-            best = min(best, (risk, steep, middle))
-    return best[1:]
+    places = np.linspace(-1, 1, 401)
+    risks = []
+    for middle in places:
+        good = 1 / (1 + np.exp(-np.clip(SHARP * (at - middle), -50, 50)))
+        risks.append(prior * p @ (1 - good) + max(0.0, u @ good - prior * p @ good))
+    risks = np.array(risks)
+    return float(np.quantile(places[risks <= risks.min() + SLACK], 0.25))
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -199,11 +202,11 @@ def in_fold(doc_id: Column) -> Column:
 class Model:
     """Weights of the margin and the curve over it; without weights every score is 0.5."""
 
-    def __init__(self, weights: np.ndarray | None, steep: float = 1.0, middle: float = 0.0):
-        self.weights, self.steep, self.middle = weights, steep, middle
+    def __init__(self, weights: np.ndarray | None, middle: float = 0.0):
+        self.weights, self.middle = weights, middle
 
     def scores(self, x: np.ndarray) -> list[pa.Array]:
-        s = np.full(len(x), 0.5) if self.weights is None else 1 / (1 + np.exp(-np.clip(self.steep * (x @ self.weights - self.middle), -50, 50)))
+        s = np.full(len(x), 0.5) if self.weights is None else 1 / (1 + np.exp(-np.clip(STEEP * (x @ self.weights - self.middle), -50, 50)))
         return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
 
@@ -230,7 +233,7 @@ def train(made: DataFrame, labels: DataFrame, label: str) -> Model:
             bins[1] += np.bincount(at[np.asarray(b.column(1).fill_null(False))], minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in bins], names=["n", "parts"])
 
-    return Model(w, *calibrate(*_gathered(rows, histograms), prior))
+    return Model(w, calibrate(*_gathered(rows, histograms), prior))
 
 
 def _made(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
