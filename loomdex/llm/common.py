@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, lengthened until df has none of them."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import stored, words_of
+from loomdex.llm.common import fresh, stored, words_of
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), Fraction(3, 2), 2
 BLOCK_WORDS, ROWS_PER_SHARD, MOST_SHARDS, SEED = 16, 4_000, 20_000, 42
@@ -147,15 +147,18 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Rows that equal each other in id, source and text share what they take evenly.
     """
-    taken = mix(df, doc_id, text, source, **how).groupBy("doc_id", "source", "key").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"), F.max("size").alias("_size"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_of"), "_taken", "_rows", "_size").where("_taken > 0")
-    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    met = keyed.join(taken, keyed[doc_id].eqNullSafe(taken["_id"]) & keyed[source].eqNullSafe(taken["_source"]) & (keyed["_key"] == taken["_of"]))
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_of").orderBy(*([c for c in df.columns if c not in (doc_id, source, text)] or ["_of"])))
-    met = met.withColumn("_own", F.expr("_taken div _rows") + F.when(turn <= F.expr("_taken % _rows"), 1).otherwise(0))
-    met = met.withColumns({"_whole": F.expr("_own div _size"), "_rest": F.expr("int(_own % _size)")})
-    met = met.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    id_, of_source, of, all_taken, rows, size, key, own, whole, rest, copy = fresh(df, "_id", "_source", "_of", "_taken", "_rows", "_size", "_key", "_own", "_whole", "_rest", "_copy")
+    taken = mix(df, doc_id, text, source, **how).groupBy("doc_id", "source", "key").agg(F.sum("taken").alias(all_taken), F.count("*").alias(rows), F.max("size").alias(size))
+    taken = taken.select(F.col("doc_id").alias(id_), F.col("source").alias(of_source), F.col("key").alias(of), all_taken, rows, size).where(F.col(all_taken) > 0)
+    keyed = df.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    met = keyed.join(taken, keyed[doc_id].eqNullSafe(taken[id_]) & keyed[source].eqNullSafe(taken[of_source]) & (keyed[key] == taken[of]))
+    others = [c for c in df.columns if c not in (doc_id, source, text)]
+    turn = F.row_number().over(Window.partitionBy(id_, of_source, of).orderBy(*(others or [of])))
+    share = lambda a, b: F.expr(f"`{a}` div `{b}`")
+    met = met.withColumn(own, share(all_taken, rows) + F.when(turn <= F.col(all_taken) % F.col(rows), 1).otherwise(0)).where(F.col(own) > 0)
+    met = met.withColumn(whole, share(own, size)).withColumn(rest, (F.col(own) % F.col(size)).cast("int"))
+    met = met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(whole) + F.when(F.col(rest) > 0, 1).otherwise(0))))
     # cut before the blank that follows a word, so that blanks stay as they are
-    first = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("_rest")), "")
-    met = met.withColumn(text, F.when(F.col("_copy") <= F.col("_whole"), F.col(text)).otherwise(first))
+    first = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col(rest)), "")
+    met = met.withColumn(text, F.when(F.col(copy) <= F.col(whole), F.col(text)).otherwise(first))
     return met.select(*df.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import stored, with_columns
+from loomdex.llm.common import fresh, stored, with_columns
 
 PAIRS = 128
 RIDGE, BINS = 1e-3, 2048
@@ -252,5 +252,6 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of docs that are predicted to be good. Texts are read twice, but neither shuffled nor stored."""
     model = train(_made(docs, doc_id, text), labels, label)
-    kept = with_columns(docs, [text], [T.StructField("_good", T.IntegerType())], lambda texts: model.scores(_rows(texts))[1:])
-    return kept.where("_good = 1").drop("_good")
+    (good,) = fresh(docs, "_good")
+    kept = with_columns(docs, [text], [T.StructField(good, T.IntegerType())], lambda texts: model.scores(_rows(texts))[1:])
+    return kept.where(F.col(good) == 1).drop(good)

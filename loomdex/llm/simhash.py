@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import stored, with_columns
+from loomdex.llm.common import fresh, stored, with_columns
 from loomdex.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -119,11 +119,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df less near-duplicates: of each group the row of the smallest doc_id stays, ties going by text and then by the other columns."""
     found = near_duplicates(df, doc_id, text, with_key=True)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_of")).distinct()
-    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    left = keyed.join(first, keyed[doc_id].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_of"]), "left_semi")
-    order = Window.partitionBy(doc_id, "_key").orderBy(*(c for c in df.columns if c != doc_id))
-    return left.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_key")
+    key, row, id_, of = fresh(df, "_key", "_n", "_id", "_of")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.key").alias(of)).distinct()
+    keyed = df.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    left = keyed.join(first, keyed[doc_id].eqNullSafe(first[id_]) & (keyed[key] == first[of]), "left_semi")
+    order = Window.partitionBy(doc_id, key).orderBy(*(c for c in df.columns if c != doc_id))
+    return left.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, key)
 
 
 def as_hex(fp: Column) -> Column:
