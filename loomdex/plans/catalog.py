@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import language, text, vectors
-from loomdex.operators import chunks, filters, lexical, lines, metadata
+from loomdex.operators import chunks, filters, lexical, lines, metadata, symbols
 from loomdex.operators import vectors as search_vectors
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
 from loomdex.plans import extensions
@@ -494,6 +494,114 @@ def quantization_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.value, m.bytes_per_vector(), m.memory_reduction()) for m in QuantizationMode], "mode string, bytes_per_vector int, memory_reduction double")
 
 
+@query(
+    "semantic_page",
+    f"""WITH c AS (SELECT vec_id, 'src' || label || '/f' || vec_id AS file_path, {_COS} AS score FROM embeddings, {_Q}),
+        top AS (SELECT * FROM c ORDER BY score DESC, vec_id LIMIT 60), f AS (SELECT * FROM top WHERE regexp_matches(file_path, 'src[^/]*/f[^/]*1') AND split_part(file_path, '/', 1) <> 'src0')
+        SELECT file_path, split_part(file_path, '/', 1) AS repository, round(score, 6) AS score FROM f ORDER BY f.score DESC, file_path LIMIT 40 OFFSET 2""",
+)
+def semantic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir)
+    path = F.concat(F.lit("src"), F.col("label").cast("string"), F.lit("/f"), F.col("vec_id").cast("string"))
+    rows = e.select(F.col("vec_id").alias("id"), path.alias("file_path"), "embedding")
+    near = search_vectors.search(rows, _vector(spark, sf_dir), 60)
+    found = near.where(filters.path_filter(F.col("file_path"), ["src*/f*1"]) & filters.path_repository_filter(F.col("file_path"), [f"src{k}" for k in range(1, 10)]))
+    page = found.orderBy(F.desc("score"), "file_path").offset(2).limit(40)
+    return page.select("file_path", text.first_segment(F.col("file_path")).alias("repository"), six(F.col("score")).alias("score"))
+
+
+@query("embedding_memo", f"SELECT doc_id, round((v[1] / n)::FLOAT::DOUBLE, 6) AS first FROM (SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT doc_id, {_BYTES} AS v FROM documents))")
+def embedding_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct text is embedded once, here by its hash in Python, and joined back."""
+    import hashlib
+
+    def model(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [b / 255 - 0.5 for b in hashlib.sha256(t.encode()).digest()]
+            n = sum(x * x for x in v) ** 0.5
+            out.append([x / n for x in v])
+        return out
+
+    made = search_vectors.embed_with(table(spark, sf_dir, "documents").select("doc_id", "text"), model, "text")
+    return made.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+# --- code ----------------------------------------------------------------------------------------
+
+_CODE = {
+    "rust": "pub struct Stack<T> {\n    items: Vec<T>,\n}\nimpl<T> Stack<T> {\n    fn push(&mut self) {}\n}\nenum Tree { Leaf }\ntrait Shape { fn area(&self); }\nmod inner { fn hidden() {} }\nconst LIMIT: usize = 3;\nfn main() {}\n",
+    "python": "class A:\n    def m(self):\n        pass\n\nasync def f():\n    pass\n",
+    "javascript": "function a() { return 1 }\nclass B { m() {} }\nconst c = () => 1;\n",
+    "go": "package p\nfunc A() {}\nfunc (r *T) M() {}\ntype T struct { a int }\ntype I interface { M() }\n",
+    "java": "public class A { void m() {} }\ninterface I { void f(); }\nenum C { A }\n",
+    "c": "struct point { int x; };\nenum color { RED };\nint add(int a, int b) { return a + b; }\n",
+    "toml": "[a]\nb = 1\n",
+}
+_SYMBOLS = {
+    "rust": [("struct", "Stack", 0, 2), ("impl", "Stack<T>", 3, 5), ("enum", "Tree", 6, 6), ("trait", "Shape", 7, 7), ("module", "inner", 8, 8), ("constant", "LIMIT", 9, 9), ("function", "main", 10, 10)],
+    "python": [("class", "A", 0, 2), ("function", "f", 4, 5)],
+    "javascript": [("function", "a", 0, 0), ("class", "B", 1, 1), ("variable", "c", 2, 2)],
+    "go": [("function", "A", 1, 1), ("function", "M", 2, 2), ("struct", "T", 3, 3), ("interface", "I", 4, 4)],
+    "java": [("class", "A", 0, 0), ("interface", "I", 1, 1), ("enum", "C", 2, 2)],
+    "c": [("struct", "point", 0, 0), ("enum", "color", 1, 1), ("function", "add", 2, 2)],
+}
+_SYMBOL_VALUES = ", ".join(f"('{lang}', '{k}', '{n}', {a}, {b})" for lang, all_ in _SYMBOLS.items() for k, n, a, b in all_)
+
+
+def _code(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(_CODE.items()), "language string, content string")
+
+
+@query("symbol_extraction", f"SELECT * FROM (VALUES {_SYMBOL_VALUES}) v(language, kind, name, start_line, end_line)")
+def symbol_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = symbols.with_symbols(_code(spark)).select("language", F.explode("symbol_list").alias("s"))
+    return each.select("language", "s.kind", "s.name", "s.start_line", "s.end_line")
+
+
+@query("symbols_text", f"""SELECT language, string_agg(kind || ' ' || name, chr(10) ORDER BY start_line) AS symbols FROM (VALUES {_SYMBOL_VALUES}) v(language, kind, name, start_line, end_line) GROUP BY language
+    UNION ALL SELECT 'toml', ''""")
+def symbols_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.with_symbols(_code(spark)).select("language", symbols.symbols_text(F.col("symbol_list")).alias("symbols"))
+
+
+_FUNCTIONS = "\n".join(f"def f{i}():\n" + "\n".join(f"    step_{j} = work(step_{j - 1}, {i})" for j in range(1, 21)) for i in range(4))
+
+
+@query("chunk_heuristics", "SELECT * FROM (VALUES (1, 21, 'Block'), (22, 42, 'Function'), (43, 63, 'Function'), (64, 84, 'Function')) v(start_line, end_line, chunk_type)")
+def chunk_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([c[:3] for c in chunks.heuristic_chunks(_FUNCTIONS, "python")], "start_line int, end_line int, chunk_type string")
+
+
+@query("chunk_units", "SELECT * FROM (VALUES ('m.py', 1, 42, 'Function'), ('m.py', 43, 84, 'Function'), ('n.txt', 1, 2, 'Block')) v(file_path, start_line, end_line, chunk_type)")
+def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([("m.py", _FUNCTIONS), ("n.txt", "a\nb"), ("e.rs", "")], "path string, content string")
+    return chunks.chunk_files(files).select("file_path", "start_line", "end_line", "chunk_type")
+
+
+_BOUNDARY_LINES = (("rust", "  pub fn a() {"), ("rust", "let fn_ = 1;"), ("rust", "impl A {"), ("python", "    async def f():"), ("python", "define()"), ("javascript", "export default x"), ("javascript", "var x"), ("go", "func A() {}"))
+
+
+@query("chunk_boundaries", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, true), (6, false), (7, false)) v(id, boundary)")
+def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(_BOUNDARY_LINES)], "id int, language string, line string")
+    return rows.select("id", chunks.is_boundary(F.col("line"), F.col("language")).alias("boundary"))
+
+
+@query(
+    "range_context",
+    f"""WITH c AS (SELECT DISTINCT doc_id, l, len(l) AS n FROM {_LINES})
+        SELECT doc_id, array_to_string(l[greatest(least(3, n) - 2, 1):least(3, n) - 1], chr(10)) AS context_before, array_to_string(l[least(5, n) + 1:least(5, n) + 2], chr(10)) AS context_after FROM c""",
+)
+def range_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("path", "content").where("content <> ''")
+    n = F.size(text.lines_of(F.col("content")))
+    hits = docs.select(F.col("path").alias("file_path"), F.least(F.lit(3), n).alias("start_line"), F.least(F.lit(5), n).alias("end_line"))
+    found = lines.range_context(hits, docs)
+    joined = lambda c: F.array_join(c, "\n").alias(c)
+    return found.select(F.col("file_path").alias("doc_id"), joined("context_before"), joined("context_after"))
+
+
 # --- cache and change stream -------------------------------------------------------------------
 
 
