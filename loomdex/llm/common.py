@@ -72,15 +72,15 @@ def without(text: Column, chars: str) -> Column:
     return text
 
 
-def with_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], fn: Callable) -> DataFrame:
-    """df with columns that fn makes, batch by batch, from the columns in needs.
+def with_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], fn: Callable, drop: Sequence[str] = ()) -> DataFrame:
+    """df, less the columns in drop, with columns that fn makes, batch by batch, from the columns in needs.
 
     fn takes an Arrow array for each needed column and returns one for each field. A column of
     df that has the name of a new field, in any case, is replaced.
     """
     small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
-    keep = [c for c in df.columns if c.lower() not in new]
+    keep = [c for c in df.columns if c.lower() not in new and c not in drop]
     more = [c for c in needs if c not in keep]
     names = [*keep, *(f.name for f in fields)]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])

@@ -29,22 +29,23 @@ adds, skips control ids and gives null for null; a literal U+2581 comes back as
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import small_batches, stored, with_columns
+from loomdex.llm.common import fresh, small_batches, stored, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LATTICE, TIER, FLUSH, MEMO = 48, 8_000_000, 300_000, 200_000
+LATTICE, TIER, FLUSH, MEMO = 48, 4_000_000, 200_000, 100_000
 IDS = T.ArrayType(T.IntegerType(), False)
+_LOW = 0x250
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _UNIGRAM = 1
 
@@ -65,36 +66,36 @@ class Pieces:
         self.table = [(p.piece, i, float(p.score)) for i, p in enumerate(m.pieces) if p.type in (_NORMAL, _USER)]
         self.longest = max(len(p) for p, _, _ in self.table)
         self.pairs = frozenset(a + b for p, _, _ in self.table for a, b in zip(p, p[1:]))
+        self.apart = np.ones((_LOW + 1, _LOW + 1), bool)  # pairs with a high character are checked by themselves
+        self.apart[_LOW, :] = self.apart[:, _LOW] = False
+        for pair in self.pairs:
+            a, b = (ord(x) for x in pair.replace(MARK, " "))
+            if a < _LOW and b < _LOW:
+                self.apart[a, b] = False
+        self.apart = self.apart.ravel()
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == _UNKNOWN)
         of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         self.bytes = [of_byte[b] for b in range(256)] if len(of_byte) == 256 else None
         raw = {_BYTE: lambda p: bytes([int(p[3:5], 16)]), _CONTROL: lambda p: b"", _UNKNOWN: lambda p: m.trainer_spec.unk_surface.encode()}
         self.surface = [raw.get(p.type, lambda p: p.replace(MARK, " ").encode())(p.piece) for p in m.pieces]
 
-    def units(self, text: str) -> list[str]:
-        """The text with marks for blanks, cut before each run of marks."""
-        parts = text.replace(MARK, " ").split(" ") if MARK in text else text.split(" ")
-        first = MARK if self.prefix else ""
-        if "" not in parts:
-            return [first + parts[0], *map(MARK.__add__, parts[1:])]
-        out, lead = [], first
-        for k, p in enumerate(parts):
-            if k:
-                lead += MARK
-            if p:
-                out.append(lead + p)
-                lead = ""
-        return [*out, lead] if lead else out
-
-    def cut(self, unit: str) -> list[str]:
-        """The unit's words: cut between characters that no piece has side by side."""
-        out, at, pairs = [], 0, self.pairs
-        for i in range(1, len(unit)):
-            if unit[i - 1 : i + 1] not in pairs:
-                out.append(unit[at:i])
-                at = i
-        out.append(unit[at:])
-        return out
+    def words(self, text: str) -> list[str]:
+        """The text cut between characters that no piece has side by side; blanks stand for their marks.
+
+        Pairs of low characters are looked up in a table, all at once; others one by one.
+        """
+        t = (" " if self.prefix else "") + (text.replace(MARK, " ") if MARK in text else text)
+        if len(t) < 2:
+            return [t] if t else []
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(c, _LOW)
+        cuts = np.flatnonzero(self.apart[low[:-1] * (_LOW + 1) + low[1:]])
+        if len(high := np.flatnonzero(low == _LOW)):
+            near = np.unique(np.concatenate([high, high - 1]))
+            pairs = self.pairs
+            cuts = np.union1d(cuts, [i for i in near[(near >= 0) & (near < len(c) - 1)].tolist() if t[i : i + 2].replace(" ", MARK) not in pairs])
+        at = [0, *(cuts.astype(np.int64) + 1).tolist(), len(t)]
+        return [t[a:b] for a, b in zip(at, at[1:])]
 
     def fallback(self, ch: str) -> list[int]:
         return [self.bytes[b] for b in ch.encode("utf-8")] if self.bytes else [self.unknown]
@@ -147,54 +148,49 @@ class Pieces:
 
 
 def count_words(docs: DataFrame, pieces: Pieces, text: str) -> DataFrame:
-    """(word, n) over all documents; tasks count first and hand on before their counts grow large."""
+    """(word, n) of all documents; n is the number of parts of tasks that hold a word, by which common words are known."""
     small_batches(docs.sparkSession)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
 
         def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for unit, n in seen.items():
-                for w in pieces.cut(unit):
-                    words[w] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words = [w.replace(" ", MARK) for w in held]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(pieces.units(t))
-            if len(seen) > FLUSH:
+                    held.update(pieces.words(t))
+            if len(held) > FLUSH:
                 yield out()
         yield out()
 
-    return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(found, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _merge_path(n: Column, edges: Column) -> Column:
-    """Start boundaries, as bits, of the tokens that are left when all merges are done."""
-    start = F.struct((_bit(n + 1) - 1).alias("m"), F.lit(True).alias("more"))
+def _merge_path(n: Column, joins: str) -> Column:
+    """Boundaries, as bits, that are left when all merges are done; joins are the edges over several characters. The sign marks that none was left."""
 
-    def step(a: Column, _: Column) -> Column:
-        m = a["m"]
+    def step(m: Column, _: Column) -> Column:
         fits = lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(m.bitwiseAND(x["inner"])) == 1)
-        take = lambda x: F.struct(F.when(x.isNull(), m).otherwise(m.bitwiseAND(F.bitwise_not(x["inner"]))).alias("m"), x.isNotNull().alias("more"))
-        return F.when(a["more"], F.get(F.transform(F.array(F.get(F.filter(edges, fits), F.lit(0))), take), F.lit(0))).otherwise(a)
+        best = F.array_min(F.filter(joins, fits))  # by code: rank, then start
+        return F.when(m < 0, m).otherwise(F.coalesce(m.bitwiseAND(F.bitwise_not(best["inner"])), m.bitwiseOR(F.lit(_DONE))))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["m"])
+    return F.aggregate(F.sequence(F.lit(1), n), _bit(n + 1) - 1, step, lambda m: m.bitwiseAND(F.lit(~_DONE)))
 
 
 def _viterbi_path(n: Column, edges: Column, worst: float) -> Column:
-    """Start boundaries, as bits, of the path of the best sum of scores; edges come by end."""
+    """Boundaries, as bits, of the path of the best sum of scores."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("m")))
 
     def step(best: Column, e: Column) -> Column:
-        known = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] - x["rank"]).alias("score"), F.get(best, x["s"])["m"].bitwiseOR(_bit(e)).alias("m")))
+        known = F.transform(F.filter(edges, lambda x: x["e"] == e), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), F.get(best, x["s"])["m"].bitwiseOR(_bit(e)).alias("m")))
         alone = F.array(F.struct((F.get(best, e - 1)["score"] + worst).alias("score"), F.get(best, e - 1)["m"].bitwiseOR(_bit(e)).alias("m")))
         lone = F.exists(edges, lambda x: (x["e"] == e) & (x["s"] == e - 1))
         return F.concat(best, F.array(F.array_max(F.when(lone, known).otherwise(F.concat(known, alone)))))
@@ -202,34 +198,51 @@ def _viterbi_path(n: Column, edges: Column, worst: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.get(best, n)["m"])
 
 
+#: An edge as one integer, which sorts by rank, then start: 20 bits of rank, 6 of start, 6 of end, 20 of id.
+_ID, _END, _START, _RANK = 0, 20, 26, 32
+_DONE = -(1 << 63)
+
+
+def _field(x: Column, at: int, bits: int) -> Column:
+    return F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n, ids) from (word, n), by the lattice. Grouping by word needs no shuffle beyond the one that counted."""
     spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, -s) for p, i, s in pieces.table], "piece string, id int, rank double")
+    rank_of = {score: k for k, score in enumerate(sorted({-s for _, _, s in pieces.table}))}
+    table = spark.createDataFrame([(p, (rank_of[-s] << _RANK) + i, s) for p, i, s in pieces.table], "piece string, code long, score double")
     n = F.length("word")
-    sub = lambda s, k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("piece"))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: sub(s, k))))
-    none = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"), F.lit("").alias("piece")))
-    parts = words.select("word", "n", F.explode(F.when(n <= LATTICE, every).otherwise(none)).alias("x")).select("word", "n", "x.s", "x.e", "x.piece")
+    # a word too long for the lattice keeps one row
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.when(n <= LATTICE, n - 1).otherwise(0))).alias("s"))
+    span = F.when(n <= LATTICE, F.least(F.lit(pieces.longest), n - F.col("s"))).otherwise(1)
+    parts = starts.select("word", "n", "s", F.explode(F.sequence(F.lit(1), span)).alias("k"))
+    parts = parts.select("word", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.substring(F.col("word"), F.col("s") + 1, F.col("k")).alias("piece"))
     # pieces that match, and every first character, so that a word without any piece stays
-    met = parts.join(F.broadcast(table), "piece", "left").where((F.col("id").isNotNull()) | (F.col("s") == 0) & (F.col("e") == 1))
-    inner = (_bit(F.col("e")) - 1) - (_bit(F.col("s") + 1) - 1)
-    edge = F.when(F.col("id").isNotNull(), F.struct("rank", "s", "e", "id", (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), inner.alias("inner")))
-    lattice = met.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    path = _viterbi_path(n, F.col("edges"), min(s for _, _, s in pieces.table) - 10) if pieces.unigram else _merge_path(n, F.filter("edges", lambda x: x["e"] - x["s"] >= 2))
+    met = parts.join(F.broadcast(table), "piece", "left").where((F.col("code").isNotNull()) | (F.col("s") == 0) & (F.col("e") == 1))
+    code = F.col("code") + (F.col("s") * (1 << (_START - _END)) + F.col("e")).cast("long") * (1 << _END)
+    edge = F.struct(code.alias("code"), (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inner"), *([F.col("s"), F.col("e"), F.col("score")] if pieces.unigram else []))
+    several = F.col("e") - F.col("s") >= 2
+    known = F.col("code").isNotNull()
+    lattice = met.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.when(known & several, edge)).alias("joins"), F.collect_list(F.when(known & ~several, edge)).alias("singles"))
+    path = _viterbi_path(n, F.concat("joins", "singles"), min(s for _, _, s in pieces.table) - 10) if pieces.unigram else _merge_path(n, "joins")
     lattice = lattice.withColumn("path", F.when(n <= LATTICE, path))
+    taken = lambda x: F.col("path").bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]
+    in_order = F.sort_array(F.transform(F.concat(F.filter("joins", taken), F.filter("singles", taken)), lambda x: (_field(x["code"], _START, 6) * (1 << 20)).bitwiseOR(_field(x["code"], _ID, 20))))
+    lattice = lattice.withColumn("tokens", F.when(F.col("path").isNotNull(), in_order))
+    # characters without a piece are boundaries of tokens that no edge covers
     starts = F.filter(F.sequence(F.lit(0), n), lambda i: F.col("path").bitwiseAND(_bit(i)) != 0)
-    lattice = lattice.withColumn("cuts", F.when(F.col("path").isNotNull(), starts))
+    lattice = lattice.withColumn("cuts", F.when(F.size("tokens") < F.bit_count("path") - 1, starts))
     code = lambda ch, k: F.conv(F.substring(F.hex(F.encode(ch, "utf-8")), 2 * k - 1, F.lit(2)), 16, 10).cast("int")
     ids_of_bytes = F.array(*map(F.lit, pieces.bytes)) if pieces.bytes else None
     spelt = lambda ch: F.transform(F.sequence(F.lit(1), F.octet_length(ch)), lambda k: F.get(ids_of_bytes, code(ch, k))) if pieces.bytes else F.array(F.lit(pieces.unknown))
 
     def token(s: Column, j: Column) -> Column:
-        e = F.get("cuts", j + 1)
-        hit = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(spelt(F.substring(F.col("word"), s + 1, F.lit(1))))
+        hit = F.get(F.filter("tokens", lambda x: F.shiftright(x, 20) == s), F.lit(0))
+        return F.when(hit.isNotNull(), F.array(_field(hit, _ID, 20).cast("int"))).otherwise(spelt(F.substring(F.col("word"), s + 1, F.lit(1))))
 
-    ids = F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), token))
+    mixed = F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), token))
+    ids = F.when(F.col("cuts").isNotNull(), mixed).otherwise(F.transform("tokens", lambda x: _field(x, _ID, 20).cast("int")))
     found = stored(lattice.select("word", "n", ids.alias("ids")))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,78 +253,101 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.where("ids is not null").unionByName(far)
 
 
+def _narrow(offsets: np.ndarray) -> np.ndarray:
+    """Offsets in 32 bits where they fit."""
+    return offsets.astype(np.uint32) if offsets[-1] < 1 << 32 else offsets
+
+
 class Packed:
-    """A dictionary as flat arrays, sorted by hash: tens of bytes an entry. Words are compared, so hashes only locate them."""
-
-    def __init__(self, words: pa.Array, ids: pa.Array, width: np.dtype):
-        raw = [w.encode("utf-8") for w in words.to_pylist()]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.width = hashes[order], width
-        self.blob, sizes = b"".join(raw[i] for i in order), np.array([len(raw[i]) for i in order], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(sizes)])
-        flat, edges = np.asarray(ids.flatten()).astype(width), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))]) if len(raw) else (np.zeros(1, np.int64))
-        lengths = np.diff(edges)[order]
-        self.ids_at = np.concatenate([[0], np.cumsum(lengths)]) * np.dtype(width).itemsize
-        self.ids = b"".join(flat[edges[i] : edges[i + 1]].tobytes() for i in order)
+    """A dictionary as flat arrays, located by sorted hashes: tens of bytes an entry. Words are compared, so hashes only locate them."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch], width: np.dtype):
+        """From batches (word, ids, hash); one batch at a time is copied."""
+        self.width = np.dtype(width)
+        hashes, blobs, sizes, codes, counts = [np.zeros(0, np.int64)], [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, ids = b.column(0).cast(pa.binary()), b.column(1)
+            hashes.append(np.array(b.column(2)))
+            sizes.append(np.asarray(pc.binary_length(words)).astype(np.int64))
+            blobs.append(b"".join(words.to_pylist()))
+            counts.append(np.asarray(pc.list_value_length(ids)).astype(np.int64))
+            codes.append(np.asarray(ids.flatten()).astype(width).tobytes())
+        hashed = np.concatenate(hashes).view(np.uint64)
+        self.order = np.argsort(hashed, kind="stable").astype(np.int32)
+        self.hashes = hashed[self.order]
+        self.blob, self.at = b"".join(blobs), _narrow(np.cumsum(np.concatenate(sizes)))
+        self.ids, self.ids_at = b"".join(codes), _narrow(np.cumsum(np.concatenate(counts)) * self.width.itemsize)
 
     def find(self, words: list[str]) -> list[bytes | None]:
         raw = [w.encode("utf-8") for w in words]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-        out: list[bytes | None] = []
-        for w, h, i in zip(raw, hashes.tolist(), np.searchsorted(self.hashes, hashes).tolist(), strict=True):
-            hit = None
-            while i < len(self.hashes) and self.hashes[i] == h:
-                if self.blob[self.at[i] : self.at[i + 1]] == w:
-                    hit = self.ids[self.ids_at[i] : self.ids_at[i + 1]]
-                    break
-                i += 1
-            out.append(hit)
+        if not len(self.hashes):
+            return [None] * len(raw)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, len(raw))
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        k = self.order[place]
+        spans = zip(raw, (self.hashes[place] == hashes).tolist(), self.at[k].tolist(), self.at[k + 1].tolist(), self.ids_at[k].tolist(), self.ids_at[k + 1].tolist(), strict=True)
+        blob, ids = self.blob, self.ids
+        out = [ids[a:b] if hit and blob[x:y] == w else None for w, hit, x, y, a, b in spans]
+        for j in np.flatnonzero(self.hashes[np.minimum(place + 1, len(self.hashes) - 1)] == hashes).tolist():
+            if out[j] is None:  # another word has the same hash
+                out[j] = self._beyond(raw[j], int(place[j]))
         return out
 
+    def _beyond(self, word: bytes, i: int) -> bytes | None:
+        first = self.hashes[i]
+        while i < len(self.hashes) and self.hashes[i] == first:
+            k = self.order[i]
+            if self.blob[self.at[k] : self.at[k + 1]] == word:
+                return self.ids[self.ids_at[k] : self.ids_at[k + 1]]
+            i += 1
+        return None
+
 
 class Assembler:
     """Puts documents' ids together from a packed dictionary and, for the rest, a document's own extra entries."""
 
-    def __init__(self, pieces: Pieces, packed: Packed):
+    def __init__(self, pieces: Pieces, packed: Packed, check: bool = False):
         self.pieces, self.packed, self.memo = pieces, packed, {}
+        self.checks, self.wrong = check, set()
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Look up all units that are new, their words in one go."""
-        fresh = {u: self.pieces.cut(u) for u in units if u not in self.memo}
-        words = list({w for ws in fresh.values() for w in ws})
-        ids = dict(zip(words, self.packed.find(words), strict=True))
-        for u, ws in fresh.items():
-            got = [ids[w] for w in ws]
-            self.memo[u] = None if None in got else b"".join(got)
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them looked up; what the dictionary lacks is None in the memo."""
+        each = [self.pieces.words(t) if t else [] for t in texts]
+        met = set().union(*each)
+        if len(self.memo) > MEMO:
+            self.memo = {w: self.memo[w] for w in met & self.memo.keys()}
+        fresh = list(met - self.memo.keys())
+        found = self.packed.find([w.replace(" ", MARK) for w in fresh])
+        self.memo.update(zip(fresh, found, strict=True))
+        if self.checks:
+            self.wrong.update(w for w, ids in zip(fresh, found, strict=True) if ids is not None and not self.comes_back(w, ids))
+        return each
+
+    def comes_back(self, word: str, ids: bytes) -> bool:
+        """Whether decoding gives the word. Words are whole characters, so a text comes back if, and only if, its words do."""
+        return b"".join(map(self.pieces.surface.__getitem__, np.frombuffer(ids, self.packed.width).tolist())) == word.encode("utf-8")
 
     def missing(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text that the packed dictionary lacks."""
-        each = [self.pieces.units(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.learn({u for us in each for u in us})
-        rare = [{w for u in set(us) if self.memo[u] is None for w in self.pieces.cut(u)} for us in each]
-        lacking = list(set().union(*rare)) if rare else []
-        known = dict(zip(lacking, self.packed.find(lacking), strict=True))
-        return [sorted(w for w in ws if known[w] is None) for ws in rare]
-
-    def encode(self, texts: list[str | None], extra: list[dict[str, bytes]] | None = None) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        each = [self.pieces.units(t) if t else [] for t in texts]
-        self.learn({u for us in each for u in us})
-        out, memo = [], self.memo
-        for k, us in enumerate(each):
-            got = [memo[u] for u in us]
-            if None in got:
-                own = extra[k] if extra else {}
-                for j, g in enumerate(got):
-                    if g is None:
-                        words = self.pieces.cut(us[j])
-                        got[j] = b"".join(own[w] if w in own else f for w, f in zip(words, self.packed.find(words), strict=True))
+        """The words of each text that the dictionary lacks."""
+        each = self.words(texts)
+        return [sorted(w.replace(" ", MARK) for w in set(ws) if self.memo[w] is None) for ws in each]
+
+    def encode(self, texts: list[str | None], extra: list[dict[str, bytes]] | None = None) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text and, where asked for, whether they decode to it."""
+        each = self.words(texts)
+        out, find = [], self.memo.__getitem__
+        right = [self.wrong.isdisjoint(ws) for ws in each] if self.wrong else [True] * len(each)
+        for k, ws in enumerate(each):
+            got = list(map(find, ws))
+            if extra and None in got:
+                own = extra[k]
+                if self.checks:
+                    right[k] &= all(self.comes_back(w.replace(MARK, " "), ids) for w, ids in own.items())
+                got = [own[w.replace(" ", MARK)] if g is None else g for g, w in zip(got, ws, strict=True)]
             out.append(np.frombuffer(b"".join(got), self.packed.width))
-        return out
+        return out, right
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -320,50 +356,60 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids", tier: int = TIER) -> DataFrame:
-    """docs with the ids of each text. The model file is read by the driver only."""
+def text_of(pieces: Pieces, ids: Iterable[int]) -> str:
+    """The text of ids that the model has."""
+    s = b"".join(map(pieces.surface.__getitem__, ids)).decode("utf-8", "replace")
+    return s[1:] if pieces.prefix and s[:1] == " " else s
+
+
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids", tier: int = TIER, check: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with the ids of each text; check names a column that tells whether decoding gives the text back. The driver reads the model file.
+
+    Without keep_text the text is left out, and needn't come back from Python.
+    """
+    drop = [] if keep_text else [text]
     pieces = Pieces(model)
     spark: SparkSession = docs.sparkSession
     words = stored(dictionary(count_words(docs, pieces, text), pieces))
     total = words.count()
     top = words if total <= tier else words.orderBy(F.desc("n"), "word").limit(tier)
-    got = top.select("word", "ids").toArrow()
     width = np.uint16 if len(pieces.surface) <= 1 << 16 else np.int32
-    packed = Packed(got["word"].combine_chunks(), got["ids"].combine_chunks(), width)
-    shared = spark.sparkContext.broadcast((pieces, packed))
-    own: dict = {}  # a worker's assembler, kept between batches
+    shared = spark.sparkContext.broadcast((pieces, Packed(top.select("word", "ids", F.xxhash64("word")).toArrow().to_batches(), width)))
+    pa.default_memory_pool().release_unused()
+    own: dict = {}  # a task's assembler, kept between batches
 
     def assembler() -> Assembler:
         if "it" not in own:
-            own["it"] = Assembler(*shared.value)
+            own["it"] = Assembler(*shared.value, bool(check))
         return own["it"]
 
-    field = T.StructField(out, IDS)
+    fields = [T.StructField(out, IDS), *([T.StructField(check, T.BooleanType())] if check else [])]
+
+    def made(texts: list[str | None], extra: list[dict[str, bytes]] | None = None) -> list[pa.Array]:
+        ids, right = assembler().encode(texts, extra)
+        return [_lists(ids), *([pa.array(right, pa.bool_())] if check else [])]
+
     if total <= tier:
-        return with_columns(docs, [text], [field], lambda texts: [_lists(assembler().encode(texts.to_pylist()))])
+        return with_columns(docs, [text], fields, lambda texts: made(texts.to_pylist()), drop)
 
-    row, more = "_row", "_more"
+    row, more = fresh(docs, "_row", "_more")
     docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    lacking = with_columns(docs.select(row, text), [text], [T.StructField("word", T.ArrayType(T.StringType()))], lambda texts: [pa.array(assembler().missing(texts.to_pylist()), pa.list_(pa.string()))])
+    lacking = with_columns(docs.select(row, text), [text], [T.StructField("word", T.ArrayType(T.StringType()))], lambda texts: [pa.array(assembler().missing(texts.to_pylist()), pa.list_(pa.string()))], [text])
     rest = lacking.select(row, F.explode("word").alias("word")).join(words.select("word", "ids"), "word").groupBy(row).agg(F.collect_list(F.struct("word", "ids")).alias(more))
     joined = docs.join(rest, row, "left")
 
     def whole(texts: pa.Array, extra: pa.Array) -> list[pa.Array]:
-        own_words = [{x["word"]: np.array(x["ids"], width).tobytes() for x in e or []} for e in extra.to_pylist()]
-        return [_lists(assembler().encode(texts.to_pylist(), own_words))]
+        return made(texts.to_pylist(), [{x["word"]: np.array(x["ids"], width).tobytes() for x in e or []} for e in extra.to_pylist()])
 
-    return with_columns(joined, [text, more], [field], whole).drop(row, more)
+    return with_columns(joined, [text, more], fields, whole, [row, more, *drop])
 
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of each array of ids; ids that the model hasn't are skipped."""
     pieces = Pieces(model)
-    surface, prefix = pieces.surface, pieces.prefix
+    known = range(len(pieces.surface))
 
-    def text_of(row: np.ndarray | None) -> str | None:
-        if row is None:
-            return None
-        s = b"".join([surface[i] for i in row if i is not None and 0 <= i < len(surface)]).decode("utf-8", "replace")
-        return s[1:] if prefix and s[:1] == " " else s
+    def texts(rows: pa.Array) -> list[pa.Array]:
+        return [pa.array([None if r is None else text_of(pieces, [i for i in r if i in known]) for r in rows.to_pylist()], pa.string())]
 
-    return with_columns(df, [ids], [T.StructField(out, T.StringType())], lambda rows: [pa.array([text_of(r) for r in rows.to_pylist()], pa.string())])
+    return with_columns(df, [ids], [T.StructField(out, T.StringType())], texts)

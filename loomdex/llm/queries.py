@@ -77,7 +77,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip")
+    docs = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip", keep_text=False)
     return docs.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
