@@ -44,6 +44,7 @@ from loomdex.llm.common import fresh, small_batches, stored, with_columns
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LATTICE, TIER, FLUSH, MEMO = 48, 4_000_000, 200_000, 100_000
+PARTS = 4
 IDS = T.ArrayType(T.IntegerType(), False)
 _LOW = 0x250
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -167,7 +168,10 @@ def count_words(docs: DataFrame, pieces: Pieces, text: str) -> DataFrame:
                 yield out()
         yield out()
 
-    return docs.select(text).mapInArrow(found, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    # parts are distinct already, so they are dealt by word without a partial sum, and into as many
+    # partitions as the session sets: what a task's lattices take up follows from that
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(text).mapInArrow(found, "word string").repartition(parts, "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _bit(i: Column) -> Column:
@@ -372,9 +376,11 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
     spark: SparkSession = docs.sparkSession
     words = stored(dictionary(count_words(docs, pieces, text), pieces))
     total = words.count()
-    top = words if total <= tier else words.orderBy(F.desc("n"), "word").limit(tier)
+    top = (words if total <= tier else stored(words.orderBy(F.desc("n"), "word").limit(tier))).select("word", "ids", F.xxhash64("word").alias("h"))
+    # the driver holds one part of it at a time beside the packed form
+    batches = (b for k in range(PARTS) for b in top.where(F.pmod("h", F.lit(PARTS)) == k).toArrow().to_batches())
     width = np.uint16 if len(pieces.surface) <= 1 << 16 else np.int32
-    shared = spark.sparkContext.broadcast((pieces, Packed(top.select("word", "ids", F.xxhash64("word")).toArrow().to_batches(), width)))
+    shared = spark.sparkContext.broadcast((pieces, Packed(batches, width)))
     pa.default_memory_pool().release_unused()
     own: dict = {}  # a task's assembler, kept between batches
 
