@@ -43,7 +43,7 @@ from loomdex.llm.common import fresh, small_batches, stored, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LATTICE, TIER, FLUSH, MEMO = 48, 4_000_000, 200_000, 100_000
+LATTICE, TIER, FLUSH, MEMO = 48, 4_000_000, 500_000, 200_000
 PARTS = 4
 IDS = T.ArrayType(T.IntegerType(), False)
 _LOW = 0x250
