@@ -20,6 +20,8 @@ that has another.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -99,6 +101,15 @@ def links(prints: DataFrame) -> DataFrame:
     return variants.join(shared, "variant").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def grouped(docs: DataFrame, prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """docs, which have doc_id and fp, with the component of their fp and the smallest doc_id in it; prints has the least id of each fp."""
+    joined = connected_components(edges)
+    named = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = named.join(ids, "component").select("fp", "component", "component_id")
+    return docs.join(by_print, "fp").select("doc_id", "fp", "component", "component_id", *(c for c in docs.columns if c == "key"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_key: bool = False) -> DataFrame:
     """(doc_id, fp, component, component_id) for each row.
 
@@ -109,16 +120,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     docs = stored(docs.select("doc_id", "fp", *([F.md5(F.coalesce("text", F.lit(""))).alias("key")] if with_key else [])))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cell", cell_of(F.col("fp")))
     prints = stored(prints)
-    joined = connected_components(links(prints))
-    named = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "component").select("fp", "component", "component_id")
-    return docs.join(by_print, "fp").select("doc_id", "fp", "component", "component_id", *(["key"] if with_key else []))
+    return grouped(docs, prints, links(prints))
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", groups: Callable = near_duplicates) -> DataFrame:
     """The rows of df less near-duplicates: of each group the row of the smallest doc_id stays, ties going by text and then by the other columns."""
-    found = near_duplicates(df, doc_id, text, with_key=True)
+    found = groups(df, doc_id, text, with_key=True)
     key, row, id_, of = fresh(df, "_key", "_n", "_id", "_of")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select(F.col("x.doc_id").alias(id_), F.col("x.key").alias(of)).distinct()
     keyed = df.withColumn(key, F.md5(F.coalesce(F.col(text), F.lit(""))))

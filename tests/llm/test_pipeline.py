@@ -1,5 +1,6 @@
 """The pipeline: each stage against its operator's brute force, and the whole on odd rows."""
 
+import random
 import re
 
 import pytest
@@ -50,6 +51,31 @@ def test_dedup_stage(spark, docs, odd):
             assert sum(k["doc_id"] == first for k in kept) >= 1
 
 
+def test_dedup_stage_by_similarity(spark, odd):
+    """Groups are those of all pairs at a 5-word similarity of 0.8, near copies many bits apart included."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 120]))]
+        for _ in range(rng.choice([1, 3, 25])):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], odd.schema)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += (simhash_of(texts[i]) ^ simhash_of(texts[j])).bit_count() > 2
+                group = [group[j] if g == group[i] else g for g in group]
+    assert far > 10
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {min(i for i, h in enumerate(group) if h == g) for g in set(group)}
+
+
 def test_secret_stage(spark, docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in corpus_pipeline.secret_scan(spark, docs, "").collect():
