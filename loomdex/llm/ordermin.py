@@ -6,12 +6,11 @@ the order in which they stand in the text and hashed together. Unlike plain MinH
 fingerprint thus changes when passages are moved, as edit distance does. The likeness of two
 fingerprints is the share of equal components.
 
-The seeded orders rank a sample: the 64 k-mers whose own hashes are least, which is the same
-sample for the same k-mers in whatever text they stand. Without it every order would sort the
-whole text.
+Every seeded order ranks all k-mers of the text. An order needs no sort: the least k-mer is an
+array minimum, and the next one a minimum over those above it.
 
-Arrays of 64-bit integers (hash above, place below) are sorted as primitives, so a text of n
-words costs n log n and no fold copies a growing array. A null text is an empty one. Texts
+Arrays of 64-bit integers (hash above, place below) are sorted as primitives, and only to number
+repeats, so a text of n words costs n log n at most and no fold copies a growing array. A null text is an empty one. Texts
 without words share one fingerprint of zeros; texts of fewer than 3 words are a single k-mer.
 Places beyond 2^24 count as equal. Only words matter: blanks between them don't. Repeated rows
 have equal fingerprints.
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 
 from loomdex.llm.common import words_of
 
-K, COMPONENTS, LEAST, SAMPLE = 3, 32, 2, 64
+K, COMPONENTS = 3, 32
 _PLACE = (1 << 24) - 1
-_INDEX = 127
 
 
 def _hash_part(h: Column, low: int) -> Column:
@@ -48,20 +46,28 @@ def add_sketch(df: DataFrame, text: str, out: str, components: int = COMPONENTS)
     short = F.when(F.size("_w") > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_k", F.when(n >= 1, runs).otherwise(short)).drop("_w")
     packed = F.transform("_k", lambda h, i: _hash_part(h, _PLACE).bitwiseOR(F.least(i, F.lit(_PLACE)).cast("long")))
-    df = df.withColumn("_again", F.size(F.array_distinct("_k")) < F.size("_k")).withColumn("_s", F.sort_array(packed)).drop("_k")
+    df = df.withColumn("_again", F.size(F.array_distinct("_k")) < F.size("_k")).withColumn("_s", F.when(F.col("_again"), F.sort_array(packed)).otherwise(packed)).drop("_k")
     # equal k-mers are neighbours, in text order: the numbers count up within each run of them
     starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.when(i == 0, F.lit(True)).otherwise(_high(F.get("_s", i)) != _high(F.get("_s", i - 1))))
     df = df.withColumn("_b", F.when(F.col("_again"), starts))
     ends = F.concat(F.slice("_b", 2, F.size("_b")), F.array(F.size("_s")))
     df = df.withColumn("_n", F.when(F.col("_again"), F.flatten(F.zip_with("_b", ends, lambda a, b: F.sequence(F.lit(0), b - a - 1)))))
     numbered = F.zip_with("_s", "_n", lambda x, k: F.when(k == 0, x).otherwise(_hash_part(F.xxhash64(_high(x), k), _PLACE).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))))
-    df = df.withColumn("_m", F.slice(F.when(F.col("_again"), F.sort_array(numbered)).otherwise(F.col("_s")), 1, SAMPLE)).drop("_again", "_s", "_b", "_n")
+    df = df.withColumn("_m", F.when(F.col("_again"), numbered).otherwise(F.col("_s"))).drop("_again", "_s", "_b", "_n")
+
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  an array of one, so that x is computed once
+    at = lambda y: y.bitwiseAND(F.lit(_PLACE))
+
+    def in_text(low: Column, more: Column) -> Column:
+        both = F.when(at(low) <= at(more), F.xxhash64(_high(low), _high(more))).otherwise(F.xxhash64(_high(more), _high(low)))
+        return F.when(more.isNull(), F.xxhash64(_high(low))).otherwise(both)
+
+    def pick(ranked: Column) -> Column:
+        return once(F.array_min(ranked), lambda low: once(F.array_min(F.filter(ranked, lambda y: y > low)), lambda more: in_text(low, more)))
 
     def component(j: Column) -> Column:
-        ranked = F.sort_array(F.transform("_m", lambda x, i: _hash_part(F.xxhash64(_high(x), j), _INDEX).bitwiseOR(i.cast("long"))))
-        least = F.transform(F.slice(ranked, 1, LEAST), lambda y: F.get("_m", y.bitwiseAND(F.lit(_INDEX)).cast("int")))
-        in_text = F.sort_array(F.transform(least, lambda x: F.struct(x.bitwiseAND(F.lit(_PLACE)).alias("at"), _high(x).alias("h"))))
-        return F.xxhash64(F.transform(in_text, lambda x: x["h"])).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+        ranked = F.transform("_m", lambda x: _hash_part(F.xxhash64(_high(x), j), _PLACE).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
+        return once(ranked, pick).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
     parts = F.transform(F.sequence(F.lit(1), F.lit(components)), component)
     none = F.array_repeat(F.lit(0), components)

@@ -102,6 +102,15 @@ def test_order_matters(spark):
     assert like(0, 0) == 1 and like(0, 3) == 0 and like(0, 2) > 0.7 and 0.2 < like(0, 1) < 0.9
 
 
+def test_all_of_a_text_counts(spark):
+    """Half of a long text is as like as its k-mers are: both of the least of all are in it a quarter of the time."""
+    texts = [" ".join(f"{k}w{i}" for i in range(n)) for k in range(20) for n in (3000, 6000)]
+    df = ordermin.add_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "s")
+    s = {r["i"]: r["s"] for r in df.collect()}
+    same = sum(x == y for k in range(0, 40, 2) for x, y in zip(s[k], s[k + 1], strict=True))
+    assert 0.18 < same / 640 < 0.32
+
+
 def test_repeats_are_numbered(spark):
     texts = ["a b c " * 3, "a b c " * 30, "a b c", "", None, "  a\tb \n c ", "x y"]
     df = ordermin.add_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "s")
