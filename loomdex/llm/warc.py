@@ -124,8 +124,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A record that is one piece is cut out of it; only those with magic inside are put together
     from theirs, grouped by record.
     """
-    cut = pieces(spark, path).select("file", F.col("block").alias("split"), "i", "value")
-    found = stored(candidates(pieces(spark, path)).withColumnRenamed("block", "split"))
+    # kept once: ids of rows hold the partition, which another scan may number otherwise
+    kept = stored(pieces(spark, path))
+    cut = kept.select("file", F.col("block").alias("split"), "i", "value")
+    found = stored(candidates(kept).withColumnRenamed("block", "split"))
     sizes = found.groupBy("file").agg(F.max(F.col("at") + len(MAGIC) + F.col("n")).alias("size"))
     chain = reachable(found.where("next is not null"), sizes).withColumn("on_chain", F.lit(True))
     # every piece belongs to the last record of the chain that starts at or before it

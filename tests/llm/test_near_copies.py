@@ -181,6 +181,24 @@ def test_warc_splits(spark, tmp_path, split):
     assert got == {f"<urn:page:{i}>": body * (i % 3) for i in range(40)} | {"<urn:page:100>": "fine"}
 
 
+def test_warc_is_scanned_once(spark, tmp_path):
+    """Records are whole where files are dealt to partitions otherwise after the chain is known."""
+    for k in range(6):
+        one = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}-{i}>\r\nContent-Length: {k + 200}\r\n\r\n{str(k) * (k + 200)}\r\n\r\n" for i in range(3)]
+        (tmp_path / f"{k}.warc").write_text("".join(one), newline="")
+    key = "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(key)
+    read = warc.read_warc(spark, str(tmp_path))
+    spark.conf.set(key, "128m")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = {r["id"]: bytes(r["block"]).decode() for r in read.collect()}
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == {f"<urn:page:{k}-{i}>": str(k) * (k + 200) for k in range(6) for i in range(3)}
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.op6_warc(spark, str(tmp_path)).count() == 0
