@@ -12,14 +12,20 @@ and the driver holds two matrices of fixed size. The score is a logistic curve o
 whose middle minimises the same risk with the sigmoid loss, over histograms of the margin in P
 and U.
 
+The class prior is estimated from P and U alone; no label of a bad text is read. P is halved by a
+hash of ids. A margin learned with one half and U is taken of U and of the other half, which it
+hasn't seen. As U is p parts P and the rest something else, the share of U above any margin is at
+least p times that of P, so the least ratio of the two bounds p from above; it is taken where
+sampling errors blur it least, and the halves' mean is the estimate.
+
 Features are shares of byte classes, punctuation, hashed byte pairs, word shapes and repeats in
 the whole text; labels, language, source and ids are never among them. They are written once
 to shared storage, half a kilobyte a document, and are what the moments and the scores read.
 
-The class prior is the share of good ones among the labelled rows allowed for learning, with
-one of each kind added. Labels of null, of ids that no document has, or outside the fold are
-ignored; an id labelled both ways counts as good if half of its labels say so. Without any
-positive, every score is 0.5. Null and empty texts are scored like any other.
+Labels of null, of ids that no document has, or outside the fold are ignored; an id labelled both
+ways counts as good if half of its labels say so. Without any positive, every score is 0.5. Null
+and empty texts are scored like any other. Rows that repeat are scored alike. An empty table
+gives an empty result. accepted() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,11 +44,13 @@ from loomdex.llm.common import fresh, stored, with_columns
 
 PAIRS = 128
 RIDGE, BINS = 1e-3, 2048
+#: Chance that sampling errors exceed what the choice of a margin for the prior allows; the prior before it is estimated, and its bounds.
+DOUBT, FIRST_PRIOR, PRIORS = 0.1, 0.5, (0.01, 0.99)
 #: Steepness of the loss that finds the dividing margin, of the score's curve, and the risk that counts as equal.
 SHARP, STEEP, SLACK = 32.0, 6.0, 2e-3
 _PUNCT = np.frombuffer(string.punctuation.encode(), np.uint8)
 WIDTH = 2 * len(_PUNCT) + PAIRS + 31
-GROUPS = 16
+TASKS, GROUPS = 4096, 16
 
 
 def features(raw: bytes | None) -> np.ndarray:
@@ -116,16 +124,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, sums and products of features over unlabelled (all) rows and positive ones, a row for each task."""
+    """Counts, sums and products of features over rows of kind 0 and of kind 1, a row for each task."""
     parts = np.zeros((2, WIDTH + 1, WIDTH))
     n = np.zeros(2)
     for b in batches:
-        x = _matrix(b.column(0))
-        good = np.asarray(b.column(1).fill_null(False))
-        for k, rows in ((0, x), (1, x[good])):
-            parts[k, 0] += rows.sum(axis=0)
-            parts[k, 1:] += rows.T @ rows
-            n[k] += len(rows)
+        x, kind = _matrix(b.column(0)), b.column(1).to_numpy()
+        for k in (0, 1):
+            rows = x[kind == k]
+            if len(rows):
+                parts[k, 0] += rows.sum(axis=0)
+                parts[k, 1:] += rows.T @ rows
+                n[k] += len(rows)
     yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())], names=["n", "parts"])
 
 
@@ -140,9 +149,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gathered(rows: DataFrame, fn: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """The sums over all tasks of the two arrays that fn yields in each; added up in GROUPS tasks before the driver sees them."""
+    """The sums over all tasks, TASKS at most, of the two arrays that fn yields in each; added up in GROUPS tasks before the driver sees them."""
     schema = "n binary, parts binary"
-    sums = rows.mapInArrow(fn, schema).repartition(GROUPS).mapInArrow(_summed, schema).collect()
+    sums = rows.coalesce(TASKS).mapInArrow(fn, schema).repartition(GROUPS).mapInArrow(_summed, schema).collect()
     if not sums:
         return np.zeros(0), np.zeros(0)
     return sum(np.frombuffer(r["n"]) for r in sums), sum(np.frombuffer(r["parts"]) for r in sums)
@@ -176,6 +185,15 @@ def fit(n: np.ndarray, parts: np.ndarray, prior: float) -> np.ndarray | None:
     return w / scale
 
 
+def estimated_prior(u: np.ndarray, p: np.ndarray) -> float:
+    """The class prior from counts of unlabelled and of unseen positive rows in equal bins of the margin."""
+    above = lambda x: np.cumsum(x[::-1]) / x.sum()
+    blur = np.sqrt(np.log(4 / DOUBT) / 2) * (u.sum() ** -0.5 + p.sum() ** -0.5)
+    share_u, share_p = above(u), above(p)
+    ratio, error = (np.divide(x, share_p, out=np.full(len(p), np.inf), where=share_p > 0) for x in (share_u, np.full(len(p), blur)))
+    return float(ratio[np.argmin(ratio + error)])
+
+
 def calibrate(u: np.ndarray, p: np.ndarray, prior: float) -> float:
     """The margin at which to divide, by the same risk with the sigmoid loss, which is bounded.
 
@@ -202,8 +220,8 @@ def in_fold(doc_id: Column) -> Column:
 class Model:
     """Weights of the margin and the curve over it; without weights every score is 0.5."""
 
-    def __init__(self, weights: np.ndarray | None, middle: float = 0.0):
-        self.weights, self.middle = weights, middle
+    def __init__(self, weights: np.ndarray | None, middle: float = 0.0, prior: float | None = None):
+        self.weights, self.middle, self.prior = weights, middle, prior
 
     def scores(self, x: np.ndarray) -> list[pa.Array]:
         s = np.full(len(x), 0.5) if self.weights is None else 1 / (1 + np.exp(-np.clip(STEEP * (x @ self.weights - self.middle), -50, 50)))
@@ -213,27 +231,41 @@ class Model:
 SCORES = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
 
-def train(made: DataFrame, labels: DataFrame, label: str) -> Model:
-    """The classifier from a table (doc_id, features) of all documents and the labels' learning fold."""
-    told = labels.select(F.col("doc_id").alias("of"), F.col(label).alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~in_fold(F.col("of")))
-    told = told.groupBy("of").agg((F.avg("y") >= 0.5).alias("good"))
-    of, total = told.agg(F.count_if("good"), F.count("*")).first()
-    prior = (of + 1) / (total + 2)
-    rows = made.join(told.where("good"), made["doc_id"] == told["of"], "left").select("features", "good")
-    n, parts = _gathered(rows, _moments)
-    w = fit(n, parts.reshape(2, WIDTH + 1, WIDTH), prior) if len(n) else None
-    if w is None:
-        return Model(None)
+def _histograms(weights: list[np.ndarray]) -> Callable:
+    """Counts of rows by bins of the margin: for each weights, those of kind 0 and of kind 1."""
 
-    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros((2, BINS))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros((len(weights), 2, BINS))
         for b in batches:
-            at = np.clip((_matrix(b.column(0)) @ w + 2) / 4 * BINS, 0, BINS - 1).astype(np.int64)
-            bins[0] += np.bincount(at, minlength=BINS)
-            bins[1] += np.bincount(at[np.asarray(b.column(1).fill_null(False))], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in bins], names=["n", "parts"])
+            x, kind = _matrix(b.column(0)), b.column(1).to_numpy()
+            for k, w in enumerate(weights):
+                at = np.clip((x @ w + 2) / 4 * BINS, 0, BINS - 1).astype(np.int64)
+                for j in (0, 1):
+                    bins[k, j] += np.bincount(at[kind == j], minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["n", "parts"])
+
+    return count
+
 
-    return Model(w, calibrate(*_gathered(rows, histograms), prior))
+def train(made: DataFrame, labels: DataFrame, label: str) -> Model:
+    """The classifier from a table (doc_id, features) of all documents and the labels' learning fold, of which only the good ones count."""
+    told = labels.select(F.col("doc_id").alias("of"), F.col(label).alias("y")).where(F.col("of").isNotNull() & F.col("y").isNotNull() & ~in_fold(F.col("of")))
+    good = told.groupBy("of").agg((F.avg("y") >= 0.5).alias("good")).where("good").select("of", F.pmod(F.xxhash64("of"), F.lit(2)).cast("int").alias("kind"))
+    positive = stored(made.join(good, made["doc_id"] == good["of"]).select("features", "kind"))
+    every = made.select("features", F.lit(0).alias("kind"))
+    (n_p, p), (n_u, u) = _gathered(positive, _moments), _gathered(every, _moments)
+    if not len(n_p) or not n_p.sum():
+        return Model(None)
+    p, u = p.reshape(2, WIDTH + 1, WIDTH), u.reshape(2, WIDTH + 1, WIDTH)[0]
+    fitted = lambda n, of, prior: fit(np.array([n_u[0], n]), np.stack([u, of]), prior)
+    halves = (0, 1) if n_p.all() else ()  # too few to be halved are taken whole
+    weights = [fitted(n_p[k], p[k], FIRST_PRIOR) for k in halves] or [fitted(n_p.sum(), p.sum(axis=0), FIRST_PRIOR)]
+    count = lambda rows, weights: _gathered(rows, _histograms(weights))[0].reshape(len(weights), 2, BINS)
+    of_u, of_p = count(every, weights)[:, 0], count(positive, weights)
+    unseen = [of_p[k, 1 - k] for k in halves] or [of_p[0].sum(axis=0)]
+    prior = float(np.clip(np.mean([estimated_prior(a, b) for a, b in zip(of_u, unseen, strict=True)]), *PRIORS))
+    w = fitted(n_p.sum(), p.sum(axis=0), prior)
+    return Model(w, calibrate(count(every, [w])[0, 0], count(positive, [w])[0].sum(axis=0), prior), prior)
 
 
 def _made(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
