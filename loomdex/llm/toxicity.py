@@ -5,19 +5,22 @@ weight vector for all thresholds, which stay ordered, as each is the last plus a
 The expected severity is the sum of these probabilities over j; a document is toxic if grade 1
 or more is likelier than not.
 
-Labels say toxic or not; the grade of a toxic one is how much learned toxic wording its text
-has: words that lean to toxic texts by their smoothed log-odds are found in the learning rows,
-and rows labelled toxic get grade 1, 2 or 3 by the thirds of their density of such words.
+Labels say toxic or not; the grade of a toxic one is how densely learned toxic wording stands in
+its text: words that lean to toxic texts by their smoothed log-odds are found in the learning
+rows, and rows labelled toxic get grade 1, 2 or 3 by the thirds of the share of such words among
+their words, so a grade doesn't follow the length.
 
 Features are sparse: for each of at most VOCABULARY words, chosen by the weight of evidence in
-the learning rows, 1 + log(its count). Words are runs of letters in lower case. The model is
+the learning rows for or against toxicity, 1 + log(its count), and log(1 + hits), where hits are
+the words of toxic wording in a thousand. Words are runs of letters in lower case. The model is
 fitted on at most LEARN_ROWS labelled rows, taken in the order of a hash of their ids, from
 the fold that is not held out (see quality.in_fold); every document is then scored whole.
 
 Labels of null are ignored, an id labelled both ways is toxic if half of its labels say so.
 Without labelled rows of both kinds every severity is 0. Null and empty texts have no features
-and score by the thresholds alone. Repeated rows score alike. Input columns with the name of an
-output are replaced, others kept.
+and score by the thresholds alone. Repeated rows score alike. An empty table gives an empty result.
+Words of equal evidence are taken in alphabetical order, ids by hash, then value. Input columns
+with the name of an output are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from loomdex.llm.common import stored, with_columns
 from loomdex.llm.quality import in_fold
 
 GRADES, LEARN_ROWS, VOCABULARY = 3, 20_000, 2_048
-MIN_DOCS, RIDGE, STEPS = 3, 2e-5, 1500
+MIN_DOCS, EVIDENCE, AGAINST, RIDGE, STEPS = 3, 4.0, -3.0, 1e-3, 1500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,9 +70,12 @@ def evidence(rows: DataFrame) -> tuple[dict[str, float], int, int]:
         return {}, bad, good
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     weighed = rows.mapInArrow(seen, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") + F.col("good") >= MIN_DOCS)
-    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = weighed.select("word", odds.alias("odds"), (odds / error).alias("z")).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect()
-    return {r["word"]: r["odds"] for r in best if r["z"] >= 3}, bad, good
+    # the signed root of the likelihood ratio against a word that both kinds of texts share evenly
+    rate = bad / (bad + good)
+    part = lambda k, expected: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("bad") + F.col("good")) * expected))).otherwise(0.0)
+    z = F.signum(odds) * F.sqrt(F.greatest(2 * (part("bad", rate) + part("good", 1 - rate)), F.lit(0.0)))
+    best = weighed.select("word", odds.alias("odds"), z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect()
+    return {r["word"]: r["odds"] for r in best if not AGAINST < r["z"] < EVIDENCE}, bad, good
 
 
 def value_of(count):
@@ -77,15 +83,22 @@ def value_of(count):
     return 1 + np.log(count)
 
 
+def value_of_density(density):
+    """The feature of a share of toxic wording."""
+    return np.log1p(1000 * density)
+
+
 class Ordinal:
-    """Weights shared by all thresholds, and the thresholds."""
+    """Weights shared by all thresholds, the last of them that of density, the thresholds, and the words that lean to toxic texts."""
 
-    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, thresholds: np.ndarray):
-        self.vocabulary, self.weights, self.thresholds = vocabulary, weights, thresholds
+    def __init__(self, vocabulary: dict[str, int], leaning: set[int], weights: np.ndarray, thresholds: np.ndarray):
+        self.vocabulary, self.leaning, self.weights, self.thresholds = vocabulary, leaning, weights, thresholds
 
     def margin(self, text: str | None) -> float:
-        seen = Counter(i for w in words_of(text) if (i := self.vocabulary.get(w)) is not None)
-        return float(sum(self.weights[i] * value_of(n) for i, n in seen.items()))
+        words = words_of(text)
+        seen = Counter(i for w in words if (i := self.vocabulary.get(w)) is not None)
+        hits = sum(n for i, n in seen.items() if i in self.leaning)
+        return float(sum(self.weights[i] * value_of(n) for i, n in seen.items()) + self.weights[-1] * value_of_density(hits / max(len(words), 1)))
 
     def above(self, margins: np.ndarray) -> np.ndarray:
         """P(grade > j) by row and threshold."""
@@ -125,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if not odds:
         return None
     index = {w: i for i, w in enumerate(sorted(odds))}
+    leaning = {i for w, i in index.items() if odds[w] > 0}
 
     def sparse(batches):
         for b in batches:
@@ -135,14 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 out.append({"i": list(seen), "n": list(seen.values()), "words": len(words)})
             yield pa.RecordBatch.from_arrays([pa.array([o["i"] for o in out], pa.list_(pa.int32())), pa.array([o["n"] for o in out], pa.list_(pa.int32())), pa.array([o["words"] for o in out], pa.int64()), b.column(1)], names=["i", "n", "words", "toxic"])
 
-    got = rows.mapInArrow(sparse, "i array<int>, n array<int>, words long, toxic boolean").orderBy("words", "i", "n").collect()
+    got = rows.mapInArrow(sparse, "i array<int>, n array<int>, words long, toxic boolean").collect()
+    got.sort(key=lambda r: (r["words"], r["i"], r["n"], r["toxic"]))  # so that reruns agree
     row = np.repeat(np.arange(len(got)), [len(r["i"]) for r in got])
     col, n = (np.array([x for r in got for x in r[c]], np.int64) for c in ("i", "n"))
-    hits = np.bincount(row, n, len(got))
+    hits = np.bincount(row, n * np.isin(col, list(leaning)), len(got))
+    density = hits / np.maximum([r["words"] for r in got], 1)
     toxic = np.array([r["toxic"] for r in got])
-    cuts = np.quantile(hits[toxic & (hits > 0)], [1 / 3, 2 / 3]) if (toxic & (hits > 0)).any() else [0, 0]
-    y = np.where(toxic, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0).astype(np.int64)
-    return Ordinal(index, *fit(row, col, value_of(n), len(index), y))
+    cuts = np.quantile(density[toxic & (hits > 0)], [1 / 3, 2 / 3]) if (toxic & (hits > 0)).any() else [0, 0]
+    y = np.where(toxic, 1 + (density > cuts[0]) + (density > cuts[1]), 0).astype(np.int64)
+    dense = np.flatnonzero(hits)
+    row, col, value = np.concatenate([row, dense]), np.concatenate([col, np.full(len(dense), len(index))]), np.concatenate([value_of(n), value_of_density(density[dense])])
+    return Ordinal(index, leaning, *fit(row, col, value, len(index) + 1, y))
 
 
 def severity(docs: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
