@@ -37,6 +37,12 @@ def lengths(docs: DataFrame, path: str = "path", text: str = "symbols") -> DataF
     return docs.select(F.col(path).alias("path"), F.size(tokens_of(F.col(text))).alias("dl"))
 
 
+def term_counts(docs: DataFrame, path: str = "path", text: str = "symbols") -> DataFrame:
+    """(term, df, cf): documents and places of each term; documents count their own terms first, without positions."""
+    each = docs.select(F.col(path).alias("path"), F.explode(tokens_of(F.col(text))).alias("term"))
+    return each.groupBy("path", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"))
 

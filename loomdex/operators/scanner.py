@@ -45,6 +45,8 @@ _HEADS: dict[str, list[tuple[str, re.Pattern]]] = {
         ("function", re.compile(r"(?:\basync\s+)?\bfunction\s*\*?\s+(?P<name>[\w$]+)")),
         ("class", re.compile(r"(?:\babstract\s+)?\bclass\s+(?!extends\b)(?P<name>[\w$]+)")),
         ("variable", re.compile(r"\b(?:const|let|var)\s+(?P<name>[\w$]+|[\[{][^=;]*?[\]}])")),
+        # of objects and unnamed classes: what is inside a named declaration isn't searched
+        ("method", re.compile(r"(?<![\w$.)\s])\s*(?P<lead>(?:(?:static|async|get|set)\s+)*\*?\s*)(?P<name>[\w$]+)\s*\([^(){};]*\)\s*(?::\s*[\w<>\[\]|. ]+)?\{")),
     ],
     "go": [
         ("function", re.compile(r"(?m)^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)")),
@@ -58,11 +60,12 @@ _HEADS: dict[str, list[tuple[str, re.Pattern]]] = {
     "c": [
         ("struct", re.compile(r"\bstruct\s+(?P<name>\w+)")),
         ("enum", re.compile(r"\benum\s+(?:class\s+|struct\s+)?(?P<name>\w+)")),
-        ("function", re.compile(r"(?m)^[ \t]*(?:[\w:<>,~*&]+[ \t*&]+)+[*&]*(?P<name>~?\w+(?:::~?\w+)*)\s*\([^;{}]*\)[^;{}()]*(?=\{)")),
+        # at the start of a line, or behind what ends a declaration; constructors have no type, and may have a list of initial values
+        ("function", re.compile(r"(?m)(?:^|(?<=[{};:]))[ \t]*(?P<lead>(?:[\w:<>,~*&]+[ \t*&]+)*[*&]*)(?P<name>~?\w+(?:::~?\w+)*)\s*\([^;{}]*?\)[^;{}()=]*(?:(?<!:):(?!:)[^;{}]*)?(?=\{)")),
     ],
 }
 _HEADS |= {"typescript": _HEADS["javascript"], "cpp": _HEADS["c"]}
-_NOT_NAMES = {"if", "for", "while", "switch", "return", "else", "catch", "sizeof", "do"}
+_NOT_NAMES = {"if", "for", "while", "switch", "return", "else", "catch", "sizeof", "do", "with", "function"}
 _OPEN, _CLOSE = "([{", ")]}"
 
 
@@ -173,6 +176,13 @@ def declarations(code: str, language: str, inside: tuple[str, ...] = ()) -> list
             name = _impl_type(code[m.start("head") : m.end("head")])
         if name in _NOT_NAMES or not name:
             continue
+        if kind == "method":
+            start = m.start("name") if not m["lead"].strip() else m.start("lead") + len(m["lead"]) - len(m["lead"].lstrip())
+            found.append(Declaration(kind, name, start, end := body_end(bare, m.end() - 1)))
+            free = end
+            continue
+        if language in ("c", "cpp") and kind == "function":
+            start += len(m[0]) - len(m[0].lstrip())
         if kind == "variable":
             end = _variable_end(bare, m.end())
             start = m.start("name")

@@ -49,9 +49,10 @@ def _extract(code: pd.Series, language: pd.Series) -> pd.Series:
 
 
 def with_symbols(df: DataFrame, text: str = "content", language: str = "language", out: str = "symbol_list") -> DataFrame:
-    """df with the array of each row's symbols. Only rows of parsed languages reach Python."""
+    """df with the array of each row's symbols. Texts of languages that aren't parsed aren't sent to Python."""
     extract = pandas_udf(_extract, f"array<{SYMBOL}>")
-    return df.withColumn(out, F.when(F.col(language).isin(*PARSED_LANGUAGES), extract(F.col(text), F.col(language))).otherwise(F.array().cast(f"array<{SYMBOL}>")))
+    parsed = F.when(F.col(language).isin(*PARSED_LANGUAGES), F.col(text))
+    return df.withColumn(out, extract(parsed, F.col(language)))
 
 
 def symbols_text(symbols: Column) -> Column:

@@ -8,6 +8,7 @@ rounded to 6 places on both sides, and every top list has a tie-breaker.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,11 @@ from loomdex.functions import language, text, vectors
 from loomdex.operators import chunks, filters, lexical, lines, metadata, symbols
 from loomdex.operators import vectors as search_vectors
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
-from loomdex.plans import extensions
+from loomdex.plans import extensions, search
+from loomdex.plans.cache import ResultCache
+from loomdex.plans.config import SearchQuery
+from loomdex.plans.engine import document_rows
+from loomdex.sources.workspace import read_paths, read_workspaces
 from loomdex.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,7 +114,8 @@ def boolean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id""",
 )
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = documents(spark, sf_dir).select("path", text.tokens_of(F.col("content")).alias("t"))
+    some = documents(spark, sf_dir).where(F.contains(F.lower("content"), F.lit("of")) & F.contains(F.lower("content"), F.lit("the")))
+    tokens = some.select("path", text.tokens_of(F.col("content")).alias("t"))
     pairs = F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.when((a == "of") & (b == "the"), 1).otherwise(0))
     return tokens.select(F.col("path").alias("doc_id"), F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x).alias("phrases")).where("phrases > 0")
 
@@ -132,8 +138,7 @@ def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 20""",
 )
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _doc_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return found.where("df >= 20")
+    return lexical.term_counts(documents(spark, sf_dir), "path", "content").where("df >= 20")
 
 
 @query("index_doc_count", "SELECT count(*) AS indexed_files, count(*) * 20 AS total_symbols FROM documents")
@@ -149,8 +154,25 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- lines -------------------------------------------------------------------------------------
 
-_LINES = r"""(SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS line_number, l FROM
-    (SELECT doc_id, source, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS l FROM documents WHERE text <> ''))"""
+def _lines_of(rows: str) -> str:
+    return rf"""(SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS line_number, l FROM
+    (SELECT doc_id, source, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '\r$', '')) AS l FROM {rows} WHERE text <> ''))"""
+
+
+_LINES = _lines_of("documents")
+#: documents as source files: a definition before and one behind the text.
+_FILES = "(SELECT doc_id, source, 'pub fn license_' || doc_id || '() {' || chr(10) || text || chr(10) || '}' || chr(10) || 'struct Row' || doc_id || ';' || chr(10) AS text FROM documents)"
+_FILE_PATH = "source || '/f' || doc_id || '.rs'"
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as source files, whose indexed symbols are the text."""
+    d = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    code = F.concat(F.lit("pub fn license_"), number, F.lit("() {\n"), F.col("text"), F.lit("\n}\nstruct Row"), number, F.lit(";\n"))
+    return d.select("doc_id", F.concat("source", F.lit("/f"), number, F.lit(".rs")).alias("path"), code.alias("content"), F.col("source").alias("repository"), F.col("text").alias("symbols"))
+
+
 _WORDS = " OR ".join(f"contains(lower(line), '{w}')" for w in text.DEFINITION_WORDS)
 
 
@@ -160,52 +182,66 @@ def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), "content")
 
 
+_HITS = f"FROM {_lines_of(_FILES)} WHERE ({_WORDS}) AND contains(lower(line), 'license')"
 
 
-@query("line_matches", f"SELECT doc_id, line_number, strlen(substr(lower(line), 1, instr(lower(line), 'inter') - 1)) AS \"column\", line AS content FROM {_LINES} WHERE ({_WORDS}) AND contains(lower(line), 'inter')")
+@query("line_matches", f"SELECT doc_id, line_number, strlen(substr(lower(line), 1, instr(lower(line), 'license') - 1)) AS \"column\", line AS content {_HITS}")
 def line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.definition_matches(documents(spark, sf_dir).select("path", "content"), "Inter")
-    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), F.col("column").cast("long").alias("column"), "content")
+    found = lines.definition_matches(files(spark, sf_dir).select("doc_id", "content"), "License")
+    return found.select("doc_id", F.col("line_number").cast("long").alias("line_number"), F.col("column").cast("long").alias("column"), "content")
 
 
 @query(
     "line_context",
     f"""SELECT doc_id, line_number, array_to_string(l[greatest(line_number - 3, 1):line_number - 1], chr(10)) AS context_before,
-        array_to_string(l[line_number + 1:line_number + 3], chr(10)) AS context_after FROM {_LINES} WHERE ({_WORDS}) AND contains(lower(line), 'inter')""",
+        array_to_string(l[line_number + 1:line_number + 3], chr(10)) AS context_after {_HITS}""",
 )
 def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.definition_matches(documents(spark, sf_dir).select("path", "content"), "inter")
+    found = lines.definition_matches(files(spark, sf_dir).select("doc_id", "content"), "license")
     joined = lambda c: F.array_join(c, "\n").alias(c)
-    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), joined("context_before"), joined("context_after"))
+    return found.select("doc_id", F.col("line_number").cast("long").alias("line_number"), joined("context_before"), joined("context_after"))
 
 
 # --- search pages ------------------------------------------------------------------------------
 
+_SYMBOL_QUERY = SearchQuery("license", "symbol", tuple(f"src{k}" for k in range(14)), ("*1*",), limit=120, offset=10)
 _PAGE = (
-    _bm25_sql(("the", "and"))
-    + f""", top AS (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 30),
-    ln AS (SELECT top.doc_id, top.score, x.line_number, x.line FROM top JOIN {_LINES} x ON x.doc_id = top.doc_id
-        WHERE (contains(lower(line), 'the ') OR contains(lower(line), 'and ')) AND contains(lower(line), 'the'))"""
+    _bm25_sql(("license",))
+    + f""", top AS (SELECT *, {_FILE_PATH} AS path FROM scores ORDER BY score DESC, path LIMIT 130),
+    f AS (SELECT * FROM top WHERE source IN ({", ".join(f"'{x}'" for x in _SYMBOL_QUERY.repositories)}) AND contains(split_part(path, '/', -1), '1')),
+    ln AS (SELECT f.path AS file_path, f.source AS repository, x.line_number, strlen(substr(lower(line), 1, instr(lower(line), 'license') - 1)) AS "column", line AS content,
+        array_to_string(l[greatest(line_number - 3, 1):line_number - 1], chr(10)) AS context_before, array_to_string(l[line_number + 1:line_number + 3], chr(10)) AS context_after,
+        f.score, 'symbol' AS match_type FROM f JOIN {_lines_of(_FILES)} x ON x.doc_id = f.doc_id WHERE ({_WORDS}) AND contains(lower(line), 'license')),
+    page AS (SELECT * FROM ln ORDER BY ln.score DESC, file_path, line_number LIMIT 120 OFFSET 10)"""
 )
 
 
-def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    top = lexical.top_k(lexical.scan_scores(docs, ["the", "and"], "path", "content"), 30)
-    found = lines.explode_lines(lexical.fetch(top, docs.select("path", "content")))
-    low = F.lower("content")
-    return found.where((F.contains(low, F.lit("the ")) | F.contains(low, F.lit("and "))) & F.contains(low, F.lit("the")))
+def _symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything a symbol query finds, by the plan that the engine runs."""
+    docs = files(spark, sf_dir)
+    return search.symbol_results(_SYMBOL_QUERY, lexical.Index.build(docs), docs)
+
+
+def _shown(page: DataFrame) -> DataFrame:
+    """Result rows in comparable types."""
+    whole = {c: F.col(c).cast("long") for c in ("line_number", "column")}
+    return page.withColumns(whole | {c: F.array_join(c, "\n") for c in ("context_before", "context_after")} | {"score": six(F.col("score"))})
 
 
-@query("symbol_search_page", _PAGE + " SELECT doc_id, line_number, line AS content, round(score, 6) AS score FROM ln ORDER BY ln.score DESC, doc_id, line_number LIMIT 20 OFFSET 10")
+@query("symbol_search_page", _PAGE + " SELECT * REPLACE (round(score, 6) AS score) FROM page")
 def symbol_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _page_lines(spark, sf_dir).orderBy(F.desc("score"), "path", "line_number").offset(10).limit(20)
-    return found.select(F.col("path").alias("doc_id"), F.col("line_number").cast("long").alias("line_number"), "content", six(F.col("score")).alias("score"))
+    return _shown(search.page(_symbol_lines(spark, sf_dir), _SYMBOL_QUERY.limit, _SYMBOL_QUERY.offset))
 
 
 @query("total_matches", _PAGE + " SELECT count(*) AS total_matches FROM ln")
 def total_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_lines(spark, sf_dir).agg(F.count("*").alias("total_matches"))
+    return search.total_matches(_symbol_lines(spark, sf_dir))
+
+
+@query("json_results", _PAGE + " SELECT to_json({'file_path': file_path, 'line_number': line_number, 'content': content, 'match_type': match_type}) AS json FROM page")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = search.page(_symbol_lines(spark, sf_dir), _SYMBOL_QUERY.limit, _SYMBOL_QUERY.offset)
+    return search.as_json(page.select("file_path", "line_number", "content", "match_type"))
 
 
 @query("filter_after_topk", _bm25_sql(TERMS) + ", top AS (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id, source, round(score, 6) AS score FROM top WHERE source IN ('src0', 'src3')")
@@ -222,11 +258,6 @@ def filter_before_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))
 
 
-@query("json_results", "SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars}) AS json FROM documents")
-def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
-
-
 # --- paths and languages -----------------------------------------------------------------------
 
 _URL_PATH = "regexp_replace(url, '^[a-z]+://', '')"
@@ -305,6 +336,28 @@ def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("parsed", language.is_parsed(F.col("language")))
 
 
+_PACKAGE = str(Path(__file__).resolve().parents[1])
+
+
+@query(
+    "workspace_scan",
+    f"""SELECT 'loomdex' || substr(filename, {len(_PACKAGE) + 1}) AS path, 'loomdex' AS repository, 'python' AS language, size, sha256(content) AS hash, '1-' || len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS line_numbers
+        FROM read_text('{_PACKAGE}/**/*.py') WHERE content <> ''""",
+)
+def workspace_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """This package as a workspace: scanned, read and described as the engine's tables hold it."""
+    files = read_workspaces(spark, [_PACKAGE]).withColumn("language", language.detect_language(F.col("path"), F.col("content")))
+    meta = metadata.file_metadata(files, CLOCK, modified="modified").select("path", "size", "hash")
+    return document_rows(files).select("path", "repository", "language", "line_numbers").join(meta, "path")
+
+
+@query("workspace_paths", f"SELECT 'loomdex' || substr(filename, {len(_PACKAGE) + 1}) AS path, size FROM read_text('{_PACKAGE}/functions/*.py') WHERE content <> ''")
+def workspace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named files only, as a change stream reads them; some are gone, some aren't indexable."""
+    names = [f"loomdex/functions/{p}" for p in (*sorted(x.name for x in Path(_PACKAGE, "functions").glob("*.py")), "gone.py", "logo.png")] + [None, "elsewhere/a.py"]
+    return read_paths(spark.createDataFrame([(n,) for n in names], "path string"), [_PACKAGE]).select("path", "size")
+
+
 # --- metadata and diffs ------------------------------------------------------------------------
 
 
@@ -494,20 +547,39 @@ def quantization_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.value, m.bytes_per_vector(), m.memory_reduction()) for m in QuantizationMode], "mode string, bytes_per_vector int, memory_reduction double")
 
 
+_SEMANTIC_QUERY = SearchQuery("any", "semantic", tuple(f"src{k}" for k in range(1, 10)), ("src*/f*1",), limit=58, offset=2)
+
+
 @query(
     "semantic_page",
     f"""WITH c AS (SELECT vec_id, 'src' || label || '/f' || vec_id AS file_path, {_COS} AS score FROM embeddings, {_Q}),
         top AS (SELECT * FROM c ORDER BY score DESC, vec_id LIMIT 60), f AS (SELECT * FROM top WHERE regexp_matches(file_path, 'src[^/]*/f[^/]*1') AND split_part(file_path, '/', 1) <> 'src0')
-        SELECT file_path, split_part(file_path, '/', 1) AS repository, round(score, 6) AS score FROM f ORDER BY f.score DESC, file_path LIMIT 40 OFFSET 2""",
+        SELECT file_path, split_part(file_path, '/', 1) AS repository, 2 AS line_number, 0 AS "column", 'chunk ' || vec_id AS content, CASE WHEN vec_id % 3 > 0 THEN 'a' || vec_id ELSE '' END AS context_before,
+        CASE WHEN vec_id % 3 > 0 THEN 'd' || chr(10) || 'e' ELSE '' END AS context_after, round(score, 6) AS score, 'semantic' AS match_type FROM f ORDER BY f.score DESC, file_path LIMIT 58 OFFSET 2""",
 )
 def semantic_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _embeddings(spark, sf_dir)
-    path = F.concat(F.lit("src"), F.col("label").cast("string"), F.lit("/f"), F.col("vec_id").cast("string"))
-    rows = e.select(F.col("vec_id").alias("id"), path.alias("file_path"), "embedding")
-    near = search_vectors.search(rows, _vector(spark, sf_dir), 60)
-    found = near.where(filters.path_filter(F.col("file_path"), ["src*/f*1"]) & filters.path_repository_filter(F.col("file_path"), [f"src{k}" for k in range(1, 10)]))
-    page = found.orderBy(F.desc("score"), "file_path").offset(2).limit(40)
-    return page.select("file_path", text.first_segment(F.col("file_path")).alias("repository"), six(F.col("score")).alias("score"))
+    """By the plan that the engine runs; a third of the files is gone since they were embedded."""
+    number = F.col("vec_id").cast("string")
+    path = F.concat(F.lit("src"), F.col("label").cast("string"), F.lit("/f"), number)
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), path.alias("file_path"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line"), F.concat(F.lit("chunk "), number).alias("content"), "embedding")
+    docs = rows.where("id % 3 > 0").select(F.col("file_path").alias("path"), F.concat(F.lit("a"), F.col("id").cast("string"), F.lit("\nb\nc\nd\ne\nf\n")).alias("content"))
+    found = search.semantic_results(_SEMANTIC_QUERY, _vector(spark, sf_dir), rows, docs)
+    return _shown(search.page(found, _SEMANTIC_QUERY.limit, _SEMANTIC_QUERY.offset))
+
+
+@query("asymmetric_search", f"""WITH c AS (SELECT vec_id, {_COS} AS score, list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: CASE WHEN p[1] > 0 THEN p[2] ELSE -p[2] END)) AS rough FROM embeddings, {_Q}),
+    near AS (SELECT * FROM c ORDER BY round(rough, 9) DESC, vec_id LIMIT 25) SELECT vec_id, round(score, 6) AS score FROM near ORDER BY near.score DESC, vec_id LIMIT 10""")
+def asymmetric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = QuantizationConfig.of(QuantizationMode.ASYMMETRIC)
+    found = search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 10, key="vec_id", config=config)
+    return found.select("vec_id", six(F.col("score")).alias("score"))
+
+
+@query("masked_mean_pool", "SELECT label, i, round(coalesce(avg(x) FILTER (vec_id % 4 = 0), 0), 6) AS mean FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir).withColumn("mask", (F.col("vec_id") % 4 == 0).cast("int"))
+    each = search_vectors.mean_pool(e, ["label"], mask="mask").select("label", F.posexplode("embedding").alias("i", "mean"))
+    return each.select("label", F.col("i").cast("long").alias("i"), six(F.col("mean")).alias("mean"))
 
 
 @query("embedding_memo", f"SELECT doc_id, round((v[1] / n)::FLOAT::DOUBLE, 6) AS first FROM (SELECT doc_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT doc_id, {_BYTES} AS v FROM documents))")
@@ -530,21 +602,25 @@ def embedding_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- code ----------------------------------------------------------------------------------------
 
 _CODE = {
-    "rust": "pub struct Stack<T> {\n    items: Vec<T>,\n}\nimpl<T> Stack<T> {\n    fn push(&mut self) {}\n}\nenum Tree { Leaf }\ntrait Shape { fn area(&self); }\nmod inner { fn hidden() {} }\nconst LIMIT: usize = 3;\nfn main() {}\n",
+    "rust": "pub struct Ledger<K> {\n    rows: Vec<K>,\n}\nimpl<K> Ledger<K> {\n    fn post(&mut self) {}\n}\nenum Side { Debit }\ntrait Priced { fn price(&self); }\nmod audit { fn hidden() {} }\nconst LIMIT: usize = 3;\nfn main() {}\n",
     "python": "class A:\n    def m(self):\n        pass\n\nasync def f():\n    pass\n",
-    "javascript": "function a() { return 1 }\nclass B { m() {} }\nconst c = () => 1;\n",
+    "javascript": "function a() { return 1 }\nclass B { m() {} }\nconst c = () => 1;\nrun(function d() { return 2 });\nmodule.exports = {\n  e(x) { if (x) { return 1 } },\n  async g() {}\n};\n",
+    "typescript": "export class Box<T> { get(): T { return this.v } }\nexport function pack(n: number): string { return `${n}` }\nlet z: number = 1;\nexport default { render(): void {} };\n",
     "go": "package p\nfunc A() {}\nfunc (r *T) M() {}\ntype T struct { a int }\ntype I interface { M() }\n",
     "java": "public class A { void m() {} }\ninterface I { void f(); }\nenum C { A }\n",
     "c": "struct point { int x; };\nenum color { RED };\nint add(int a, int b) { return a + b; }\n",
+    "cpp": "class Shape {\npublic:\n  Shape(int n) : n_(n) {}\n  int area() const { return n_; }\n  ~Shape() {}\n};\nenum class Mode { On };\nint Shape::twice(int k) { return 2 * k; }\nstruct Pair { int sum() { return 0; } };\n",
     "toml": "[a]\nb = 1\n",
 }
 _SYMBOLS = {
-    "rust": [("struct", "Stack", 0, 2), ("impl", "Stack<T>", 3, 5), ("enum", "Tree", 6, 6), ("trait", "Shape", 7, 7), ("module", "inner", 8, 8), ("constant", "LIMIT", 9, 9), ("function", "main", 10, 10)],
+    "rust": [("struct", "Ledger", 0, 2), ("impl", "Ledger<K>", 3, 5), ("enum", "Side", 6, 6), ("trait", "Priced", 7, 7), ("module", "audit", 8, 8), ("constant", "LIMIT", 9, 9), ("function", "main", 10, 10)],
     "python": [("class", "A", 0, 2), ("function", "f", 4, 5)],
-    "javascript": [("function", "a", 0, 0), ("class", "B", 1, 1), ("variable", "c", 2, 2)],
+    "javascript": [("function", "a", 0, 0), ("class", "B", 1, 1), ("variable", "c", 2, 2), ("function", "d", 3, 3), ("method", "e", 5, 5), ("method", "g", 6, 6)],
+    "typescript": [("class", "Box", 0, 0), ("function", "pack", 1, 1), ("variable", "z", 2, 2), ("method", "render", 3, 3)],
     "go": [("function", "A", 1, 1), ("function", "M", 2, 2), ("struct", "T", 3, 3), ("interface", "I", 4, 4)],
     "java": [("class", "A", 0, 0), ("interface", "I", 1, 1), ("enum", "C", 2, 2)],
     "c": [("struct", "point", 0, 0), ("enum", "color", 1, 1), ("function", "add", 2, 2)],
+    "cpp": [("function", "Shape", 2, 2), ("function", "area", 3, 3), ("function", "~Shape", 4, 4), ("enum", "Mode", 6, 6), ("function", "Shape::twice", 7, 7), ("struct", "Pair", 8, 8)],
 }
 _SYMBOL_VALUES = ", ".join(f"('{lang}', '{k}', '{n}', {a}, {b})" for lang, all_ in _SYMBOLS.items() for k, n, a, b in all_)
 
@@ -605,11 +681,42 @@ def range_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cache and change stream -------------------------------------------------------------------
 
 
-@query("cache_metrics", "SELECT count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, round(coalesce(count(*) FILTER (event_type = 'view') / nullif(count(*) FILTER (event_type IN ('view', 'click')), 0), 0), 6) AS hit_rate FROM events")
+_CACHE_STEPS, _CACHE_TTL = 90, 11
+_CACHE = f"""(SELECT i, 2 * i AS t, 'q' || lpad((i * i % 7)::VARCHAR, 2, '0') AS q, i // 30 AS version, i % 3 = 0 AS puts FROM generate_series(0, {_CACHE_STEPS - 1}) s(i))"""
+_CACHE_HITS = f"""(SELECT g.i, max(p.t) IS NOT NULL AND g.t - max(p.t) <= {_CACHE_TTL} AS hit FROM {_CACHE} g LEFT JOIN {_CACHE} p ON p.puts AND p.i < g.i AND p.q = g.q AND p.version = g.version WHERE NOT g.puts GROUP BY g.i, g.t)"""
+
+
+def _cache_run() -> tuple[list[tuple[int, bool]], ResultCache]:
+    """Puts and gets at set times, with a new index version now and then."""
+    now, hits = [0], []
+    cache = ResultCache(1000, _CACHE_TTL, lambda: now[0])
+    for i in range(_CACHE_STEPS):
+        now[0], asked = 2 * i, SearchQuery(f"q{i * i % 7:02}")
+        if i % 3 == 0:
+            cache.put(asked, i, i // 30)
+        else:
+            hits.append((i, cache.get(asked, i // 30) is not None))
+    return hits, cache
+
+
+@query("cache_gets", f"SELECT i, hit FROM {_CACHE_HITS}")
+def cache_gets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_cache_run()[0], "i long, hit boolean")
+
+
+@query("cache_metrics", f"SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) AS queries, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM {_CACHE_HITS}")
 def cache_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, misses = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type") == "click")
-    rate = F.coalesce(hits / F.nullif(hits + misses, F.lit(0)), F.lit(0.0))
-    return table(spark, sf_dir, "events").agg(hits.alias("hits"), misses.alias("misses"), six(rate).alias("hit_rate"))
+    m = _cache_run()[1].metrics
+    return spark.createDataFrame([(m.hits, m.misses, m.queries, round(m.hit_rate(), 6))], "hits long, misses long, queries long, hit_rate double")
+
+
+@query("cache_after_expiry", f"""SELECT q, version FROM (SELECT q, version, max(t) AS t FROM {_CACHE} WHERE puts GROUP BY q, version) WHERE version = {(_CACHE_STEPS - 1) // 30} AND {2 * (_CACHE_STEPS - 1)} - t <= {_CACHE_TTL}""")
+def cache_after_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is held once what is old has expired and other versions are dropped."""
+    cache = _cache_run()[1]
+    cache.expire()
+    cache.invalidate((_CACHE_STEPS - 1) // 30)
+    return spark.createDataFrame([(asked.query, version) for asked, version in cache._held], "q string, version long")
 
 
 def change_events(events: DataFrame) -> DataFrame:
@@ -671,12 +778,13 @@ def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     "hybrid_rrf",
     _bm25_sql(TERMS)
     + """, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 50)),
-    b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50)),
+    v AS (SELECT vec_id AS doc_id, """ + _COS + """ AS s FROM embeddings, """ + _Q + """),
+    b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM (SELECT doc_id, s FROM v ORDER BY s DESC, doc_id LIMIT 50)),
     f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id)
     SELECT doc_id, round(score, 6) AS score FROM f ORDER BY f.score DESC, doc_id LIMIT 20""",
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = extensions.ranked(lexical.top_k(_bm25(spark, sf_dir), 50))
-    long_ones = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("score"))
-    found = extensions.reciprocal_rank_fusion(a, extensions.ranked(lexical.top_k(long_ones, 50)), 20)
+    near = search_vectors.search(_embeddings(spark, sf_dir), _vector(spark, sf_dir), 50, key="vec_id").select(F.col("vec_id").alias("path"), "score")
+    found = extensions.reciprocal_rank_fusion(a, extensions.ranked(near), 20)
     return found.select(F.col("path").alias("doc_id"), six(F.col("score")).alias("score"))

@@ -21,6 +21,7 @@ class Config:
     enable_semantic: bool = True
     languages: tuple[str, ...] = ()
     file_watch_debounce_ms: int = 500
+    index_buckets: int = 32
     quantization: QuantizationConfig = field(default_factory=QuantizationConfig)
 
     def merged(self, **changes) -> Config:
@@ -38,7 +39,7 @@ class Config:
         for key in ("workspace_roots", "languages"):
             if (v := get(key)) is not None:
                 found[key] = tuple(x for x in v.split(",") if x)
-        for key in ("max_file_size", "file_watch_debounce_ms"):
+        for key in ("max_file_size", "file_watch_debounce_ms", "index_buckets"):
             if (v := get(key)) is not None:
                 found[key] = int(v)
         if (v := get("cache_dir")) is not None:

@@ -18,13 +18,13 @@ from loomdex.functions.vectors import fallback_embedding
 from loomdex.operators import metadata, vectors
 from loomdex.operators.chunks import chunk_files
 from loomdex.operators.lexical import Index
-from loomdex.operators.metadata import VersionedTable
+from loomdex.operators.metadata import Pointer, VersionedTable
 from loomdex.operators.symbols import symbols_text, with_symbols
 from loomdex.plans import search
 from loomdex.plans.cache import ResultCache
 from loomdex.plans.config import Config, SearchQuery
-from loomdex.sources.workspace import folder_bytes, read_workspaces
-from loomdex.streaming.changes import Watcher, apply_batch
+from loomdex.sources.workspace import folder_bytes, read_paths, read_workspaces
+from loomdex.streaming.changes import DELETED, Watcher, last_per_path, watch_workspaces
 
 
 class NotStarted(RuntimeError):
@@ -43,6 +43,13 @@ class SearchResponse:
     from_cache: bool = False
 
 
+def document_rows(files: DataFrame) -> DataFrame:
+    """What the index holds of files: their symbols and the range of their lines."""
+    made = with_symbols(files).withColumn("symbols", symbols_text(F.col("symbol_list")))
+    lines = F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))
+    return made.select("path", "content", "language", "symbols", F.concat(F.lit("1-"), lines.cast("string")).alias("line_numbers"), "repository", F.size("symbol_list").alias("n_symbols"))
+
+
 class Engine:
     """embedder turns texts into vectors; without one, semantic search finds nothing, as hashes carry no meaning."""
 
@@ -56,8 +63,18 @@ class Engine:
     def _open(self) -> None:
         if not self.config.cache_dir:
             raise ValueError("cache_dir must name a folder that all machines share")
-        at = lambda name: VersionedTable(self.spark, f"{self.config.cache_dir}/{name}")
-        self.documents, self.files, self.chunks = at("documents"), at("files"), at("chunks")
+        at = lambda name, key="path", order=(): VersionedTable(self.spark, f"{self.config.cache_dir}/{name}", key, self.config.index_buckets, order)
+        self.tables = {"documents": at("documents"), "files": at("files"), "chunks": at("chunks", "file_path"), "postings": at("index/postings", order=("term",)), "lengths": at("index/lengths")}
+        self._state = Pointer(self.spark, f"{self.config.cache_dir}/state")
+
+    def state(self) -> dict:
+        """The versions of the tables that belong together, and the last batch of changes they hold."""
+        return self._state.current()[1] or {"tables": {}, "batch": -1}
+
+    def read(self, name: str, state: dict | None = None) -> DataFrame | None:
+        """A table as the state has it."""
+        version = (state or self.state())["tables"].get(name)
+        return None if version is None else self.tables[name].read(version)
 
     def __enter__(self) -> Engine:
         return self.start()
@@ -88,13 +105,12 @@ class Engine:
 
     def _scan(self, repositories: Sequence[str] | None = None) -> DataFrame:
         roots = [r for r in self.config.workspace_roots if repositories is None or r.rstrip("/").rsplit("/", 1)[-1] in repositories]
-        found = read_workspaces(self.spark, roots, self.config.max_file_size).withColumn("language", detect_language(F.col("path"), F.col("content")))
-        return found.where(F.col("language").isin(*self.config.languages)) if self.config.languages else found
+        return self._kept(read_workspaces(self.spark, roots, self.config.max_file_size))
 
-    def _documents_of(self, files: DataFrame) -> DataFrame:
-        made = with_symbols(files).withColumn("symbols", symbols_text(F.col("symbol_list")))
-        lines = F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n"))
-        return made.select("path", "content", "language", "symbols", F.concat(F.lit("1-"), lines.cast("string")).alias("line_numbers"), "repository", F.size("symbol_list").alias("n_symbols"))
+    def _kept(self, found: DataFrame) -> DataFrame:
+        """Files with their language, of the languages that are indexed."""
+        found = found.withColumn("language", detect_language(F.col("path"), F.col("content")))
+        return found.where(F.col("language").isin(*self.config.languages)) if self.config.languages else found
 
     def _chunks_of(self, files: DataFrame) -> DataFrame:
         chunks = chunk_files(files)
@@ -107,44 +123,73 @@ class Engine:
         that are gone are removed with their chunks.
         """
         self._check()
-        files = self._scan(repositories).persist()
+        known = self.read("files")
+        if known is not None and repositories is not None:
+            known = known.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*repositories))
+        return self._bring(self._scan(repositories), known)
+
+    def _bring(self, found: DataFrame, known: DataFrame | None, batch: int | None = None) -> dict[str, int]:
+        """Make the tables hold what was found in the place of what was known of it.
+
+        Every table gets a new version, in which only the changed files' buckets are written; the
+        state that names these versions comes last. So a search sees all of a change or nothing,
+        and after a crash in between the change is simply made again from the old state.
+        """
+        files = found.persist()
+        status = None
         try:
             now = metadata.file_metadata(files, int(self.clock()), modified="modified")
-            stored = self.files.read()
-            empty = self.spark.createDataFrame([], now.schema)
-            known = empty if stored is None else stored
-            in_scope = known if repositories is None else known.where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*repositories))
-            status = metadata.diff(now, in_scope).persist()
+            status = metadata.diff(now, self.spark.createDataFrame([], now.schema) if known is None else known).persist()
             counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-            if counts.get("new") or counts.get("changed") or counts.get("deleted"):
+            state = self.state()
+            versions = dict(state["tables"])
+            change = lambda name, rows, keys: versions.update({name: self.tables[name].change(rows, keys, base=versions.get(name, -1))})
+            changed = status.where("status <> 'unchanged'").select("path")
+            if set(counts) - {"unchanged"}:
                 fresh = files.join(status.where(F.col("status").isin("new", "changed")), "path", "left_semi")
-                gone = status.where("status <> 'unchanged'").select("path")
-                for table, rows, key in ((self.documents, self._documents_of(fresh), "path"), (self.chunks, self._chunks_of(fresh), "file_path")):
-                    if table is self.chunks and not self.config.enable_semantic:
-                        continue
-                    held = table.read()
-                    table.commit(rows if held is None else held.join(gone.withColumnRenamed("path", key), key, "left_anti").select(*rows.columns).unionByName(rows))
-                Index.build(self.documents.read().select("path", "symbols")).write(f"{self.config.cache_dir}/index/v{self.documents.version}")
-                self.cache.invalidate(self.documents.version)
+                change("documents", document_rows(fresh), changed)
+                if self.config.enable_semantic:
+                    change("chunks", self._chunks_of(fresh), changed.withColumnRenamed("path", "file_path"))
+                made = self.tables["documents"].read(versions["documents"]).join(changed, "path", "left_semi").select("path", "symbols")
+                index = Index.build(made)
+                change("postings", index.postings, changed)
+                change("lengths", index.lengths, changed)
             if counts:
-                others = known.join(status.select("path"), "path", "left_anti")
-                self.files.commit(others.unionByName(now))
-            status.unpersist()
+                change("files", now, status.select("path"))
+            if counts or batch is not None:
+                self._state.advance(self._state.next(), {"tables": versions, "batch": state["batch"] if batch is None else batch})
+                self.cache.invalidate(versions.get("documents", -1))
             return counts
         finally:
             files.unpersist()
+            if status is not None:
+                status.unpersist()
+
+    def watch(self, events: DataFrame | None = None, available_now: bool = False) -> None:
+        """Follow the workspaces, or a stream of (path, kind, ts, event_id) with paths as read_workspaces has them.
 
-    def watch(self, events: DataFrame) -> None:
-        """Follow a stream of (path, kind, ts, event_id); paths are those of read_workspaces."""
+        A batch reads the files it names and no others. One that is delivered again changes nothing.
+        """
         self._check()
         if self._watcher is None:
-
-            def read(paths: DataFrame) -> DataFrame:
-                return self._documents_of(self._scan().join(paths, "path", "left_semi"))
-
-            apply = apply_batch(self.documents, read, self.chunks if self.config.enable_semantic else None)
-            self._watcher = Watcher(events, apply, f"{self.config.cache_dir}/watch")
-        self._watcher.start()
+            if events is None:
+                events = watch_workspaces(self.spark, self.config.workspace_roots, self.config.max_file_size)
+
+            def apply(batch: DataFrame, number: int) -> None:
+                if number <= self.state()["batch"]:
+                    return
+                last = last_per_path(batch).persist()
+                try:
+                    if last.isEmpty():
+                        return
+                    named = read_paths(last.where(F.col("kind") != DELETED), self.config.workspace_roots, self.config.max_file_size)
+                    known = self.read("files")
+                    self._bring(self._kept(named), None if known is None else known.join(last.select("path"), "path", "left_semi"), number)
+                finally:
+                    last.unpersist()
+
+            self._watcher = Watcher(events, apply, f"{self.config.cache_dir}/watch", f"{self.config.file_watch_debounce_ms} milliseconds")
+        self._watcher.start(available_now)
 
     def is_watching(self) -> bool:
         return self._watcher is not None and self._watcher.is_watching()
@@ -156,10 +201,11 @@ class Engine:
     def search(self, query: SearchQuery) -> SearchResponse:
         self._check()
         began = time.perf_counter()
-        version = self.documents.version
+        state = self.state()
+        version = state["tables"].get("documents", -1)
         if cached := self.cache.get(query, version):
             return SearchResponse(cached.query, cached.rows, cached.results, cached.total_matches, cached.search_time_ms, True)
-        found = self._results(query, version)
+        found = self._results(query, state)
         if found is None:
             rows, results, total = [], self.spark.createDataFrame([], "file_path string"), 0
         else:
@@ -172,14 +218,13 @@ class Engine:
         self.cache.put(query, response, version)
         return response
 
-    def _results(self, query: SearchQuery, version: int) -> DataFrame | None:
-        docs = self.documents.read()
+    def _results(self, query: SearchQuery, state: dict) -> DataFrame | None:
+        docs = self.read("documents", state)
         if docs is None:
             return None
         if query.mode == "symbol":
-            index = Index.read(self.spark, f"{self.config.cache_dir}/index/v{version}")
-            return search.symbol_results(query, index, docs)
-        chunks = self.chunks.read()
+            return search.symbol_results(query, Index(self.read("postings", state), self.read("lengths", state)), docs)
+        chunks = self.read("chunks", state)
         if self.embedder is None or chunks is None or not self.config.enable_semantic:
             return None
         return search.semantic_results(query, self.embedder([query.query])[0], chunks, docs, self.config.quantization)
@@ -193,7 +238,8 @@ class Engine:
     def index_status(self) -> dict:
         """Counts and sizes; total_symbols is the estimate of 20 a file, exact_symbols what was found."""
         self._check()
-        files, docs = self.files.read(), self.documents.read()
+        state = self.state()
+        files, docs = self.read("files", state), self.read("documents", state)
         n = 0 if files is None else files.count()
         exact = 0 if docs is None else docs.agg(F.sum("n_symbols")).first()[0] or 0
         return {
@@ -206,8 +252,13 @@ class Engine:
         }
 
     def optimize(self) -> None:
+        """Rewrite all tables in few files and drop what only earlier states hold."""
         self._check()
-        for table in (self.documents, self.files, self.chunks):
-            table.optimize()
-            table.vacuum()
-        Index.build(self.documents.read().select("path", "symbols")).write(f"{self.config.cache_dir}/index/v{self.documents.version}")
+        state = self.state()
+        if not state["tables"]:
+            return
+        versions = {name: self.tables[name].optimize(n) for name, n in state["tables"].items()}
+        self._state.advance(self._state.next(), state | {"tables": versions})
+        self._state.forget(set())
+        for name, n in versions.items():
+            self.tables[name].vacuum([n])

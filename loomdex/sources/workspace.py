@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,8 +46,8 @@ def global_rules() -> list[ignore.Rule]:
     return ignore.parse(_read(f"{home}/git/ignore")) if os.path.isfile(f"{home}/git/ignore") else []
 
 
-def walk(root: str, max_bytes: int = MAX_FILE_BYTES, indexable_only: bool = True) -> Iterator[tuple[str, int, int]]:
-    """(path relative to root, size, modification time) of files, folder by folder in order of names."""
+def walk(root: str, max_bytes: int = MAX_FILE_BYTES, indexable_only: bool = True, exact: bool = False) -> Iterator[tuple[str, int, int]]:
+    """(path relative to root, size, modification time) of files, folder by folder in order of names; times are in seconds, or exact in nanoseconds."""
     root = root.rstrip("/")
     exclude = f"{root}/.git/info/exclude"
     first = [*global_rules(), *(ignore.parse(_read(exclude)) if os.path.isfile(exclude) else [])]
@@ -68,7 +69,7 @@ def walk(root: str, max_bytes: int = MAX_FILE_BYTES, indexable_only: bool = True
             elif e.is_file() and not ignore.ignored(path, False, rules) and (not indexable_only or is_indexable_name(e.name)):
                 info = e.stat()
                 if info.st_size <= max_bytes:
-                    yield path, info.st_size, int(info.st_mtime)
+                    yield path, info.st_size, info.st_mtime_ns if exact else int(info.st_mtime)
         stack += reversed(deeper)
 
 
@@ -121,6 +122,25 @@ def read_workspaces(spark: SparkSession, roots: Sequence[str], max_bytes: int =
     return files.where(F.length("content") > 0).select(F.concat_ws("/", name, F.col("path")).alias("path"), name.alias("repository"), "content", "size", "modified")
 
 
+def read_paths(paths: DataFrame, roots: Sequence[str], max_bytes: int = MAX_FILE_BYTES, path: str = "path") -> DataFrame:
+    """As read_workspaces, of the named files only; those that are gone, too large, without text or not indexable are left out."""
+    of = {r.rstrip("/").rsplit("/", 1)[-1]: r.rstrip("/") for r in roots}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                name, _, rest = (p or "").partition("/")
+                at = f"{of.get(name)}/{rest}"
+                if name in of and is_indexable_name(rest.rsplit("/", 1)[-1]) and os.path.isfile(at):
+                    info = os.stat(at)
+                    if info.st_size <= max_bytes and (text := _read(at)):
+                        rows.append((p, name, text, info.st_size, int(info.st_mtime)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["path", "repository", "content", "size", "modified"])
+
+    return paths.select(path).mapInArrow(found, "path string, repository string, content string, size long, modified long")
+
+
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     """Binary contents as text: empty where they aren't UTF-8; rows without text are dropped."""
     text = F.when(F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string")).otherwise("")

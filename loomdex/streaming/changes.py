@@ -1,17 +1,20 @@
-"""The change stream: debounce, last event per path, application to a table."""
+"""The change stream: a source of file changes, debounce, last event per path, application to a table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from loomdex.operators.metadata import VersionedTable
+from loomdex.sources.workspace import MAX_FILE_BYTES, walk
 
 CREATED, MODIFIED, DELETED = "created", "modified", "deleted"
-DEBOUNCE, LATENESS, FILES_PER_TRIGGER = "500 milliseconds", "10 minutes", 1000
+DEBOUNCE, FILES_PER_TRIGGER = "500 milliseconds", 1000
 
 
 def debounce(events: DataFrame, gap: str = DEBOUNCE, lateness: str | None = None, order: str = "event_id") -> DataFrame:
@@ -34,48 +37,101 @@ def last_per_path(events: DataFrame, order: str = "event_id") -> DataFrame:
     return last.select("path", "x.kind", "x.ts")
 
 
-def last_per_path_ranked(events: DataFrame, order: str = "event_id") -> DataFrame:
-    """All columns of the last event of each path."""
-    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), F.desc(order)))
-    return events.withColumn("_n", rank).where("_n = 1").drop("_n")
-
-
-def apply_batch(table: VersionedTable, read: Callable[[DataFrame], DataFrame], vectors: VersionedTable | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that brings a table up to date with a batch of events.
+def apply_batch(table: VersionedTable, read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that brings one table up to date with a batch of events.
 
     read turns the paths that were created or modified into rows of the table; rows without text
-    are left out. Deleted paths go from the table and their chunks from vectors. A batch that is
-    delivered again changes nothing, as its number is kept with the table.
+    are left out. Deleted paths go. A batch that is delivered again changes nothing, as its
+    number is kept with the table.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         last = last_per_path(batch).persist()
         try:
-            rows = read(last.where(F.col("kind") != DELETED).select("path"))
-            current = table.read()
-            touched = last.select("path")
-            if vectors is not None and (held := vectors.read()) is not None:
-                gone = touched.withColumnRenamed("path", "file_path")
-                vectors.commit(held.join(gone, "file_path", "left_anti").select(*held.columns), number)
-            kept = rows if current is None else current.join(touched, "path", "left_anti").select(*current.columns).unionByName(rows.select(*current.columns))
-            table.commit(kept, number)
+            table.change(read(last.where(F.col("kind") != DELETED).select("path")), last.select("path"), number)
         finally:
             last.unpersist()
 
     return run
 
 
+class _Feed(SimpleDataSourceStreamReader):
+    """Compares what the roots hold now with what they held; the first time, with nothing.
+
+    At most so many changes are handed out at a time; the rest are seen as changes again at the
+    next look, so a burst waits in the file system, not in memory. After a restart everything
+    is reported as created once more, which a reader that compares hashes doesn't notice.
+    """
+
+    def __init__(self, options: dict):
+        self.roots = [r for r in options.get("roots", "").split("\n") if r]
+        self.max_bytes = int(options.get("maxFileBytes", MAX_FILE_BYTES))
+        self.most = int(options.get("maxFilesPerTrigger", FILES_PER_TRIGGER))
+        self.held: dict[str, tuple[int, int]] = {}
+        self.given: list[tuple[int, list[tuple]]] = []
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def changes(self) -> list[tuple[str, str]]:
+        found = {f"{r.rstrip('/').rsplit('/', 1)[-1]}/{p}": (size, modified) for r in self.roots for p, size, modified in walk(r, self.max_bytes, exact=True)}
+        out = [(p, DELETED) for p in sorted(self.held.keys() - found.keys())]
+        out += [(p, MODIFIED if p in self.held else CREATED) for p in sorted(found) if self.held.get(p) != found[p]]
+        for p, kind in out[: self.most]:
+            if kind == DELETED:
+                del self.held[p]
+            else:
+                self.held[p] = found[p]
+        return out[: self.most]
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now, n = datetime.now(timezone.utc), start["n"]
+        rows = [(p, kind, now, n + k) for k, (p, kind) in enumerate(self.changes())]
+        if rows:
+            self.given.append((n, rows))
+        return iter(rows), {"n": n + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for n, rows in self.given if start["n"] <= n < end["n"] for r in rows])
+
+    def commit(self, end: dict) -> None:
+        self.given = [(n, rows) for n, rows in self.given if n >= end["n"]]
+
+
+class ChangeSource(DataSource):
+    """spark.readStream.format("workspace_changes").option("roots", newline-joined folders): (path, kind, ts, event_id) of indexable files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workspace_changes"
+
+    def schema(self) -> str:
+        return "path string, kind string, ts timestamp, event_id long"
+
+    def simpleStreamReader(self, schema) -> _Feed:
+        return _Feed(self.options)
+
+
+def watch_workspaces(spark: SparkSession, roots: Sequence[str], max_bytes: int = MAX_FILE_BYTES, most: int = FILES_PER_TRIGGER) -> DataFrame:
+    """The stream of changes below the roots, paths as read_workspaces has them."""
+    spark.dataSource.register(ChangeSource)
+    return spark.readStream.format("workspace_changes").option("roots", "\n".join(roots)).option("maxFileBytes", str(max_bytes)).option("maxFilesPerTrigger", str(most)).load()
+
+
 class Watcher:
-    """A running change stream: start, stop, whether it is active. Starting twice keeps the first."""
+    """A running change stream: start, stop, whether it is active. Starting twice keeps the first.
+
+    Events of one path that come within the debounce time are one batch's, of which the last counts.
+    """
 
-    def __init__(self, events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-        self.events, self.apply, self.checkpoint = events, apply, checkpoint
+    def __init__(self, events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce: str = DEBOUNCE):
+        self.events, self.apply, self.checkpoint, self.debounce = events, apply, checkpoint, debounce
         self.query: StreamingQuery | None = None
 
     def start(self, available_now: bool = False) -> StreamingQuery:
         if not self.is_watching():
             writer = self.events.writeStream.foreachBatch(self.apply).option("checkpointLocation", self.checkpoint)
-            self.query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="500 milliseconds")).start()
+            self.query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=self.debounce)).start()
         return self.query
 
     def stop(self) -> None:
