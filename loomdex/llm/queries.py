@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import linefreq, mixing, ordermin, pieces, pseudolm, quality, secrets, simhash, toxicity, warc
-from loomdex.llm.common import shared_dir, table
+from loomdex.llm.common import forget, shared_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = shared_dir(spark)
     warc.write_warc(warc.records(table(spark, sf_dir, "pages")), archives)
     read = warc.payloads(warc.read_warc(spark, archives))
+    forget(spark, archives)  # its pieces are stored
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(.*)>', 1) as long)")
     is_response = F.col("type") == "response"
     return read.select(

@@ -5,7 +5,9 @@ once, in the response record of the largest page_id; the others become revisit r
 refer to it and keep only their HTTP header, whose Content-Length still tells the payload's
 length. Smaller payloads are always responses. Rows that tie for the largest page_id are all
 responses. Null html is an empty payload; a null page_id or url is written as an empty one.
-Files are made by Spark's own committed writer, gzipped, a bounded number of records each.
+Files are made by Spark's own committed writer, gzipped, a bounded number of records each. Hashes
+that occur twice or more are marked in a bitmap of fixed size, so that only payloads that may have
+an equal are sent to where they meet it.
 
 Reading. Tasks cut files at every record magic, wherever it stands, so a file needs no index
 and an uncompressed one can be split. Each piece whose header is whole is a candidate: it tells
@@ -13,7 +15,12 @@ its own offset and, by Content-Length, its successor's. Magic inside payloads ma
 too. Pointer jumping from offset 0 of each file doubles the known part of the chain per round
 and keeps only the candidates that are reached; a record's bytes are the pieces from its offset
 up to its successor's. Records whose length runs past the end of their file are dropped with
-what follows them, as nothing after them is verified.
+what follows them, as nothing after them is verified. Offsets and owners are found split by split,
+with one row for each split between them, so a large file is never one task's. A record of more
+bytes than a value of Spark can hold (2 GB) has a null block.
+
+Tables without rows make archives without records, which read as none. Pages' columns are taken by
+name, and others left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 
 from loomdex.llm.common import forget, shared_dir, stored
 
-MAGIC, VERSION, MIN_REVISIT, RECORDS_PER_FILE = "WARC/", "1.1", 1000, 2000
+MAGIC, VERSION, MIN_REVISIT, RECORDS_PER_FILE, CELLS = "WARC/", "1.1", 1000, 2000, 1 << 18
+MOST_BYTES = (1 << 31) - 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -40,9 +48,16 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """A row (page_id, record) for each page: the whole record with the blank lines that end it."""
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("n", _bytes(F.col("payload")))
-    p = p.withColumn("same", F.when(F.col("n") >= MIN_REVISIT, F.concat_ws(":", F.sha2("payload", 256), "n")))
-    first = p.where("same is not null").groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("same", "first")
-    p = p.join(first, "same", "left").withColumn("again", F.coalesce(F.col("page_id") < F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull()))
+    p = p.withColumn("h", F.when(F.col("n") >= MIN_REVISIT, F.xxhash64("payload")))
+    p = p.withColumn("cell", F.pmod(F.shiftrightunsigned("h", 6), F.lit(CELLS)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    met = p.where("h is not null").groupBy("h", "cell").agg(F.count("*").alias("copies")).where("copies > 1")
+    marks = stored(met.groupBy("cell").agg(F.bit_or(bit).alias("bits")))  # CELLS rows at most
+    p = p.join(F.broadcast(marks), "cell", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+    alone = p.where(~F.col("maybe")).withColumn("first", F.lit(None).cast(p.schema["page_id"].dataType))
+    shared = p.where("maybe").withColumn("same", F.concat_ws(":", F.sha2("payload", 256), "n"))
+    first = shared.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("same", "first")
+    p = alone.unionByName(shared.join(first, "same", "left").select(*alone.columns)).withColumn("again", F.coalesce(F.col("page_id") < F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull()))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(F.col("again"), http).otherwise(F.concat(http, "payload"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "")
@@ -81,11 +96,15 @@ def candidates(cut: DataFrame) -> DataFrame:
     Offsets are sums of the lengths before: within a split pieces stand in reading order, and
     splits follow each other by their start. Only lengths and headers go through the window.
     """
-    order = Window.partitionBy("file").orderBy("block", "i")
+    whole = F.sum(F.col("n") + len(MAGIC))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("file", "block").agg(whole.alias("total")).select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     head = F.substring_index("value", "\r\n\r\n", 1)
     rows = cut.select("file", "block", "i", "n", head.alias("head"))
     rows = rows.withColumn("head", F.when((_bytes(F.col("head")) < F.col("n")) & F.col("head").rlike(r"\A1\.[01]\r\n"), F.col("head")))
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
+    rows = rows.join(starts, ["file", "block"])
+    rows = rows.withColumn("at", F.col("start") + F.coalesce(whole.over(order), F.lit(0)) - len(MAGIC)).drop("start")
     field = lambda name: F.regexp_extract(F.col("head"), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
     length = F.expr("try_cast(length as long)")
     rows = rows.withColumn("length", field("Content-Length"))
@@ -131,21 +150,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     sizes = found.groupBy("file").agg(F.max(F.col("at") + len(MAGIC) + F.col("n")).alias("size"))
     chain = reachable(found.where("next is not null"), sizes).withColumn("on_chain", F.lit(True))
     # every piece belongs to the last record of the chain that starts at or before it
-    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owner = F.last(F.when(F.col("on_chain"), F.col("at")), ignorenulls=True).over(order)
-    owned = stored(found.join(chain, ["file", "at"], "left").withColumn("owner", owner).where("owner is not null"))
+    marked = stored(found.join(chain, ["file", "at"], "left"))
+    reached = F.when(F.col("on_chain"), F.col("at"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("file", "split").agg(F.max(reached).alias("last")).select("file", "split", F.max("last").over(before).alias("carried"))
+    order = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.coalesce(F.last(reached, ignorenulls=True).over(order), F.col("carried"))
+    owned = stored(marked.join(carried, ["file", "split"]).withColumn("owner", owner).where("owner is not null").drop("carried"))
     told = ["header_bytes", "length", "type", "id", "refers_to", "digest"]
     heads = owned.where("on_chain").withColumn("alone", F.col("next") <= F.col("at") + len(MAGIC) + F.col("n"))
-    block = lambda whole: F.substring(whole, F.col("header_bytes").cast("int") + 1, F.col("length").cast("int")).alias("block")
+    fits = F.col("header_bytes") + F.col("length") <= MOST_BYTES
+    block = lambda whole: F.when(fits, F.substring(whole, F.col("header_bytes").cast("int") + 1, F.col("length").cast("int"))).alias("block")
     full = F.concat(F.encode(F.lit(MAGIC), "utf-8"), F.col("value").cast("binary"))
     one = heads.where("alone").select("file", "split", "i", "at", *told).join(cut, ["file", "split", "i"]).select("file", "at", *told[2:], block(full))
     several = heads.where("not alone").select("file", "at", "next", *told)
     parts = owned.select("file", F.col("at").alias("piece"), F.col("owner").alias("at"), "split", "i").join(several, ["file", "at"]).where("piece < next")
-    parts = stored(parts).join(cut, ["file", "split", "i"])
+    parts = stored(parts.where(fits)).join(cut, ["file", "split", "i"])
     bytes_of = F.array_sort(F.collect_list(F.struct("piece", full.alias("b"))))
     joined = parts.groupBy("file", "at", *told).agg(bytes_of.alias("all"))
     joined = joined.select("file", "at", *told, F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("whole"))
-    return one.unionByName(joined.select("file", "at", *told[2:], block(F.col("whole"))))
+    large = several.where(~fits).select("file", "at", *told[2:], F.lit(None).cast("binary").alias("block"))
+    return one.unionByName(joined.select("file", "at", *told[2:], block(F.col("whole")))).unionByName(large)
 
 
 def payloads(recs: DataFrame) -> DataFrame:
