@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what one Arrow batch of whole texts holds, by rows and bytes; lower settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(name, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder; a local one only where none is set."""
+    """A new folder below the shared checkpoint folder. Only a session in one process may do without that setting.
+
+    The folder goes when the driver ends, if nothing deletes it before.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="loomdex-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/loomdex-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/loomdex-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -42,11 +61,10 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, folder: str) -> None:
     """Delete a table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
