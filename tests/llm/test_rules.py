@@ -9,6 +9,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from samples import folder_of, sentence
 
@@ -38,6 +39,7 @@ def integer(n, size=8):
 
 
 RSA = der(0x30, der(2, b"\0") + b"".join(integer(2**60 + k) for k in range(8)))
+DSA = der(0x30, der(2, b"\0") + integer(2**500 + 1, 64) + integer(2**150 + 1, 20) + b"".join(integer(2**500 + k, 64) for k in (3, 5, 7)))
 PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, RSA))
 SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"k" * 40
 b64 = lambda b: base64.b64encode(b).decode()
@@ -52,6 +54,14 @@ TOKEN = f"{url64({'alg': 'HS256', 'typ': 'JWT'})}.{url64({'sub': 'x'})}.{'s' * 2
         (f"key {b64(PKCS8)} end", "der"),
         (f"key {RSA.hex()} end", "der"),
         (f"k {b64(SSH)} e", "ssh"),
+        (f"k path/{b64(RSA)} e", "der"),
+        (f"k {b64(DSA)} e", "der"),
+        (f"k ab{RSA.hex().upper()} e", "der"),
+        (f"k a{RSA.hex()} e", "der"),
+        (f"k {SSH.hex()} e", "ssh"),
+        (f"k ssh/{b64(SSH)} e", "ssh"),
+        ("k\n" + "\n".join(re.findall(".{1,64}", b64(PKCS8))) + "\ne", "der"),
+        ('{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(re.findall(".{1,64}", b64(PKCS8))) + '\\n-----END PRIVATE KEY-----\\n"}', "pem"),
         (f"x {TOKEN} y", "jwt"),
         ("a -----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(PKCS8))) + "\n-----END PRIVATE KEY----- b", "pem"),
     ],
@@ -72,6 +82,9 @@ def test_structures(text, kind):
         "-----BEGIN PRIVATE KEY-----\nnot base64 at all\n-----END PRIVATE KEY-----",
         "-----BEGIN PRIVATE KEY-----" * 2000,
         "e" * 50_000 + "." + "M" * 50_000,
+        "MI" * 50_000 + "30" * 50_000,
+        f"k {b64(DSA[:-1] + b'xx')} e",
+        "\n".join(re.findall(".{1,64}", b64(RSA + b"x"))),
     ],
 )
 def test_what_only_looks_alike(text):
@@ -125,15 +138,53 @@ def test_op9_base(spark, odd, none, tmp_path):
     assert queries.op9_line_rules(spark, folder_of(tmp_path / "b", documents=none)).count() == 0
 
 
+def line_verdicts(rows, max_docs, min_left=linefreq.MIN_LEFT):
+    """(removed_chars, kept) of each row by plain loops: a line's documents in a host are the distinct (id, text) that hold it."""
+    norm = lambda x: re.sub(r"[^\w]+|_+", " ", x.lower()).strip()
+    lines = lambda t: [(norm(x), len(x)) for x in (t or "").split("\n") if norm(x)]
+    documents = defaultdict(set)
+    for d, t, _, host, _ in rows:
+        for x, _ in lines(t):
+            documents[host, x].add((d, t))
+    out = []
+    for _, t, _, host, _ in rows:
+        each = lines(t)
+        gone = sum(n for x, n in each if len(documents[host, x]) > max_docs)
+        left = sum(n for _, n in each) - gone
+        out.append((gone, not line_base(t)[5] and not (gone and left < min_left * (left + gone))))
+    return out
+
+
 def test_op9_removes_common_lines(spark, odd):
     menu = "Home | About us | Contact the people who made this page for all of you to read again"
     rows = [(k, f"{menu}\n{sentence(k)}\n", "en", "h", 0) for k in range(20)] + [(50, f"{menu.upper()}!\n{menu}\nown words here", "en", "h", 0), (60, f"{menu}\n{sentence(99)}", "en", "other", 0)]
     copies = [(1000 + k, sentence(77) + "\n" + sentence(78), "en", "h", 0) for k in range(40)]
-    docs = spark.createDataFrame(rows + copies, odd.schema)
-    got = {r["doc_id"]: r for r in linefreq.line_rules(docs, with_text=True).collect()}
+    again = [(2000, sentence(79) + "\n" + sentence(80), "en", "h", 0)] * 40
+    docs = spark.createDataFrame(rows + copies + again, odd.schema)
+    got = {r["doc_id"]: r for r in linefreq.line_rules(docs, max_docs=20, with_text=True).collect()}
     assert got[0]["kept"] and got[0]["removed_chars"] == len(menu) and got[0]["text"] == sentence(0) + "\n"
     assert not got[50]["kept"] and not got[50]["base_failed"] and got[60]["kept"] and got[60]["removed_chars"] == 0
-    assert got[1000]["kept"] and got[1000]["removed_chars"] == 0
+    assert not got[1000]["kept"] and got[1000]["text"] == ""  # copies under other ids are documents of their own
+    assert got[2000]["kept"] and got[2000]["removed_chars"] == 0  # rows that repeat are one document
+    assert {r["removed_chars"] for r in linefreq.line_rules(docs, max_docs=40).collect()} == {0}  # exactly the limit stays
+    half = spark.createDataFrame([(k, "a line of thirty code points..\n" + "x" * 30, "en", "h", 0) for k in range(3)] + [(9, "x" * 30 + "\n" + " ".join("abcdefghijklmnopqrstuv"), "en", "h", 0)], odd.schema)
+    removed = {r["doc_id"]: (r["removed_chars"], r["line_chars"]) for r in linefreq.line_rules(half, max_docs=3).collect()}
+    assert removed[9] == (30, 73) and removed[0] == (30, 60)
+
+
+@pytest.mark.parametrize("max_docs", [1, 4, 12])
+def test_op9_against_loops(spark, odd, max_docs):
+    """On texts full of shared lines, where documents are rejected for them, verdicts are those of plain loops; nulls and repeats too."""
+    rng = random.Random(7)
+    pool = [sentence(500 + k, rng.randint(4, 30)) for k in range(30)]
+    rows = [(rng.randrange(60), "\n".join(rng.choice(pool[:10] if rng.random() < 0.7 else pool) + rng.choice(["", "!", " "]) for _ in range(rng.randint(1, 5))), "en", rng.choice(["a", "a", "b", None]), 0) for _ in range(120)]
+    rows += [(None, None, None, None, None), (None, rows[0][1], None, None, None), rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, odd.schema).withColumns({"host": F.lit("x"), "_h1": F.lit(1), "row": F.lit(2)})
+    got = sorted(repr((r["doc_id"], r["host"], r["removed_chars"], r["kept"])) for r in linefreq.line_rules(docs, max_docs=max_docs).collect())
+    want = line_verdicts(rows, max_docs)
+    assert got == sorted(repr((r[0], r[3], *x)) for r, x in zip(rows, want, strict=True))
+    if max_docs < 12:
+        assert any(not kept and not line_base(r[1])[5] for r, (_, kept) in zip(rows, want, strict=True))
 
 
 def test_targets():
@@ -181,6 +232,54 @@ def test_mix_quotas(spark, odd, per_shard):
         assert by[s][2] == pytest.approx(float(t)) and abs(by[s][1] - float(t)) <= 16 * (1 + 40 / per_shard * 3)
 
 
+@pytest.mark.parametrize("per_shard", [5, 1000])
+def test_taken_by_hand(spark, odd, per_shard):
+    """What each document gives, by plain loops: quotas a seat at a time, then runs of words along each shard's order."""
+    rng = random.Random(12)
+    rows = [(rng.choice([k, k, None, 7]), rng.choice([None, "", " ".join(["w"] * rng.choice([1, 7, 40, 300]))]), "en", rng.choice(["a", "a", "b", "z", None]), 0) for k in range(90)]
+    docs = spark.createDataFrame(rows, odd.schema).withColumns({"shard": F.lit(1), "size": F.lit("x"), "h": F.lit(2)})
+    got = sorted(repr((r["doc_id"], r["source"], r["key"], r["taken"])) for r in mixing.mix(docs, rows_per_shard=per_shard).collect())
+
+    def place(d, t):
+        h = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)
+        h = h if d is None else xxhash.xxh64_intdigest((d & (1 << 64) - 1).to_bytes(8, "little"), h)
+        h = xxhash.xxh64_intdigest(hashlib.md5(t.encode()).hexdigest().encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def seats(weights, n, most):
+        out = [0] * len(weights)
+        for _ in range(n):
+            free = [(-Fraction(w) / (2 * g + 1), i) for i, (w, g) in enumerate(zip(weights, out, strict=True)) if w > 0 and g < most[i]]
+            if free:
+                out[min(free)[1]] += 1
+        return out
+
+    by = defaultdict(list)
+    for d, t, _, s, _ in rows:
+        by[s].append((place(d, t or ""), d, hashlib.md5((t or "").encode()).hexdigest(), len((t or "").split())))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = [sum(x[3] for x in by[s]) for s in names]
+    wanted = mixing.targets(size, [(3, 1, 2)[i % 3] for i in range(len(names))], Fraction(3, 2) * sum(size))
+    blocks = seats(wanted, int(sum(wanted) / 16 + Fraction(1, 2)), [-(-2 * n // 16) for n in size])
+    want = []
+    for s, quota in zip(names, blocks, strict=True):
+        parts = -(-len(by[s]) // per_shard)
+        shards = defaultdict(list)
+        for x in by[s]:
+            shards[x[0] % parts].append(x)
+        own = sorted(shards)
+        circle = [sum(x[3] for x in shards[k]) for k in own]
+        for k, n, q in zip(own, circle, seats(circle, quota, [-(-2 * n // 16) for n in circle]), strict=True):
+            left, order = min(16 * q, 2 * n), sorted(shards[k], key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2]))
+            given = [0] * len(order)
+            while left:
+                for i, x in enumerate(order):
+                    took = min(left, x[3])
+                    given[i], left = given[i] + took, left - took
+            want += [repr((x[1], s, x[2], g)) for x, g in zip(order, given, strict=True)]
+    assert got == sorted(want)
+
+
 def test_mixed_rows(spark, odd):
     rows = [(k, f"  one{k}\ttwo  three\n\nfour five ", "en", "ab"[k % 2], 0) for k in range(40)]
     docs = spark.createDataFrame(rows * 2, odd.schema)
