@@ -109,11 +109,10 @@ _LINES = f"""
     covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + {linefreq.WINDOW - 1})) AS p FROM twice) GROUP BY r),
     base AS (SELECT w.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered ON w.r = covered.r),
-    ln AS (SELECT r, source, text, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS h, length(x) AS n FROM (SELECT r, source, text, unnest(l) AS x FROM w)),
+    ln AS (SELECT r, doc_id, source, text, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS h, length(x) AS n FROM (SELECT r, doc_id, source, text, unnest(l) AS x FROM w)),
     named AS (SELECT * FROM ln WHERE h <> ''),
-    held AS (SELECT source, h, count(DISTINCT text) AS texts FROM named GROUP BY source, h),
-    hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-    above AS (SELECT held.source, h FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE texts > {linefreq.MIN_TEXTS} AND texts > {linefreq.SHARE} * hosts.n),
+    held AS (SELECT source, h, count(*) AS n FROM (SELECT DISTINCT source, h, doc_id, text FROM named) GROUP BY source, h),
+    above AS (SELECT source, h FROM held WHERE n > {linefreq.MAX_DOCS}),
     lost AS (SELECT r, sum(n) AS total, coalesce(sum(n) FILTER (above.h IS NOT NULL), 0) AS gone FROM named LEFT JOIN above ON named.source IS NOT DISTINCT FROM above.source AND named.h = above.h GROUP BY r),
     judged AS (SELECT base.*, n_words < {linefreq.MIN_WORDS} OR 100 * n_repeat_words > {linefreq.MAX_REPEAT} * n_words AS base_failed, coalesce(gone, 0) AS gone, coalesce(total, 0) AS total FROM base LEFT JOIN lost ON base.r = lost.r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (gone > 0 AND total - gone < {linefreq.MIN_LEFT}::DOUBLE * total) AS kept, gone::BIGINT AS removed_chars FROM judged"""
