@@ -13,17 +13,22 @@ best sum of scores at each end. For BPE models, such as the public one, the scor
 ranks, and the path of the best sum is not what the format prescribes. So for these the fold
 applies the merges instead: in each step, of the lattice's edges that join exactly two
 current tokens, the one of best rank, leftmost first, takes its inner boundary away. That gives
-the ids of the reference implementation. Boundaries are the bits of one integer, so words over
+the ids that the sentencepiece library gives. Boundaries are the bits of one integer, so words over
 LATTICE code points, which hardly occur, are merged or searched by the same rules in a task's
 Python instead.
 
 Putting together. The dictionary grows with the corpus, more slowly. Its TIER commonest entries
-are broadcast in packed form, at most a few hundred MB; words beyond those are fetched by a
-shuffle join for the documents that have them. So the broadcast is bounded and nothing is dropped.
+are broadcast in packed form, by 64-bit hashes, at most a few hundred MB; words beyond those are
+fetched by a shuffle join for the documents that have them. So the broadcast is bounded and
+nothing is dropped. Cutting, hashing, looking up and putting together run over arrays of a
+portion of texts at a time. All ids of each document are then decoded and compared with its text,
+so that two words of one hash, or any other fault, can't go unseen: such a document is encoded
+again word by word.
 
 Characters without a piece become their UTF-8 bytes' pieces, or the unknown id if the model has
-none. Null and empty texts have no ids. Repeated rows are encoded alike. Input columns with the
-name of an output are replaced. Decoding joins pieces, drops the leading blank that encoding
+none. Null and empty texts have no ids. Repeated rows are encoded alike. An empty table gives an
+empty one. Input columns with the name of an output are replaced; working columns take names
+that the input hasn't. Decoding joins pieces, drops the leading blank that encoding
 adds, skips control ids and gives null for null; a literal U+2581 comes back as a blank.
 """
 
@@ -34,7 +39,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +47,7 @@ from loomdex.llm.common import fresh, small_batches, stored, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LATTICE, TIER, FLUSH, MEMO = 48, 4_000_000, 500_000, 200_000
+LATTICE, TIER, FLUSH, PORTION = 48, 4_000_000, 300_000, 1 << 18
 PARTS = 4
 IDS = T.ArrayType(T.IntegerType(), False)
 _LOW = 0x250
@@ -66,11 +70,11 @@ class Pieces:
             raise ValueError("only models whose normaliser leaves texts as they are")
         self.table = [(p.piece, i, float(p.score)) for i, p in enumerate(m.pieces) if p.type in (_NORMAL, _USER)]
         self.longest = max(len(p) for p, _, _ in self.table)
-        self.pairs = frozenset(a + b for p, _, _ in self.table for a, b in zip(p, p[1:]))
+        pairs = {(ord(a) << 32) + ord(b) for p, _, _ in self.table for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
         self.apart = np.ones((_LOW + 1, _LOW + 1), bool)  # pairs with a high character are checked by themselves
         self.apart[_LOW, :] = self.apart[:, _LOW] = False
-        for pair in self.pairs:
-            a, b = (ord(x) for x in pair.replace(MARK, " "))
+        for a, b in ((x >> 32, x & 0xFFFFFFFF) for x in pairs):
             if a < _LOW and b < _LOW:
                 self.apart[a, b] = False
         self.apart = self.apart.ravel()
@@ -78,33 +82,50 @@ class Pieces:
         of_byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         self.bytes = [of_byte[b] for b in range(256)] if len(of_byte) == 256 else None
         raw = {_BYTE: lambda p: bytes([int(p[3:5], 16)]), _CONTROL: lambda p: b"", _UNKNOWN: lambda p: m.trainer_spec.unk_surface.encode()}
-        self.surface = [raw.get(p.type, lambda p: p.replace(MARK, " ").encode())(p.piece) for p in m.pieces]
+        surface = [raw.get(p.type, lambda p: p.replace(MARK, " ").encode())(p.piece) for p in m.pieces]
+        self.surface, self.surface_bytes = np.frombuffer(b"".join(surface), np.uint8), np.array([len(x) for x in surface], np.int64)
+        self.surface_at = np.cumsum(self.surface_bytes) - self.surface_bytes
+        self._ids: dict | None = None
 
-    def words(self, text: str) -> list[str]:
-        """The text cut between characters that no piece has side by side; blanks stand for their marks.
+    def cut(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as one string, marks as blanks, where its words start, their hashes, and how many each text has.
 
-        Pairs of low characters are looked up in a table, all at once; others one by one.
+        Words end between characters that no piece has side by side. Pairs of low characters are
+        looked up in a table, others in a sorted list.
         """
-        t = (" " if self.prefix else "") + (text.replace(MARK, " ") if MARK in text else text)
-        if len(t) < 2:
-            return [t] if t else []
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        low = np.minimum(c, _LOW)
-        cuts = np.flatnonzero(self.apart[low[:-1] * (_LOW + 1) + low[1:]])
+        parts = [((" " if self.prefix else "") + (t.replace(MARK, " ") if MARK in t else t)) if t else "" for t in texts]
+        s = "".join(parts)
+        if not s:
+            return s, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        low = np.minimum(c, _LOW).astype(np.int32)
+        first = np.ones(len(c), bool)
+        first[1:] = self.apart[low[:-1] * (_LOW + 1) + low[1:]]
         if len(high := np.flatnonzero(low == _LOW)):
             near = np.unique(np.concatenate([high, high - 1]))
-            pairs = self.pairs
-            cuts = np.union1d(cuts, [i for i in near[(near >= 0) & (near < len(c) - 1)].tolist() if t[i : i + 2].replace(" ", MARK) not in pairs])
-        at = [0, *(cuts.astype(np.int64) + 1).tolist(), len(t)]
-        return [t[a:b] for a, b in zip(at, at[1:])]
+            near = near[(near >= 0) & (near < len(c) - 1)]
+            code = (c[near].astype(np.int64) << 32) + c[near + 1]
+            first[near + 1] = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] != code
+        ends = np.cumsum(sizes)
+        first[(ends - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        words = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - sizes)
+        return s, starts, _hashes(c, starts), words
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text."""
+        s, starts, _, _ = self.cut([text])
+        at = [*starts.tolist(), len(s)]
+        return [s[a:b] for a, b in zip(at, at[1:])]
 
     def fallback(self, ch: str) -> list[int]:
         return [self.bytes[b] for b in ch.encode("utf-8")] if self.bytes else [self.unknown]
 
     def long_word(self, word: str) -> list[int]:
         """The ids of a word of any length, by the rule of the folds."""
-        ids = {p: (i, s) for p, i, s in self.table}
-        return self._best_path(word, ids) if self.unigram else self._merged(word, ids)
+        self._ids = self._ids or {p: (i, s) for p, i, s in self.table}
+        return self._best_path(word, self._ids) if self.unigram else self._merged(word, self._ids)
 
     def _merged(self, word: str, ids: dict) -> list[int]:
         import heapq
@@ -148,25 +169,44 @@ class Pieces:
         return [i for x in reversed(out) for i in x]
 
 
+def _hashes(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, given all their code points and where they start: sums of mixed code points and places."""
+    sizes = np.diff(starts, append=len(c))
+    v = np.arange(len(c), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), sizes)
+    v *= np.uint64(0x9E3779B97F4A7C15)
+    v += c * np.uint64(0xD6E8FEB86659FD93)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v ^= v >> np.uint64(shift)
+        v *= np.uint64(factor)
+    v ^= v >> np.uint64(31)
+    return np.add.reduceat(v, starts) if len(starts) else np.zeros(0, np.uint64)
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    """The hashes that cut() gives these words; marks stand for blanks."""
+    s = "".join(words).replace(MARK, " ")
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    return _hashes(c, np.cumsum(sizes) - sizes)
+
+
 def count_words(docs: DataFrame, pieces: Pieces, text: str) -> DataFrame:
     """(word, n) of all documents; n is the number of parts of tasks that hold a word, by which common words are known."""
     small_batches(docs.sparkSession)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[str] = set()
-
-        def out() -> pa.RecordBatch:
-            words = [w.replace(" ", MARK) for w in held]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
-
+        seen: set[int] = set()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    held.update(pieces.words(t))
-            if len(held) > FLUSH:
-                yield out()
-        yield out()
+            texts = b.column(0).to_pylist()
+            for part in portions(texts):
+                s, starts, hashes, _ = pieces.cut(texts[part])
+                each, at = np.unique(hashes, return_index=True)
+                new = np.array([h not in seen for h in each.tolist()], bool)
+                at, ends, s = at[new], np.append(starts[1:], len(s)), s.replace(" ", MARK)
+                seen.update(each[new].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([s[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.string())], names=["word"])
+                if len(seen) > FLUSH:
+                    seen.clear()
 
     # parts are distinct already, so they are dealt by word without a partial sum, and into as many
     # partitions as the session sets: what a task's lattices take up follows from that
@@ -263,111 +303,113 @@ def _narrow(offsets: np.ndarray) -> np.ndarray:
 
 
 class Packed:
-    """A dictionary as flat arrays, located by sorted hashes: tens of bytes an entry. Words are compared, so hashes only locate them."""
+    """A dictionary as flat arrays in order of hashes: about 20 bytes an entry."""
 
     def __init__(self, batches: Iterable[pa.RecordBatch], width: np.dtype):
-        """From batches (word, ids, hash); one batch at a time is copied."""
-        self.width = np.dtype(width)
-        hashes, blobs, sizes, codes, counts = [np.zeros(0, np.int64)], [], [np.zeros(1, np.int64)], [], [np.zeros(1, np.int64)]
+        """From batches (word, ids); one batch at a time is copied."""
+        width = np.dtype(width)
+        hashes, codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, width)], [np.zeros(0, np.int64)]
         for b in batches:
-            if not b.num_rows:
-                continue
-            words, ids = b.column(0).cast(pa.binary()), b.column(1)
-            hashes.append(np.array(b.column(2)))
-            sizes.append(np.asarray(pc.binary_length(words)).astype(np.int64))
-            blobs.append(b"".join(words.to_pylist()))
-            counts.append(np.asarray(pc.list_value_length(ids)).astype(np.int64))
-            codes.append(np.asarray(ids.flatten()).astype(width).tobytes())
-        hashed = np.concatenate(hashes).view(np.uint64)
-        self.order = np.argsort(hashed, kind="stable").astype(np.int32)
-        self.hashes = hashed[self.order]
-        self.blob, self.at = b"".join(blobs), _narrow(np.cumsum(np.concatenate(sizes)))
-        self.ids, self.ids_at = b"".join(codes), _narrow(np.cumsum(np.concatenate(counts)) * self.width.itemsize)
-
-    def find(self, words: list[str]) -> list[bytes | None]:
-        raw = [w.encode("utf-8") for w in words]
+            if b.num_rows:
+                hashes.append(hash_words(b.column(0).to_pylist()))
+                codes.append(np.asarray(b.column(1).flatten()).astype(width))
+                counts.append(np.asarray(pc.list_value_length(b.column(1))).astype(np.int64))
+        hashed, n = np.concatenate(hashes), np.concatenate(counts)
+        order = np.argsort(hashed, kind="stable")
+        self.hashes, self.ids = hashed[order], _gathered(np.concatenate(codes), (np.cumsum(n) - n)[order], n[order])
+        self.at = _narrow(np.concatenate([[0], np.cumsum(n[order])]))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each hash is held, and if so where its ids start and how many they are."""
         if not len(self.hashes):
-            return [None] * len(raw)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in raw), np.uint64, len(raw))
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        k = self.order[place]
-        spans = zip(raw, (self.hashes[place] == hashes).tolist(), self.at[k].tolist(), self.at[k + 1].tolist(), self.ids_at[k].tolist(), self.ids_at[k + 1].tolist(), strict=True)
-        blob, ids = self.blob, self.ids
-        out = [ids[a:b] if hit and blob[x:y] == w else None for w, hit, x, y, a, b in spans]
-        for j in np.flatnonzero(self.hashes[np.minimum(place + 1, len(self.hashes) - 1)] == hashes).tolist():
-            if out[j] is None:  # another word has the same hash
-                out[j] = self._beyond(raw[j], int(place[j]))
-        return out
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit, at = self.hashes[k] == hashes, self.at[k].astype(np.int64)
+        return hit, at, np.where(hit, self.at[k + 1].astype(np.int64) - at, 0)
 
-    def _beyond(self, word: bytes, i: int) -> bytes | None:
-        first = self.hashes[i]
-        while i < len(self.hashes) and self.hashes[i] == first:
-            k = self.order[i]
-            if self.blob[self.at[k] : self.at[k + 1]] == word:
-                return self.ids[self.ids_at[k] : self.ids_at[k + 1]]
-            i += 1
-        return None
 
+def _gathered(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of values, each from a place on and of a length, one behind the other."""
+    return values[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-class Assembler:
-    """Puts documents' ids together from a packed dictionary and, for the rest, a document's own extra entries."""
-
-    def __init__(self, pieces: Pieces, packed: Packed, check: bool = False):
-        self.pieces, self.packed, self.memo = pieces, packed, {}
-        self.checks, self.wrong = check, set()
-
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them looked up; what the dictionary lacks is None in the memo."""
-        each = [self.pieces.words(t) if t else [] for t in texts]
-        met = set().union(*each)
-        if len(self.memo) > MEMO:
-            self.memo = {w: self.memo[w] for w in met & self.memo.keys()}
-        fresh = list(met - self.memo.keys())
-        found = self.packed.find([w.replace(" ", MARK) for w in fresh])
-        self.memo.update(zip(fresh, found, strict=True))
-        if self.checks:
-            self.wrong.update(w for w, ids in zip(fresh, found, strict=True) if ids is not None and not self.comes_back(w, ids))
-        return each
-
-    def comes_back(self, word: str, ids: bytes) -> bool:
-        """Whether decoding gives the word. Words are whole characters, so a text comes back if, and only if, its words do."""
-        return b"".join(map(self.pieces.surface.__getitem__, np.frombuffer(ids, self.packed.width).tolist())) == word.encode("utf-8")
 
-    def missing(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text that the dictionary lacks."""
-        each = self.words(texts)
-        return [sorted(w.replace(" ", MARK) for w in set(ws) if self.memo[w] is None) for ws in each]
+def portions(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of PORTION characters or little more, so that what their words take up is bounded."""
+    at = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= PORTION:
+            yield slice(at, k + 1)
+            at, held = k + 1, 0
+    yield slice(at, len(texts))
 
-    def encode(self, texts: list[str | None], extra: list[dict[str, bytes]] | None = None) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of each text and, where asked for, whether they decode to it."""
-        each = self.words(texts)
-        out, find = [], self.memo.__getitem__
-        right = [self.wrong.isdisjoint(ws) for ws in each] if self.wrong else [True] * len(each)
-        for k, ws in enumerate(each):
-            got = list(map(find, ws))
-            if extra and None in got:
-                own = extra[k]
-                if self.checks:
-                    right[k] &= all(self.comes_back(w.replace(MARK, " "), ids) for w, ids in own.items())
-                got = [own[w.replace(" ", MARK)] if g is None else g for g, w in zip(got, ws, strict=True)]
-            out.append(np.frombuffer(b"".join(got), self.packed.width))
-        return out, right
 
+class Assembler:
+    """Puts documents' ids together from a packed dictionary and, for the rest, what else is known of words."""
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    edges = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
+    def __init__(self, pieces: Pieces, packed: Packed):
+        self.pieces, self.packed = pieces, packed
 
+    def missing(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text that the dictionary lacks."""
+        out = []
+        for part in portions(texts):
+            s, starts, hashes, words = self.pieces.cut(texts[part])
+            s, ends = s.replace(" ", MARK), np.append(starts[1:], len(s))
+            hit = self.packed.find(hashes)[0]
+            for a, b in zip((np.cumsum(words) - words).tolist(), np.cumsum(words).tolist(), strict=True):
+                out.append(sorted({s[starts[k] : ends[k]] for k in (a + np.flatnonzero(~hit[a:b])).tolist()}))
+        return out
 
-def text_of(pieces: Pieces, ids: Iterable[int]) -> str:
-    """The text of ids that the model has."""
-    s = b"".join(map(pieces.surface.__getitem__, ids)).decode("utf-8", "replace")
-    return s[1:] if pieces.prefix and s[:1] == " " else s
+    def encode(self, texts: list[str | None], extra: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and how many each text has; words that neither the dictionary nor extra has are encoded alone."""
+        made = [self._portion(texts[part], extra or {}) for part in portions(texts)]
+        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+    def _portion(self, texts: list[str | None], extra: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        s, starts, hashes, words = self.pieces.cut(texts)
+        each, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        hit, at, n = self.packed.find(each)
+        values = self.packed.ids
+        if len(lone := np.flatnonzero(~hit)):
+            ends = np.append(starts[1:], len(s))
+            alone = [s[starts[k] : ends[k]].replace(" ", MARK) for k in first[lone].tolist()]
+            more = [extra[w] if w in extra else self.pieces.long_word(w) for w in alone]
+            n[lone] = [len(x) for x in more]
+            at[lone] = len(values) + np.cumsum(n[lone]) - n[lone]
+            values = np.concatenate([values, np.array([i for x in more for i in x], values.dtype)])
+        ids = _gathered(values, at[of], n[of]).astype(np.int32)
+        tokens = np.concatenate([[0], np.cumsum(n[of])])
+        ends = np.cumsum(words)
+        sizes = tokens[ends] - tokens[ends - words]
+        right = come_back(self.pieces, texts, ids, sizes)
+        if all(right):
+            return ids, sizes
+        one = np.split(ids, np.cumsum(sizes)[:-1])
+        for k in np.flatnonzero(~np.array(right)).tolist():
+            one[k] = np.array([i for w in self.pieces.words(texts[k] or "") for i in self.pieces.long_word(w.replace(" ", MARK))], np.int32)
+        return np.concatenate(one), np.array([len(x) for x in one], np.int64)
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+
+
+def texts_of(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The UTF-8 texts of arrays of ids that the model has, given all ids and how many each has: pieces joined, less the blank that encoding adds."""
+    n = pieces.surface_bytes[ids]
+    raw = _gathered(pieces.surface, pieces.surface_at[ids], n).tobytes()
+    edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [raw[a + (pieces.prefix and raw[a : a + 1] == b" " and a < b) : b] for a, b in zip(edges, edges[1:])]
+
+
+def come_back(pieces: Pieces, texts: list[str | None], ids: np.ndarray, sizes: np.ndarray) -> list[bool]:
+    """Whether the ids of each text, decoded as a whole, give the text; a literal mark comes back as a blank."""
+    return [got == (t or "").replace(MARK, " ").encode("utf-8", "surrogatepass") for t, got in zip(texts, texts_of(pieces, ids, sizes), strict=True)]
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids", tier: int = TIER, check: str | None = None, keep_text: bool = True) -> DataFrame:
-    """docs with the ids of each text; check names a column that tells whether decoding gives the text back. The driver reads the model file.
+    """docs with the ids of each text; check names a column that tells whether decoding all ids gives the text back. The driver reads the model file.
 
     Without keep_text the text is left out, and needn't come back from Python.
     """
@@ -376,9 +418,9 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
     spark: SparkSession = docs.sparkSession
     words = stored(dictionary(count_words(docs, pieces, text), pieces))
     total = words.count()
-    top = (words if total <= tier else stored(words.orderBy(F.desc("n"), "word").limit(tier))).select("word", "ids", F.xxhash64("word").alias("h"))
+    top = (words if total <= tier else stored(words.orderBy(F.desc("n"), "word").limit(tier))).select("word", "ids")
     # the driver holds one part of it at a time beside the packed form
-    batches = (b for k in range(PARTS) for b in top.where(F.pmod("h", F.lit(PARTS)) == k).toArrow().to_batches())
+    batches = (b for k in range(PARTS) for b in top.where(F.pmod(F.xxhash64("word"), F.lit(PARTS)) == k).toArrow().to_batches())
     width = np.uint16 if len(pieces.surface) <= 1 << 16 else np.int32
     shared = spark.sparkContext.broadcast((pieces, Packed(batches, width)))
     pa.default_memory_pool().release_unused()
@@ -386,14 +428,14 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
 
     def assembler() -> Assembler:
         if "it" not in own:
-            own["it"] = Assembler(*shared.value, bool(check))
+            own["it"] = Assembler(*shared.value)
         return own["it"]
 
     fields = [T.StructField(out, IDS), *([T.StructField(check, T.BooleanType())] if check else [])]
 
-    def made(texts: list[str | None], extra: list[dict[str, bytes]] | None = None) -> list[pa.Array]:
-        ids, right = assembler().encode(texts, extra)
-        return [_lists(ids), *([pa.array(right, pa.bool_())] if check else [])]
+    def made(texts: list[str | None], extra: dict[str, list[int]] | None = None) -> list[pa.Array]:
+        ids, sizes = assembler().encode(texts, extra)
+        return [_lists(ids, sizes), *([pa.array(come_back(assembler().pieces, texts, ids, sizes), pa.bool_())] if check else [])]
 
     if total <= tier:
         return with_columns(docs, [text], fields, lambda texts: made(texts.to_pylist()), drop)
@@ -405,7 +447,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
     joined = docs.join(rest, row, "left")
 
     def whole(texts: pa.Array, extra: pa.Array) -> list[pa.Array]:
-        return made(texts.to_pylist(), [{x["word"]: np.array(x["ids"], width).tobytes() for x in e or []} for e in extra.to_pylist()])
+        return made(texts.to_pylist(), {x["word"]: x["ids"] for e in extra.to_pylist() for x in e or []})
 
     return with_columns(joined, [text, more], fields, whole, [row, more, *drop])
 
@@ -413,9 +455,11 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of each array of ids; ids that the model hasn't are skipped."""
     pieces = Pieces(model)
-    known = range(len(pieces.surface))
 
     def texts(rows: pa.Array) -> list[pa.Array]:
-        return [pa.array([None if r is None else text_of(pieces, [i for i in r if i in known]) for r in rows.to_pylist()], pa.string())]
+        each = [np.array(r or [], np.int64) for r in rows.to_pylist()]
+        each = [r[(r >= 0) & (r < len(pieces.surface_at))] for r in each]
+        found = texts_of(pieces, np.concatenate([*each, np.zeros(0, np.int64)]), np.array([len(r) for r in each], np.int64))
+        return [pa.array([t.decode("utf-8", "replace") if ok else None for t, ok in zip(found, rows.is_valid().to_pylist(), strict=True)], pa.string())]
 
     return with_columns(df, [ids], [T.StructField(out, T.StringType())], texts)
