@@ -331,8 +331,8 @@ def counted(docs: DataFrame, text: str = "text", tier: int = TIER) -> tuple[Pseu
     else:
         ranked = stored(rare.orderBy(F.desc("n"), "h"))
         held = ranked.orderBy(F.desc("n"), "h").limit(tier)
-        least = held.agg(F.min(F.struct("n", -F.col("h")))).first()[0]  # ties at the edge go to the smaller hash
-        rest = ranked.where(F.lit(least is None) | (F.struct("n", -F.col("h")) < F.struct(F.lit(least[0] if least else 0).alias("n"), F.lit(least[1] if least else 0).alias("h"))))
+        least = held.agg(F.min(F.struct("n", (-F.col("h")).alias("h"))).alias("x")).first()["x"]  # ties at the edge go to the smaller hash
+        rest = ranked if least is None else ranked.where((F.col("n") < least["n"]) | (F.col("n") == least["n"]) & (F.col("h") > -least["h"]))
     got = held.select("h", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
     return lm, Counts(got.column(0).to_numpy(), got.column(1).to_numpy()), rest
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -66,15 +67,45 @@ def test_quality_accepts(labelled):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == good
 
 
+def test_quality_needs_positive_labels_only(spark, labelled):
+    """The class prior comes from positives and unlabelled texts: without a bad label the result is the same."""
+    docs, labels = labelled
+    found = quality.score(docs, labels.where("quality = 1"))
+    assert accuracy(found, labels, "predicted", "quality") > 0.97
+    a, b = ({r["doc_id"]: r["score"] for r in x.collect()} for x in (found, quality.score(docs, labels)))
+    assert a == pytest.approx(b)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_prior(prior):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    margins = np.where(rng.random(n) < prior, rng.normal(0.6, 0.2, n), rng.normal(-0.6, 0.2, n))
+    bins = lambda x: np.histogram(x, quality.BINS, (-2, 2))[0].astype(float)
+    assert quality.estimated_prior(bins(margins), bins(rng.normal(0.6, 0.2, 1500))) == pytest.approx(prior, abs=0.03)
+
+
 def test_risk_is_kept_from_below_zero():
-    """With few rows the unbiased risk would go below zero; the fit then follows the clamped one."""
+    """With few rows the unbiased risk would go below zero; the fit is then the least of the clamped one, as a search over plain sums finds."""
     rng = np.random.default_rng(0)
     w = quality.WIDTH
     u, p = rng.normal(size=(40, w)), rng.normal(size=(5, w)) + 0.5
     u[:, -1] = p[:, -1] = 1
     parts = np.stack([np.vstack([x.sum(axis=0), x.T @ x]) for x in (u, p)])
     fitted = quality.fit(np.array([40.0, 5.0]), parts, 0.5)
+
+    def risk(v):
+        """The clamped risk, row by row."""
+        return 0.5 * np.mean((1 - p @ v) ** 2) / 4 + max(0.0, np.mean((1 + u @ v) ** 2) / 4 - 0.5 * np.mean((1 + p @ v) ** 2) / 4)
+
+    scale = np.sqrt(np.maximum(u.var(axis=0), 1e-6))
+    scale[-1] = 1
+    ridge = np.full(w, quality.RIDGE + 0.02 * w / 5)
+    ridge[-1] = 1e-9
+    whole = lambda v: risk(v) + (ridge * (v * scale) ** 2).sum() / 4
     assert np.isfinite(fitted).all()
+    for _ in range(300):  # no small step in any direction is better
+        assert whole(fitted + rng.normal(0, 1e-3, w) / scale) >= whole(fitted) - 1e-7
     assert quality.fit(np.array([40.0, 0.0]), parts, 0.5) is None
 
 
@@ -132,43 +163,133 @@ def lm_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
+def encoded(lm, counts, texts):
+    """Ids and numbers of words of texts, and the sums that the counts give."""
+    ids, sizes, rare, _ = pseudolm.Encoder(lm, counts).encode(pa.array(texts, pa.string()))
+    return ids, sizes, rare
+
+
 def test_pseudo_likelihood_learns(spark, lm_docs):
-    lm = pseudolm.vocabulary(lm_docs)
-    encoded = pseudolm.with_ids(lm_docs, lm).cache()
-    before = encoded.transform(lambda d: pseudolm.score(d, lm)).agg(F.avg("mean_log_prob")).first()[0]
-    trained = pseudolm.train(encoded, lm, rounds=4)
-    after = pseudolm.score(encoded, trained).agg(F.avg("mean_log_prob")).first()[0]
+    lm, counts, rest = pseudolm.counted(lm_docs)
+    rows = pseudolm.with_ids(lm_docs, lm, counts, rest).cache()
+    assert {r["turn"] for r in rows.select("turn").distinct().collect()} == set(range(pseudolm.ROUNDS))
+    before = pseudolm.score(rows, lm).agg(F.avg("mean_log_prob")).first()[0]
+    trained = pseudolm.train(rows, lm, batch=128)
+    after = pseudolm.score(rows, trained).agg(F.avg("mean_log_prob")).first()[0]
     assert after > before + 0.5
     rng = random.Random(2)
     mixed = [" ".join(rng.sample(WORDS, len(WORDS))) for _ in range(20)]
     ordered = [" ".join(WORDS[k:] + WORDS[:k]) for k in range(20)]
-    each = lambda texts: np.mean([s / n for n, s in [(len(i), trained.scores([i])[1][0]) for i in map(trained.ids, texts)]])
+    each = lambda texts: trained.scores(*encoded(trained, counts, texts)[:2]).mean() / len(WORDS)
     assert each(ordered) > each(mixed) + 0.3
 
 
-def test_probabilities_sum_to_one(spark, lm_docs):
-    lm = pseudolm.vocabulary(lm_docs)
-    w = pseudolm.unpack(lm.flat)
-    ctx = np.repeat(np.array([[1, 2, 3, pseudolm.OUTSIDE]]), pseudolm.WORDS, axis=0)
-    assert np.exp(pseudolm.log_probs(w, ctx, np.arange(pseudolm.WORDS))).sum() == pytest.approx(1, abs=1e-3)
+def test_gradients_by_differences():
+    """Every gradient is the slope of the summed negative log-probability."""
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.3, pseudolm.SIZE)
+    ctx, target = rng.integers(0, pseudolm.WORDS + 1, (40, 4)), rng.integers(0, 200, 40)
+    ctx[:20] = 7
+    w = pseudolm.unpack(flat)
+    loss = lambda: -pseudolm.log_probs(w, ctx, target).sum()
+    seen = 0
+    for part, rows, g, n in pseudolm.gradients(w, ctx, target):
+        assert np.all(np.asarray(n) >= 1)
+        view = part[rows]
+        for at in zip(*np.unravel_index(rng.integers(0, g.size, 3), g.shape), strict=True):
+            place = (np.arange(len(part))[rows][at[0]], *at[1:])
+            held, step = part[place], 1e-5
+            part[place] = held + step
+            above = loss()
+            part[place] = held - step
+            below = loss()
+            part[place] = held
+            assert (above - below) / (2 * step) == pytest.approx(g[at], abs=1e-5)
+            seen += 1
+        assert view.shape == g.shape
+    assert seen > 15
+
+
+def test_large_scores_are_safe():
+    """Where exponentials could overflow, rows are moved first; the result is that of plain softmaxes."""
+    rng = np.random.default_rng(4)
+    w = pseudolm.unpack(rng.normal(0, 12, pseudolm.SIZE))
+    assert not pseudolm._safe(w)
+    ctx, target = rng.integers(0, pseudolm.WORDS + 1, (30, 4)), rng.integers(0, pseudolm.WORDS, 30)
+    h = np.concatenate([np.tanh(w["embed"][ctx].reshape(30, -1) @ w["hidden"] + w["hidden_bias"]), np.ones((30, 1))], axis=1)
+
+    def plain(z, at):
+        z = z - z.max()
+        return z[at] - np.log(np.exp(z).sum())
+
+    want = [plain(h[k] @ w["classes"], t // pseudolm.CLASS) + plain(h[k] @ w["members"][t // pseudolm.CLASS], t % pseudolm.CLASS) for k, t in enumerate(target)]
+    assert pseudolm.log_probs(w, ctx, target) == pytest.approx(np.maximum(want, np.log(1e-38)), abs=1e-6)
 
 
-def test_scores_by_hand(spark, lm_docs):
-    """Chunked scores are those of a plain loop over words."""
-    lm = pseudolm.vocabulary(lm_docs)
+@pytest.fixture(scope="module")
+def many_words(spark):
+    """More distinct words than the vocabulary holds."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["of", f"w{rng.randrange(7000)}x", f"w{rng.randrange(7000)}x", f"u{k}q{j}"]) for j in range(80))) for k in range(500)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+
+
+def test_probabilities_of_all_words_sum_to_one(spark, many_words):
+    lm, counts, _ = pseudolm.counted(many_words)
+    w = pseudolm.unpack(lm.flat)
+    words = sorted({x for r in many_words.collect() for x in r["text"].split()})
+    assert len(words) > pseudolm.VOCABULARY + 1000
+    ids, _, rare = encoded(lm, counts, words)
+    ctx = np.repeat(np.array([[1, 2, 3, pseudolm.OUTSIDE]]), len(ids), axis=0)
+    known = np.exp(pseudolm.log_probs(w, ctx, ids.astype(np.int64)) + rare).sum()
+    kinds = np.arange(pseudolm.VOCABULARY, pseudolm.WORDS)  # a word that the corpus hasn't, of each kind
+    unseen = np.exp(pseudolm.log_probs(w, ctx[: len(kinds)], kinds) - lm.log_shape).sum()
+    assert known + unseen == pytest.approx(1, abs=1e-3) and known > 0.5
+
+
+@pytest.mark.parametrize("tier", [pseudolm.TIER, 50, 0])
+def test_scores_by_hand(spark, many_words, tier):
+    """Scores are those of a plain loop over words with counts by a dictionary, wherever the counts are kept."""
+    from collections import Counter
+
+    texts = {r["doc_id"]: r["text"] for r in many_words.collect()}
+    n = Counter(x for t in texts.values() for x in t.lower().split())
+    lm, counts, rest = pseudolm.counted(many_words, tier=tier)
+    assert (rest is None) == (tier == pseudolm.TIER) and len(counts.hashes) <= tier
+    of_kind = Counter()
+    for x, k in n.items():
+        if x not in lm.index:
+            of_kind[pseudolm.shape_of(x)] += k
+    assert set(lm.index) == {x for x, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: pseudolm.VOCABULARY]}
+    got = {r["doc_id"]: r for r in pseudolm.score(pseudolm.with_ids(many_words, lm, counts, rest), lm).collect()}
     w = pseudolm.unpack(lm.flat)
-    ids = lm.ids(" ".join(WORDS * 3 + ["unseen", "words"]))
-    padded = [pseudolm.OUTSIDE] * 2 + ids.tolist() + [pseudolm.OUTSIDE] * 2
-    want = sum(pseudolm.log_probs(w, np.array([[padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]]), np.array([ids[i]]))[0] for i in range(len(ids)))
-    assert lm.scores([ids])[1][0] == pytest.approx(want, rel=1e-4)
+    for k in range(0, 500, 50):
+        words = texts[k].lower().split()
+        ids = [lm.index.get(x, pseudolm.VOCABULARY + pseudolm.shape_of(x)) for x in words]
+        padded = [pseudolm.OUTSIDE] * 2 + ids + [pseudolm.OUTSIDE] * 2
+        want = sum(pseudolm.log_probs(w, np.array([[padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]]), np.array([ids[i]]))[0] for i in range(len(ids)))
+        want += sum(np.log(n[x] / (of_kind[pseudolm.shape_of(x)] + 1)) for x in words if x not in lm.index)
+        assert got[k]["n_words"] == 80 and got[k]["log_likelihood"] == pytest.approx(want, rel=1e-4)
+
+
+def test_copies_score_above_their_like(spark):
+    """Words that only a twice occurring document has count twice, so it scores above one that occurs once."""
+    rng = random.Random(6)
+    text = lambda k: " ".join(rng.choice(["of", "the", f"zz{k}y{j}"]) for j in range(120))
+    once = [text(k) for k in range(300)]
+    rows = [(k, t) for k, t in enumerate(once)] + [(1000 + k, once[k]) for k in range(40)]
+    filler = [(5000 + k, " ".join(f"f{k}g{j}" for j in range(5000)) + (" " + " ".join(f"c{j}d" for j in range(4000))) * 3) for k in range(3)]  # so that these words aren't in the vocabulary
+    found = {r["doc_id"]: r["mean_log_prob"] for r in pseudolm.pseudo_likelihood(spark.createDataFrame(rows + filler, "doc_id long, text string")).collect()}
+    twice, single = [found[k] for k in range(40)], [found[k] for k in range(40, 300)]
+    assert np.mean(twice) > np.mean(single) + 0.15
 
 
 def test_odd_lm(spark, odd, none):
-    rows = pseudolm.pseudo_likelihood(odd.withColumn("n_words", F.lit("x"))).collect()
+    rows = pseudolm.pseudo_likelihood(odd.withColumn("n_words", F.lit("x")).withColumn("rare", F.lit(1))).collect()
     assert len(rows) == odd.count()
     assert all(r["log_likelihood"] == 0 and r["n_words"] == 0 for r in rows if r["doc_id"] in (3, 4, 5))
     assert all(r["log_likelihood"] < 0 for r in rows if r["doc_id"] in (1, 7, 9))
-    assert pseudolm.pseudo_likelihood(none).count() == 0
+    assert pseudolm.pseudo_likelihood(none).count() == 0 and pseudolm.pseudo_likelihood(odd, tier=0).count() == odd.count()
 
 
 TEXTS = [
@@ -256,5 +377,39 @@ def test_viterbi_of_unigram_models(spark):
         assert total == pytest.approx(brute(r["word"], table, worst, 4)[0])
 
 
-def test_odd_pieces(odd, none):
-    assert pieces.encode(odd).count() == odd.count() and pieces.encode(none).count() == 0
+def test_odd_pieces(odd, odd_rows, none, library):
+    clash = odd.withColumn("ids", F.lit("x")).withColumn("word", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("_more", F.lit(3))
+    for tier in (pieces.TIER, 3):
+        rows = pieces.encode(clash, tier=tier, check="ok").collect()
+        assert sorted((repr(r["doc_id"]), list(r["ids"])) for r in rows) == sorted((repr(r[0]), library.encode((r[1] or "").replace(pieces.MARK, " "))) for r in odd_rows)
+        assert all(r["ok"] and r["word"] == 1 and r["_row"] == 2 and r["_more"] == 3 for r in rows)
+    assert pieces.encode(none, check="ok").count() == 0
+
+
+def test_round_trip_tells_faults():
+    """The check decodes all ids of a text: one id too many, too few or another one shows."""
+    p = pieces.Pieces()
+    texts = ["so it is", "", None, "  two  blanks\n", "\u2581mark"]
+    each = [[i for w in p.words(t or "") for i in p.long_word(w.replace(" ", pieces.MARK))] for t in texts]
+    sizes = np.array([len(x) for x in each])
+    assert pieces.come_back(p, texts, np.array(sum(each, [])), sizes) == [True] * 5
+    good = each[0]
+    for broken in (good[:-1], good + good[-1:], good[::-1], good[:-1] + [p.table[0][1]]):
+        assert pieces.come_back(p, texts, np.array(broken + sum(each[1:], [])), np.array([len(broken), *sizes[1:]])) == [False, True, True, True, True]
+
+
+def test_equal_hashes_are_mended(library, monkeypatch):
+    """Where words share a hash the decoded text shows it, and the document is encoded word by word."""
+    p = pieces.Pieces()
+    monkeypatch.setattr(pieces, "_hashes", lambda c, starts: np.array([np.uint64(len(x)) for x in np.split(c, starts[1:])], np.uint64) if len(starts) else np.zeros(0, np.uint64))
+    words = ["\u2581so", "\u2581it", "\u2581is"]
+    packed = pieces.Packed([pa.RecordBatch.from_arrays([pa.array(words), pa.array([p.long_word(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])], np.uint16)
+    texts = ["so it is so", "is", None, "it it"]
+    ids, sizes = pieces.Assembler(p, packed).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t) if t else [] for t in texts]
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(pieces, "PORTION", 10)
+    texts = ["a" * 4, None, "b" * 30, "", "c" * 9, "d" * 2]
+    assert [texts[x] for x in pieces.portions(texts)] == [["aaaa", None, "b" * 30], ["", "c" * 9, "dd"], []]

@@ -93,6 +93,60 @@ def test_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def sketch_by_hand(text, components=32):
+    """Order MinHash by its definition: in each order all numbered k-mers are ranked, and the two first put back in text order."""
+    mask = (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda x, seed=42: xxhash.xxh64_intdigest((x & mask).to_bytes(8, "little"), seed)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return (0,) * components
+    each = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    pair = lambda a, b: of_long(b, of_long(a))
+    if len(words) < 3:
+        h = 42
+        for x in each:
+            h = of_long(x, h)
+        kmers = [h]
+    else:
+        kmers = [pair(pair(a, b), c) for a, b, c in zip(each, each[1:], each[2:])]
+    high = lambda h: (h >> 1 & ((1 << 63) - 1)) >> 24
+    seen, numbered = {}, []
+    for place, h in enumerate(map(high, kmers)):
+        n = seen[h] = seen.get(h, -1) + 1
+        if n:
+            h = high(xxhash.xxh64_intdigest(n.to_bytes(4, "little"), of_long(h)))
+        numbered.append((h, place))
+    out = []
+    for j in range(components):
+        start = j * ((1 << 63) // components) >> 24
+        first = sorted(numbered, key=lambda x: ((x[0] - start) % (1 << 39), x[1]))[:2]
+        h = 42
+        for x, _ in sorted(first, key=lambda x: x[1]):
+            h = of_long(x, h)
+        out.append(h & 0x7FFFFFFF)
+    assert all(isinstance(signed(x), int) for x in out)
+    return tuple(out)
+
+
+def test_sketch_by_hand(spark):
+    """The fingerprint is the one that ranking every k-mer in every order gives, repeats and short texts included."""
+    rng = random.Random(3)
+    texts = ["", None, " ", "a", "a b", "a b c", "a b c " * 9, "x " * 40] + [" ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 60))) for _ in range(60)] + [" ".join(f"w{rng.randrange(500)}" for _ in range(900)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumns({"_m": F.lit(1), "_s": F.lit("y"), "_w": F.lit(2)})
+    rows = ordermin.add_sketch(df, "text", "s").collect()
+    assert all((r["_m"], r["_s"], r["_w"]) == (1, "y", 2) for r in rows)
+    for r in rows:
+        assert tuple(r["s"]) == sketch_by_hand(texts[r["i"]]), texts[r["i"]]
+    assert ordermin.add_sketch(df.limit(0), "text", "s").count() == 0
+
+
+def test_next_keeps_columns(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (None, "n"), (2, "b"), (2, "b2")], "id long, t string").withColumns({"_block": F.lit(7), "_cuts": F.lit(8), "_to": F.lit(9)})
+    got = [tuple(r) for r in ordermin.with_next(df, "id", ["t"]).orderBy(F.col("id").asc_nulls_first(), "t").collect()]
+    assert got == [(None, "n", 7, 8, 9, "a"), (1, "a", 7, 8, 9, "b"), (2, "b", 7, 8, 9, "b2"), (2, "b2", 7, 8, 9, "c"), (3, "c", 7, 8, 9, "n")]
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), " ".join(words[200:] + words[:200]), " ".join(words[:390] + ["x"] * 10), " ".join(f"v{i}" for i in range(400))]
