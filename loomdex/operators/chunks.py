@@ -147,9 +147,3 @@ def chunk_files(docs: DataFrame, path: str = "path", text: str = "content") -> D
     made = docs.select(F.col(path).alias("file_path"), chunk_language(F.col(path)).alias("language"), F.col(text).alias("_t"))
     each = made.select("file_path", "language", F.explode(cut(F.col("_t"), F.col("language"))).alias("_c")).select("file_path", "language", "_c.*")
     return each.select(chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("id"), "file_path", "start_line", "end_line", "language", "chunk_type", "content")
-
-
-def in_batches(rows: list, size: int) -> list[list]:
-    return [rows[at : at + size] for at in range(0, len(rows), size)]
-
-

@@ -142,19 +142,22 @@ def search(index: Index, query: str | Group, fields: tuple[str, ...] = ("symbols
 def scan_scores(docs: DataFrame, terms: list[str], path: str, text: str) -> DataFrame:
     """(path, score) of documents that have any of the terms, straight from texts.
 
-    Terms are counted inside each document's token array: nothing is exploded, and the only
-    shuffle is that of one row of statistics.
+    Terms are counted inside each document's token array: nothing is exploded. The narrow counts
+    are dealt out once, and both the statistics and the scores read them from there, so texts are
+    cut into tokens once.
     """
     tokens = docs.select(F.col(path).alias("path"), tokens_of(F.col(text)).alias("_t"))
 
     def count(term: str) -> Column:
         return F.size(F.filter("_t", lambda x: x == term))
 
-    counted = tokens.select("path", F.size("_t").alias("dl"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
-    each = [idf(F.col(f"n{i}"), F.col("N")) * saturation(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))]
-    some = counted.where(reduce(or_, (F.col(f"tf{i}") > 0 for i in range(len(terms)))))
-    return some.join(F.broadcast(stats)).select("path", reduce(add, each).alias("score"))
+    names = [f"tf{i}" for i in range(len(terms))]
+    counted = tokens.select("path", F.size("_t").alias("dl"), *(count(t).alias(c) for t, c in zip(terms, names, strict=True))).hint("rebalance", "path")
+    stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(c) > 0).alias(f"n{i}") for i, c in enumerate(names)))
+    each = [idf(F.col(f"n{i}"), F.col("N")) * saturation(F.col(c), F.col("dl"), F.col("avgdl")) for i, c in enumerate(names)]
+    some = reduce(or_, (F.col(c) > 0 for c in names))
+    # a test of the score, as one of the counts would be made before the counts are dealt out
+    return counted.join(F.broadcast(stats)).select("path", F.when(some, reduce(add, each)).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, key: str = "path") -> DataFrame:

@@ -7,7 +7,10 @@ rounded to 6 places on both sides, and every top list has a tie-breaker.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,8 @@ from loomdex.operators import vectors as search_vectors
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
 from loomdex.plans import extensions, search
 from loomdex.plans.cache import ResultCache
-from loomdex.plans.config import SearchQuery
-from loomdex.plans.engine import document_rows
+from loomdex.plans.config import Config, SearchQuery
+from loomdex.plans.engine import Engine, document_rows
 from loomdex.sources.workspace import read_paths, read_workspaces
 from loomdex.streaming import changes
 
@@ -422,6 +425,55 @@ def workspace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").distinct().withColumn("workspace_id", text.workspace_id(F.col("source")))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a table that a query makes: below the shared checkpoint folder, or a local one in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+
+
+@query(
+    "table_versions",
+    f"""WITH one AS (SELECT path, hash FROM {_OLD}), two AS (SELECT * FROM one WHERE path NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 3 = 0),
+        three AS (SELECT * FROM two WHERE path % 5 <> 0) SELECT 0 AS version, * FROM one UNION ALL SELECT 1, * FROM two UNION ALL SELECT 2, * FROM three UNION ALL SELECT 3, * FROM three""",
+)
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version of a table: as it was made, after upserts, after deletions, and rewritten; a batch that comes again changes nothing."""
+    now, old = (d.select("path", "hash") for d in _states(spark, sf_dir))
+    t = metadata.VersionedTable(spark, scratch(spark), buckets=8)
+    t.commit(old, 0)
+    t.upsert(now.where("path % 3 = 0"), 1)
+    t.upsert(now, 1)
+    t.delete(now.union(old).where("path % 5 = 0").select("path"), 2)
+    t.optimize()
+    return reduce(DataFrame.unionByName, (t.read(n).withColumn("version", F.lit(n)) for n in range(t.version + 1)))
+
+
+@query("table_after_clear", "SELECT 0 AS before_first, 1 AS after_clear, 0 AS rows_left, count(*) AS rows_again FROM documents")
+def table_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that isn't there yet, cleared, and filled again; vacuum keeps the last version only."""
+    now, _ = _states(spark, sf_dir)
+    t = metadata.VersionedTable(spark, scratch(spark), buckets=4)
+    missing = 0 if t.read() is None else 1
+    t.commit(now)
+    cleared = t.clear()
+    left = t.read().count()
+    t.upsert(now)
+    t.vacuum()
+    return t.read().agg(F.count("*").alias("rows_again")).select(F.lit(missing).alias("before_first"), F.lit(cleared).alias("after_clear"), F.lit(left).cast("long").alias("rows_left"), "rows_again")
+
+
+@query("table_keys", "SELECT doc_id AS path FROM documents")
+def table_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.paths(_states(spark, sf_dir)[0])
+
+
+@query("changed_files", f"SELECT path FROM {_DIFF} JOIN documents ON doc_id = path WHERE status IN ('new', 'changed') AND text <> ''")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.to_index(documents(spark, sf_dir), *_states(spark, sf_dir)).select("path")
+
+
 # --- chunks ------------------------------------------------------------------------------------
 
 
@@ -440,6 +492,18 @@ def chunk_fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
 
 
+@query(
+    "chunk_replace",
+    f"""WITH c AS (SELECT * FROM {_windows_sql('greatest(len(l) - 3, 0)', 16)}), n AS (SELECT * FROM {_windows_sql('len(l) - 1', 18)} WHERE doc_id % 4 = 0)
+        SELECT doc_id, start_line, end_line FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, start_line, end_line FROM n""",
+)
+def chunk_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with those of some files replaced as a whole by others, ranges that are gone included."""
+    docs = _chunk_docs(spark, sf_dir)
+    found = metadata.replace_chunks(chunks.fixed_windows(docs), chunks.split_large(docs.where("doc_id % 4 = 0")), "doc_id")
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")))
+
+
 @query("chunk_large_split", f"SELECT doc_id, start_line, end_line, content FROM {_windows_sql('len(l) - 1', 18)}")
 def chunk_large_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.split_large(_chunk_docs(spark, sf_dir))
@@ -749,6 +813,69 @@ def event_apply_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.last_per_path(change_events(table(spark, sf_dir, "events"))).where(F.col("kind") != changes.DELETED).select("path")
 
 
+@query("event_apply_table", f"SELECT path, 'text of ' || path AS content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS n FROM {_EVENTS}) WHERE n = 1 AND kind <> 'deleted'")
+def event_apply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table kept by batches of events, one of which is delivered twice."""
+    events = change_events(table(spark, sf_dir, "events"))
+    t = metadata.VersionedTable(spark, scratch(spark), buckets=8)
+    apply = changes.apply_batch(t, lambda paths: paths.withColumn("content", F.concat(F.lit("text of "), F.col("path").cast("string"))))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]  # events are in order of time
+    first, second = events.where(F.col("event_id") <= middle), events.where(F.col("event_id") > middle)
+    for number, batch in ((0, first), (1, second), (1, first)):
+        apply(batch, number)
+    return t.read()
+
+
+# --- the engine over this package ----------------------------------------------------------------
+
+_PACKAGE_FILES = f"(SELECT 'loomdex' || substr(filename, {len(_PACKAGE) + 1}) AS path, content, size FROM read_text('{_PACKAGE}/**/*.py') WHERE content <> '')"
+_PACKAGE_LINES = f"(SELECT path, content AS whole, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT path, content, string_split(content, chr(10)) AS l FROM {_PACKAGE_FILES}))"
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, Config(workspace_roots=(_PACKAGE,), cache_dir=scratch(spark), enable_semantic=False, index_buckets=4), clock=lambda: CLOCK)
+
+
+@query(
+    "engine_symbol_lines",
+    f"""SELECT path AS file_path, n AS line_number, instr(lower(line), 'walk') - 1 AS "column", line AS content FROM {_PACKAGE_LINES}
+        WHERE regexp_matches(whole, '(^|\\n)(async )?(def|class) ([A-Za-z0-9]+_)*[wW]alk(_|\\b)') AND ({_WORDS}) AND contains(lower(line), 'walk')""",
+)
+def engine_symbol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A symbol search over files that were scanned, parsed and indexed; asked twice, the second time of the cache."""
+    with _engine(spark) as e:
+        e.search_symbols("walk", limit=200)
+        found = e.search_symbols("walk", limit=200)
+        assert found.from_cache
+        return found.results.select("file_path", *(F.col(c).cast("long").alias(c) for c in ("line_number", "column")), "content")
+
+
+@query("engine_status", f"SELECT count(*) AS indexed_files, 20 * count(*) AS total_symbols, true AS has_index, false AS file_watching_active, count(*) AS unchanged, 0 AS without_model FROM {_PACKAGE_FILES}")
+def engine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine tells of itself, what a second look at the same files finds, and a semantic search without a model."""
+    with _engine(spark) as e:
+        again = e.reindex()
+        e.optimize()
+        status = e.index_status()
+        row = (status["indexed_files"], status["total_symbols"], status["index_size_bytes"] > 0, status["file_watching_active"], again["unchanged"], e.search_semantic("walk").total_matches)
+    return spark.createDataFrame([row], "indexed_files long, total_symbols long, has_index boolean, file_watching_active boolean, unchanged long, without_model long")
+
+
+@query("workspace_two_roots", f"""SELECT path, split_part(path, '/', 1) AS repository FROM (SELECT 'functions' || substr(filename, {len(_PACKAGE) + 11}) AS path, content FROM read_text('{_PACKAGE}/functions/*.py')
+    UNION ALL SELECT 'sources' || substr(filename, {len(_PACKAGE) + 9}), content FROM read_text('{_PACKAGE}/sources/*.py')) WHERE content <> ''""")
+def workspace_two_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_workspaces(spark, [f"{_PACKAGE}/functions", f"{_PACKAGE}/sources/"]).select("path", "repository")
+
+
+@query(
+    "symbol_signatures",
+    "SELECT language, name, signature FROM (VALUES ('python', 'A', 'class A:'), ('python', 'f', 'async def f():'), ('go', 'A', 'func A() {}'), ('go', 'M', 'func (r *T) M() {}'), ('go', 'T', 'type T struct { a int }'), ('go', 'I', 'type I interface { M() }')) v(language, name, signature)",
+)
+def symbol_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = symbols.with_symbols(_code(spark).where(F.col("language").isin("python", "go"))).select("language", F.explode("symbol_list").alias("s"))
+    return each.select("language", "s.name", "s.signature")
+
+
 # --- extensions --------------------------------------------------------------------------------
 
 
