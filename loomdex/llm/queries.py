@@ -117,5 +117,5 @@ _LINES = f"""
     judged AS (SELECT base.*, n_words < {linefreq.MIN_WORDS} OR 100 * n_repeat_words > {linefreq.MAX_REPEAT} * n_words AS base_failed, coalesce(gone, 0) AS gone, coalesce(total, 0) AS total FROM base LEFT JOIN lost ON base.r = lost.r)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (gone > 0 AND total - gone < {linefreq.MIN_LEFT}::DOUBLE * total) AS kept, gone::BIGINT AS removed_chars FROM judged"""
 
-#: The others need hashes, trained models or parsers that SQL lacks; tests/llm holds them against brute force.
+#: The others need hashes, trained models or parsers that SQL lacks; tests/llm holds them against plain loops, the sentencepiece library or held-out labels.
 ORACLES: dict[str, str] = {"op6_warc": _WARC, "op9_line_rules": _LINES}

@@ -135,6 +135,36 @@ def test_severity_grows(spark, labelled):
     assert got == sorted(got) and got[0] < 0.3 and got[4] > 1
 
 
+def test_evidence_by_hand(spark):
+    """Words that say most about the label, by plain counts and the likelihood ratio; those against toxicity too."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(400):
+        toxic = rng.random() < 0.3
+        words = rng.choices(WORDS, k=12) + (["vile"] if rng.random() < (0.7 if toxic else 0.02) else []) + (["kind"] if rng.random() < (0.02 if toxic else 0.6) else [])
+        rows.append((" ".join(words), toxic))
+    found, bad, good = toxicity.evidence(spark.createDataFrame(rows, "text string, toxic boolean"))
+    assert (bad, good) == (sum(t for _, t in rows), sum(not t for _, t in rows))
+    want = {}
+    for w in {w for t, _ in rows for w in t.split()}:
+        b, g = (sum(w in t.split() for t, y in rows if y == k) for k in (True, False))
+        if b + g >= toxicity.MIN_DOCS:
+            odds, rate = np.log((b + 0.5) / (bad + 1)) - np.log((g + 0.5) / (good + 1)), bad / (bad + good)
+            ratio = 2 * sum(k * np.log(k / ((b + g) * r)) for k, r in ((b, rate), (g, 1 - rate)) if k)
+            z = np.sign(odds) * np.sqrt(max(ratio, 0))
+            if not toxicity.AGAINST < z < toxicity.EVIDENCE:
+                want[w] = odds
+    assert found == pytest.approx(want) and found["vile"] > 0 > found["kind"]
+
+
+def test_severity_follows_density(spark, labelled):
+    """The same toxic words in a longer text are a lower grade."""
+    model = toxicity.train(*labelled)
+    texts = [(n, sentence(3, n) + " vile nasty horrid") for n in (10, 60, 400)]
+    got = [r["severity"] for r in toxicity.severity(spark.createDataFrame(texts, "n int, text string"), model).orderBy("n").collect()]
+    assert got[0] > got[1] > got[2]
+
+
 def test_odd_toxicity(odd, none, labels):
     model = toxicity.train(odd, labels)
     clash = odd.withColumn("severity", F.lit("x"))
