@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomdex.llm import ordermin, queries, simhash, warc
+from loomdex.llm import jaccard, ordermin, queries, simhash, warc
 from loomdex.llm.components import connected_components
 
 
@@ -256,3 +257,53 @@ def test_warc_is_scanned_once(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.op6_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_parities_bound_the_difference(spark):
+    """Folded parities never differ in more bits than the sets in members, also where one has twice as many kinds."""
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(60):
+        n = int(rng.integers(200, 1200))
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        keep = rng.random(len(a)) < rng.choice([0.8, 0.9, 1.0])
+        b = np.unique(np.concatenate([a[keep], rng.integers(-(2**62), 2**62, int(rng.integers(0, n // 5)))]))
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            continue
+        rows.append((k, *(np.frombuffer(jaccard.parity(x), np.int64).tolist() for x in (a, b))))
+        want.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>")
+    m = F.least(F.size("x"), F.size("y"))
+    bits = F.zip_with(jaccard._folded(F.col("x"), m), jaccard._folded(F.col("y"), m), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    got = [r["n"] for r in df.select(F.aggregate(bits, F.lit(0), lambda n, x: n + x).alias("n")).collect()]
+    assert any(len(r[1]) != len(r[2]) for r in rows) and all(g <= w and (g > 0 or w == 0) for g, w in zip(got, want, strict=True))
+
+
+def test_similar_long_texts(spark):
+    """Groups of texts of hundreds of words are those that all pairs of a similarity of 0.8 or more connect."""
+    rng = random.Random(8)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(rng.randint(60, 600))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 30)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words[: rng.randint(int(len(words) * 0.85), len(words))]))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    got = {r["doc_id"]: r["component"] for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({find(i) for i in range(len(texts))}) == len(set(got.values())) and 12 < len(set(got.values())) < len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (got[i] == got[j]) == (find(i) == find(j))
