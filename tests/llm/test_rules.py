@@ -207,6 +207,26 @@ def test_sainte_lague():
         assert mixing.sainte_lague(w, seats, most) == slow
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_many_sources(spark, ties):
+    """Levels and blocks searched for in tables are those of the rounds and seats on the driver; ties go by rank."""
+    rng = random.Random(9)
+    sizes = [rng.choice([0, 7, 7, 50]) if ties else rng.randrange(10 ** rng.randint(1, 6)) for _ in range(150)]
+    weights = [(3, 1, 2)[k % 3] for k in range(150)]
+    df = spark.createDataFrame([(k, n, w) for k, (n, w) in enumerate(zip(sizes, weights, strict=True))], "rank long, size long, weight long").repartition(5)
+    for budget in (Fraction(3, 2) * sum(sizes), Fraction(sum(sizes), 7), Fraction(9) * sum(sizes)):
+        level = mixing.level_of(df, budget, 2)
+        want = mixing.targets(sizes, weights, budget)
+        assert [mixing.target(n, w, level, 2) for n, w in zip(sizes, weights, strict=True)] == want
+        seats = int(sum(want) / 16 + Fraction(1, 2))
+        got = mixing.with_blocks(df, level, 2, 16, seats, "rank").orderBy("rank").collect()
+        assert [r["blocks"] for r in got] == mixing.sainte_lague(want, seats, [-(-2 * n // 16) for n in sizes])
+        assert [r["target"] for r in got] == [float(t) for t in want]
+    rows = [("b", 1), (None, 2), ("a", 3), ("é", 4), ("z", 5)]
+    placed = mixing.ranked(spark.createDataFrame(rows, "s string, n int").repartition(4), F.col("s").isNull(), F.col("s"), out="n_th").collect()
+    assert {r["s"]: r["n_th"] for r in placed} == {"a": 0, "b": 1, "z": 2, "é": 3, None: 4}
+
+
 def test_op10(spark, odd, none, tmp_path):
     where = folder_of(tmp_path / "a", documents=odd)
     once, again = (sorted(map(tuple, queries.op10_mix_sources(spark, where).collect()), key=repr) for _ in range(2))
