@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: those that operator 4 links, and those of a similarity of 0.8 in 5-word shingles."""
     return simhash.one_of_each(docs, groups=jaccard.near_duplicates)
 
 

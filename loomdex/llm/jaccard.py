@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, as an exact join.
+"""Near-duplicates by SimHash and by the Jaccard similarity of word shingles, as an exact join.
+
+First the operator of simhash links texts, by its fingerprints, popcount grid and exact check. Its
+2 bits miss most texts that are alike in 4/5, so the join below adds these; either link counts,
+and texts that the first has connected aren't compared again in the join's second step.
 
 A text is the set of its runs of 5 words (A-Z lower-cased, words of non-blank bytes), as 64-bit
 hashes; a shorter text is a single run, one without words a set of its own kind. Two texts are
@@ -18,7 +22,8 @@ connects large groups in linear work; then those outside the largest group of a
 Texts that are mostly common to many but alike in less than 4/5 are the case in which pairs grow
 with the square of their number; none are left out.
 
-Equal sets are one node. Rows and names of groups are as in simhash.
+Equal sets are one node; as repeats count in fingerprints, a set may have several. Rows and names
+of groups are as in simhash.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomdex.llm import simhash
 from loomdex.llm.common import small_batches, stored, with_columns
 from loomdex.llm.components import connected_components
 from loomdex.llm.simhash import SEED, grouped
@@ -108,14 +114,26 @@ def _folded(odd: Column, size: Column) -> Column:
 
 
 def with_prefix(docs: DataFrame) -> DataFrame:
-    """docs, less their text, with fp, a hash of the set, n, its size, its prefix, its parities, and those of PARITY kinds."""
+    """docs, less their text, with fp, a hash of the set, sim, the SimHash, n, the set's size, its prefix, its parities, and those of PARITY kinds."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def made(texts: pa.Array) -> list[pa.Array]:
-        sets = _sets(texts)
-        return [pa.array(_prints(sets)), pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, shared.value) for x in sets]), _lists([np.frombuffer(parity(x), np.int64) for x in sets]), _lists([np.frombuffer(parity(x, PARITY), np.int64) for x in sets])]
+        raw = texts.cast(pa.binary()).to_pylist()
+        sets = list(map(shingles, raw))
+        return [pa.array(_prints(sets)), simhash.prints_of(raw), pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, shared.value) for x in sets]), _lists([np.frombuffer(parity(x), np.int64) for x in sets]), _lists([np.frombuffer(parity(x, PARITY), np.int64) for x in sets])]
+
+    return with_columns(docs, ["text"], [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", _LIST), T.StructField("odd", _LIST), T.StructField("short", _LIST)], made, ["text"])
+
 
-    return with_columns(docs, ["text"], [T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", _LIST), T.StructField("odd", _LIST), T.StructField("short", _LIST)], made, ["text"])
+def by_simhash(prefixes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect exactly the sets whose texts the SimHash operator connects."""
+    held = stored(prefixes.select("sim", "fp").distinct())
+    of = held.groupBy("sim").agg(F.min("fp").alias("first"))
+    near = simhash.links(of.select(F.col("sim").alias("fp"), simhash.cell_of(F.col("sim")).alias("cell")))
+    first = lambda c: of.select(F.col("sim").alias(c), F.col("first").alias(f"first_{c}"))
+    far = near.join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = held.join(of, "sim").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    return stored(far.union(same).where("a <> b").distinct())
 
 
 def buckets(prefixes: DataFrame) -> DataFrame:
@@ -167,8 +185,8 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.where(fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct sets that chains of similar ones connect."""
+def links(prefixes: DataFrame, docs: DataFrame, given: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct sets that chains of similar ones and of given edges connect."""
     met = buckets(prefixes)
     # how typical a text is: an original has more members in common with its copies than they have among each other
     held = met.groupBy("h").agg(F.count("*").alias("k"))
@@ -178,6 +196,7 @@ def links(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
     hubs = scored.groupBy("h").agg(F.array(F.min_by(text, F.struct(F.xxhash64(F.pmod("h", F.lit(HUBS)), "fp"), "fp")), F.max_by(text, F.struct("typical", "fp"))).alias("hubs"))
     hubs = hubs.select("h", F.explode(F.array_distinct("hubs")).alias("hub")).select("h", "hub.x", "hub.n_x")
     near = _alike(_pairs(met.join(hubs, "h").select("x", "n_x", F.col("fp").alias("y"), F.col("n").alias("n_y"))), prefixes, docs)
+    near = near.union(given)
     known = connected_components(near)
     named = stored(met.join(known, met["fp"] == known["node"], "left").select("h", "fp", "n", F.coalesce("component", "fp").alias("c")))
     counts = named.groupBy("h", "c").agg(F.count("*").alias("k"))
@@ -193,9 +212,9 @@ def links(prefixes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_key: bool = False) -> DataFrame:
-    """As simhash.near_duplicates, with fp a hash of the text's set."""
+    """As simhash.near_duplicates, whose links are among those made here, with fp a hash of the text's set."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = [F.md5(F.coalesce("text", F.lit(""))).alias("key")] if with_key else []
     prefixes = stored(with_prefix(docs.select("doc_id", "text", *key)))
-    ids = prefixes.drop("n", "prefix", "odd", "short")
-    return grouped(ids, ids.groupBy("fp").agg(F.min("doc_id").alias("least")), links(prefixes, docs))
+    ids = prefixes.drop("sim", "n", "prefix", "odd", "short")
+    return grouped(ids, ids.groupBy("fp").agg(F.min("doc_id").alias("least")), links(prefixes, docs, by_simhash(prefixes)))

@@ -53,14 +53,14 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """df with the fingerprint as a signed 64-bit integer."""
+def prints_of(raw: list[bytes | None]) -> pa.Array:
+    """The SimHashes of UTF-8 texts as signed 64-bit integers."""
+    return pa.array(np.fromiter(map(fingerprint, raw), np.uint64, len(raw)).view(np.int64))
 
-    def prints(texts: pa.Array) -> list[pa.Array]:
-        raw = texts.cast(pa.binary()).to_pylist()
-        return [pa.array(np.fromiter(map(fingerprint, raw), np.uint64, len(raw)).view(np.int64))]
 
-    return with_columns(df, [text], [T.StructField(out, T.LongType())], prints)
+def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
+    """df with the fingerprint as a signed 64-bit integer."""
+    return with_columns(df, [text], [T.StructField(out, T.LongType())], lambda texts: [prints_of(texts.cast(pa.binary()).to_pylist())])
 
 
 def _long(x: int) -> Column:

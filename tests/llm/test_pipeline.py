@@ -76,6 +76,19 @@ def test_dedup_stage_by_similarity(spark, odd):
     assert kept == {min(i for i, h in enumerate(group) if h == g) for g in set(group)}
 
 
+def test_dedup_stage_by_fingerprint(spark, odd):
+    """Links of operator 4 count where the 5-word similarity is low, in chains with links by similarity too."""
+    often, words = "a b c " * 200, [f"w{k}" for k in range(80)]
+    texts = [often + " ".join(words), often + " ".join(words[:60] + [f"v{k}" for k in range(30)]), " ".join(words), " ".join(words[:79] + ["x"]), "else", often + " ".join(f"u{k}" for k in range(60))]
+    prints = [simhash_of(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    assert linked(0, 1) and linked(0, 5) and not alike(0, 1) and not alike(0, 5) and not alike(1, 5) and alike(0, 2) and not linked(0, 2) and alike(2, 3)
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], odd.schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 4]
+
+
 def test_secret_stage(spark, docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in corpus_pipeline.secret_scan(spark, docs, "").collect():
