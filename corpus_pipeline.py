@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import jaccard, mixing, pieces, quality, secrets, simhash
-from loomdex.llm.common import forget, shared_dir, stored, table
+from loomdex.llm.common import forget, release, shared_dir, stored, table
 
 
 def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -67,4 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             forget(spark, before)
         before = path
+        release(spark)  # the next stage, or the session's next query, finds small heaps
     return docs

@@ -67,6 +67,15 @@ def forget(spark: SparkSession, folder: str) -> None:
     fs.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have each executor's JVM collect its garbage, so that heap it no longer needs goes back to the machine before Python workers need it.
+
+    There are as many tasks as cores, so that idle executors all get some.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns, lengthened until df has none of them."""
     held = {c.lower() for c in df.columns}

@@ -122,3 +122,12 @@ def test_run(spark, docs, labels, odd, tmp_path):
     assert corpus_pipeline.run(spark, folder_of(tmp_path / "c", documents=odd.limit(0), labels=labels.limit(0))).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_duplicates", "secret_scan", "mix_sources", "sentencepiece"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_releases_heaps(spark, docs, labels, tmp_path):
+    """Full collections, one a stage at least: no stage starts on a heap that the one before has grown."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    corpus_pipeline.run(spark, folder_of(tmp_path, documents=docs.limit(0), labels=labels.limit(0)))
+    assert full() - before >= len(corpus_pipeline.STAGES)
