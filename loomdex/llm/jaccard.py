@@ -10,7 +10,8 @@ linked if, and only if, their sets have a similarity of 4/5 or more. That needs
 in common, so the first n div 5 + 1 members of both, in whatever order that is the same for all,
 share one: this prefix rule misses nothing. Members that a sample of texts finds in many come
 last, the commonest last of all, so that texts meet by what few have and not by a common
-passage; the sample only sets this order, and links don't depend on it.
+passage; the sample only sets this order, and links don't depend on it. It grows with the table:
+in a sample of fixed size a passage of a fixed share of a hundred texts looks like one's own.
 
 Sets are made for prefixes and again, in each step, for the texts that have to be compared; a
 bitmap of fixed size lets most of the rest go before a join drops all of it.
@@ -19,6 +20,8 @@ Every two that meet are compared, unless links already connect them: by parities
 the difference from below, and where these allow it on their whole sets. First
 all that share a member are compared with two of them, one by chance and the most typical, which
 connects large groups in linear work; then those outside the largest group of a member are compared with all the others there.
+The second step leaves out members of two texts, whose only pair the first has compared, and takes
+one of the members that the same texts share, as the others would only make the same pairs again.
 Texts that are mostly common to many but alike in less than 4/5 are the case in which pairs grow
 with the square of their number; none are left out.
 
@@ -43,7 +46,7 @@ from loomdex.llm.components import connected_components
 from loomdex.llm.simhash import SEED, grouped
 
 SHINGLE, HUBS = 5, 16
-SAMPLE, LEAST, COMMON, BITS, PARITY = 4000, 4, 1 << 16, 1 << 24, 512
+SAMPLE, SHARE, LEAST, COMMON, BITS, PARITY = 4000, 0.2, 3, 1 << 20, 1 << 24, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LIST = T.ArrayType(T.LongType())
 
@@ -81,12 +84,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Members that a sample of texts often has, sorted, and how often."""
-    some = docs.select("text").sample(min(1.0, SAMPLE / max(docs.count(), 1)), 42)
+    """Members that a sample of texts often has, sorted, and how often; COMMON at most, all of a frequency or none."""
+    some = docs.select("text").sample(min(1.0, max(SHARE, SAMPLE / max(docs.count(), 1))), 42)
     some = with_columns(some, ["text"], [T.StructField("h", _LIST)], lambda texts: [_lists(_sets(texts))], ["text"])
-    top = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    top = sorted((r["h"], r["n"]) for r in top)
-    return np.array([h for h, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+    often = stored(some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST))
+    least, held = LEAST, 0
+    for r in often.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        held += r["k"]
+        if held > COMMON:
+            least = r["n"] + 1
+            break
+    top = often.where(F.col("n") >= least).toArrow()
+    members, n = top["h"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(members)
+    return members[order], n[order]
 
 
 def prefix(members: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -199,8 +210,11 @@ def links(prefixes: DataFrame, docs: DataFrame, given: DataFrame) -> DataFrame:
     near = near.union(given)
     known = connected_components(near)
     named = stored(met.join(known, met["fp"] == known["node"], "left").select("h", "fp", "n", F.coalesce("component", "fp").alias("c")))
-    counts = named.groupBy("h", "c").agg(F.count("*").alias("k"))
-    main = counts.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("h", "main")
+    # members that the same texts share agree in their number and in two hashes of them
+    marks = F.bit_xor(F.xxhash64("fp")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("t")
+    counts = named.groupBy("h", "c").agg(F.count("*").alias("k"), *marks)
+    main = counts.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("texts"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t"))
+    main = main.where("groups > 1 AND texts > 2").groupBy("texts", "s", "t").agg(F.min("h").alias("h"), F.min("main").alias("main")).select("h", "main")
     # short parities go with these rows, so that most pairs aren't made at all
     short = prefixes.select("fp", "short").dropDuplicates(["fp"])
     mixed = stored(named.join(main, "h").join(short, "fp"))

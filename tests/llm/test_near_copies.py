@@ -307,3 +307,37 @@ def test_similar_long_texts(spark):
     for i in range(len(texts)):
         for j in range(i):
             assert (got[i] == got[j]) == (find(i) == find(j))
+
+
+def test_common_members_of_larger_tables(spark, monkeypatch):
+    """A passage that one text in twenty has is known to be common, however many texts a fixed sample would leave out."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 20)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(20)]
+    texts = [f"{passages[k % 20]} " + " ".join(f"t{k}w{i}" for i in range(10)) for k in range(800)]
+    members, often = jaccard.common(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert list(members) == sorted(members) and len(members) == len(often) and min(often) >= jaccard.LEAST
+    assert sum(set(jaccard.shingles(p.encode()).tolist()) <= set(members.tolist()) for p in passages) >= 18
+
+
+def test_common_members_are_bounded(spark, monkeypatch):
+    """The dictionary holds the commonest members, all of a frequency or none."""
+    monkeypatch.setattr(jaccard, "COMMON", 10)
+    texts = [" ".join(f"p{k}w{i}" for i in range(8)) for k, n in enumerate([9, 7, 5, 5]) for _ in range(n)]
+    members, often = jaccard.common(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(often.tolist()) == [7] * 4 + [9] * 4
+
+
+def test_rows_of_texts_with_a_passage(spark, monkeypatch):
+    """Three long texts that share half of their members, and no two of them alike, meet by one member, not by each."""
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(jaccard, "common", lambda docs: (none, none))
+    made, pairs = [], jaccard._pairs
+    monkeypatch.setattr(jaccard, "_pairs", lambda met: made.append(met.select("x", "y").count()) or pairs(met))
+    texts = []
+    for g in range(4):
+        passage = [f"p{g}w{i}" for i in range(600)]
+        texts += [" ".join(passage + [f"t{g}x{k}w{i}" for i in range(700)]) for k in range(3)]
+    texts += [f"{t} more" for t in texts[:2]]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: k - 12 if k > 11 else k for k in range(14)}
+    assert 4 * 4 <= made[1] < 200
