@@ -19,9 +19,9 @@ as many groups as the tokens ask for, so that all groups have the same mix of le
 tokens differ by less than one sequence of each length.
 
 Encoding. White space never belongs to a token and nothing of the tokenizer reaches over it, so
-texts are cut at ASCII white space and each distinct part is encoded once by the tokenizers
-library; a task remembers MEMO parts and then begins anew. A part of a text without any white space is
-encoded whole, however long.
+texts are cut at ASCII white space, and between a letter and a stop, where a token ends too; each distinct
+part is encoded once by the tokenizers library. A worker remembers MEMO parts and then begins anew. A
+part without any such place is encoded whole, however long.
 
 A task holds one group's ids, the largest text's among them, its memo and the tokenizer file,
 which the driver reads and broadcasts: 1.7 MB whatever the input. Null and empty texts have the
@@ -32,11 +32,12 @@ come out, so others can't clash.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right, insort
 from collections import deque
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,12 @@ from loomdex.llm.pieces import portions
 
 TOKENIZER, END = "/opt/tokenizers/word_bpe_49k.json", 2
 TIERS = (4096, 2048, 1024, 512, 256)
-GROUP_TOKENS, STEP_TOKENS, MEMO, PORTION, SEED = 1 << 18, 1 << 18, 1 << 18, 4096, 42
+GROUP_TOKENS, STEP_TOKENS, MEMO, PORTION, SEED = 1 << 18, 1 << 18, 1 << 19, 4096, 42
+
+#: Marks before which a token ends, if a letter stands there; an apostrophe isn't one, as it can begin a token with letters.
+STOPS = b".,;:!?#$%&*()\""
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]], _STOP[list(STOPS)] = True, True
 
 #: A run of an item's tokens: (item, start, length).
 Run = tuple[int, int, int]
@@ -112,10 +118,28 @@ def _taken(rest: deque[Run], size: int) -> list[Run]:
     return out
 
 
+def _parts(texts: Sequence[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The parts of all texts that are encoded by themselves, and how many each text has.
+
+    Letters of ASCII become small ones, as in the tokenizer, unless a special token could come of that, and a
+    blank goes between such a letter and a mark of STOPS, where a token always ends.
+    """
+    split = []
+    for t in texts:
+        t = t or b""
+        if b"<|" not in t:
+            t = t.lower()
+        raw = np.frombuffer(t, np.uint8)
+        at = np.flatnonzero(_LETTER[raw[:-1]] & _STOP[raw[1:]]) + 1
+        split.append((np.insert(raw, at, 32).tobytes() if len(at) else t).split())
+    return list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each part between white space once."""
+    """Ids of whole texts by the tokenizers library, which sees each part of texts once."""
 
     def __init__(self, model: str, memo: int = MEMO):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_str(model), memo
@@ -125,27 +149,35 @@ class Encoder:
         self.number: dict[bytes, int] = {}
         self.ids, self.sizes, self.at = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _learn(self, new: list[bytes]) -> None:
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        ids, sizes = [self.ids], [self.sizes]
+        for at in range(0, len(new), PORTION):
+            some = new[at : at + PORTION]
+            others = [p.decode() for p in some if not (p.isalpha() and p.islower())]
+            encoded = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [])
+            # small letters of ASCII are what the model itself is given for them
+            found = [[x.id for x in self.tokenizer.model.tokenize(p.decode())] if p.isalpha() and p.islower() else next(encoded).ids for p in some]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.at = np.cumsum(self.sizes) - self.sizes
+
     def __call__(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
-        parts = list(chain.from_iterable(split))
-        if len(self.number) > self.memo:
-            self._forget()
-        if new := [p for p in dict.fromkeys(parts) if p not in self.number]:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            ids, sizes = [self.ids], [self.sizes]
-            for at in range(0, len(new), PORTION):
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new[at : at + PORTION]], add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-                ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-            self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-            self.at = np.cumsum(self.sizes) - self.sizes
+        parts, counts = _parts(texts)
         if not parts:
             return [np.zeros(0, np.uint32) for _ in texts]
-        of = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        if len(self.number) > self.memo:
+            self._forget()
+        of = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(lacking := np.flatnonzero(of < 0)):
+            some = [parts[k] for k in lacking.tolist()]
+            self._learn(list(dict.fromkeys(some)))
+            of[lacking] = [self.number[p] for p in some]
         n = self.sizes[of]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[of] - (ends - n), n) + np.arange(ends[-1])]
-        return np.split(ids, np.append(0, ends)[np.cumsum([len(x) for x in split])][:-1])
+        return np.split(ids, np.append(0, ends)[np.cumsum(counts)][:-1])
 
 
 _encoders: dict[int, Encoder] = {}
