@@ -68,12 +68,14 @@ def forget(spark: SparkSession, folder: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have each executor's JVM collect its garbage, so that heap it no longer needs goes back to the machine before Python workers need it.
+    """Have each executor's JVM and the driver's collect garbage, so that heap they no longer need goes back to the machine before Python needs it.
 
     There are as many tasks as cores, so that idle executors all get some.
     """
     n = spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

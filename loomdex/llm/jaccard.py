@@ -125,7 +125,7 @@ def _folded(odd: Column, size: Column) -> Column:
 
 
 def with_prefix(docs: DataFrame) -> DataFrame:
-    """docs, less their text, with fp, a hash of the set, sim, the SimHash, n, the set's size, its prefix, its parities, and those of PARITY kinds."""
+    """docs, less their text, with fp, a hash of the set, sim, the SimHash, n, the set's size, its prefix, its parities, and those of PARITY kinds; stored."""
     shared = docs.sparkSession.sparkContext.broadcast(common(docs))
 
     def made(texts: pa.Array) -> list[pa.Array]:
@@ -133,7 +133,9 @@ def with_prefix(docs: DataFrame) -> DataFrame:
         sets = list(map(shingles, raw))
         return [pa.array(_prints(sets)), simhash.prints_of(raw), pa.array([len(x) for x in sets], pa.int32()), _lists([prefix(x, shared.value) for x in sets]), _lists([np.frombuffer(parity(x), np.int64) for x in sets]), _lists([np.frombuffer(parity(x, PARITY), np.int64) for x in sets])]
 
-    return with_columns(docs, ["text"], [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", _LIST), T.StructField("odd", _LIST), T.StructField("short", _LIST)], made, ["text"])
+    found = stored(with_columns(docs, ["text"], [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", _LIST), T.StructField("odd", _LIST), T.StructField("short", _LIST)], made, ["text"]))
+    shared.destroy()
+    return found
 
 
 def by_simhash(prefixes: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def buckets(prefixes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, able: DataFrame) -> DataFrame:
-    """(fp, shingles) of the texts of docs whose fp is in able."""
+    """(fp, shingles) of the texts of docs whose fp is in able; stored."""
     small_batches(docs.sparkSession)
     at = F.pmod("fp", F.lit(BITS))
     bit = F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))
@@ -173,7 +175,9 @@ def sets_of(docs: DataFrame, able: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(prints[maybe]), _lists([sets[k] for k in maybe])], names=["fp", "shingles"])
 
     found = docs.select("text").mapInArrow(made, "fp long, shingles array<long>")
-    return found.join(able, "fp", "left_semi").dropDuplicates(["fp"])
+    found = stored(found.join(able, "fp", "left_semi").dropDuplicates(["fp"]))
+    shared.destroy()
+    return found
 
 
 def _alike(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ def _alike(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame) -> DataFrame:
     bits = F.zip_with(_folded(F.col("odd_a"), least), _folded(F.col("odd_b"), least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
     close = stored(pairs.join(size("a"), "a").join(size("b"), "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b"))
-    sets = stored(sets_of(docs, close.select(F.col("a").alias("fp")).union(close.select("b")).distinct()))
+    sets = sets_of(docs, close.select(F.col("a").alias("fp")).union(close.select("b")).distinct())
     of = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = close.join(of("a"), "a").join(of("b"), "b")
     return stored(both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b"))
@@ -229,6 +233,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """As simhash.near_duplicates, whose links are among those made here, with fp a hash of the text's set."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = [F.md5(F.coalesce("text", F.lit(""))).alias("key")] if with_key else []
-    prefixes = stored(with_prefix(docs.select("doc_id", "text", *key)))
+    prefixes = with_prefix(docs.select("doc_id", "text", *key))
     ids = prefixes.drop("sim", "n", "prefix", "odd", "short")
     return grouped(ids, ids.groupBy("fp").agg(F.min("doc_id").alias("least")), links(prefixes, docs, by_simhash(prefixes)))

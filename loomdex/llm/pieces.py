@@ -34,7 +34,7 @@ adds, skips control ids and gives null for null; a literal U+2581 comes back as
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from loomdex.llm.common import fresh, small_batches, stored, with_columns
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LATTICE, TIER, FLUSH, PORTION = 48, 4_000_000, 300_000, 1 << 18
-PARTS = 4
+PART_BITS = 5
 IDS = T.ArrayType(T.IntegerType(), False)
 _LOW = 0x250
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -297,27 +297,57 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.where("ids is not null").unionByName(far)
 
 
-def _narrow(offsets: np.ndarray) -> np.ndarray:
-    """Offsets in 32 bits where they fit."""
-    return offsets.astype(np.uint32) if offsets[-1] < 1 << 32 else offsets
+def entries(words: DataFrame, wide: bool) -> DataFrame:
+    """(part, h, n, ids) of a dictionary (word, ids): hashes, part being the range of hashes, and ids as bytes. Tasks hash and pack, so no word reaches the driver."""
+    small_batches(words.sparkSession)
+    width = np.dtype("<i4" if wide else "<u2")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = hash_words(b.column(0).to_pylist())
+            n = np.asarray(pc.list_value_length(b.column(1))).astype(np.int32)
+            edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32) * width.itemsize
+            raw = pa.py_buffer(np.asarray(b.column(1).flatten()).astype(width).tobytes())
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(edges.tobytes()), raw])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - PART_BITS)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n), ids], names=["part", "h", "n", "ids"])
+
+    return stored(words.select("word", "ids").mapInArrow(made, "part int, h long, n int, ids binary"))
 
 
 class Packed:
-    """A dictionary as flat arrays in order of hashes: about 20 bytes an entry."""
+    """A dictionary as flat arrays in order of hashes: about 20 bytes an entry.
 
-    def __init__(self, batches: Iterable[pa.RecordBatch], width: np.dtype):
-        """From batches (word, ids); one batch at a time is copied."""
-        width = np.dtype(width)
-        hashes, codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, width)], [np.zeros(0, np.int64)]
-        for b in batches:
-            if b.num_rows:
-                hashes.append(hash_words(b.column(0).to_pylist()))
-                codes.append(np.asarray(b.column(1).flatten()).astype(width))
-                counts.append(np.asarray(pc.list_value_length(b.column(1))).astype(np.int64))
-        hashed, n = np.concatenate(hashes), np.concatenate(counts)
-        order = np.argsort(hashed, kind="stable")
-        self.hashes, self.ids = hashed[order], _gathered(np.concatenate(codes), (np.cumsum(n) - n)[order], n[order])
-        self.at = _narrow(np.concatenate([[0], np.cumsum(n[order])]))
+    The arrays have their sizes from the start, and ranges of hashes are put into them one after the other.
+    """
+
+    def __init__(self, total: int, total_ids: int, width: np.dtype):
+        self.hashes, self.ids = np.zeros(total, np.uint64), np.zeros(total_ids, width)
+        self.at = np.zeros(total + 1, np.uint32 if total_ids < 1 << 32 else np.int64)
+        self.held = 0
+
+    @staticmethod
+    def of(found: DataFrame, wide: bool) -> Packed:
+        """From entries(). The driver holds one range beside the arrays."""
+        total, total_ids = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        packed = Packed(total, total_ids, np.int32 if wide else np.uint16)
+        for k in range(1 << PART_BITS if total else 0):
+            packed.add(found.where(F.col("part") == k).select("h", "n", "ids").toArrow())
+            pa.default_memory_pool().release_unused()
+        return packed
+
+    def add(self, range_: pa.Table) -> None:
+        """The next range: (h, n, ids), in any order."""
+        if not range_.num_rows:
+            return
+        hashes = range_["h"].to_numpy().view(np.uint64)
+        n = range_["n"].to_numpy().astype(np.int64)
+        ids = np.frombuffer(b"".join(range_["ids"].to_pylist()), self.ids.dtype)
+        order = np.argsort(hashes, kind="stable")
+        first, end = int(self.at[self.held]), self.held + len(order)
+        self.hashes[self.held : end] = hashes[order]
+        self.ids[first : first + len(ids)] = _gathered(ids, (np.cumsum(n) - n)[order], n[order])
+        self.at[self.held + 1 : end + 1] = first + np.cumsum(n[order])
+        self.held = end
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each hash is held, and if so where its ids start and how many they are."""
@@ -418,12 +448,9 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "
     spark: SparkSession = docs.sparkSession
     words = stored(dictionary(count_words(docs, pieces, text), pieces))
     total = words.count()
-    top = (words if total <= tier else stored(words.orderBy(F.desc("n"), "word").limit(tier))).select("word", "ids")
-    # the driver holds one part of it at a time beside the packed form
-    batches = (b for k in range(PARTS) for b in top.where(F.pmod(F.xxhash64("word"), F.lit(PARTS)) == k).toArrow().to_batches())
-    width = np.uint16 if len(pieces.surface) <= 1 << 16 else np.int32
-    shared = spark.sparkContext.broadcast((pieces, Packed(batches, width)))
-    pa.default_memory_pool().release_unused()
+    top = words if total <= tier else stored(words.orderBy(F.desc("n"), "word").limit(tier))
+    wide = len(pieces.surface_bytes) > 1 << 16
+    shared = spark.sparkContext.broadcast((pieces, Packed.of(entries(top, wide), wide)))
     own: dict = {}  # a task's assembler, kept between batches
 
     def assembler() -> Assembler:

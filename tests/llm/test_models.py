@@ -433,12 +433,27 @@ def test_equal_hashes_are_mended(library, monkeypatch):
     p = pieces.Pieces()
     monkeypatch.setattr(pieces, "_hashes", lambda c, starts: np.array([np.uint64(len(x)) for x in np.split(c, starts[1:])], np.uint64) if len(starts) else np.zeros(0, np.uint64))
     words = ["\u2581so", "\u2581it", "\u2581is"]
-    packed = pieces.Packed([pa.RecordBatch.from_arrays([pa.array(words), pa.array([p.long_word(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])], np.uint16)
+    each = [np.array(p.long_word(w), np.uint16) for w in words]
+    packed = pieces.Packed(3, sum(map(len, each)), np.uint16)
+    packed.add(pa.table({"h": pieces.hash_words(words).view(np.int64), "n": [len(x) for x in each], "ids": [x.tobytes() for x in each]}))
     texts = ["so it is so", "is", None, "it it"]
     ids, sizes = pieces.Assembler(p, packed).encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t) if t else [] for t in texts]
 
 
+def test_packed_dictionary(spark):
+    """Ranges of hashes that tasks packed give back each word's ids, whatever their order."""
+    words = [f"\u2581w{k}" for k in range(3000)]
+    ids = [list(range(k % 7, k % 7 + k % 4)) for k in range(3000)]
+    rows = spark.createDataFrame(list(zip(words, ids, strict=True)), "word string, ids array<int>").repartition(5)
+    for wide in (False, True):
+        packed = pieces.Packed.of(pieces.entries(rows, wide), wide)
+        hit, at, n = packed.find(pieces.hash_words([*words, "none"]))
+        assert hit.tolist() == [True] * 3000 + [False] and [packed.ids[a : a + k].tolist() for a, k in zip(at, n, strict=True)][:3000] == ids
+        assert (np.diff(packed.hashes.astype(object)) > 0).all()
+    assert pieces.Packed.of(pieces.entries(rows.limit(0), False), False).find(np.zeros(2, np.uint64))[0].tolist() == [False, False]
+
+
 def test_portions(monkeypatch):
     monkeypatch.setattr(pieces, "PORTION", 10)
     texts = ["a" * 4, None, "b" * 30, "", "c" * 9, "d" * 2]
