@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import language, text, vectors
 from loomdex.operators import chunks, filters, lexical, lines, metadata, symbols
+from loomdex.operators import vector_index
 from loomdex.operators import vectors as search_vectors
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
 from loomdex.plans import extensions, search
@@ -207,7 +208,7 @@ def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- search pages ------------------------------------------------------------------------------
 
-_SYMBOL_QUERY = SearchQuery("license", "symbol", tuple(f"src{k}" for k in range(14)), ("*1*",), limit=120, offset=10)
+_SYMBOL_QUERY = SearchQuery("license", "symbol", tuple(f"src{k}" for k in range(14)), ("*1*",), limit=120, offset=2)
 _PAGE = (
     _bm25_sql(("license",))
     + f""", top AS (SELECT *, {_FILE_PATH} AS path FROM scores ORDER BY score DESC, path LIMIT 130),
@@ -215,7 +216,7 @@ _PAGE = (
     ln AS (SELECT f.path AS file_path, f.source AS repository, x.line_number, strlen(substr(lower(line), 1, instr(lower(line), 'license') - 1)) AS "column", line AS content,
         array_to_string(l[greatest(line_number - 3, 1):line_number - 1], chr(10)) AS context_before, array_to_string(l[line_number + 1:line_number + 3], chr(10)) AS context_after,
         f.score, 'symbol' AS match_type FROM f JOIN {_lines_of(_FILES)} x ON x.doc_id = f.doc_id WHERE ({_WORDS}) AND contains(lower(line), 'license')),
-    page AS (SELECT * FROM ln ORDER BY ln.score DESC, file_path, line_number LIMIT 120 OFFSET 10)"""
+    page AS (SELECT * FROM ln ORDER BY ln.score DESC, file_path, line_number LIMIT 120 OFFSET 2)"""
 )
 
 
@@ -639,6 +640,49 @@ def asymmetric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", six(F.col("score")).alias("score"))
 
 
+_EVERY = "vec_id % 20 = 0"
+_NEIGHBOURS = f"""WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+    p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.{_EVERY}),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p)"""
+
+
+@query("vector_topk_many", _NEIGHBOURS + " SELECT query_id, rank, id, round(score, 6) AS score FROM t WHERE rank <= 10")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth vector among all, by blocks."""
+    e = _embeddings(spark, sf_dir)
+    found = vector_index.search_many(e, e.where(_EVERY), 10, "vec_id")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", six(F.col("score")).alias("score"))
+
+
+@query("vector_index_recall", f"SELECT count(*) FILTER ({_EVERY}) AS queries, count(*) AS indexed, true AS recall_is_090 FROM embeddings")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file over all vectors, asked for every twentieth, against the exact search."""
+    e = _embeddings(spark, sf_dir)
+    index = vector_index.InvertedFile.build(e, scratch(spark), key="vec_id")
+    asked = e.where(_EVERY)
+    told = vector_index.recall(index.search(e, asked, 10, key="vec_id"), vector_index.search_many(e, asked, 10, "vec_id"))
+    indexed = index.codes(spark).agg(F.count("*").alias("indexed"))
+    return told.join(indexed).select("queries", "indexed", (F.col("recall") >= 0.9).alias("recall_is_090"))
+
+
+_SIGNS = "len(list_filter(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] > 0) <> (p[2] > 0)))"
+_SUMS = "round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: CASE WHEN p[1] > 0 THEN p[2] ELSE -p[2] END)), 9)"
+
+
+@query(
+    "stored_codes_search",
+    f"""WITH c AS (SELECT vec_id, {_COS} AS score, {_SIGNS} AS d, {_SUMS} AS s FROM embeddings, {_Q}),
+        b AS (SELECT * FROM c ORDER BY d, vec_id LIMIT 30), a AS (SELECT * FROM c ORDER BY s DESC, vec_id LIMIT 25)
+        SELECT 'binary' AS mode, vec_id, round(score, 6) AS score FROM (SELECT * FROM b ORDER BY b.score DESC, vec_id LIMIT 10)
+        UNION ALL SELECT 'asymmetric', vec_id, round(score, 6) FROM (SELECT * FROM a ORDER BY a.score DESC, vec_id LIMIT 10)""",
+)
+def stored_codes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked from a table of codes; full vectors are read for the candidates only."""
+    codes, q = vector_index.CodeTable.build(_embeddings(spark, sf_dir), scratch(spark), "vec_id"), _vector(spark, sf_dir)
+    found = [codes.search(spark, q, 10, QuantizationConfig.of(m)).select(F.lit(m.value).alias("mode"), F.col("id").alias("vec_id"), six(F.col("score")).alias("score")) for m in (QuantizationMode.BINARY, QuantizationMode.ASYMMETRIC)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("masked_mean_pool", "SELECT label, i, round(coalesce(avg(x) FILTER (vec_id % 4 = 0), 0), 6) AS mean FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir).withColumn("mask", (F.col("vec_id") % 4 == 0).cast("int"))
