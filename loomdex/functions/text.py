@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that open a definition; each counts wherever it stands in a line, with its blank.
+#: Words that open a definition; each counts wherever it stands in a line, with its blank.
 DEFINITION_WORDS = ("fn ", "function ", "def ", "class ", "struct ", "interface ", "trait ", "impl ", "type ", "enum ")
 
+#: What separates tokens, and the bytes from which on a token is left out.
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 TOKEN_BYTES = 40
 
@@ -43,11 +44,6 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def parent_name(path: Column) -> Column:
-    """Name of the folder that holds a file; null at the top."""
-    return F.try_element_at(F.split(path, "/"), F.lit(-2))
-
-
 def first_segment(path: Column) -> Column:
     """What stands before the first slash; empty for absolute paths."""
     return F.split_part(path, F.lit("/"), F.lit(1))

@@ -43,10 +43,6 @@ def term_counts(docs: DataFrame, path: str = "path", text: str = "symbols") -> D
     return each.groupBy("path", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def document_count(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count("*").alias("documents"))
-
-
 def statistics(dl: DataFrame) -> DataFrame:
     """One row: N, the number of documents, and avgdl."""
     return dl.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
@@ -115,9 +111,10 @@ def search(index: Index, query: str | Group, fields: tuple[str, ...] = ("symbols
     found = found.join(F.broadcast(statistics(index.lengths).join(F.broadcast(in_docs))))
 
     def frequency(p: Phrase) -> Column:
-        first = F.coalesce(F.col(at[p.tokens[0]]), F.array().cast("array<int>"))
-        others = [(k, F.coalesce(F.col(at[t]), F.array().cast("array<int>"))) for k, t in enumerate(p.tokens) if k]
-        return F.size(F.filter(first, lambda x: reduce(and_, (F.array_contains(c, x + k) for k, c in others), F.lit(True))) if others else first)
+        # where the phrase could begin by each of its terms: places are distinct, so the sets meet in linear time
+        places = [F.coalesce(F.col(at[t]), F.array().cast("array<int>")) for t in p.tokens]
+        begins = [F.transform(c, lambda x: x - k) for k, c in enumerate(places)]  # noqa: B023
+        return F.size(reduce(F.array_intersect, begins))
 
     def compiled(node) -> tuple[Column, Column]:
         """Whether a document matches, and its score if so."""

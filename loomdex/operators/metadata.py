@@ -73,10 +73,6 @@ def cleared(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
-def file_count(metadata: DataFrame) -> DataFrame:
-    return metadata.agg(F.count("*").alias("indexed_files"))
-
-
 def symbol_counts(metadata: DataFrame, symbols: DataFrame | None = None, column: str = "symbol_list") -> DataFrame:
     """indexed_files, total_symbols as the estimate of 20 a file and, given symbol arrays, exact_symbols."""
     out = metadata.agg(F.count("*").alias("indexed_files"), (F.count("*") * SYMBOLS_PER_FILE).alias("total_symbols"))

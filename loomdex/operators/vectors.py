@@ -115,16 +115,37 @@ def embed(df: DataFrame, text: str = "content", out: str = "embedding") -> DataF
     return df.withColumn(out, fallback_embedding(F.col(text)))
 
 
-def embed_with(df: DataFrame, model, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
-    """Vectors from a model: a function from a list of texts to a list of vectors, called with batches.
-
-    Each distinct text is embedded once, and the vectors are joined back by the text's hash.
-    """
+def _by_model(model, batch: int):
     @pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         rows = texts.tolist()
         return pd.Series([v for at in range(0, len(rows), batch) for v in model(rows[at : at + batch])])
 
+    return run
+
+
+def embed_with(df: DataFrame, model, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
+    """Vectors from a model: a function from a list of texts to a list of vectors, called with batches.
+
+    Each distinct text is embedded once, and the vectors are joined back by the text's hash.
+    """
     keyed = df.withColumn("_hash", F.sha2(text, 256))
-    once = keyed.select("_hash", text).dropDuplicates(["_hash"]).select("_hash", run(F.col(text)).alias(out))
+    once = keyed.select("_hash", text).dropDuplicates(["_hash"]).select("_hash", _by_model(model, batch)(F.col(text)).alias(out))
     return keyed.join(once, "_hash", "left").drop("_hash")
+
+
+def embed_lasting(df: DataFrame, model, folder: str, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
+    """As embed_with, with a memo in a folder that outlives the session: only texts that it lacks reach the model.
+
+    The memo is a table of (hash, vector) that grows by one append a run; a run that fails before its append is committed leaves it
+    as it was. Should two runs have added one text, one of its vectors is taken. Null texts have no vector.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("_hash", F.sha2(text, 256))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    held = lambda: spark.read.schema("_hash string, _v array<float>").parquet(folder).dropDuplicates(["_hash"])
+    lacking = keyed.where(F.col(text).isNotNull()).select("_hash", text)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        lacking = lacking.join(held().select("_hash"), "_hash", "left_anti")
+    lacking.dropDuplicates(["_hash"]).select("_hash", _by_model(model, batch)(F.col(text)).alias("_v")).write.mode("append").parquet(folder)
+    return keyed.drop(out).join(held().withColumnRenamed("_v", out), "_hash", "left").drop("_hash")

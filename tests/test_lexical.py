@@ -71,3 +71,13 @@ def test_top_k(spark, index):
     assert [r["path"] for r in top][:1] == ["e"] and len(top) == 2
     with pytest.raises(ValueError):
         lexical.top_k(lexical.search(index, "function"), 0)
+
+
+def test_phrases_of_three_terms_and_repeats(spark):
+    """Frequencies by hand, with terms that repeat within the phrase and in the text."""
+    texts = ["a b a b a", "a b b a", "b a b a a b", "c a b a", "a a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "path int, symbols string")
+    index = lexical.Index.build(docs)
+    for phrase in ("a b a", "a a", "b a b a", "c", "a c"):
+        want = {k for k, t in enumerate(texts) if f" {phrase} " in f" {t} "}
+        assert {r["path"] for r in lexical.search(index, f'"{phrase}"').collect()} == want
