@@ -87,6 +87,64 @@ def heuristic_chunks(text: str, language: str | None) -> list[tuple[int, int, st
     return out
 
 
+def heuristic_spans(lines: Column, language: Column) -> Column:
+    """array<struct<start_line, end_line, chunk_type>> by the rules of heuristic_chunks, as one fold over an array of lines.
+
+    The fold carries where the open chunk begins, its bytes, the depth of braces and whether it
+    is a unit's; each line is looked at once, and the lines that a cut repeats once more. Null
+    lines or a null language cut by size alone; no lines make no chunks. Blanks before a unit's
+    head are those of ASCII.
+    """
+    braced = F.coalesce(language.isin(*BRACED), F.lit(False))
+    count = lambda x, c: F.length(x) - F.length(F.translate(x, c, ""))
+    rows = F.transform(
+        lines,
+        lambda x: F.struct(
+            is_boundary(x, language).alias("opens"),
+            F.when(braced, count(x, "{") - count(x, "}")).otherwise(0).alias("turn"),
+            F.octet_length(x).alias("size"),
+            F.contains(x, F.lit("fn ")).alias("fn"),
+            F.contains(x, F.lit("def ")).alias("def"),
+        ),
+    )
+    span = "struct<start_line:int,end_line:int,chunk_type:string>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(0).alias("depth"), F.lit(False).alias("unit"), F.array().cast(f"array<{span}>").alias("out"))
+    kind = lambda s: F.when(s["unit"], "Function").otherwise("Block")
+    chunk = lambda s: F.struct((s["first"] + 1).alias("start_line"), s["at"].alias("end_line"), kind(s).alias("chunk_type"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + x["turn"]
+        some = s["at"] > s["first"]
+        cut = (s["size"] > MAX_BYTES) | x["opens"] & some & ((s["size"] > CHUNK_BYTES // 2) | (depth == 0))
+        kept = F.when(x["opens"], 0).otherwise(F.floor((s["at"] - s["first"]) * OVERLAP).cast("int"))
+        again = F.aggregate(F.slice(rows, s["at"] - kept + 1, kept), F.lit(0), lambda n, y: n + y["size"])
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(cut, s["at"] - kept).otherwise(s["first"]).alias("first"),
+            (F.when(cut, again).otherwise(s["size"]) + x["size"]).alias("size"),
+            depth.alias("depth"),
+            F.when(cut, x["opens"] & x["fn"] | x["def"]).otherwise(s["unit"]).alias("unit"),
+            F.when(cut, F.concat(s["out"], F.array(chunk(s)))).otherwise(s["out"]).alias("out"),
+        )
+
+    def finish(s: Column) -> Column:
+        return F.when(s["at"] > s["first"], F.concat(s["out"], F.array(chunk(s)))).otherwise(s["out"])
+
+    return F.aggregate(rows, start, step, finish)
+
+
+def chunk_structure(df: DataFrame, text: str = "content", language: str = "language") -> DataFrame:
+    """A row for each chunk of heuristic_spans: start_line, end_line, chunk_type and the chunk's text in text's place; other columns stay.
+
+    Lines and spans are made in the JVM, once each, as they are written into a column before the chunks are exploded.
+    """
+    others = [c for c in df.columns if c != text]
+    made = df.select(*others, lines_of(F.col(text)).alias("_lines")).where(F.size("_lines") > 0)
+    each = made.select(*others, "_lines", F.explode(heuristic_spans(F.col("_lines"), F.col(language))).alias("_c"))
+    body = F.array_join(F.slice("_lines", F.col("_c.start_line"), F.col("_c.end_line") - F.col("_c.start_line") + 1), "\n")
+    return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", body.alias(text))
+
+
 def unit_chunks(text: str, language: str, target: int = CHUNK_BYTES, largest: int = MAX_BYTES) -> list[tuple[int, int, str, str]]:
     """(start, end, type, content): units packed in order up to a target size, imports repeated at the head of later chunks.
 

@@ -28,6 +28,7 @@ from loomdex.plans.config import Config, SearchQuery
 from loomdex.plans.engine import Engine, document_rows
 from loomdex.sources.workspace import read_paths, read_workspaces
 from loomdex.streaming import changes
+from loomdex.streaming.settle import settle, with_rocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -783,6 +784,54 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_files(files).select("file_path", "start_line", "end_line", "chunk_type")
 
 
+#: documents and conversations as code: sentences are lines, some of which open a unit or braces.
+_AS_CODE = ((". ", ".\n"), ("\nThe ", "\nfn the "), ("\nOf ", "\n  def of "), ("\nAnd ", "\nconst and "), (", ", " { "), ("on ", "on } "))
+_CODE_LANGUAGES = ("rust", "python", "javascript", "prose")
+_STRUCTURE_TEXTS = "SELECT 'd' AS kind, doc_id AS id, 0::BIGINT AS turn, text FROM documents UNION ALL SELECT 'c', conv_id, turn, text FROM conversations"
+
+
+def _as_code_sql(c: str) -> str:
+    quoted = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    return reduce(lambda made, pair: f"replace({made}, {quoted(pair[0])}, {quoted(pair[1])})", _AS_CODE, c)
+
+
+_HEADS_SQL = " OR ".join(f"(language = '{n}' AND ({' OR '.join(f"starts_with(bare, '{h}')" for h in chunks.BOUNDARIES[n])}))" for n in _CODE_LANGUAGES if n in chunks.BOUNDARIES)
+
+
+@query(
+    "chunk_structure",
+    rf"""WITH RECURSIVE t AS (SELECT kind, id, turn, {_as_code_sql("text")} AS text, CASE (id + turn) % 4 {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_CODE_LANGUAGES))} END AS language FROM ({_STRUCTURE_TEXTS}) WHERE text <> ''),
+        a AS (SELECT row_number() OVER (ORDER BY kind, id, turn) AS doc, *, list_transform(string_split(regexp_replace(text, '
+$', ''), chr(10)), lambda x: regexp_replace(x, '$', '')) AS l FROM t),
+        e AS (SELECT doc, language, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i, len(l) AS n FROM a),
+        b AS (SELECT *, regexp_replace(line, '^\s+', '') AS bare FROM e),
+        x AS MATERIALIZED (SELECT doc, i, n, strlen(line) AS size, coalesce({_HEADS_SQL}, false) AS opens, contains(line, 'fn ') AS has_fn, contains(line, 'def ') AS has_def,
+            coalesce(sum(strlen(line)) OVER w - strlen(line), 0) AS before,
+            sum(CASE WHEN language IN ('rust', 'javascript') THEN (length(line) - length(replace(line, '{{', ''))) - (length(line) - length(replace(line, '}}', ''))) ELSE 0 END) OVER w AS depth
+            FROM b WINDOW w AS (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING)),
+        r AS (SELECT doc, 0::BIGINT AS i, 0::BIGINT AS first, 0::HUGEINT AS since, false AS unit, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BOOLEAN AS u FROM a
+            UNION ALL
+            SELECT doc, i + 1, CASE WHEN cut THEN i - kept ELSE first END,
+                CASE WHEN cut THEN (SELECT before FROM x y WHERE y.doc = z.doc AND y.i = z.i - z.kept) ELSE since END,
+                CASE WHEN cut THEN opens AND has_fn OR has_def ELSE unit END, CASE WHEN cut THEN first + 1 END, CASE WHEN cut THEN i END, CASE WHEN cut THEN unit END
+            FROM (SELECT r.doc, r.i, r.first, r.since, r.unit, x.opens, x.has_fn, x.has_def,
+                (x.before - r.since > {chunks.MAX_BYTES} OR x.opens AND r.i > r.first AND (x.before - r.since > {chunks.CHUNK_BYTES // 2} OR x.depth = 0)) AS cut,
+                CASE WHEN x.opens THEN 0 ELSE floor((r.i - r.first) * {chunks.OVERLAP}::DOUBLE)::BIGINT END AS kept
+                FROM r JOIN x ON x.doc = r.doc AND x.i = r.i) z),
+        spans AS (SELECT doc, s, e, u FROM r WHERE s IS NOT NULL UNION ALL SELECT doc, first + 1, i, unit FROM r JOIN (SELECT doc, len(l) AS n FROM a) USING (doc) WHERE i = n)
+        SELECT kind, id, turn, language, s AS start_line, e AS end_line, CASE WHEN u THEN 'Function' ELSE 'Block' END AS chunk_type, sha256(array_to_string(l[s:e], chr(10))) AS hash FROM spans JOIN a USING (doc)""",
+)
+def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and turns of conversations, written as code, cut by their structure."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    said = table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("turn"), "text")
+    code = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _AS_CODE, F.col("text"))
+    names = F.array(*map(F.lit, _CODE_LANGUAGES))
+    texts = docs.unionByName(said).select("kind", "id", "turn", F.get(names, ((F.col("id") + F.col("turn")) % 4).cast("int")).alias("language"), code.alias("content"))
+    found = chunks.chunk_structure(texts)
+    return found.select("kind", "id", "turn", "language", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "chunk_type", F.sha2("content", 256).alias("hash"))
+
+
 _BOUNDARY_LINES = (("rust", "  pub fn a() {"), ("rust", "let fn_ = 1;"), ("rust", "impl A {"), ("python", "    async def f():"), ("python", "define()"), ("javascript", "export default x"), ("javascript", "var x"), ("go", "func A() {}"))
 
 
@@ -856,17 +905,36 @@ def change_events(events: DataFrame) -> DataFrame:
 _EVENTS = "(SELECT event_id, user_id AS path, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS kind FROM events)"
 
 
-@query(
-    "event_debounce",
-    f"""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS opens FROM {_EVENTS} WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+_BURSTS = f"""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS opens FROM {_EVENTS} WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM e)
-        SELECT path, min(ts) AS started, max(ts) AS ended, count(*) AS events, arg_max(kind, (ts, event_id)) AS kind FROM s GROUP BY path, burst""",
-)
+        SELECT path, min(ts) AS started, max(ts) AS ended, count(*) AS events, arg_max(kind, (ts, event_id)) AS kind FROM s GROUP BY path, burst"""
+
+
+@query("event_debounce", _BURSTS)
 def event_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = changes.debounce(change_events(table(spark, sf_dir, "events")), "1 hour")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
+@query("event_debounce_stream", _BURSTS)
+def event_debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bursts again, from a stream of four parts and a tick after them, held as keyed state until their path is quiet."""
+    events, folder = change_events(table(spark, sf_dir, "events")), scratch(spark)
+    low = None
+    for high in [*(events.agg(F.percentile_approx("event_id", [0.25, 0.5, 0.75])).first()[0] or []), None]:  # events are in order of time
+        part = events if low is None else events.where(F.col("event_id") > low)
+        (part if high is None else part.where(F.col("event_id") <= high)).write.mode("append").parquet(f"{folder}/part={low}")
+        low = high
+    tick = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("path"), F.lit(None).cast("string").alias("kind"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    tick.write.mode("append").parquet(f"{folder}/part=tick")
+    parts = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/part=*")
+    with with_rocks(spark):
+        bursts = settle(parts, 3_600_000, "1 hour").writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        bursts.trigger(availableNow=True).start(f"{folder}/bursts", format="parquet").awaitTermination()
+    found = spark.read.parquet(f"{folder}/bursts")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
 @query("last_event_per_path", f"SELECT path, kind, ts FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS n FROM {_EVENTS}) WHERE n = 1")
 def last_event_per_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.last_per_path(change_events(table(spark, sf_dir, "events"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

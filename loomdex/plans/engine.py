@@ -165,10 +165,11 @@ class Engine:
             if status is not None:
                 status.unpersist()
 
-    def watch(self, events: DataFrame | None = None, available_now: bool = False) -> None:
+    def watch(self, events: DataFrame | None = None, available_now: bool = False, settled: bool = False) -> None:
         """Follow the workspaces, or a stream of (path, kind, ts, event_id) with paths as read_workspaces has them.
 
         A batch reads the files it names and no others. One that is delivered again changes nothing.
+        settled holds a path's events until it has been quiet for the debounce time (see Watcher).
         """
         self._check()
         if self._watcher is None:
@@ -188,7 +189,7 @@ class Engine:
                 finally:
                     last.unpersist()
 
-            self._watcher = Watcher(events, apply, f"{self.config.cache_dir}/watch", f"{self.config.file_watch_debounce_ms} milliseconds")
+            self._watcher = Watcher(events, apply, f"{self.config.cache_dir}/watch", f"{self.config.file_watch_debounce_ms} milliseconds", settled)
         self._watcher.start(available_now)
 
     def is_watching(self) -> bool:

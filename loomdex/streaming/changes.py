@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomdex.operators.metadata import VersionedTable
 from loomdex.sources.workspace import MAX_FILE_BYTES, walk
+from loomdex.streaming.settle import settle, with_rocks
 
 CREATED, MODIFIED, DELETED = "created", "modified", "deleted"
 DEBOUNCE, FILES_PER_TRIGGER = "500 milliseconds", 1000
@@ -118,18 +119,33 @@ def watch_workspaces(spark: SparkSession, roots: Sequence[str], max_bytes: int =
     return spark.readStream.format("workspace_changes").option("roots", "\n".join(roots)).option("maxFileBytes", str(max_bytes)).option("maxFilesPerTrigger", str(most)).load()
 
 
+def milliseconds(time: str) -> int:
+    """Of a debounce time, which is given as "500 milliseconds" or "2 seconds"."""
+    number, unit = time.split()
+    return int(number) * (1 if unit.startswith("milli") else 1000)
+
+
 class Watcher:
     """A running change stream: start, stop, whether it is active. Starting twice keeps the first.
 
-    Events of one path that come within the debounce time are one batch's, of which the last counts.
+    The debounce time is the trigger's interval: events of a path that fall in the same trigger
+    are one batch's, of which the last counts. With settled, a path's events are held until none
+    has arrived for that time, so a burst that spans triggers is applied once; this keeps a
+    checkpoint of its own. What is there already (available_now) is never held.
     """
 
-    def __init__(self, events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce: str = DEBOUNCE):
-        self.events, self.apply, self.checkpoint, self.debounce = events, apply, checkpoint, debounce
+    def __init__(self, events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce: str = DEBOUNCE, settled: bool = False):
+        self.events, self.apply, self.checkpoint, self.debounce, self.settled = events, apply, checkpoint, debounce, settled
         self.query: StreamingQuery | None = None
 
     def start(self, available_now: bool = False) -> StreamingQuery:
         if not self.is_watching():
+            if self.settled and not available_now:
+                bursts = settle(self.events, milliseconds(self.debounce))
+                held = bursts.select("path", "kind", F.col("ended").alias("ts"), F.unix_micros("ended").alias("event_id"))
+                with with_rocks(held.sparkSession):
+                    self.query = held.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.checkpoint}-settled").trigger(processingTime=self.debounce).start()
+                return self.query
             writer = self.events.writeStream.foreachBatch(self.apply).option("checkpointLocation", self.checkpoint)
             self.query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=self.debounce)).start()
         return self.query
