@@ -58,10 +58,11 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings and document lengths."""
+    """Postings and document lengths; totals, if given, are maintained statistics (see term_deltas), and searches read no lengths."""
 
     postings: DataFrame
     lengths: DataFrame
+    totals: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, path: str = "path", text: str = "symbols") -> Index:
@@ -108,7 +109,8 @@ def search(index: Index, query: str | Group, fields: tuple[str, ...] = ("symbols
         *(F.max(_within(r)).alias(f"r{i}") for i, r in enumerate(ranges)),
     )
     in_docs = some.where(wanted).groupBy().agg(F.lit(1).alias("_"), *(F.count_if(F.col("term") == t).alias(f"n_{c}") for t, c in at.items())).drop("_")
-    found = found.join(F.broadcast(statistics(index.lengths).join(F.broadcast(in_docs))))
+    totals = statistics(index.lengths) if index.totals is None else index.totals
+    found = found.join(F.broadcast(totals.join(F.broadcast(in_docs))))
 
     def frequency(p: Phrase) -> Column:
         # where the phrase could begin by each of its terms: places are distinct, so the sets meet in linear time

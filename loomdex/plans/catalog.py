@@ -21,6 +21,7 @@ from loomdex.functions import language, text, vectors
 from loomdex.operators import block_max, chunks, filters, lexical, lines, metadata, symbols
 from loomdex.operators import vector_index
 from loomdex.operators import vectors as search_vectors
+from loomdex.operators.term_deltas import TermStatistics
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
 from loomdex.plans import extensions, search
 from loomdex.plans.cache import ResultCache
@@ -154,6 +155,44 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_counts(documents(spark, sf_dir), "path", "content").where("df >= 20")
 
 
+_CHANGED = "(SELECT doc_id, coalesce(CASE WHEN doc_id % 10 = 0 THEN text || ' amended twice amended' ELSE text END, '') AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TermStatistics]:
+    """All documents, then a tenth with new texts, then a seventh deleted; statistics kept along, and the last change delivered twice."""
+    docs, kept = documents(spark, sf_dir).select("path", "content"), TermStatistics(spark, scratch(spark))
+    amended = docs.where("path % 10 = 0").withColumn("content", F.concat("content", F.lit(" amended twice amended")))
+    now = docs.where("path % 10 <> 0").unionByName(amended)
+    kept.apply(0, after=docs)
+    kept.apply(1, before=docs.where("path % 10 = 0"), after=amended)
+    kept.fold(1)
+    for _ in range(2):
+        kept.apply(2, before=now.where("path % 7 = 3"))
+    return now.where("path % 7 <> 3"), kept
+
+
+@query(
+    "term_stats_maintained",
+    f"""WITH p AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM {_CHANGED}), s AS (SELECT count(*) AS n_docs, round(avg(len({_TOKENS})), 6) AS avgdl FROM {_CHANGED})
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, any_value(n_docs) AS n_docs, any_value(avgdl) AS avgdl FROM p, s GROUP BY term""",
+)
+def term_stats_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, kept = _maintained(spark, sf_dir)
+    return kept.terms().crossJoin(F.broadcast(kept.totals())).select("term", "df", "cf", F.col("N").alias("n_docs"), six(F.col("avgdl")).alias("avgdl"))
+
+
+@query(
+    "bm25_maintained",
+    f"""{_bm25_sql(TERMS).replace("FROM documents", f"FROM (SELECT * EXCLUDE (text), c.text FROM documents JOIN {_CHANGED} c USING (doc_id))")}
+        SELECT doc_id AS path, round(score, 6) AS score FROM scores ORDER BY score DESC, doc_id LIMIT 10""",
+)
+def bm25_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top ten of a changed collection; number and mean length of documents come from the maintained statistics, no lengths are read."""
+    docs, kept = _maintained(spark, sf_dir)
+    index = lexical.Index(lexical.postings(docs, "path", "content"), docs.limit(0), kept.totals())
+    return lexical.top_k(lexical.search(index, " OR ".join(TERMS)), 10).select("path", six(F.col("score")).alias("score"))
+
+
 @query("index_doc_count", "SELECT count(*) AS indexed_files, count(*) * 20 AS total_symbols FROM documents")
 def index_doc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.symbol_counts(documents(spark, sf_dir))
@@ -802,7 +841,8 @@ _HEADS_SQL = " OR ".join(f"(language = '{n}' AND ({' OR '.join(f"starts_with(bar
     "chunk_structure",
     rf"""WITH RECURSIVE t AS (SELECT kind, id, turn, {_as_code_sql("text")} AS text, CASE (id + turn) % 4 {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_CODE_LANGUAGES))} END AS language FROM ({_STRUCTURE_TEXTS}) WHERE text <> ''),
         a AS (SELECT row_number() OVER (ORDER BY kind, id, turn) AS doc, *, list_transform(string_split(regexp_replace(text, '
-$', ''), chr(10)), lambda x: regexp_replace(x, '$', '')) AS l FROM t),
+$', ''), chr(10)), lambda x: regexp_replace(x, '
+$', '')) AS l FROM t),
         e AS (SELECT doc, language, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i, len(l) AS n FROM a),
         b AS (SELECT *, regexp_replace(line, '^\s+', '') AS bare FROM e),
         x AS MATERIALIZED (SELECT doc, i, n, strlen(line) AS size, coalesce({_HEADS_SQL}, false) AS opens, contains(line, 'fn ') AS has_fn, contains(line, 'def ') AS has_def,
