@@ -117,7 +117,7 @@ def heuristic_spans(lines: Column, language: Column) -> Column:
         some = s["at"] > s["first"]
         cut = (s["size"] > MAX_BYTES) | x["opens"] & some & ((s["size"] > CHUNK_BYTES // 2) | (depth == 0))
         kept = F.when(x["opens"], 0).otherwise(F.floor((s["at"] - s["first"]) * OVERLAP).cast("int"))
-        again = F.aggregate(F.slice(rows, s["at"] - kept + 1, kept), F.lit(0), lambda n, y: n + y["size"])
+        again = F.aggregate(F.slice(lines, s["at"] - kept + 1, kept), F.lit(0), lambda n, y: n + F.octet_length(y))  # of the column, not of rows, which would be made again at each cut
         return F.struct(
             (s["at"] + 1).alias("at"),
             F.when(cut, s["at"] - kept).otherwise(s["first"]).alias("first"),
