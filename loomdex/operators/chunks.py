@@ -28,12 +28,14 @@ BRACED = ("rust", "javascript", "typescript", "java", "cpp")
 
 
 def is_boundary(line: Column, language: Column) -> Column:
-    """Whether a line opens a unit of its language."""
-    bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+    """Whether a line opens a unit of its language: begins with one of its heads, blanks apart; a head that ends with a blank needs more after it.
+
+    One anchored expression a language looks at the beginning of a line only.
+    """
     out = F.lit(False)
     for name, heads in BOUNDARIES.items():
-        for h in heads:
-            out = out | (language == name) & F.startswith(bare, F.lit(h))
+        some = "|".join(h + r"(?=\s*\S)" if h.endswith(" ") else h for h in heads)
+        out = F.when(language == name, line.rlike(rf"^\s*(?:{some})")).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -139,12 +141,69 @@ def chunk_structure(df: DataFrame, text: str = "content", language: str = "langu
     Lines and spans are made in the JVM, once each, as they are written into a column before the chunks are exploded.
     """
     others = [c for c in df.columns if c != text]
-    made = df.select(*others, lines_of(F.col(text)).alias("_lines")).where(F.size("_lines") > 0)
+    made = df.where(F.length(text) > 0).select(*others, lines_of(F.col(text)).alias("_lines"))  # not by the lines' number, which would make them twice
     each = made.select(*others, "_lines", F.explode(heuristic_spans(F.col("_lines"), F.col(language))).alias("_c"))
     body = F.array_join(F.slice("_lines", F.col("_c.start_line"), F.col("_c.end_line") - F.col("_c.start_line") + 1), "\n")
     return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", body.alias(text))
 
 
+UNIT = "struct<start_line:int,end_line:int,kind:string,content:string>"
+
+
+def packed_spans(sizes: Column, head: Column, target: int = CHUNK_BYTES, largest: int = MAX_BYTES) -> Column:
+    """array<struct<first, last, headed, large>>: units' indexes from 0, packed in order by the sizes of an array, as one fold.
+
+    A chunk is closed before the unit that would take it over target, and the next one then begins
+    with a head of so many bytes, if that is above 0. A unit over largest closes the chunk and
+    is one by itself; what follows it begins without a head. A single unit between target and
+    largest is a chunk. No units make no chunks.
+    """
+    span = "struct<first:int,last:int,headed:boolean,large:boolean>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("headed"), F.array().cast(f"array<{span}>").alias("out"))
+    chunk = lambda first, last, headed, large: F.array(F.struct(first.alias("first"), last.alias("last"), headed.alias("headed"), F.lit(large).alias("large")))
+    open_one = lambda s: chunk(s["first"], s["at"] - 1, s["headed"], False)
+
+    def step(s: Column, n: Column) -> Column:
+        some, large = s["at"] > s["first"], n > largest
+        over = some & (s["size"] + n > target)
+        closed = F.when(some & (large | over), F.concat(s["out"], open_one(s))).otherwise(s["out"])
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(large, s["at"] + 1).when(over, s["at"]).otherwise(s["first"]).alias("first"),
+            F.when(large, F.lit(0).cast("long")).when(over, (head + n).cast("long")).otherwise(s["size"] + n).alias("size"),
+            F.when(large, False).when(over, head > 0).otherwise(s["headed"]).alias("headed"),
+            F.when(large, F.concat(closed, chunk(s["at"], s["at"], F.lit(False), True))).otherwise(closed).alias("out"),
+        )
+
+    return F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > s["first"], F.concat(s["out"], open_one(s))).otherwise(s["out"]))
+
+
+def pack_units(df: DataFrame, units: str = "units", head: str | None = None, out: str = "content", target: int = CHUNK_BYTES, largest: int = MAX_BYTES) -> DataFrame:
+    """A row for each chunk of an array of UNITs, in their order: start_line, end_line, chunk_type and text; df's other columns stay.
+
+    A chunk's type is its first unit's kind; its units stand with an empty line between them, behind
+    the text of column head where the chunk before was full. A unit over largest is cut into windows
+    of 18 lines. Null or empty arrays have no chunks; a null head is none; null texts in units are empty ones.
+    """
+    others = [c for c in df.columns if c not in (units, head, out, "start_line", "end_line", "chunk_type")]
+    again = F.lit("") if head is None else F.coalesce(F.col(head), F.lit(""))
+    body = lambda u: F.coalesce(u["content"], F.lit(""))
+    sizes = F.transform(units, lambda u: F.octet_length(body(u)))
+    made = df.where(F.size(units) > 0).select(*others, F.col(units).alias("_u"), again.alias("_head"), sizes.alias("_sizes"))
+    each = made.select(*others, "_u", "_head", F.explode(packed_spans(F.col("_sizes"), F.octet_length("_head"), target, largest)).alias("_c"))
+    texts = F.transform(F.slice("_u", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1), body)
+    first, last = F.get("_u", F.col("_c.first")), F.get("_u", F.col("_c.last"))
+    joined = F.array_join(F.concat(F.when(F.col("_c.headed"), F.array("_head")).otherwise(F.array().cast("array<string>")), texts), "\n\n")
+    whole = F.array(F.struct(first["start_line"].alias("a"), last["end_line"].alias("b"), joined.alias("text")))
+    rows = lines_of(body(first))
+    window = lambda at: F.struct(
+        (first["start_line"] + at).alias("a"), (first["start_line"] + F.least(at + WINDOW, F.size(rows)) - 1).alias("b"), F.array_join(F.slice(rows, at + 1, F.lit(WINDOW)), "\n").alias("text")
+    )
+    cut = F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(WINDOW)), window)
+    pieces = each.select(*others, first["kind"].alias("chunk_type"), F.explode(F.when(F.col("_c.large"), cut).otherwise(whole)).alias("_p"))
+    return pieces.select(*others, F.col("_p.a").alias("start_line"), F.col("_p.b").alias("end_line"), "chunk_type", F.col("_p.text").alias(out))
+
+
 def unit_chunks(text: str, language: str, target: int = CHUNK_BYTES, largest: int = MAX_BYTES) -> list[tuple[int, int, str, str]]:
     """(start, end, type, content): units packed in order up to a target size, imports repeated at the head of later chunks.
 

@@ -872,6 +872,45 @@ def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kind", "id", "turn", "language", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "chunk_type", F.sha2("content", 256).alias("hash"))
 
 
+#: documents as units: every 40 lines, or every 3, with a head that full chunks hand on.
+_UNIT_LINES = "CASE WHEN doc_id % 5 = 0 THEN 40 ELSE 3 END"
+_UNIT_HEAD = "CASE WHEN doc_id % 2 = 0 THEN 'use ' || source || ';' ELSE '' END"
+
+
+@query(
+    "chunk_pack",
+    f"""WITH RECURSIVE n AS (SELECT doc_id, l, {_UNIT_LINES} AS w, coalesce({_UNIT_HEAD}, '') AS head FROM (SELECT DISTINCT doc_id, source, l FROM {_LINES})),
+        u AS (SELECT doc_id, head, w, k, k * w + 1 AS a, least((k + 1) * w, len(l)) AS b, array_to_string(l[k * w + 1:(k + 1) * w], chr(10)) AS text FROM (SELECT *, unnest(generate_series(0, (len(l) - 1) // w)) AS k FROM n)),
+        x AS MATERIALIZED (SELECT *, strlen(text) AS size, count(*) OVER (PARTITION BY doc_id) AS n FROM u),
+        r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS first, 0::BIGINT AS held, false AS headed, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BOOLEAN AS h FROM x
+            UNION ALL
+            SELECT doc_id, i + 1, CASE WHEN large THEN i + 1 WHEN over THEN i ELSE first END, CASE WHEN large THEN 0 WHEN over THEN strlen(head) + size ELSE held + size END,
+                CASE WHEN large THEN false WHEN over THEN head <> '' ELSE headed END, CASE WHEN i > first AND (large OR over) THEN first END, CASE WHEN i > first AND (large OR over) THEN i - 1 END, CASE WHEN i > first AND (large OR over) THEN headed END
+            FROM (SELECT r.*, x.size, x.head, x.size > {chunks.MAX_BYTES} AS large, r.i > r.first AND r.held + x.size > {chunks.CHUNK_BYTES} AS over FROM r JOIN x ON x.doc_id = r.doc_id AND x.k = r.i)),
+        spans AS (SELECT doc_id, s, e, h FROM r WHERE s IS NOT NULL UNION ALL SELECT r.doc_id, first, i - 1, headed FROM r JOIN (SELECT DISTINCT doc_id, n FROM x) USING (doc_id) WHERE i = n AND i > first),
+        c AS (SELECT spans.doc_id, min(a) AS start_line, max(b) AS end_line, CASE WHEN arg_min(w, k) = 40 THEN 'Class' ELSE 'Function' END AS chunk_type,
+            CASE WHEN h THEN any_value(head) || chr(10) || chr(10) ELSE '' END || string_agg(text, chr(10) || chr(10) ORDER BY k) AS content FROM spans JOIN x ON x.doc_id = spans.doc_id AND k BETWEEN s AND e GROUP BY spans.doc_id, s, e, h),
+        big AS (SELECT doc_id, a, b, w, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda y: y) AS l FROM x WHERE size > {chunks.MAX_BYTES}),
+        cut AS (SELECT doc_id, a + t AS start_line, a + least(t + {chunks.WINDOW}, len(l)) - 1 AS end_line, CASE WHEN w = 40 THEN 'Class' ELSE 'Function' END AS chunk_type, array_to_string(l[t + 1:t + {chunks.WINDOW}], chr(10)) AS content
+            FROM (SELECT *, unnest(generate_series(0, len(l) - 1, {chunks.WINDOW})) AS t FROM big))
+        SELECT doc_id, start_line, end_line, chunk_type, sha256(content) AS hash FROM (SELECT * FROM c UNION ALL SELECT * FROM cut)""",
+)
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as units of some lines, packed to a target size by a fold."""
+    made = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "source", text.lines_of(F.col("text")).alias("l"), F.expr(_UNIT_LINES).alias("w"))
+    # split off here, so that the lines are made once
+    rows = made.select("doc_id", F.coalesce(F.expr(_UNIT_HEAD), F.lit("")).alias("head"), "l", "w", F.size("l").alias("n"))
+    unit = lambda k: F.struct(
+        (k * F.col("w") + 1).alias("start_line"),
+        F.least((k + 1) * F.col("w"), F.col("n")).alias("end_line"),
+        F.when(F.col("w") == 40, "Class").otherwise("Function").alias("kind"),
+        F.array_join(F.slice("l", k * F.col("w") + 1, F.col("w")), "\n").alias("content"),
+    )
+    units = rows.select("doc_id", "head", F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("w")).cast("int")), unit).alias("units"))
+    found = chunks.pack_units(units, head="head")
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")), "chunk_type", F.sha2("content", 256).alias("hash"))
+
+
 _BOUNDARY_LINES = (("rust", "  pub fn a() {"), ("rust", "let fn_ = 1;"), ("rust", "impl A {"), ("python", "    async def f():"), ("python", "define()"), ("javascript", "export default x"), ("javascript", "var x"), ("go", "func A() {}"))
 
 
