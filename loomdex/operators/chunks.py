@@ -204,6 +204,21 @@ def pack_units(df: DataFrame, units: str = "units", head: str | None = None, out
     return pieces.select(*others, F.col("_p.a").alias("start_line"), F.col("_p.b").alias("end_line"), "chunk_type", F.col("_p.text").alias(out))
 
 
+def _rows(made: list[tuple[int, int, str, str]]) -> list[dict]:
+    return [dict(zip(("start_line", "end_line", "chunk_type", "content"), c, strict=True)) for c in made]
+
+
+def _by_rules(text: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([_rows(heuristic_chunks(t or "", x)) for t, x in zip(text, language, strict=True)])
+
+
+def chunk_by_rules(df: DataFrame, text: str = "content", language: str = "language") -> DataFrame:
+    """As chunk_structure, by heuristic_chunks in Arrow batches; blanks before a unit's head may be any of Unicode. A batch's texts are held at once."""
+    others = [c for c in df.columns if c != text]
+    each = df.select(*others, F.explode(pandas_udf(_by_rules, f"array<{CHUNK}>")(F.col(text), F.col(language))).alias("_c"))
+    return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", F.col("_c.content").alias(text))
+
+
 def unit_chunks(text: str, language: str, target: int = CHUNK_BYTES, largest: int = MAX_BYTES) -> list[tuple[int, int, str, str]]:
     """(start, end, type, content): units packed in order up to a target size, imports repeated at the head of later chunks.
 
@@ -250,8 +265,7 @@ def chunks_of(text: str | None, language: str | None) -> list[dict]:
     """By units for the languages that have them, else by heuristics."""
     if not text:
         return []
-    made = unit_chunks(text, language) if language in CHUNKED else heuristic_chunks(text, language)
-    return [dict(zip(("start_line", "end_line", "chunk_type", "content"), c, strict=True)) for c in made]
+    return _rows(unit_chunks(text, language) if language in CHUNKED else heuristic_chunks(text, language))
 
 
 def _chunk(text: pd.Series, language: pd.Series) -> pd.Series:

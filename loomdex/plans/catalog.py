@@ -340,7 +340,7 @@ def file_pattern_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CODE_PATHS = ("src/main.rs", "a/b.PY", "go.mod", "build.gradle", "Dockerfile", "x/Makefile", "lib/h.hpp", "lib/h.h", "run.sh", "t.sql", "README", ".gitignore", "a.tar.gz", "img.png", "App.TSX", "notes.md", "Gemfile", "noext", "conf.yml", "v.kts")
-_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(_CODE_PATHS))
+_PAGE_FILE = f"{_URL_PATH} || '/' || [{', '.join(f"'{p}'" for p in _CODE_PATHS)}][page_id % {len(_CODE_PATHS)} + 1]"
 _EXT = r"CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN lower(regexp_extract(name, '^.+\.([^.]*)$', 1)) END"
 
 
@@ -350,16 +350,17 @@ def _map_sql(key: str, table_: dict[str, str]) -> str:
 
 @query(
     "path_extension_language",
-    f"""WITH p AS (SELECT *, split_part(path, '/', -1) AS name FROM (VALUES {_VALUES}) v(id, path)), e AS (SELECT *, {_EXT} AS ext FROM p)
-        SELECT id, path, ext AS extension,
+    f"""WITH p AS (SELECT *, split_part(path, '/', -1) AS name FROM (SELECT page_id, {_PAGE_FILE} AS path FROM pages)), e AS (SELECT *, {_EXT} AS ext FROM p)
+        SELECT page_id, path, ext AS extension,
         CASE WHEN ext IS NOT NULL THEN ext IN ({", ".join(f"'{x}'" for x in language.INDEXABLE_EXTENSIONS)}) ELSE name IN ({", ".join(f"'{x}'" for x in language.INDEXABLE_NAMES)}) END AS indexable,
         coalesce(CASE WHEN ext IS NOT NULL THEN {_map_sql("ext", language.LANGUAGE_EXTENSIONS)} ELSE CASE name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in language.LANGUAGE_NAMES.items())} END END, 'unknown') AS language,
         {_map_sql("split_part(path, '.', -1)", language.CHUNK_EXTENSIONS)} AS chunk_language FROM e""",
 )
 def path_extension_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = spark.createDataFrame(list(enumerate(_CODE_PATHS)), "id int, path string")
-    p = F.col("path")
-    return paths.select("id", "path", text.extension(p).alias("extension"), language.is_indexable(p).alias("indexable"), language.detect_language(p).alias("language"), language.chunk_language(p).alias("chunk_language"))
+    """The folders of pages with a file of some kind in each."""
+    name = F.get(F.array(*map(F.lit, _CODE_PATHS)), (F.col("page_id") % len(_CODE_PATHS)).cast("int"))
+    paths, p = pages(spark, sf_dir).select("page_id", F.concat("path", F.lit("/"), name).alias("path")), F.col("path")
+    return paths.select("page_id", "path", text.extension(p).alias("extension"), language.is_indexable(p).alias("indexable"), language.detect_language(p).alias("language"), language.chunk_language(p).alias("chunk_language"))
 
 
 @query("language_histogram", "SELECT lang, count(*) AS files FROM documents GROUP BY lang")
@@ -367,23 +368,34 @@ def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"))
 
 
-_SHEBANGS = ("#!/usr/bin/env python3", "#!/bin/bash", "#!/usr/bin/env node", "#!/usr/bin/perl", "#!/usr/bin/ruby", "print(1)", "# !sh")
+_SHEBANGS = ("#!/usr/bin/env python3\n", "#!/bin/bash ", "#!/usr/bin/env node\n", "#!/usr/bin/perl\n", "#!/usr/bin/ruby\n", "", "# !sh\n")
 
 
 @query(
     "shebang_language",
-    f"""SELECT id, CASE WHEN NOT starts_with(line, '#!') THEN 'unknown' WHEN contains(line, 'python') THEN 'python' WHEN contains(line, 'node') OR contains(line, 'bun') THEN 'javascript'
+    f"""SELECT doc_id, CASE WHEN NOT starts_with(line, '#!') THEN 'unknown' WHEN contains(line, 'python') THEN 'python' WHEN contains(line, 'node') OR contains(line, 'bun') THEN 'javascript'
         WHEN contains(line, 'ruby') THEN 'ruby' WHEN contains(line, 'sh') THEN 'shell' ELSE 'unknown' END AS language
-        FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(_SHEBANGS))}) v(id, line)""",
+        FROM (SELECT doc_id, split_part([{", ".join(f"'{s}'" for s in _SHEBANGS)}][doc_id % {len(_SHEBANGS)} + 1] || text, chr(10), 1) AS line FROM documents)""",
 )
 def shebang_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s + "\nrest python") for i, s in enumerate(_SHEBANGS)], "id int, code string")
-    return rows.select("id", language.shebang_language(F.col("code")).alias("language"))
+    """documents with a first line that may name an interpreter before their text."""
+    first = F.get(F.array(*map(F.lit, _SHEBANGS)), (F.col("doc_id") % len(_SHEBANGS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", language.shebang_language(F.concat(first, F.col("text"))).alias("language"))
 
 
-@query("language_names", "SELECT name, CASE lower(name) WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'yml' THEN 'yaml' WHEN 'sh' THEN 'shell' WHEN 'rust' THEN 'rust' ELSE 'unknown' END AS language, lower(name) IN ('c++', 'rust') AS parsed FROM (VALUES ('C++'), ('c#'), ('yml'), ('SH'), ('Rust'), ('cobol')) v(name)")
+_NAMES = ("C++", "c#", "yml", "SH", "Rust", "cobol", "MD", "TypeScript", "bash")
+_NAMES_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (language.ALIASES | {x: x for x in language.LANGUAGES}).items())
+
+
+@query(
+    "language_names",
+    f"""SELECT doc_id, name, coalesce(CASE lower(name) {_NAMES_SQL} END, 'unknown') AS language, coalesce(CASE lower(name) {_NAMES_SQL} END, 'unknown') IN ({", ".join(f"'{x}'" for x in language.PARSED_LANGUAGES)}) AS parsed
+        FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN lang ELSE [{", ".join(f"'{x}'" for x in _NAMES)}][doc_id % 10 + 1] END AS name FROM documents)""",
+)
 def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("C++",), ("c#",), ("yml",), ("SH",), ("Rust",), ("cobol",)], "name string")
+    """A name of a language for each document, of which a tenth is the document's own."""
+    at = (F.col("doc_id") % 10).cast("int")
+    names = table(spark, sf_dir, "documents").select("doc_id", F.when(at == 9, F.col("lang")).otherwise(F.get(F.array(*map(F.lit, _NAMES)), at)).alias("name"))
     found = names.withColumn("language", language.parse_language(F.col("name")))
     return found.withColumn("parsed", language.is_parsed(F.col("language")))
 
@@ -769,58 +781,111 @@ def embedding_memo_lasting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- code ----------------------------------------------------------------------------------------
 
-_CODE = {
-    "rust": "pub struct Ledger<K> {\n    rows: Vec<K>,\n}\nimpl<K> Ledger<K> {\n    fn post(&mut self) {}\n}\nenum Side { Debit }\ntrait Priced { fn price(&self); }\nmod audit { fn hidden() {} }\nconst LIMIT: usize = 3;\nfn main() {}\n",
-    "python": "class A:\n    def m(self):\n        pass\n\nasync def f():\n    pass\n",
-    "javascript": "function a() { return 1 }\nclass B { m() {} }\nconst c = () => 1;\nrun(function d() { return 2 });\nmodule.exports = {\n  e(x) { if (x) { return 1 } },\n  async g() {}\n};\n",
-    "typescript": "export class Box<T> { get(): T { return this.v } }\nexport function pack(n: number): string { return `${n}` }\nlet z: number = 1;\nexport default { render(): void {} };\n",
-    "go": "package p\nfunc A() {}\nfunc (r *T) M() {}\ntype T struct { a int }\ntype I interface { M() }\n",
-    "java": "public class A { void m() {} }\ninterface I { void f(); }\nenum C { A }\n",
-    "c": "struct point { int x; };\nenum color { RED };\nint add(int a, int b) { return a + b; }\n",
-    "cpp": "class Shape {\npublic:\n  Shape(int n) : n_(n) {}\n  int area() const { return n_; }\n  ~Shape() {}\n};\nenum class Mode { On };\nint Shape::twice(int k) { return 2 * k; }\nstruct Pair { int sum() { return 0; } };\n",
-    "toml": "[a]\nb = 1\n",
-}
-_SYMBOLS = {
-    "rust": [("struct", "Ledger", 0, 2), ("impl", "Ledger<K>", 3, 5), ("enum", "Side", 6, 6), ("trait", "Priced", 7, 7), ("module", "audit", 8, 8), ("constant", "LIMIT", 9, 9), ("function", "main", 10, 10)],
-    "python": [("class", "A", 0, 2), ("function", "f", 4, 5)],
-    "javascript": [("function", "a", 0, 0), ("class", "B", 1, 1), ("variable", "c", 2, 2), ("function", "d", 3, 3), ("method", "e", 5, 5), ("method", "g", 6, 6)],
-    "typescript": [("class", "Box", 0, 0), ("function", "pack", 1, 1), ("variable", "z", 2, 2), ("method", "render", 3, 3)],
-    "go": [("function", "A", 1, 1), ("function", "M", 2, 2), ("struct", "T", 3, 3), ("interface", "I", 4, 4)],
-    "java": [("class", "A", 0, 0), ("interface", "I", 1, 1), ("enum", "C", 2, 2)],
-    "c": [("struct", "point", 0, 0), ("enum", "color", 1, 1), ("function", "add", 2, 2)],
-    "cpp": [("function", "Shape", 2, 2), ("function", "area", 3, 3), ("function", "~Shape", 4, 4), ("enum", "Mode", 6, 6), ("function", "Shape::twice", 7, 7), ("struct", "Pair", 8, 8)],
+#: documents as units: every 40 lines, or every 3, with a head that full chunks hand on.
+_UNIT_LINES = "CASE WHEN doc_id % 5 = 0 THEN 40 ELSE 3 END"
+_UNIT_HEAD = "CASE WHEN doc_id % 2 = 0 THEN 'use ' || source || ';' ELSE '' END"
+
+
+def _packed_sql(units: str) -> str:
+    """Chunks of units (doc_id, k from 0, a, b, kind, text, head) by recursion over them, as common tables that follow WITH RECURSIVE; the last, made, has the chunks."""
+    closes = "i > first AND (large OR over)"
+    return f"""x AS MATERIALIZED (SELECT *, strlen(text) AS size, count(*) OVER (PARTITION BY doc_id) AS n FROM ({units})),
+        r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS first, 0::BIGINT AS held, false AS headed, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BOOLEAN AS h FROM x
+            UNION ALL
+            SELECT doc_id, i + 1, CASE WHEN large THEN i + 1 WHEN over THEN i ELSE first END, CASE WHEN large THEN 0 WHEN over THEN strlen(head) + size ELSE held + size END,
+                CASE WHEN large THEN false WHEN over THEN head <> '' ELSE headed END, CASE WHEN {closes} THEN first END, CASE WHEN {closes} THEN i - 1 END, CASE WHEN {closes} THEN headed END
+            FROM (SELECT r.*, x.size, x.head, x.size > {chunks.MAX_BYTES} AS large, r.i > r.first AND r.held + x.size > {chunks.CHUNK_BYTES} AS over FROM r JOIN x ON x.doc_id = r.doc_id AND x.k = r.i)),
+        spans AS (SELECT doc_id, s, e, h FROM r WHERE s IS NOT NULL UNION ALL SELECT r.doc_id, first, i - 1, headed FROM r JOIN (SELECT DISTINCT doc_id, n FROM x) USING (doc_id) WHERE i = n AND i > first),
+        whole AS (SELECT spans.doc_id, min(a) AS start_line, max(b) AS end_line, arg_min(kind, k) AS chunk_type,
+            CASE WHEN h THEN any_value(head) || chr(10) || chr(10) ELSE '' END || string_agg(text, chr(10) || chr(10) ORDER BY k) AS content FROM spans JOIN x ON x.doc_id = spans.doc_id AND k BETWEEN s AND e GROUP BY spans.doc_id, s, e, h),
+        big AS (SELECT doc_id, a, kind, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM x WHERE size > {chunks.MAX_BYTES}),
+        cut AS (SELECT doc_id, a + t AS start_line, a + least(t + {chunks.WINDOW}, len(l)) - 1 AS end_line, kind AS chunk_type, array_to_string(l[t + 1:t + {chunks.WINDOW}], chr(10)) AS content
+            FROM (SELECT *, unnest(generate_series(0, len(l) - 1, {chunks.WINDOW})) AS t FROM big)),
+        made AS (SELECT * FROM whole UNION ALL SELECT * FROM cut)"""
+
+
+_BLOCKS = f"""SELECT doc_id, head, k, k * w + 1 AS a, least((k + 1) * w, len(l)) AS b, CASE WHEN w = 40 THEN 'Class' ELSE 'Function' END AS kind, array_to_string(l[k * w + 1:(k + 1) * w], chr(10)) AS text
+    FROM (SELECT *, unnest(generate_series(0, (len(l) - 1) // w)) AS k FROM (SELECT doc_id, l, {_UNIT_LINES} AS w, coalesce({_UNIT_HEAD}, '') AS head FROM (SELECT DISTINCT doc_id, source, l FROM {_LINES})))"""
+
+
+@query("chunk_pack", f"WITH RECURSIVE {_packed_sql(_BLOCKS)} SELECT doc_id, start_line, end_line, chunk_type, sha256(content) AS hash FROM made")
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as units of some lines, packed to a target size by a fold."""
+    made = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "source", text.lines_of(F.col("text")).alias("l"), F.expr(_UNIT_LINES).alias("w"))
+    rows = made.select("doc_id", F.coalesce(F.expr(_UNIT_HEAD), F.lit("")).alias("head"), "l", "w", F.size("l").alias("n"))
+    unit = lambda k: F.struct(
+        (k * F.col("w") + 1).alias("start_line"),
+        F.least((k + 1) * F.col("w"), F.col("n")).alias("end_line"),
+        F.when(F.col("w") == 40, "Class").otherwise("Function").alias("kind"),
+        F.array_join(F.slice("l", k * F.col("w") + 1, F.col("w")), "\n").alias("content"),
+    )
+    units = rows.select("doc_id", "head", F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("w")).cast("int")), unit).alias("units"))
+    found = chunks.pack_units(units, head="head")
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")), "chunk_type", F.sha2("content", 256).alias("hash"))
+
+
+#: documents as code: each line is a declaration, by language of a function and of another kind in turn, with the line as its comment.
+_WRITTEN = {
+    "rust": (("function", "fn NAME() { // ", "}"), ("struct", "struct NAME { // ", "}")),
+    "python": (("function", "def NAME(): # ", "    pass"), ("class", "class NAME: # ", "    pass")),
+    "javascript": (("function", "function NAME() { // ", "}"), ("class", "class NAME { // ", "}")),
+    "typescript": (("function", "function NAME(): void { // ", "}"), ("class", "class NAME { // ", "}")),
+    "go": (("function", "func NAME() { // ", "}"), ("struct", "type NAME struct { // ", "}")),
+    "java": (("class", "class NAME { // ", "}"), ("interface", "interface NAME { // ", "}")),
+    "c": (("function", "int NAME(int a) { // ", "}"), ("struct", "struct NAME { // ", "};")),
+    "cpp": (("function", "int NAME(int a) { // ", "}"), ("enum", "enum class NAME { // ", "};")),
 }
-_SYMBOL_VALUES = ", ".join(f"('{lang}', '{k}', '{n}', {a}, {b})" for lang, all_ in _SYMBOLS.items() for k, n, a, b in all_)
+_UNIT_FILES = {"rust": "rs", "python": "py", "javascript": "js", "typescript": "ts"}
+_PLAIN = r"[^ -\[\]-~]"
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(_CODE.items()), "language string, content string")
+def _written_sql(languages: list[str]) -> str:
+    """(doc_id, n, language, kind, name, head, tail) of each declaration."""
+    pick = lambda at: "[" + ", ".join("[" + ", ".join(f"'{d[at]}'" for d in _WRITTEN[x]) + "]" for x in languages) + f"][doc_id % {len(languages)} + 1][(line_number - 1) % 2 + 1]"
+    names = ", ".join(f"'{x}'" for x in languages)
+    return f"""(SELECT doc_id, line_number AS n, [{names}][doc_id % {len(languages)} + 1] AS language, {pick(0)} AS kind, 'f' || line_number || '_' || regexp_extract(line, '[A-Za-z]+') AS name,
+        replace({pick(1)}, 'NAME', 'f' || line_number || '_' || regexp_extract(line, '[A-Za-z]+')) || regexp_replace(line, '{_PLAIN}', '', 'g') AS head, {pick(2)} AS tail FROM {_LINES})"""
 
 
-@query("symbol_extraction", f"SELECT * FROM (VALUES {_SYMBOL_VALUES}) v(language, kind, name, start_line, end_line)")
-def symbol_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = symbols.with_symbols(_code(spark)).select("language", F.explode("symbol_list").alias("s"))
-    return each.select("language", "s.kind", "s.name", "s.start_line", "s.end_line")
+def _written(spark: SparkSession, sf_dir: str, languages: list[str]) -> DataFrame:
+    """documents as code: doc_id, language, content."""
+    kind = F.col("doc_id") % len(languages)
+    pick = lambda at, i: F.get(F.get(F.array(*(F.array(*(F.lit(d[at]) for d in _WRITTEN[x])) for x in languages)), kind), i % 2)
+    name = lambda x, i: F.concat(F.lit("f"), (i + 1).cast("string"), F.lit("_"), F.regexp_extract(x, "[A-Za-z]+", 0))
+    rows = F.transform("l", lambda x, i: F.concat(F.replace(pick(1, i), F.lit("NAME"), name(x, i)), F.regexp_replace(x, _PLAIN, ""), F.lit("\n"), pick(2, i)))
+    made = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", text.lines_of(F.col("text")).alias("l"))
+    return made.select("doc_id", F.get(F.array(*map(F.lit, languages)), kind).alias("language"), F.array_join(rows, "\n").alias("content"))
 
 
-@query("symbols_text", f"""SELECT language, string_agg(kind || ' ' || name, chr(10) ORDER BY start_line) AS symbols FROM (VALUES {_SYMBOL_VALUES}) v(language, kind, name, start_line, end_line) GROUP BY language
-    UNION ALL SELECT 'toml', ''""")
-def symbols_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.with_symbols(_code(spark)).select("language", symbols.symbols_text(F.col("symbol_list")).alias("symbols"))
+_DECLARED = _written_sql(list(_WRITTEN))
 
 
-_FUNCTIONS = "\n".join(f"def f{i}():\n" + "\n".join(f"    step_{j} = work(step_{j - 1}, {i})" for j in range(1, 21)) for i in range(4))
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.with_symbols(_written(spark, sf_dir, list(_WRITTEN)))
 
 
-@query("chunk_heuristics", "SELECT * FROM (VALUES (1, 21, 'Block'), (22, 42, 'Function'), (43, 63, 'Function'), (64, 84, 'Function')) v(start_line, end_line, chunk_type)")
-def chunk_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([c[:3] for c in chunks.heuristic_chunks(_FUNCTIONS, "python")], "start_line int, end_line int, chunk_type string")
+@query("symbol_extraction", f"SELECT doc_id, language, kind, name, 2 * (n - 1) AS start_line, 2 * n - 1 AS end_line FROM {_DECLARED}")
+def symbol_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _declared(spark, sf_dir).select("doc_id", "language", F.explode("symbol_list").alias("s"))
+    return each.select("doc_id", "language", "s.kind", "s.name", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("start_line", "end_line")))
 
 
-@query("chunk_units", "SELECT * FROM (VALUES ('m.py', 1, 42, 'Function'), ('m.py', 43, 84, 'Function'), ('n.txt', 1, 2, 'Block')) v(file_path, start_line, end_line, chunk_type)")
+@query("symbols_text", f"SELECT doc_id, string_agg(kind || ' ' || name, chr(10) ORDER BY n) AS symbols FROM {_DECLARED} GROUP BY doc_id")
+def symbols_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _declared(spark, sf_dir).select("doc_id", symbols.symbols_text(F.col("symbol_list")).alias("symbols"))
+
+
+_UNITS_SQL = f"SELECT doc_id, n - 1 AS k, 2 * n - 1 AS a, 2 * n AS b, CASE kind WHEN 'function' THEN 'Function' ELSE 'Class' END AS kind, head || chr(10) || tail AS text, '' AS head FROM {_written_sql(list(_UNIT_FILES))}"
+
+
+@query("chunk_units", f"WITH RECURSIVE {_packed_sql(_UNITS_SQL)} SELECT doc_id, start_line, end_line, chunk_type, sha256(content) AS hash FROM made")
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("m.py", _FUNCTIONS), ("n.txt", "a\nb"), ("e.rs", "")], "path string, content string")
-    return chunks.chunk_files(files).select("file_path", "start_line", "end_line", "chunk_type")
+    """documents as files of code, cut by units as the engine cuts them."""
+    code = _written(spark, sf_dir, list(_UNIT_FILES))
+    ending = F.create_map(*(F.lit(x) for pair in _UNIT_FILES.items() for x in pair))[F.col("language")]
+    found = chunks.chunk_files(code.select(F.concat_ws(".", F.col("doc_id").cast("string"), ending).alias("path"), "content"))
+    number = F.split_part("file_path", F.lit("."), F.lit(1)).cast("long")
+    return found.select(number.alias("doc_id"), *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")), "chunk_type", F.sha2("content", 256).alias("hash"))
 
 
 #: documents and conversations as code: sentences are lines, some of which open a unit or braces.
@@ -837,9 +902,7 @@ def _as_code_sql(c: str) -> str:
 _HEADS_SQL = " OR ".join(f"(language = '{n}' AND ({' OR '.join(f"starts_with(bare, '{h}')" for h in chunks.BOUNDARIES[n])}))" for n in _CODE_LANGUAGES if n in chunks.BOUNDARIES)
 
 
-@query(
-    "chunk_structure",
-    rf"""WITH RECURSIVE t AS (SELECT kind, id, turn, {_as_code_sql("text")} AS text, CASE (id + turn) % 4 {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_CODE_LANGUAGES))} END AS language FROM ({_STRUCTURE_TEXTS}) WHERE text <> ''),
+_STRUCTURE = rf"""WITH RECURSIVE t AS (SELECT kind, id, turn, {_as_code_sql("text")} AS text, CASE (id + turn) % 4 {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_CODE_LANGUAGES))} END AS language FROM ({_STRUCTURE_TEXTS}) WHERE text <> ''),
         a AS (SELECT row_number() OVER (ORDER BY kind, id, turn) AS doc, *, list_transform(string_split(regexp_replace(text, '
 $', ''), chr(10)), lambda x: regexp_replace(x, '
 $', '')) AS l FROM t),
@@ -859,65 +922,47 @@ $', '')) AS l FROM t),
                 CASE WHEN x.opens THEN 0 ELSE floor((r.i - r.first) * {chunks.OVERLAP}::DOUBLE)::BIGINT END AS kept
                 FROM r JOIN x ON x.doc = r.doc AND x.i = r.i) z),
         spans AS (SELECT doc, s, e, u FROM r WHERE s IS NOT NULL UNION ALL SELECT doc, first + 1, i, unit FROM r JOIN (SELECT doc, len(l) AS n FROM a) USING (doc) WHERE i = n)
-        SELECT kind, id, turn, language, s AS start_line, e AS end_line, CASE WHEN u THEN 'Function' ELSE 'Block' END AS chunk_type, sha256(array_to_string(l[s:e], chr(10))) AS hash FROM spans JOIN a USING (doc)""",
-)
-def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and turns of conversations, written as code, cut by their structure."""
+        SELECT kind, id, turn, language, s AS start_line, e AS end_line, CASE WHEN u THEN 'Function' ELSE 'Block' END AS chunk_type, sha256(array_to_string(l[s:e], chr(10))) AS hash FROM spans JOIN a USING (doc)"""
+
+
+def _structure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
     said = table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("turn"), "text")
     code = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _AS_CODE, F.col("text"))
     names = F.array(*map(F.lit, _CODE_LANGUAGES))
-    texts = docs.unionByName(said).select("kind", "id", "turn", F.get(names, ((F.col("id") + F.col("turn")) % 4).cast("int")).alias("language"), code.alias("content"))
-    found = chunks.chunk_structure(texts)
+    return docs.unionByName(said).select("kind", "id", "turn", F.get(names, ((F.col("id") + F.col("turn")) % 4).cast("int")).alias("language"), code.alias("content"))
+
+
+def _structure_rows(found: DataFrame) -> DataFrame:
     return found.select("kind", "id", "turn", "language", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "chunk_type", F.sha2("content", 256).alias("hash"))
 
 
-#: documents as units: every 40 lines, or every 3, with a head that full chunks hand on.
-_UNIT_LINES = "CASE WHEN doc_id % 5 = 0 THEN 40 ELSE 3 END"
-_UNIT_HEAD = "CASE WHEN doc_id % 2 = 0 THEN 'use ' || source || ';' ELSE '' END"
+@query("chunk_structure", _STRUCTURE)
+def chunk_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and turns of conversations, written as code, cut by their structure."""
+    return _structure_rows(chunks.chunk_structure(_structure_texts(spark, sf_dir)))
 
 
-@query(
-    "chunk_pack",
-    f"""WITH RECURSIVE n AS (SELECT doc_id, l, {_UNIT_LINES} AS w, coalesce({_UNIT_HEAD}, '') AS head FROM (SELECT DISTINCT doc_id, source, l FROM {_LINES})),
-        u AS (SELECT doc_id, head, w, k, k * w + 1 AS a, least((k + 1) * w, len(l)) AS b, array_to_string(l[k * w + 1:(k + 1) * w], chr(10)) AS text FROM (SELECT *, unnest(generate_series(0, (len(l) - 1) // w)) AS k FROM n)),
-        x AS MATERIALIZED (SELECT *, strlen(text) AS size, count(*) OVER (PARTITION BY doc_id) AS n FROM u),
-        r AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, 0::BIGINT AS first, 0::BIGINT AS held, false AS headed, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BOOLEAN AS h FROM x
-            UNION ALL
-            SELECT doc_id, i + 1, CASE WHEN large THEN i + 1 WHEN over THEN i ELSE first END, CASE WHEN large THEN 0 WHEN over THEN strlen(head) + size ELSE held + size END,
-                CASE WHEN large THEN false WHEN over THEN head <> '' ELSE headed END, CASE WHEN i > first AND (large OR over) THEN first END, CASE WHEN i > first AND (large OR over) THEN i - 1 END, CASE WHEN i > first AND (large OR over) THEN headed END
-            FROM (SELECT r.*, x.size, x.head, x.size > {chunks.MAX_BYTES} AS large, r.i > r.first AND r.held + x.size > {chunks.CHUNK_BYTES} AS over FROM r JOIN x ON x.doc_id = r.doc_id AND x.k = r.i)),
-        spans AS (SELECT doc_id, s, e, h FROM r WHERE s IS NOT NULL UNION ALL SELECT r.doc_id, first, i - 1, headed FROM r JOIN (SELECT DISTINCT doc_id, n FROM x) USING (doc_id) WHERE i = n AND i > first),
-        c AS (SELECT spans.doc_id, min(a) AS start_line, max(b) AS end_line, CASE WHEN arg_min(w, k) = 40 THEN 'Class' ELSE 'Function' END AS chunk_type,
-            CASE WHEN h THEN any_value(head) || chr(10) || chr(10) ELSE '' END || string_agg(text, chr(10) || chr(10) ORDER BY k) AS content FROM spans JOIN x ON x.doc_id = spans.doc_id AND k BETWEEN s AND e GROUP BY spans.doc_id, s, e, h),
-        big AS (SELECT doc_id, a, b, w, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda y: y) AS l FROM x WHERE size > {chunks.MAX_BYTES}),
-        cut AS (SELECT doc_id, a + t AS start_line, a + least(t + {chunks.WINDOW}, len(l)) - 1 AS end_line, CASE WHEN w = 40 THEN 'Class' ELSE 'Function' END AS chunk_type, array_to_string(l[t + 1:t + {chunks.WINDOW}], chr(10)) AS content
-            FROM (SELECT *, unnest(generate_series(0, len(l) - 1, {chunks.WINDOW})) AS t FROM big))
-        SELECT doc_id, start_line, end_line, chunk_type, sha256(content) AS hash FROM (SELECT * FROM c UNION ALL SELECT * FROM cut)""",
-)
-def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as units of some lines, packed to a target size by a fold."""
-    made = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", "source", text.lines_of(F.col("text")).alias("l"), F.expr(_UNIT_LINES).alias("w"))
-    # split off here, so that the lines are made once
-    rows = made.select("doc_id", F.coalesce(F.expr(_UNIT_HEAD), F.lit("")).alias("head"), "l", "w", F.size("l").alias("n"))
-    unit = lambda k: F.struct(
-        (k * F.col("w") + 1).alias("start_line"),
-        F.least((k + 1) * F.col("w"), F.col("n")).alias("end_line"),
-        F.when(F.col("w") == 40, "Class").otherwise("Function").alias("kind"),
-        F.array_join(F.slice("l", k * F.col("w") + 1, F.col("w")), "\n").alias("content"),
-    )
-    units = rows.select("doc_id", "head", F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("w")).cast("int")), unit).alias("units"))
-    found = chunks.pack_units(units, head="head")
-    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")), "chunk_type", F.sha2("content", 256).alias("hash"))
+@query("chunk_heuristics", _STRUCTURE)
+def chunk_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the rules in Python, batch by batch, as the engine cuts files that have no units."""
+    return _structure_rows(chunks.chunk_by_rules(_structure_texts(spark, sf_dir)))
 
 
-_BOUNDARY_LINES = (("rust", "  pub fn a() {"), ("rust", "let fn_ = 1;"), ("rust", "impl A {"), ("python", "    async def f():"), ("python", "define()"), ("javascript", "export default x"), ("javascript", "var x"), ("go", "func A() {}"))
+#: What lines begin with in turn.
+_OPENINGS = ("", "  pub fn ", "let fn_ = ", "impl ", "    async def ", "define", "export default ", "var ", "def ", "struct ", "trait", "const ")
+_OPENED = f"""(SELECT doc_id, line_number, language, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM (SELECT doc_id, line_number, [{", ".join(f"'{x}'" for x in _CODE_LANGUAGES)}][(doc_id // 2) % {len(_CODE_LANGUAGES)} + 1] AS language,
+    [{", ".join(f"'{x}'" for x in _OPENINGS)}][(doc_id + line_number) % {len(_OPENINGS)} + 1] || line AS line FROM {_LINES}))"""
 
 
-@query("chunk_boundaries", "SELECT * FROM (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, true), (6, false), (7, false)) v(id, boundary)")
+@query("chunk_boundaries", f"SELECT doc_id, line_number, language, coalesce({_HEADS_SQL}, false) AS boundary FROM {_OPENED}")
 def chunk_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(_BOUNDARY_LINES)], "id int, language string, line string")
-    return rows.select("id", chunks.is_boundary(F.col("line"), F.col("language")).alias("boundary"))
+    """The lines of documents behind words that open a unit in some languages."""
+    each = lines.explode_lines(documents(spark, sf_dir).select(F.col("path").alias("doc_id"), "content"))
+    chosen = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    line = F.concat(chosen(_OPENINGS, F.col("doc_id") + F.col("line_number")), F.col("content"))
+    rows = each.select("doc_id", F.col("line_number").cast("long").alias("line_number"), chosen(_CODE_LANGUAGES, F.floor(F.col("doc_id") / 2)).alias("language"), line.alias("line"))
+    return rows.select("doc_id", "line_number", "language", chunks.is_boundary(F.col("line"), F.col("language")).alias("boundary"))
 
 
 @query(
@@ -1078,13 +1123,10 @@ def workspace_two_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_workspaces(spark, [f"{_PACKAGE}/functions", f"{_PACKAGE}/sources/"]).select("path", "repository")
 
 
-@query(
-    "symbol_signatures",
-    "SELECT language, name, signature FROM (VALUES ('python', 'A', 'class A:'), ('python', 'f', 'async def f():'), ('go', 'A', 'func A() {}'), ('go', 'M', 'func (r *T) M() {}'), ('go', 'T', 'type T struct { a int }'), ('go', 'I', 'type I interface { M() }')) v(language, name, signature)",
-)
+@query("symbol_signatures", f"SELECT doc_id, name, substr(head, 1, {symbols.SIGNATURE_BYTES}) AS signature FROM {_DECLARED}")
 def symbol_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = symbols.with_symbols(_code(spark).where(F.col("language").isin("python", "go"))).select("language", F.explode("symbol_list").alias("s"))
-    return each.select("language", "s.name", "s.signature")
+    each = _declared(spark, sf_dir).select("doc_id", F.explode("symbol_list").alias("s"))
+    return each.select("doc_id", "s.name", "s.signature")
 
 
 # --- extensions --------------------------------------------------------------------------------
