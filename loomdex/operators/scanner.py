@@ -46,7 +46,7 @@ _HEADS: dict[str, list[tuple[str, re.Pattern]]] = {
         ("class", re.compile(r"(?:\babstract\s+)?\bclass\s+(?!extends\b)(?P<name>[\w$]+)")),
         ("variable", re.compile(r"\b(?:const|let|var)\s+(?P<name>[\w$]+|[\[{][^=;]*?[\]}])")),
         # of objects and unnamed classes: what is inside a named declaration isn't searched
-        ("method", re.compile(r"(?<![\w$.)\s])\s*(?P<lead>(?:(?:static|async|get|set)\s+)*\*?\s*)(?P<name>[\w$]+)\s*\([^(){};]*\)\s*(?::\s*[\w<>\[\]|. ]+)?\{")),
+        ("method", re.compile(r"(?<![\w$.)\s])\s*(?P<lead>(?:(?:static|async|get|set)\s+)*(?:\*\s*)?)(?P<name>[\w$]+)\s*\([^(){};]*\)\s*(?::\s*[\w<>\[\]|. ]+)?\{")),
     ],
     "go": [
         ("function", re.compile(r"(?m)^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)")),

@@ -1,5 +1,7 @@
 """Symbols and chunks of small files, by hand."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from loomdex.operators import chunks, symbols
@@ -53,3 +55,11 @@ def test_chunks_by_hand(spark):
     files = spark.createDataFrame([("m.py", FUNCTIONS), ("n.txt", "a\nb"), ("e.rs", "")], "path string, content string")
     got = {tuple(r) for r in chunks.chunk_files(files).select("file_path", "start_line", "end_line", "chunk_type").collect()}
     assert got == {("m.py", 1, 42, "Function"), ("m.py", 43, 84, "Function"), ("n.txt", 1, 2, "Block")}
+
+
+def test_long_comments_are_linear():
+    """A comment of a megabyte is a run of blanks to the patterns; none may go back and forth over it."""
+    started = time.process_time()
+    for language in ("rust", "javascript", "go", "java", "c"):
+        symbols.symbols_of("x() { // " + "le ouou " * 130_000 + "\n}\nclass Behind {}\n", language)
+    assert time.process_time() - started < 20
