@@ -36,40 +36,53 @@ def _read(path: str) -> str:
         return ""
 
 
+def rule_texts(folder: str) -> list[str]:
+    """The ignore files that a folder itself holds; .ignore outranks .gitignore."""
+    return [_read(f"{folder}/{name}") for name in (".gitignore", ".ignore") if os.path.isfile(f"{folder}/{name}")]
+
+
 def _rules(folder: str, base: str) -> list[ignore.Rule]:
-    """The rules that a folder itself holds; .ignore outranks .gitignore."""
-    return [r for name in (".gitignore", ".ignore") for r in (ignore.parse(_read(f"{folder}/{name}"), base) if os.path.isfile(f"{folder}/{name}") else [])]
+    return [r for text in rule_texts(folder) for r in ignore.parse(text, base)]
 
 
-def global_rules() -> list[ignore.Rule]:
+def entries(root: str, base: str, rules: list[ignore.Rule], max_bytes: int, indexable_only: bool) -> Iterator[tuple[str, os.stat_result | None]]:
+    """(path relative to root, stat) of what a folder holds and rules don't leave out, in order of names; folders have no stat."""
+    try:
+        found = sorted(os.scandir(f"{root}/{base}" if base else root), key=lambda e: e.name)
+    except OSError:
+        return
+    for e in found:
+        path = f"{base}/{e.name}" if base else e.name
+        if e.is_dir(follow_symlinks=False):
+            if not ignore.ignored(path, True, rules):
+                yield path, None
+        elif e.is_file() and not ignore.ignored(path, False, rules) and (not indexable_only or is_indexable_name(e.name)):
+            info = e.stat()
+            if info.st_size <= max_bytes:
+                yield path, info
+
+
+def global_texts(root: str) -> list[str]:
+    """The ignore files that hold for a whole root: the user's, and the repository's own list."""
     home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
-    return ignore.parse(_read(f"{home}/git/ignore")) if os.path.isfile(f"{home}/git/ignore") else []
+    return [_read(f) for f in (f"{home}/git/ignore", f"{root}/.git/info/exclude") if os.path.isfile(f)]
 
 
 def walk(root: str, max_bytes: int = MAX_FILE_BYTES, indexable_only: bool = True, exact: bool = False) -> Iterator[tuple[str, int, int]]:
     """(path relative to root, size, modification time) of files, folder by folder in order of names; times are in seconds, or exact in nanoseconds."""
     root = root.rstrip("/")
-    exclude = f"{root}/.git/info/exclude"
-    first = [*global_rules(), *(ignore.parse(_read(exclude)) if os.path.isfile(exclude) else [])]
+    first = [r for text in global_texts(root) for r in ignore.parse(text)]
     stack = [("", first)]
     while stack:
         base, rules = stack.pop()
         folder = f"{root}/{base}" if base else root
         rules = [*rules, *_rules(folder, base)]
         deeper = []
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            path = f"{base}/{e.name}" if base else e.name
-            if e.is_dir(follow_symlinks=False):
-                if not ignore.ignored(path, True, rules):
-                    deeper.append((path, rules))
-            elif e.is_file() and not ignore.ignored(path, False, rules) and (not indexable_only or is_indexable_name(e.name)):
-                info = e.stat()
-                if info.st_size <= max_bytes:
-                    yield path, info.st_size, info.st_mtime_ns if exact else int(info.st_mtime)
+        for path, info in entries(root, base, rules, max_bytes, indexable_only):
+            if info is None:
+                deeper.append((path, rules))
+            else:
+                yield path, info.st_size, info.st_mtime_ns if exact else int(info.st_mtime)
         stack += reversed(deeper)
 
 
