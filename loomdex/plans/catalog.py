@@ -22,6 +22,7 @@ from loomdex.operators import block_max, chunks, filters, lexical, lines, metada
 from loomdex.operators import vector_index
 from loomdex.operators import vectors as search_vectors
 from loomdex.operators.term_deltas import TermStatistics
+from loomdex.operators.text_embedder import TextEmbedder
 from loomdex.operators.vectors import QuantizationConfig, QuantizationMode
 from loomdex.plans import extensions, search
 from loomdex.plans.cache import ResultCache
@@ -779,6 +780,24 @@ def embedding_memo_lasting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+@query("text_embedder_recall", "SELECT count(*) FILTER (doc_id % 20 = 0 AND length(text) >= 200) AS queries, count(*) AS indexed, true AS recall_is_090 FROM documents")
+def text_embedder_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents embedded by a model of their own; every twentieth, if not very short, is asked for by its text less a tenth at the front.
+
+    Found means that the text itself is among the ten nearest.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, folder = TextEmbedder.fit(docs, "text"), scratch(spark)
+    model.embed(docs.withColumn("hash", F.sha2("text", 256)), "text").select("doc_id", "hash", "embedding").write.parquet(folder)
+    held = spark.read.parquet(folder)
+    asked = docs.where("doc_id % 20 = 0 AND length(text) >= 200").select((-1 - F.col("doc_id")).alias("doc_id"), F.expr("substr(text, 1 + int(length(text) / 10))").alias("text"))
+    found = vector_index.search_many(held.select("doc_id", "embedding"), model.embed(asked, "text").select("doc_id", "embedding"), 10, "doc_id")
+    hashes = held.select(F.col("doc_id").alias("id"), "hash")
+    pairs = found.join(hashes, "id").join(hashes.select((-1 - F.col("id")).alias("query_id"), F.col("hash").alias("own")), "query_id")
+    hits = pairs.groupBy("query_id").agg(F.max((F.col("hash") == F.col("own")).cast("int")).alias("hit")).agg(F.count("*").alias("queries"), F.avg("hit").alias("recall"))
+    return hits.join(held.agg(F.count("*").alias("indexed"))).select("queries", "indexed", (F.col("recall") >= 0.9).alias("recall_is_090"))
+
+
 # --- code ----------------------------------------------------------------------------------------
 
 #: documents as units: every 40 lines, or every 3, with a head that full chunks hand on.
