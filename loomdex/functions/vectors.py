@@ -12,6 +12,11 @@ def _double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bound(value: Column, made) -> Column:
+    """made(value), with value computed once however often made reads it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_double(a), _double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -28,14 +33,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """The vector at length 1; a zero vector as it is."""
-    n = norm(v)
-    return F.when(n == 0, _double(v)).otherwise(F.transform(_double(v), lambda x: x / n))
+    scaled = lambda d, n: F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
+    return bound(_double(v), lambda d: bound(norm(d), lambda n: scaled(d, n)))
 
 
 def fallback_embedding(text: Column) -> Column:
     """256 numbers from the text's hash alone: 32 bytes centred on zero, then zeros; at length 1."""
-    digest = F.sha2(text, 256)
-    head = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5)
+    byte = lambda digest, i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5
+    head = bound(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(digest, i)))
     return normalised(F.concat(head, F.array_repeat(F.lit(0.0), 224)))
 
 

@@ -1,5 +1,8 @@
 """Expressions and line operators on hand-made rows."""
 
+import hashlib
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +107,15 @@ def test_heuristic_cut():
     found = chunks.heuristic_chunks(body * 3, "python")
     assert [(s, e) for s, e, _, _ in found] == [(1, 101), (102, 202), (203, 303)]
     assert [k for _, _, k, _ in found] == ["Block", "Function", "Function"]
+
+
+def test_fallback_vectors_hash_a_text_once(spark):
+    one = spark.range(1).select(F.expr("repeat('abcdefgh', 250000)").alias("t")).persist()
+    assert one.count() == 1
+    began = time.perf_counter()
+    v = one.select(vectors.fallback_embedding(F.col("t"))).first()[0]
+    assert time.perf_counter() - began < 5
+    raw = [b / 255 - 0.5 for b in hashlib.sha256(b"abcdefgh" * 250_000).digest()]
+    n = sum(x * x for x in raw) ** 0.5
+    assert v == pytest.approx([x / n for x in raw] + [0.0] * 224)
+    assert values(spark, vectors.normalised, [3.0, 4.0], [0.0, 0.0], None, kind="array<double>") == [[0.6, 0.8], [0.0, 0.0], None]
