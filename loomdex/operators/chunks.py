@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from loomdex.functions.batches import small_batches
 from loomdex.functions.language import chunk_language
 from loomdex.functions.text import chunk_id, lines_of
 from loomdex.operators.scanner import CHUNKED, units
@@ -213,7 +216,8 @@ def _by_rules(text: pd.Series, language: pd.Series) -> pd.Series:
 
 
 def chunk_by_rules(df: DataFrame, text: str = "content", language: str = "language") -> DataFrame:
-    """As chunk_structure, by heuristic_chunks in Arrow batches; blanks before a unit's head may be any of Unicode. A batch's texts are held at once."""
+    """As chunk_structure, by heuristic_chunks in Arrow batches; blanks before a unit's head may be any of Unicode. A small batch's texts are held at once."""
+    small_batches(df.sparkSession)
     others = [c for c in df.columns if c != text]
     each = df.select(*others, F.explode(pandas_udf(_by_rules, f"array<{CHUNK}>")(F.col(text), F.col(language))).alias("_c"))
     return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", F.col("_c.content").alias(text))
@@ -226,7 +230,8 @@ def unit_chunks(text: str, language: str, target: int = CHUNK_BYTES, largest: in
     """
     found = units(text, language)
     imports = "\n".join(text[u.start : u.end] for u in found if u.kind == "import")
-    line = lambda at: text.count("\n", 0, at) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(ends, at) + 1
     out: list[tuple[int, int, str, str]] = []
     parts: list[str] = []
     size, start, end, kind = 0, 0, 0, "Block"
@@ -273,7 +278,8 @@ def _chunk(text: pd.Series, language: pd.Series) -> pd.Series:
 
 
 def chunk_files(docs: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """(id, file_path, start_line, end_line, language, chunk_type, content) of each chunk of each file."""
+    """(id, file_path, start_line, end_line, language, chunk_type, content) of each chunk of each file; a task holds one small batch of files."""
+    small_batches(docs.sparkSession)
     cut = pandas_udf(_chunk, f"array<{CHUNK}>")
     made = docs.select(F.col(path).alias("file_path"), chunk_language(F.col(path)).alias("language"), F.col(text).alias("_t"))
     each = made.select("file_path", "language", F.explode(cut(F.col("_t"), F.col("language"))).alias("_c")).select("file_path", "language", "_c.*")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from loomdex.functions.batches import small_batches
 from loomdex.functions.vectors import code_dot, cosine, fallback_embedding, hamming, normalised, scalar_code, sign_bits
 
 DIMENSIONS = 384
@@ -127,8 +128,9 @@ def _by_model(model, batch: int):
 def embed_with(df: DataFrame, model, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
     """Vectors from a model: a function from a list of texts to a list of vectors, called with batches.
 
-    Each distinct text is embedded once, and the vectors are joined back by the text's hash.
+    Each distinct text is embedded once, and the vectors are joined back by the text's hash. A task holds one small batch of texts.
     """
+    small_batches(df.sparkSession)
     keyed = df.withColumn("_hash", F.sha2(text, 256))
     once = keyed.select("_hash", text).dropDuplicates(["_hash"]).select("_hash", _by_model(model, batch)(F.col(text)).alias(out))
     return keyed.join(once, "_hash", "left").drop("_hash")
@@ -141,6 +143,7 @@ def embed_lasting(df: DataFrame, model, folder: str, text: str = "content", out:
     as it was. Should two runs have added one text, one of its vectors is taken. Null texts have no vector.
     """
     spark = df.sparkSession
+    small_batches(spark)
     keyed = df.withColumn("_hash", F.sha2(text, 256))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     held = lambda: spark.read.schema("_hash string, _v array<float>").parquet(folder).dropDuplicates(["_hash"])
