@@ -19,19 +19,27 @@ def deltas(before: DataFrame | None, after: DataFrame | None, path: str = "path"
 
     Documents and places of each term, and in one row without term the number of documents and of
     tokens. A null text is an empty one. A document that stays the same adds nothing, and terms
-    that nothing changes have no row. Each document's terms are counted first, so a term that
-    most documents have reaches its group as one partial sum a task.
+    that nothing changes have no row. Rows that repeat a path on one side are one document. Where none
+    does, as a job over the paths tells first, a document's distinct terms are found in its own row, and tasks
+    add up by term before anything moves; else its terms are grouped by path before.
     """
     if before is None and after is None:
         raise ValueError("a change has documents before or after it")
     signed = lambda df, sign: df.select(F.col(path).alias("path"), F.coalesce(tokens_of(F.col(text)), F.array().cast("array<string>")).alias("_t"), F.lit(sign).cast("long").alias("_s"))
     sides = [signed(df, sign) for df, sign in ((before, -1), (after, 1)) if df is not None]
     each = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-    counted = each.select("path", "_s", F.explode("_t").alias("term")).groupBy("path", "_s", "term").agg(F.count("*").alias("_n"))
     zero = F.lit(0).cast("long")
-    terms = counted.groupBy("term").agg(F.sum("_s").alias("df"), F.sum(F.col("_s") * F.col("_n")).alias("cf")).select("term", "df", "cf", zero.alias("docs"), zero.alias("tokens"))
-    whole = each.agg(F.coalesce(F.sum("_s"), zero).alias("docs"), F.coalesce(F.sum(F.col("_s") * F.size("_t")), zero).alias("tokens"))
-    made = terms.unionByName(whole.select(F.lit(None).cast("string").alias("term"), zero.alias("df"), zero.alias("cf"), "docs", "tokens"))
+    if each.groupBy("path", "_s").count().where("count > 1").isEmpty():
+        # of each row all tokens, the distinct ones, and one entry without term for the document itself: one pass makes all sums
+        views = each.select("_s", F.size("_t").alias("_n"), F.posexplode(F.array("_t", F.array_distinct("_t"), F.array(F.lit(None).cast("string")))).alias("_view", "_t"))
+        placed = views.select("_s", "_n", "_view", F.explode("_t").alias("term"))
+        total = lambda k, c: F.sum(F.when(F.col("_view") == k, c).otherwise(zero))
+        made = placed.groupBy("term").agg(total(1, F.col("_s")).alias("df"), total(0, F.col("_s")).alias("cf"), total(2, F.col("_s")).alias("docs"), total(2, F.col("_s") * F.col("_n")).alias("tokens"))
+    else:
+        counted = each.select("path", "_s", F.explode("_t").alias("term")).groupBy("path", "_s", "term").agg(F.count("*").alias("_n"))
+        terms = counted.groupBy("term").agg(F.sum("_s").alias("df"), F.sum(F.col("_s") * F.col("_n")).alias("cf")).select("term", "df", "cf", zero.alias("docs"), zero.alias("tokens"))
+        whole = each.agg(F.coalesce(F.sum("_s"), zero).alias("docs"), F.coalesce(F.sum(F.col("_s") * F.size("_t")), zero).alias("tokens"))
+        made = terms.unionByName(whole.select(F.lit(None).cast("string").alias("term"), zero.alias("df"), zero.alias("cf"), "docs", "tokens"))
     return made.where("df <> 0 OR cf <> 0 OR docs <> 0 OR tokens <> 0")
 
 

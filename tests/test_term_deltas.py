@@ -31,3 +31,15 @@ def test_changes_equal_a_count_from_nothing(spark, tmp_path):
     assert deltas(same, same).count() == 0
     kept.apply(5, before=same)
     assert kept.terms().count() == 0 and tuple(kept.totals().first()) == (0, None)
+
+
+def test_rows_that_repeat_a_path_are_one_document(spark):
+    rows = [("p", "a b a", ""), ("p", "a c", ""), ("q", "a", ""), ("r", None, "")]
+    told = lambda some: {r["term"]: (r["df"], r["cf"], r["docs"], r["tokens"]) for r in deltas(None, spark.createDataFrame(some, SCHEMA)).collect()}
+    assert told(rows) == {"a": (2, 4, 0, 0), "b": (1, 1, 0, 0), "c": (1, 1, 0, 0), None: (0, 0, 4, 6)}
+    assert told(rows[1:]) == {"a": (2, 2, 0, 0), "c": (1, 1, 0, 0), None: (0, 0, 3, 3)}
+
+
+def test_texts_are_cut_into_tokens_once(spark):
+    plan = deltas(None, spark.createDataFrame([("p", "a b a", "")], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("Aggregate") == 1
