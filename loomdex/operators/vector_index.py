@@ -1,8 +1,9 @@
 """Vector search for many queries: exact by blocks, approximate by an inverted file, and over stored codes.
 
-Exact. Rows and queries are dealt into blocks; each pair of blocks is one matrix product in one
-task, from which every query keeps its k best, and a query's partial lists are merged by a window that drops all
-but k rows of each before and after the shuffle. A task holds one pair of blocks.
+Exact. Rows and queries are dealt into blocks of at most BLOCK_BYTES of vectors; a task holds one pair of blocks and
+goes through its products tile by tile, in single precision: what its error leaves possible beside the k best so far is computed
+again in double. A query's partial lists are merged by a window that drops all but k rows of each before and after the
+shuffle. Products grow with rows times queries; each row is copied for every block of queries, and the other way round.
 
 Inverted file. Centroids are fitted by k-means on a sample of SAMPLE_ROWS or so unit vectors; every row is then
 put in the cell of its nearest centroid, and what it deviates from the centroid is stored as one byte a
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,7 @@ from loomdex.operators.vectors import QuantizationConfig, QuantizationMode, as_c
 
 BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, ROUNDS, DIGITS, SEED = 2048, 65_536, 4096, 6, 9, 42
 CALIBRATION, TARGET = 256, 0.95
+BLOCK_BYTES, TILE_QUERIES, TILE_ROWS, TILE_PAIRS = 1 << 25, 256, 2048, 1 << 16
 
 
 def _valid(df: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -55,19 +57,54 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _best_of(query_ids: pa.Array, ids: pa.Array, score: np.ndarray, k: int) -> dict:
-    """The k best of each row of scores, a query's own row aside; ties by id."""
-    q, r = query_ids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
-    score = np.where(q[:, None] == r[None, :], -np.inf, np.round(score, DIGITS))
-    k = min(k, score.shape[1])
-    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-    i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-    order = np.lexsort((np.unique(r, return_inverse=True)[1][j], -score[i, j], i))
-    i, j = i[order], j[order]
+def _first(i: np.ndarray, j: np.ndarray, score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs of each i; ties by order[j]."""
+    by = np.lexsort((order[j], -score, i))
+    i, j, score = i[by], j[by], score[by]
     starts = np.flatnonzero(np.diff(i, prepend=-1))
-    place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
-    i, j = i[place < k], j[place < k]
-    return {"query_id": query_ids.take(pa.array(i)), "id": ids.take(pa.array(j)), "score": pa.array(score[i, j])}
+    kept = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) < k
+    return i[kept], j[kept], score[kept]
+
+
+def _best_of(query_ids: pa.Array, ids: pa.Array, tile: Callable[[slice, slice], np.ndarray], k: int, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, slack: float = 0.0) -> dict:
+    """The k best rows of each query, its own row aside; ties by id.
+
+    tile gives the scores of some queries by some rows. If they are rough, exact gives those of pairs, less than slack away.
+    Held are one tile, the pairs of it that may be among the best, TILE_PAIRS at a time, and the best so far.
+    """
+    both = np.concatenate([query_ids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)])
+    both = np.unique(both, return_inverse=True)[1]
+    q, r = both[: len(query_ids)], both[len(query_ids) :]
+    made = []
+    for a in range(0, len(q), TILE_QUERIES):
+        n = min(TILE_QUERIES, len(q) - a)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(n, -np.inf)  # the k-th score so far
+        for b in range(0, len(r), TILE_ROWS):
+            score = tile(slice(a, a + n), slice(b, b + TILE_ROWS))
+            bar = least
+            if score.shape[1] > k and np.isinf(least).any():
+                others = np.where(q[a : a + n, None] == r[None, b : b + TILE_ROWS], -np.inf, score)
+                bar = np.maximum(bar, np.partition(others, -k, axis=1)[:, -k] - slack)
+            at = np.flatnonzero(score >= (bar - slack - 10.0**-DIGITS)[:, None].astype(score.dtype))
+            for c in range(0, len(at), TILE_PAIRS):
+                i, j = np.divmod(at[c : c + TILE_PAIRS], score.shape[1])
+                other = q[a + i] != r[b + j]
+                i, j = i[other], j[other]
+                true = score[i, j] if exact is None else exact(a + i, b + j)
+                best = _first(*(np.concatenate(x) for x in zip(best, (i, b + j, np.round(true, DIGITS)), strict=True)), r, k)
+            if len(at):
+                full = np.flatnonzero(np.bincount(best[0], minlength=n) >= k)
+                least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        made.append((a + best[0], *best[1:]))
+    i, j, score = (np.concatenate(x) for x in zip(*made, strict=True))
+    return {"query_id": query_ids.take(pa.array(i)), "id": ids.take(pa.array(j)), "score": pa.array(score)}
+
+
+def _nearest_of(query_ids: pa.Array, queries: np.ndarray, ids: pa.Array, rows: np.ndarray, k: int) -> dict:
+    """The k best rows of each query by the products of unit vectors."""
+    q, r = queries.astype(np.float32), rows.astype(np.float32)
+    return _best_of(query_ids, ids, lambda a, b: q[a] @ r[b].T, k, lambda i, j: np.einsum("pd,pd->p", queries[i], rows[j]), (queries.shape[1] + 4) * 2.0**-23)
 
 
 def _found(rows: DataFrame, queries: DataFrame) -> T.StructType:
@@ -85,15 +122,19 @@ def _dealt(n: int) -> Column:
     return F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
 
-def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, id, score) of the k nearest rows of each query, exactly."""
+def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", embedding: str = "embedding", block_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, id, score) of the k nearest rows of each query, exactly. Blocks have block_rows rows or so, else as many as fit and keep all cores busy."""
     if k <= 0:
         raise ValueError("k must be positive")
     rows, queries = _valid(rows, key, embedding), _valid(queries, key, embedding)
     first = queries.select(F.size("v").alias("d")).first()
-    fit = F.size("v") == (first["d"] if first else -2)
-    rows, queries = rows.where(fit), queries.where(fit)
-    parts, turns = (max(1, math.ceil(df.count() / block_rows)) for df in (rows, queries))
+    width = first["d"] if first else -2
+    rows, queries = rows.where(F.size("v") == width), queries.where(F.size("v") == width)
+    n, asking = rows.count(), queries.count()
+    most = block_rows or max(1, BLOCK_BYTES // (8 * abs(width)))
+    turns = max(1, math.ceil(asking / (block_rows or max(1, most // 2))))
+    busy = 0 if block_rows else min(math.ceil(n / BLOCK_ROWS), math.ceil(4 * rows.sparkSession.sparkContext.defaultParallelism / turns))
+    parts = max(1, busy, math.ceil(n / most))
     asked = queries.withColumn("turn", _dealt(turns)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     held = rows.withColumn("part", _dealt(parts)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     schema = _found(rows, queries)
@@ -101,7 +142,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", em
     def block(q: pa.Table, r: pa.Table) -> pa.Table:
         if not q.num_rows or not r.num_rows:
             return pa.table({"query_id": q["id"].slice(0, 0), "id": r["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        return pa.table(_best_of(q["id"].combine_chunks(), r["id"].combine_chunks(), _matrix(q["v"]) @ _matrix(r["v"]).T, k))
+        return pa.table(_nearest_of(q["id"].combine_chunks(), _matrix(q["v"]), r["id"].combine_chunks(), _matrix(r["v"]), k))
 
     return best(asked.groupBy("turn", "part").cogroup(held.groupBy("turn", "part")).applyInArrow(block, schema), k)
 
@@ -236,10 +277,10 @@ class InvertedFile:
         def block(q: pa.Table, r: pa.Table) -> pa.Table:
             if not q.num_rows or not r.num_rows:
                 return pa.table({"query_id": q["id"].slice(0, 0), "id": r["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-            m, c = _matrix(q["v"]), centroids[r["cell"][0].as_py()]
-            codes = np.frombuffer(b"".join(r["code"].to_pylist()), np.int8).reshape(r.num_rows, -1)
-            score = (m @ c)[:, None] + (m @ codes.T.astype(float)) * r["scale"].to_numpy()[None, :]
-            return pa.table(_best_of(q["id"].combine_chunks(), r["id"].combine_chunks(), score, k))
+            m, scale = _matrix(q["v"]), r["scale"].to_numpy()
+            codes = np.frombuffer(b"".join(r["code"].to_pylist()), np.int8).reshape(r.num_rows, -1).astype(float)
+            near = m @ centroids[r["cell"][0].as_py()]
+            return pa.table(_best_of(q["id"].combine_chunks(), r["id"].combine_chunks(), lambda a, b: near[a, None] + (m[a] @ codes[b].T) * scale[b], k))
 
         keys = ["cell", "turn", "part"]
         return best(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(block, _found(held, queries)), k)

@@ -116,7 +116,7 @@ def embed(df: DataFrame, text: str = "content", out: str = "embedding") -> DataF
     return df.withColumn(out, fallback_embedding(F.col(text)))
 
 
-def _by_model(model, batch: int):
+def by_model(model, batch: int):
     @pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         rows = texts.tolist()
@@ -132,7 +132,7 @@ def embed_with(df: DataFrame, model, text: str = "content", out: str = "embeddin
     """
     small_batches(df.sparkSession)
     keyed = df.withColumn("_hash", F.sha2(text, 256))
-    once = keyed.select("_hash", text).dropDuplicates(["_hash"]).select("_hash", _by_model(model, batch)(F.col(text)).alias(out))
+    once = keyed.select("_hash", text).dropDuplicates(["_hash"]).select("_hash", by_model(model, batch)(F.col(text)).alias(out))
     return keyed.join(once, "_hash", "left").drop("_hash")
 
 
@@ -150,5 +150,5 @@ def embed_lasting(df: DataFrame, model, folder: str, text: str = "content", out:
     lacking = keyed.where(F.col(text).isNotNull()).select("_hash", text)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         lacking = lacking.join(held().select("_hash"), "_hash", "left_anti")
-    lacking.dropDuplicates(["_hash"]).select("_hash", _by_model(model, batch)(F.col(text)).alias("_v")).write.mode("append").parquet(folder)
+    lacking.dropDuplicates(["_hash"]).select("_hash", by_model(model, batch)(F.col(text)).alias("_v")).write.mode("append").parquet(folder)
     return keyed.drop(out).join(held().withColumnRenamed("_v", out), "_hash", "left").drop("_hash")

@@ -33,3 +33,17 @@ def test_buckets_agree_with_sql(spark):
     words = ["license", "é", "x1"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(1024))).collect()]
     assert got == [te._bucket(w, 1024) for w in words]
+
+
+def test_counted_once(spark):
+    """Vectors from stored counts are those of the texts, words are those of the plain expression, and texts are not shuffled."""
+    rows = [(1, "alpha beta beta"), (2, None), (3, ""), (4, "x" * 50 + " gamma"), (5, "𝒜lpha é_é"), (6, "alpha beta beta")]
+    df = spark.createDataFrame(rows, "id int, content string").repartition(2)
+    model = te.TextEmbedder.fit(df, buckets=256, dimensions=3)
+    counts = te.counted(df, buckets=256)
+    assert {r["id"]: r["at"] for r in counts.collect()}[2] is None and te.TextEmbedder.fit_counted(counts, 256, 3).idf.tolist() == model.idf.tolist()
+    a, b = ({r["id"]: r["embedding"] for r in x.collect()} for x in (model.embed(df), model.embed_counted(counts)))
+    assert a == b and a[2] is None and a[1] == a[6]
+    words = "a1 É² _b-cͅ " + "".join(map(chr, range(0x20, 0x3000)))
+    assert te.words_of(words) == te._WORD.findall(words) and te.words_of(words + "\U00010400") == te._WORD.findall(words + "\U00010400")
+    assert "Exchange" not in model.embed(spark.createDataFrame(rows, df.schema))._jdf.queryExecution().executedPlan().toString()

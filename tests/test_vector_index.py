@@ -89,3 +89,24 @@ def test_stored_codes(spark, rows, made, mode, tmp_path):
     assert ("code:array<tinyint>" in plan) == (mode is QuantizationMode.SCALAR) and ("bits:array<bigint>" in plan) == (mode is not QuantizationMode.SCALAR) and "v:array" not in plan
     with pytest.raises(ValueError):
         codes.first_pass(spark, q, 10, QuantizationMode.NONE)
+
+
+def test_blocks_are_few(spark, rows, monkeypatch):
+    """Copies of rows and queries made for the exact search: by bytes of a block, not one for each 2,048 of the other side."""
+    many = spark.range(6000).selectExpr("id", "array(float(id), 1f, 2f) as embedding")
+    found = vector_index.search_many(many, many.where("id % 2 = 0"), 3)
+    blocks = [x for x in str(found._jdf.queryExecution().analyzed()).split("explode(sequence(0, ")[1:]]
+    assert len(blocks) == 2 and all(int(x.split(",")[0].rstrip("))").split(")")[0]) < 3 for x in blocks)
+
+
+def test_rough_scores_are_made_sure(made):
+    """Tiles in single precision, many equal rows and ids at the border of tiles: the same as from all scores in double."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    m = unit(np.concatenate([rng.normal(0, 1, (1, 16)) + rng.normal(0, 1e-7, (5000, 16)), rng.normal(0, 1, (300, 16))])[rng.permutation(5300)])
+    ids, k = rng.permutation(5300), 9
+    got = vector_index._nearest_of(pa.array(ids[:300]), m[:300], pa.array(ids), m, k)
+    score = np.round(np.einsum("qd,rd->qr", m[:300], m), 9)
+    want = [(ids[q], ids[j], score[q, j]) for q in range(300) for j in [j for j in np.lexsort((ids, -score[q])) if j != q][:k]]
+    assert list(zip(*(got[c].to_pylist() for c in ("query_id", "id", "score")))) == want
