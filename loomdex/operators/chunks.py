@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from loomdex.functions.batches import small_batches
 from loomdex.functions.language import chunk_language
+from loomdex.functions.vectors import bound
 from loomdex.functions.text import chunk_id, lines_of
 from loomdex.operators.scanner import CHUNKED, units
 
@@ -145,9 +146,10 @@ def chunk_structure(df: DataFrame, text: str = "content", language: str = "langu
     """
     others = [c for c in df.columns if c != text]
     made = df.where(F.length(text) > 0).select(*others, lines_of(F.col(text)).alias("_lines"))  # not by the lines' number, which would make them twice
-    each = made.select(*others, "_lines", F.explode(heuristic_spans(F.col("_lines"), F.col(language))).alias("_c"))
-    body = F.array_join(F.slice("_lines", F.col("_c.start_line"), F.col("_c.end_line") - F.col("_c.start_line") + 1), "\n")
-    return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", body.alias(text))
+    body = lambda c: F.array_join(F.slice("_lines", c["start_line"], c["end_line"] - c["start_line"] + 1), "\n")
+    whole = F.transform(heuristic_spans(F.col("_lines"), F.col(language)), lambda c: F.struct(c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), c["chunk_type"].alias("chunk_type"), body(c).alias("text")))
+    each = made.select(*others, F.explode(whole).alias("_c"))  # chunks are cut inside the row: lines would be copied for each
+    return each.select(*others, "_c.start_line", "_c.end_line", "_c.chunk_type", F.col("_c.text").alias(text))
 
 
 UNIT = "struct<start_line:int,end_line:int,kind:string,content:string>"
@@ -191,20 +193,21 @@ def pack_units(df: DataFrame, units: str = "units", head: str | None = None, out
     others = [c for c in df.columns if c not in (units, head, out, "start_line", "end_line", "chunk_type")]
     again = F.lit("") if head is None else F.coalesce(F.col(head), F.lit(""))
     body = lambda u: F.coalesce(u["content"], F.lit(""))
-    sizes = F.transform(units, lambda u: F.octet_length(body(u)))
-    made = df.where(F.size(units) > 0).select(*others, F.col(units).alias("_u"), again.alias("_head"), sizes.alias("_sizes"))
-    each = made.select(*others, "_u", "_head", F.explode(packed_spans(F.col("_sizes"), F.octet_length("_head"), target, largest)).alias("_c"))
-    texts = F.transform(F.slice("_u", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1), body)
-    first, last = F.get("_u", F.col("_c.first")), F.get("_u", F.col("_c.last"))
-    joined = F.array_join(F.concat(F.when(F.col("_c.headed"), F.array("_head")).otherwise(F.array().cast("array<string>")), texts), "\n\n")
-    whole = F.array(F.struct(first["start_line"].alias("a"), last["end_line"].alias("b"), joined.alias("text")))
-    rows = lines_of(body(first))
-    window = lambda at: F.struct(
-        (first["start_line"] + at).alias("a"), (first["start_line"] + F.least(at + WINDOW, F.size(rows)) - 1).alias("b"), F.array_join(F.slice(rows, at + 1, F.lit(WINDOW)), "\n").alias("text")
-    )
-    cut = F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(WINDOW)), window)
-    pieces = each.select(*others, first["kind"].alias("chunk_type"), F.explode(F.when(F.col("_c.large"), cut).otherwise(whole)).alias("_p"))
-    return pieces.select(*others, F.col("_p.a").alias("start_line"), F.col("_p.b").alias("end_line"), "chunk_type", F.col("_p.text").alias(out))
+
+    def pieces(c: Column) -> Column:
+        first, last = F.get("_u", c["first"]), F.get("_u", c["last"])
+        texts = F.transform(F.slice("_u", c["first"] + 1, c["last"] - c["first"] + 1), body)
+        joined = F.array_join(F.concat(F.when(c["headed"], F.array("_head")).otherwise(F.array().cast("array<string>")), texts), "\n\n")
+        piece = lambda a, b, text: F.struct(a.alias("a"), b.alias("b"), first["kind"].alias("kind"), text.alias("text"))
+        window = lambda rows, at: piece(first["start_line"] + at, first["start_line"] + F.least(at + WINDOW, F.size(rows)) - 1, F.array_join(F.slice(rows, at + 1, F.lit(WINDOW)), "\n"))
+        cut = bound(lines_of(body(first)), lambda rows: F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(WINDOW)), lambda at: window(rows, at)))
+        return F.when(c["large"], cut).otherwise(F.array(piece(first["start_line"], last["end_line"], joined)))
+
+    # no filter by the units' number, which would make them twice; chunks are cut inside the row, so that only they are copied, not all units for each
+    made = df.select(*others, F.col(units).alias("_u"), again.alias("_head"))
+    spans = packed_spans(F.transform("_u", lambda u: F.octet_length(body(u))), F.octet_length("_head"), target, largest)
+    each = made.select(*others, F.explode(F.flatten(F.transform(spans, pieces))).alias("_p"))
+    return each.select(*others, F.col("_p.a").alias("start_line"), F.col("_p.b").alias("end_line"), F.col("_p.kind").alias("chunk_type"), F.col("_p.text").alias(out))
 
 
 def _rows(made: list[tuple[int, int, str, str]]) -> list[dict]:

@@ -1,6 +1,7 @@
 """Chunks by a fold in the JVM against the same rules in Python."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,15 @@ def test_boundaries_by_plain_rule(spark):
     for r in df.select("language", "line", chunks.is_boundary(F.col("line"), F.col("language")).alias("b")).collect():
         heads = chunks.BOUNDARIES.get(r["language"], ())
         assert r["b"] == bool(heads and r["line"] is not None and r["line"].strip(" \t\n\x0b\f\r").startswith(heads)), r
+
+
+def test_units_are_made_once_and_not_copied(spark):
+    """No filter that makes the units again, and an explode that hands on nothing but chunks."""
+    made = spark.range(3).select("id", F.expr("transform(sequence(0, 3), k -> named_struct('start_line', k, 'end_line', k, 'kind', 'Class', 'content', repeat('x', 900)))").alias("units"))
+    lines = spark.range(3).select("id", F.lit("rust").alias("language"), F.repeat(F.lit("fn a() {\n"), 9).alias("content"))
+    for df in (chunks.pack_units(made), chunks.chunk_structure(lines)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        handed = re.search(r", \[([^\[\]]*)\], false, \[_[pc]#", plan)[1]
+        assert "id#" in handed and "_u#" not in handed and "_lines#" not in handed
+    assert "Filter" not in chunks.pack_units(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert chunks.pack_units(made).count() == 12
