@@ -17,7 +17,8 @@ ranks by; full vectors are read for the candidates alone, by an id filter that p
 
 Scores are cosines, ranked as rounded to 9 places, ties by id. Rows whose id or vector is null, or whose vector is empty
 or holds null or non-finite numbers, or differs in length from the queries', are left out; a zero vector scores 0. A row
-isn't its own neighbour. Rows that repeat an id are rows of their own. The driver holds centroids (MOST_CELLS at most), counts of
+isn't its own neighbour. Rows that repeat an id are rows of their own. Tasks hold centroids, a batch, and at most PROBED_BYTES of
+what is made of it (one query with its cells at least). The driver holds centroids (MOST_CELLS at most), counts of
 cells and the candidates of a single query.
 """
 
@@ -39,7 +40,7 @@ from loomdex.operators.vectors import QuantizationConfig, QuantizationMode, as_c
 
 BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, ROUNDS, DIGITS, SEED = 2048, 65_536, 4096, 6, 9, 42
 CALIBRATION, TARGET = 256, 0.95
-BLOCK_BYTES, TILE_QUERIES, TILE_ROWS, TILE_PAIRS = 1 << 25, 256, 2048, 1 << 16
+BLOCK_BYTES, TILE_QUERIES, TILE_ROWS, TILE_PAIRS, PROBED_BYTES = 1 << 25, 256, 2048, 1 << 16, 1 << 22
 
 
 def _valid(df: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -155,9 +156,12 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def _nearest(m: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
-    """The n nearest centroids of each unit vector."""
-    near = (m @ centroids.T) - (centroids * centroids).sum(axis=1) / 2
-    return near.argmax(axis=1)[:, None] if n == 1 else np.argpartition(-near, min(n, near.shape[1]) - 1, axis=1)[:, :n]
+    """The n nearest centroids of each unit vector; TILE_QUERIES vectors at a time meet all centroids."""
+    half, out = (centroids * centroids).sum(axis=1) / 2, np.empty((len(m), min(n, len(centroids))), np.int64)
+    for a in range(0, len(m), TILE_QUERIES):
+        far = half - m[a : a + TILE_QUERIES] @ centroids.T
+        out[a : a + TILE_QUERIES] = far.argmin(axis=1)[:, None] if n == 1 else np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
+    return out
 
 
 def fit_centroids(rows: DataFrame, cells: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -241,9 +245,11 @@ class InvertedFile:
         def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    far = (centroids * centroids).sum(axis=1) / 2 - _matrix(b.column(0)) @ centroids.T
-                    own = far[np.arange(len(far)), b.column(1).to_numpy()]
-                    yield pa.RecordBatch.from_arrays([pa.array((far <= own[:, None]).sum(axis=1))], names=["n"])
+                    for a in range(0, b.num_rows, TILE_QUERIES):
+                        some = b.slice(a, TILE_QUERIES)
+                        far = (centroids * centroids).sum(axis=1) / 2 - _matrix(some.column(0)) @ centroids.T
+                        own = far[np.arange(len(far)), some.column(1).to_numpy()]
+                        yield pa.RecordBatch.from_arrays([pa.array((far <= own[:, None]).sum(axis=1))], names=["n"])
 
         n = met.mapInArrow(ranked, "n long").agg(F.percentile("n", target)).first()[0]
         return max(1, math.ceil(n or 1))
@@ -255,14 +261,16 @@ class InvertedFile:
         """(query_id, rank, id, score) by codes: the k best of the rows in each query's nearest cells; queries are (id, v)."""
         spark, centroids = queries.sparkSession, self.centroids
         near = min(probes or self.probes, len(centroids))
+        step = max(1, PROBED_BYTES // (8 * near * centroids.shape[1]))
         asked_schema = T.StructType([queries.schema["id"], queries.schema["v"], T.StructField("cell", T.IntegerType())])
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    of = _nearest(_matrix(b.column(1)), centroids, near)
-                    at = pa.array(np.repeat(np.arange(b.num_rows), of.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(of.ravel().astype(np.int32))], names=asked_schema.fieldNames())
+                for a in range(0, b.num_rows, step):  # a query is given out near times: no whole batch at once
+                    some = b.slice(a, step)
+                    of = _nearest(_matrix(some.column(1)), centroids, near)
+                    at = pa.array(np.repeat(np.arange(some.num_rows), of.shape[1]))
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(of.ravel().astype(np.int32))], names=asked_schema.fieldNames())
 
         asked = queries.select("id", "v").where(F.size("v") == centroids.shape[1]).mapInArrow(probed, asked_schema)
         held = self.codes(spark)

@@ -110,3 +110,18 @@ def test_rough_scores_are_made_sure(made):
     score = np.round(np.einsum("qd,rd->qr", m[:300], m), 9)
     want = [(ids[q], ids[j], score[q, j]) for q in range(300) for j in [j for j in np.lexsort((ids, -score[q])) if j != q][:k]]
     assert list(zip(*(got[c].to_pylist() for c in ("query_id", "id", "score")))) == want
+
+
+def test_work_space_of_cells(made):
+    """What finding cells takes beside its input and output does not grow with the batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    m, c = rng.normal(0, 1, (6000, 4)), rng.normal(0, 1, (2000, 4))
+    tracemalloc.start()
+    one, three = vector_index._nearest(m, c), vector_index._nearest(m, c, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 6000 by 2000 doubles are 96 MB
+    far = ((m[:500, None] - c[None]) ** 2).sum(2)
+    assert (one[:500, 0] == far.argmin(1)).all() and (np.sort(three[:500]) == np.sort(np.argsort(far)[:, :3])).all()
